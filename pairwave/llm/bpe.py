@@ -24,9 +24,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .encoding import MEMO_PIECES, UNUSUAL_SPACE, WORD_PIECES
-from .frames import rows
+from .frames import extended, rows
 
 #: Ranks above every merge's.
 NEVER = 1 << 40
@@ -244,7 +245,7 @@ def speculative(path: str) -> SpeculativeBpe:
 def encode_frame(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """docs with a column ids (array of int), replacing one of that name."""
     keep = [c for c in docs.columns if c not in ("ids", "_text")]
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("ids", "array<int>")
+    schema = extended(docs.select(*[F.col(f"`{c}`") for c in keep]).schema, ids=T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = speculative(tokenizer)
@@ -260,7 +261,7 @@ def encode_frame(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFra
 def decode_frame(frame: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """frame with a column decoded (string; null ids give ""), replacing one of that name."""
     keep = [c for c in frame.columns if c not in ("decoded", "_ids")]
-    schema = frame.select(*[F.col(f"`{c}`") for c in keep]).schema.add("decoded", "string")
+    schema = extended(frame.select(*[F.col(f"`{c}`") for c in keep]).schema, decoded=T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = speculative(tokenizer)

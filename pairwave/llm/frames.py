@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows turned into Python objects at once inside an Arrow function.
 SLICE_ROWS = 512
@@ -53,6 +54,11 @@ def rows(batches: Iterator[pa.RecordBatch], size: int = SLICE_ROWS) -> Iterator[
             yield [column.to_pylist() for column in part.columns]
 
 
+def extended(schema: T.StructType, **added: T.DataType) -> T.StructType:
+    """A copy of schema with more columns; one of the same name is replaced."""
+    return T.StructType([f for f in schema.fields if f.name not in added] + [T.StructField(k, v) for k, v in added.items()])
+
+
 def crc32(text: str) -> "F.Column":
     """Unsigned CRC-32 of a string column's UTF-8 bytes; null counts as empty."""
     return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))

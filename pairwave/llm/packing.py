@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .encoding import encoder
-from .frames import rows, written
+from .frames import extended, rows, written
 
 #: Groups that the pieces of one length are dealt to.
 SALTS = 64
@@ -189,7 +190,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     before = sizes.select(F.col("length").alias("_l"), F.col("_salt").alias("_s"), (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", *[c for c in columns if c not in ("doc_id", "piece", "length")])
     ranked = salted.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(before), (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s")))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = extended(pieces.schema, sequence_id=T.LongType(), offset=T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = shared.value

@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, packing, secrets, sharding, varint
+from . import bpe, fingerprints, gif, ngrams, packing, quality, secrets, sharding, varint, warc
 from .frames import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=quality.SAMPLE)
+
+
 def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digest(table(spark, sf_dir, "documents"))
 
@@ -23,10 +27,22 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_banded_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.jaccard_classes(table(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.999)
+
+
 def op7_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(table(spark, sf_dir, "pages"))
+
+
 def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2, capacity=1024)
 
@@ -35,5 +51,5 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_gif, op3_ranked_varint, op4_virtual_slots, op7_speculative_bpe, op9_swap_packing, op10_trigram_secrets)}
+QUERIES = {f.__name__: f for f in (op1_factorisation_machine, op2_gif, op3_ranked_varint, op4_virtual_slots, op5_one_permutation, op6_banded_jaccard, op7_speculative_bpe, op8_warc_derivatives, op9_swap_packing, op10_trigram_secrets)}
 ORACLE_SQL: dict[str, str] = {}
