@@ -281,13 +281,13 @@ def takahashi(spark: SparkSession, path: str, **_) -> DataFrame:
 
 
 #: Header of the packed format: mark, fields to a row, rows.
-PACKED = struct.Struct("<8sqq")
+PACKED = "<8sqq"
 
 
 def packed_bytes(columns: dict[str, np.ndarray]) -> bytes:
     """x, y, z, kappa (and weight, mass, mask with all fields) as rows of doubles behind a header."""
     rows = np.column_stack(list(columns.values())).astype("<f8")
-    return PACKED.pack(b"PWCAT01\0", rows.shape[1], rows.shape[0]) + rows.tobytes()
+    return struct.pack(PACKED, b"PWCAT01\0", rows.shape[1], rows.shape[0]) + rows.tobytes()
 
 
 def packed(spark: SparkSession, path: str, **_) -> DataFrame:
@@ -295,10 +295,10 @@ def packed(spark: SparkSession, path: str, **_) -> DataFrame:
     names = ("x", "y", "z", "kappa", "weight", "mass", "m")
 
     def parse(_: str, raw: bytes) -> pd.DataFrame:
-        mark, width, n = PACKED.unpack_from(raw)
+        mark, width, n = struct.unpack_from(PACKED, raw)
         if mark != b"PWCAT01\0":
             raise ValueError("not a packed catalog")
-        data = np.frombuffer(raw, "<f8", width * n, PACKED.size).reshape(n, width)
+        data = np.frombuffer(raw, "<f8", width * n, struct.calcsize(PACKED)).reshape(n, width)
         return pd.DataFrame({c: data[:, k] if k < width else np.ones(n) for k, c in enumerate(names)})
 
     df = _files(spark, path, parse, ", ".join(f"{c} double" for c in names))

@@ -32,7 +32,7 @@ class PairStream:
         points = spark.read.parquet(new)
         parts = self._sums(grid_pairs(points, points, self.bins.rmax, box=self.box), 1)
         if number:
-            before = spark.read.schema(points.schema.add("batch", "int")).parquet(f"{self.folder}/points").where(F.col("batch") < number)
+            before = spark.read.schema("id long, x double, y double, z double, kappa double, batch long").parquet(f"{self.folder}/points").where(F.col("batch") < number)
             parts = parts.union(self._sums(grid_pairs(points, before, self.bins.rmax, box=self.box, same=False), 2))
         parts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/sums/batch={number}")
 
