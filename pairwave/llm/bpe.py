@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .encoding import MEMO_PIECES, UNUSUAL_SPACE, WORD_PIECES
-from .frames import extended, rows
+from .encoding import UNUSUAL_SPACE, MemoEncoder
+from .frames import extended
 
 #: Ranks above every merge's.
 NEVER = 1 << 40
@@ -50,7 +51,11 @@ class MergeTable:
         for token, i in vocab.items():
             self.tokens[i] = token
         self.vocab = vocab
-        self.longest = max(map(len, vocab))
+        # The most characters of a token that begins with two given ones, without the mark of a word's end.
+        self.reach: dict[str, int] = {}
+        for token in vocab:
+            bare = token.removesuffix(END)
+            self.reach[bare[:2]] = max(self.reach.get(bare[:2], 0), len(bare))
         self.left = np.full(size, -1, np.int64)
         self.right = np.full(size, -1, np.int64)
         self.rank = np.full(size, -1, np.int64)  # of the merge that makes a token; -1: a single symbol
@@ -125,9 +130,10 @@ class MergeTable:
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match over the vocabulary; only the last token carries the mark of the word's end."""
-        vocab, out, at, n = self.vocab, [], 0, len(word)
+        vocab, reach, out, at, n = self.vocab, self.reach, [], 0, len(word)
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            last = min(n, at + reach.get(word[at : at + 2], 1))
+            for end in range(last, at, -1):
                 if (i := vocab.get(word[at:end] if end < n else word[at:] + END)) is not None:
                     break
             else:
@@ -147,50 +153,41 @@ def symbols(word: str) -> list[str]:
     return list(word)
 
 
-class SpeculativeBpe:
+class SpeculativeBpe(MemoEncoder):
     """Encoder and decoder for a tokenizer file with a word pattern, byte alphabet and end-of-word mark."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        super().__init__(path)
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         model, pre = kind["model"], kind["pre_tokenizer"]
-        if model["type"] != "BPE" or model["end_of_word_suffix"] != END or [p["type"] for p in pre["pretokenizers"]] != ["Split", "ByteLevel"]:
+        if model["type"] != "BPE" or model["end_of_word_suffix"] != END or self.mode != "words":
             raise ValueError("this encoder needs a word-split, byte-level BPE with end-of-word marks")
-        self.table = MergeTable(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
-        self.library = Tokenizer.from_file(path)
+        self.merges = MergeTable(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self.words = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in kind["added_tokens"]}
-        self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.names = {**dict(enumerate(self.table.tokens)), **{i: s for s, i in self.special.items()}}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, list[int]] = {}
-        self.bytes = byte_alphabet()
-        self.translate = {b: c for b, c in enumerate(self.bytes) if chr(b) != c}
+        self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.names = {**dict(enumerate(self.merges.tokens)), **{i: s for s, i in self.special.items()}}
+        # Of each id: its digits and a blank, its string and a blank.
+        size = max(self.names) + 1
+        self.digits = ByteStrings([b"%d " % i for i in range(size)])
+        self.strings = ByteStrings([(self.names[i] + " ").encode() if i in self.names else b"" for i in range(size)])
+        self.translate = {b: c for b, c in enumerate(byte_alphabet()) if chr(b) != c}
         self.failed = 0
 
     def word_strings(self, piece: str) -> list[str]:
         """The words of a piece in the byte alphabet, without the mark of their end."""
+        if piece.isascii() and piece.isalpha():
+            return [piece.lower()]
         if max(piece) < "ɐ" and not UNUSUAL_SPACE.search(piece):
-            if not piece.isascii():
-                import unicodedata
-
-                piece = unicodedata.normalize("NFC", piece)
-            found = self.words.findall(piece.lower())
-            if piece.isascii():
-                return found
-            return [w.encode().decode("latin-1").translate(self.translate) for w in found]
-        normal = self.library.normalizer.normalize_str(piece)
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
-
-    def encode_words(self, words: Iterable[str]) -> None:
-        """Learns the ids of words: speculate, verify all adjacent pairs of all words at once, merge what fails."""
-        words = set(words)
-        if len(self.known) > MEMO_PIECES:
-            self.known = {w: self.known[w] for w in words & self.known.keys()}
-        words = list(words - self.known.keys())
-        table = self.table
+            found = self.words.findall(unicodedata.normalize("NFC", piece).lower())
+            return found if piece.isascii() else [w.encode().decode("latin-1").translate(self.translate) for w in found]
+        normal = self.tok.normalizer.normalize_str(piece)
+        return [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words: speculate, verify all adjacent pairs of all words at once, merge what fails."""
+        table = self.merges
         guess = [table.propose(w) for w in words]
         lengths = np.array([len(g) for g in guess], np.int64)
         flat = np.array([i for g in guess for i in g], np.int64)
@@ -202,34 +199,27 @@ class SpeculativeBpe:
             pair = np.flatnonzero(owner[1:] == owner[:-1])
             both, back = np.unique(flat[pair] * table.size + flat[pair + 1], return_inverse=True)
             good[owner[pair[~table.apart(both // table.size, both % table.size)[back]]]] = False
-        for w, g, ok in zip(words, guess, good.tolist(), strict=True):
-            if not ok:
-                self.failed += 1
-                g = table.merged([*w[:-1], w[-1] + END])
-            self.known[w] = g
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        pieces = list(pieces)
-        cut = []
+        for k in np.flatnonzero(~good).tolist():
+            w = words[k]
+            guess[k] = table.merged([*w[:-1], w[-1] + END])
+        self.failed += int((~good).sum())
+        return guess
+
+    def _odd(self, pieces: list[str]) -> None:
+        """Every piece can be encoded alone here."""
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cut: list[list] = []
+        special = any(s in "\n".join(pieces) for s in self.special)
         for piece in pieces:
-            parts = self.cut_special.split(piece) if self.cut_special and any(s in piece for s in self.special) else [piece]
-            cut.append([p if p in self.special else self.word_strings(p) for p in parts if p])
-        self.encode_words({w for parts in cut for p in parts if not isinstance(p, str) for w in p})
-        for piece, parts in zip(pieces, cut, strict=True):
-            self.memo[piece] = tuple(i for p in parts for w in ([p] if isinstance(p, str) else p) for i in ([self.special[w]] if isinstance(p, str) else self.known[w]))
-
-    @staticmethod
-    def pieces(text: str | None) -> list[str]:
-        """Cut at blanks, tabs and line ends, which all definitions of white space have, and after plain words."""
-        return WORD_PIECES.findall(text or "")
-
-    def encode(self, texts: Iterable[str | None]) -> list[list[int]]:
-        cut = [self.pieces(t) for t in texts]
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        self.learn(set().union(*cut) - self.memo.keys())
-        get = self.memo.__getitem__
-        return [[i for p in ps for i in get(p)] for ps in cut]
+            if special and any(s in piece for s in self.special):
+                cut.append([w for p in self.cut_special.split(piece) if p for w in ([self.special[p]] if p in self.special else self.word_strings(p))])
+            else:
+                cut.append(self.word_strings(piece))
+        words = list({w for ws in cut for w in ws if isinstance(w, str)})
+        known = dict(zip(words, self.encode_words(words), strict=True))
+        ids = [[i for w in ws for i in (known[w] if isinstance(w, str) else (w,))] for ws in cut]
+        return np.array([i for x in ids for i in x], self.dtype), np.array([len(x) for x in ids], np.int64)
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token strings joined by blanks: the tokenizer's file names no decoder. Ids that it lacks are left out."""
@@ -237,6 +227,25 @@ class SpeculativeBpe:
         return " ".join([names[i] for i in ids if i in names])
 
 
+class ByteStrings:
+    """Byte strings by number, joined for arrays of numbers."""
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.array([len(s) for s in strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def join(self, numbers: np.ndarray, counts: np.ndarray) -> list[memoryview]:
+        """The strings of numbers one after the other, in parts of counts numbers each, each without its last byte."""
+        size = self.sizes[numbers]
+        ends = np.cumsum(size)
+        place = np.repeat(self.starts[numbers] - (ends - size), size)
+        place += np.arange(len(place))
+        raw = memoryview(self.data[place].tobytes())
+        cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+        return [raw[a : max(a, b - 1)] for a, b in zip(cuts, cuts[1:])]
+
+
 @functools.lru_cache(maxsize=2)
 def speculative(path: str) -> SpeculativeBpe:
     return SpeculativeBpe(path)
@@ -250,10 +259,11 @@ def encode_frame(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = speculative(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = enc.encode(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids, counts = enc.encode_column(part.column(part.num_columns - 1))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*keep, "ids"])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
 
@@ -275,27 +285,15 @@ def decode_frame(frame: DataFrame, tokenizer: str, ids: str = "ids") -> DataFram
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: of what encode and decode give, joined piece by piece."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: of what encode and decode give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = speculative(tokenizer)
-        shown: dict[str, tuple[int, bytes, bytes]] = {}
-        for doc_id, texts in rows(batches):
-            cut = [enc.pieces(t) for t in texts]
-            if len(enc.memo) > MEMO_PIECES:
-                enc.memo.clear()
-                shown.clear()
-            new = set().union(*cut)
-            enc.learn(new - enc.memo.keys())
-            for p in new - shown.keys():
-                ids = enc.memo[p]
-                shown[p] = (len(ids), " ".join(map(str, ids)).encode(), enc.decode(ids).encode())
-            n, a, b = [], [], []
-            for ps in cut:
-                got = [x for x in map(shown.__getitem__, ps) if x[0]]
-                n.append(sum([x[0] for x in got]))
-                a.append(hashlib.sha256(b" ".join([x[1] for x in got])).hexdigest())
-                b.append(hashlib.sha256(b" ".join([x[2] for x in got])).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        sha = lambda parts: pa.array([hashlib.sha256(x).hexdigest() for x in parts])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, counts = enc.encode_column(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), sha(enc.digits.join(ids, counts)), sha(enc.strings.join(ids, counts))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

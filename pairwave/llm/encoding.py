@@ -1,8 +1,9 @@
-"""Exact, fast use of the tokenizers library: distinct whitespace-bounded pieces are encoded once and remembered.
+"""Exact, fast use of the tokenizers library: distinct pieces of text are encoded once and looked up with numpy.
 
 A piece's ids never depend on its neighbours where a text is cut only at places that the tokenizer's own
-pre-tokenizer always cuts. Texts for which that isn't certain (special-token strings, unusual white space) are
-encoded whole.
+pre-tokenizer always cuts: around white space, and between a Latin letter and a punctuation mark. Pieces are cut from
+a column's bytes, hashed and looked up all at once; the library encodes those not seen before. Texts for which the cuts
+aren't certain (strings of special tokens, unusual white space) are encoded whole.
 """
 
 from __future__ import annotations
@@ -10,26 +11,95 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 #: White space other than blank, tab, line feed and carriage return, by any of the definitions in use.
-UNUSUAL_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
-#: Letters by every version of Unicode, and characters that end a run of them for certain (an apostrophe may not).
-LETTERS, ENDS = "A-Za-zÀ-ÖØ-öø-ÿ", r"[ \t\n\r.,!?;:|&$%*#]|\Z"
-#: Runs of white space up to the last, a word with one blank before it, other runs with one, or one white-space character.
-BYTE_PIECES = re.compile(rf"[ \t\n\r]+(?![^ \t\n\r])| ?[{LETTERS}]+(?={ENDS})| ?[^ \t\n\r]+|[ \t\n\r]")
-#: Words and other runs without white space.
-WORD_PIECES = re.compile(rf"[{LETTERS}]+(?={ENDS})|[^ \t\n\r]+")
-#: Pieces that a worker remembers; beyond, the memory is emptied.
-MEMO_PIECES = 800_000
-#: Pieces encoded by one library call.
-CALL_PIECES = 2_000
+UNUSUAL_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+#: Pieces that a PieceTable holds at most (some 50 bytes each), and the bits of its slots' numbers.
+TABLE_PIECES, TABLE_BITS = 1_500_000, 22
+#: Pieces encoded by one library call, and bytes of text handled at once.
+CALL_PIECES, CHUNK_BYTES = 2_000, 1 << 20
+
+_SPACE, _LETTER, _PUNCT = (np.zeros(256, bool) for _ in range(3))
+_SPACE[[*b" \t\n\r"]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_PUNCT[[*b".,!?;:&$%*#"]] = True
+
+
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """r^i and r^-i modulo 2^64 for i < n."""
+    r = 0x9E3779B97F4A7C15
+    out = []
+    for base in (r, pow(r, -1, 1 << 64)):
+        step = np.full(n, base, np.uint64)
+        step[0] = 1
+        out.append(np.multiply.accumulate(step))
+    return out[0], out[1]
+
+
+class PieceTable:
+    """A hash table from 64-bit keys and lengths of pieces to their ids, in arrays, looked up for many pieces at once."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.entry = np.zeros(1 << TABLE_BITS, np.int32)
+        self.count = 0
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.sizes = np.zeros(1 << 16, np.int32)  # -1: a text with this piece is encoded whole
+        self.ids = np.zeros(1 << 18, self.dtype)
+        self.used = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entries of keys; -1 for those that aren't there. A key is never 0."""
+        mask = np.uint64((1 << TABLE_BITS) - 1)
+        slot = keys & mask
+        seen = self.keys[slot]
+        out = np.where(seen == keys, self.entry[slot], -1)
+        left = np.flatnonzero((seen != keys) & (seen != 0))
+        while len(left):
+            slot[left] = (slot[left] + np.uint64(1)) & mask
+            seen = self.keys[slot[left]]
+            hit = seen == keys[left]
+            out[left[hit]] = self.entry[slot[left[hit]]]
+            left = left[~hit & (seen != 0)]
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New, distinct keys with their ids one after the other."""
+        need, room = self.count + len(keys), self.used + len(ids)
+        while need > len(self.starts):
+            self.starts, self.sizes = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.sizes, np.zeros_like(self.sizes))
+        while room > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        length = np.maximum(sizes, 0)
+        self.starts[self.count : need] = self.used + np.cumsum(length) - length
+        self.sizes[self.count : need] = sizes
+        self.ids[self.used : room] = ids
+        mask = np.uint64((1 << TABLE_BITS) - 1)
+        slot, left = keys & mask, np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]] = keys[won]
+            self.entry[slot[won]] = self.count + won
+            left = np.setdiff1d(left, won, True)
+            slot[left] = (slot[left] + np.uint64(1)) & mask
+        self.count, self.used = need, room
 
 
 class MemoEncoder:
-    """Encodes like Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, without truncation or padding."""
+    """Encodes like Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, without truncation or padding.
+
+    A subclass may encode pieces and texts by other means (`_pieces`, `_odd`, `_whole`).
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -40,65 +110,148 @@ class MemoEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        specials = [(t["content"], t["id"]) for t in kind["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"])]
+        plain = [(t["content"], t["id"]) for t in kind["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"])]
         self.specials = [t["content"] for t in kind["added_tokens"]]
-        self.sep, self.sep_id = specials[-1] if specials else (None, None)
-        self.split = self._splitter(kind) if self.sep else None
-        self.memo: dict[str, bytes | None] = {}  # None: a text with this piece is encoded whole
+        self.sep, self.sep_id = plain[-1] if plain else (None, None)
+        self.mode = self._mode(kind) if self.sep and len(plain) == len(self.specials) else None
+        if self.mode and any(len(self._cuts(np.frombuffer(s.encode(), np.uint8), np.array([0, len(s.encode())]))[0]) > 1 for s in self.specials):
+            self.mode = None
+        self.table = PieceTable(self.dtype)
 
     @staticmethod
-    def _splitter(kind: dict):
-        """How to cut a text without changing its ids; None where that isn't known."""
+    def _mode(kind: dict) -> str | None:
+        """Which cuts keep the ids; None where that isn't known."""
         pre, norm = kind.get("pre_tokenizer") or {}, kind.get("normalizer") or {}
-        if kind.get("post_processor") or kind.get("truncation") or kind.get("padding"):
+        if kind.get("post_processor"):
             return None
         if not norm and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            return BYTE_PIECES.findall
+            return "bytes"
         parts = [p.get("type") for p in pre.get("pretokenizers", [])]
         steps = [p.get("type") for p in norm.get("normalizers", [])]
         if parts == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["behavior"] == "Removed" and set(steps) <= {"NFC", "Replace", "Lowercase"}:
-            return WORD_PIECES.findall
+            return "words"
         return None
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        odd = {p for p in pieces if UNUSUAL_SPACE.search(p) or any(s in p for s in self.specials)}
-        self.memo.update(dict.fromkeys(odd))
-        pieces = [p for p in pieces if p not in odd]
+    def _cuts(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces start and end. Words: white space is in none. Bytes: a blank before a word is the word's, other white space stands alone, but a run up to its last."""
+        n = len(raw)
+        space = np.zeros(n + 1, bool)
+        space[:n] = _SPACE[raw]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        before = np.ones(n + 1, bool)  # whether the byte before is white space or of another text
+        before[1:] = space[:n]
+        letter = np.zeros(n + 1, bool)
+        letter[1:] = _LETTER[raw]
+        high = np.flatnonzero(raw[1:] >= 128)
+        letter[high + 2] = (raw[high] == 0xC3) & (raw[high + 1] != 0x97) & (raw[high + 1] != 0xB7)
+        cut = edge.copy()
+        cut[:n] |= letter[:n] & _PUNCT[raw]
+        if self.mode == "words":
+            cut |= space != before
+            starts = np.flatnonzero(cut[:n] & ~space[:n])
+            ends = np.flatnonzero(cut[1:] & ~space[:n]) + 1
+            return starts, ends
+        last = space[:n] & ~space[1:] & ~edge[1:]
+        cut[:n] |= space[:n] & (~before[:n] | last)
+        cut[1:] |= last & (raw != 32)
+        cut[n] = False
+        starts = np.flatnonzero(cut)
+        return starts, np.append(starts[1:], n)
+
+    def _odd(self, pieces: list[str]) -> list[bool] | None:
+        """Which pieces can't be encoded alone; None: none of them."""
+        text = "\n".join(pieces)
+        if not UNUSUAL_SPACE.search(text) and not any(s in text for s in self.specials):
+            return None
+        return [bool(UNUSUAL_SPACE.search(p)) or any(s in p for s in self.specials) for p in pieces]
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and how many each has."""
+        ids = np.array(self.tok.encode_batch_fast([self.sep.join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.append(np.flatnonzero(ids == self.sep_id), len(ids))
+        return ids[ids != self.sep_id], np.diff(ends, prepend=-1) - 1
+
+    def _learn(self, raw: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        data = raw.tobytes()
+        pieces = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        if odd := self._odd(pieces):
+            alone = ~np.array(odd)
+            self.table.add(keys[~alone], np.zeros(0, self.dtype), np.full(int((~alone).sum()), -1, np.int32))
+            keys, pieces = keys[alone], [p for p, o in zip(pieces, odd, strict=True) if not o]
         for at in range(0, len(pieces), CALL_PIECES):
             part = pieces[at : at + CALL_PIECES]
-            ids = np.array(self.tok.encode_batch_fast([self.sep.join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.append(np.flatnonzero(ids == self.sep_id), len(ids)) * self.dtype.itemsize
-            raw = ids.tobytes()
-            begin = 0
-            for piece, end in zip(part, ends.tolist(), strict=True):
-                self.memo[piece] = raw[begin:end]
-                begin = end + self.dtype.itemsize
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of each text as bytes of dtype; null is the empty text."""
-        texts = [text or "" for text in texts]
-        if self.split is None:
-            return [self._whole(text) for text in texts]
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        cut = [self.split(text) for text in texts]
-        new: set[str] = set()
-        for pieces in cut:
-            new.update(pieces)
-        self._learn(new - self.memo.keys())
-        get, out = self.memo.__getitem__, []
-        for text, pieces in zip(texts, cut, strict=True):
-            try:
-                out.append(b"".join(map(get, pieces)))
-            except TypeError:  # a piece that can't be encoded alone
-                out.append(self._whole(text))
-        return out
+            ids, sizes = self._pieces(part)
+            self.table.add(keys[at : at + CALL_PIECES], ids, sizes.astype(np.int32))
+
+    def _chunk(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that lie one after the other in raw, and how many each has."""
+        texts = len(offsets) - 1
+        whole = lambda i: self._whole(raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "surrogatepass"))
+        if self.mode is None:
+            parts = [whole(i) for i in range(texts)]
+            return np.concatenate([np.zeros(0, self.dtype), *parts]), np.array([len(p) for p in parts], np.int64)
+        starts, ends = self._cuts(raw, offsets)
+        power, inverse = _powers(max(CHUNK_BYTES, 1 << max(1, len(raw)).bit_length()))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
+        keys = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        keys = (keys ^ (keys >> np.uint64(32))) | np.uint64(1) << np.uint64(63)
+        table = self.table
+        if table.count > TABLE_PIECES:
+            table.clear()
+        entry = table.find(keys)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            distinct, first = np.unique(keys[new], return_index=True)
+            self._learn(raw, distinct, starts[new[first]], ends[new[first]])
+            entry[new] = table.find(keys[new])
+        size = table.sizes[entry].astype(np.int64)
+        owner = np.searchsorted(offsets, starts, "right") - 1
+        odd = np.unique(owner[size < 0])
+        size = np.maximum(size, 0)
+        total = int(size.sum())
+        ids = table.ids[np.repeat(table.starts[entry] - (np.cumsum(size) - size), size) + np.arange(total)]
+        counts = np.bincount(owner, size, texts).astype(np.int64)
+        if len(odd):
+            cut = np.split(ids, np.cumsum(counts)[:-1])
+            for i in odd.tolist():
+                cut[i] = whole(i)
+                counts[i] = len(cut[i])
+            ids = np.concatenate(cut)
+        return ids, counts
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column, one after the other, and how many each has; null is the empty text."""
+        column = column.cast(pa.large_string()).fill_null("")
+        if not len(column):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        ids, counts, at = [], [], 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+            got = self._chunk(raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            ids.append(got[0]), counts.append(got[1])
+            at = to
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, counts = self.encode_column(pa.array(texts, pa.large_string()))
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
+
+
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and counts with one more id at the end of each text."""
+    return np.insert(ids, np.cumsum(counts), end_id), counts + 1
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> MemoEncoder:
     """One encoder for each worker process and file."""
     return MemoEncoder(path)

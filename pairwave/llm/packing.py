@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .encoding import encoder
-from .frames import extended, rows, written
+from .encoding import encoder, with_end
+from .frames import extended, written
 
 #: Groups that the pieces of one length are dealt to.
 SALTS = 64
@@ -48,17 +48,19 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for doc_id, text in rows(batches):
-            out: list[tuple] = []
-            for d, raw in zip(doc_id, enc.encode(text), strict=True):
-                wide = np.append(np.frombuffer(raw, enc.dtype), end_id).astype("<u4").tobytes()
-                at = 0
-                for k, n in enumerate(piece_lengths(len(wide) // 4, capacity)):
-                    out.append((d, k, at, n, zlib.crc32(memoryview(wide)[4 * at : 4 * (at + n)])))
-                    at += n
-            columns = zip(*out, strict=True)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids, counts = with_end(*enc.encode_column(part.column(1)), end_id)
+                raw, out, begin = memoryview(ids.astype("<u4").tobytes()), [], 0
+                for d, total in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):
+                    start = 0
+                    for k, n in enumerate(piece_lengths(total, capacity)):
+                        out.append((d, k, start, n, zlib.crc32(raw[4 * (begin + start) : 4 * (begin + start + n)])))
+                        start += n
+                    begin += total
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

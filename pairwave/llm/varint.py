@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .encoding import encoder
+from .encoding import encoder, with_end
 from .frames import rows, written
 
 MAGIC = b"FRVB"
@@ -88,10 +88,13 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
-        for doc_id, text in rows(batches):
-            ids = [x + end for x in enc.encode(text)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids, counts = with_end(*enc.encode_column(part.column(1)), end_id)
+                ends = pa.py_buffer(np.append(0, np.cumsum(counts) * enc.dtype.itemsize))
+                raw = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, ends, pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), raw.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
