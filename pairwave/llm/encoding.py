@@ -18,9 +18,9 @@ import pyarrow as pa
 #: White space other than blank, tab, line feed and carriage return, by any of the definitions in use.
 UNUSUAL_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 #: Pieces that a PieceTable holds at most (some 50 bytes each), and the bits of its slots' numbers.
-TABLE_PIECES, TABLE_BITS = 1_500_000, 22
+TABLE_PIECES, TABLE_BITS = 600_000, 21
 #: Pieces encoded by one library call, and bytes of text handled at once.
-CALL_PIECES, CHUNK_BYTES = 2_000, 1 << 20
+CALL_PIECES, CHUNK_BYTES = 2_000, 1 << 18
 
 _SPACE, _LETTER, _PUNCT = (np.zeros(256, bool) for _ in range(3))
 _SPACE[[*b" \t\n\r"]] = True
