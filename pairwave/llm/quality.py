@@ -35,7 +35,8 @@ FACTORS = 8
 BINS = 8
 EPOCHS = 8
 CUT = 0.7
-WORD_MEMO = 500_000
+#: Words whose hashes a worker remembers.
+WORD_MEMO = 120_000
 
 #: Byte classes: 0 other ASCII, 1 lower case, 2 upper case, 3 digits, 4 blanks, 5 line ends, 6 . , ; :, 7 ! ?, 8 quotes and brackets, 9 bars and slashes, 10 marks, 11 beyond ASCII.
 _CLASS = np.zeros(256, np.int64)
@@ -155,7 +156,7 @@ class Machine:
 
 
 def fit(bucket: np.ndarray, weight: np.ndarray, sizes: np.ndarray, stats: np.ndarray, labels: np.ndarray, seed: int = 17) -> Machine:
-    """Adam on the logistic loss with L2 penalty, in batches; deterministic."""
+    """Adam on the logistic loss with L2 penalty, in batches; deterministic. Inputs are made for a batch at a time."""
     n, m = stats.shape
     quantiles = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T if n else np.zeros((m, BINS - 1))
     mean = stats.mean(0) if n else np.zeros(m)
@@ -168,10 +169,7 @@ def fit(bucket: np.ndarray, weight: np.ndarray, sizes: np.ndarray, stats: np.nda
     if not n:
         weights[:] = 0
         return model
-    index, value, owner = model.inputs(bucket, weight, sizes, stats)
-    order = np.argsort(owner, kind="stable")
-    index, value, owner = index[order], value[order], owner[order]
-    starts = np.searchsorted(owner, np.arange(n + 1))
+    starts = np.cumsum(sizes) - sizes
     first, second, bias_first, bias_second, step = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0, 0
     batch = 256
     for epoch in range(EPOCHS):
@@ -179,9 +177,9 @@ def fit(bucket: np.ndarray, weight: np.ndarray, sizes: np.ndarray, stats: np.nda
         shuffled = rng.permutation(n)
         for at in range(0, n, batch):
             own = shuffled[at : at + batch]
-            length = starts[own + 1] - starts[own]
+            length = sizes[own]
             take = np.repeat(starts[own] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            i, x, o = index[take], value[take], np.repeat(np.arange(len(own)), length)
+            i, x, o = model.inputs(bucket[take].astype(np.int64), weight[take].astype(np.float64), length, stats[own])
             logit, sums = model.raw(i, x, o, len(own))
             error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[own]) / len(own)
             e = error[o]
@@ -232,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
         got = [seen[i] for i in sorted(seen)]
         array = lambda k, kind: np.frombuffer(b"".join(g[k] for g in got), kind)
         stats = array(3, np.float64).reshape(len(got), -1) if got else np.zeros((0, features([""], [None])[3].shape[1]))
-        model = fit(array(1, "<u2").astype(np.int64), array(2, "<f4").astype(np.float64), np.array([len(g[1]) // 2 for g in got], np.int64), stats, np.array([g[0] for g in got], np.float64))
+        model = fit(array(1, "<u2"), array(2, "<f4"), np.array([len(g[1]) // 2 for g in got], np.int64), stats, np.array([g[0] for g in got], np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([model.dump()], pa.binary())], ["model"])
 
     found = written(rows_.mapInArrow(extract, "id long, label int, bucket binary, weight binary, stats binary"), "labelled-features")
