@@ -181,7 +181,7 @@ class SpeculativeBpe(MemoEncoder):
             return [piece.lower()]
         if max(piece) < "ɐ" and not UNUSUAL_SPACE.search(piece):
             found = self.words.findall(unicodedata.normalize("NFC", piece).lower())
-            return found if piece.isascii() else [w.encode().decode("latin-1").translate(self.translate) for w in found]
+            return found if piece.isascii() and piece.isprintable() else [w.encode().decode("latin-1").translate(self.translate) for w in found]
         normal = self.tok.normalizer.normalize_str(piece)
         return [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(normal)]
 

@@ -183,12 +183,14 @@ class TrigramScanner:
 
     def scan(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """Of each text (rule number, start, end), by start, then rule."""
+        if not texts:
+            return []
         texts = [t or "" for t in texts]
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         # Three zero bytes between texts: no trigram of a rule crosses from one to the next.
         coded = [t.encode("utf-8", "surrogatepass") for t in texts]
         begins = np.cumsum([0, *(len(c) + 3 for c in coded[:-1])])
-        postings = self.postings(np.frombuffer(b"\0\0\0".join(coded), np.uint8), begins) if coded else {}
+        postings = self.postings(np.frombuffer(b"\0\0\0".join(coded), np.uint8), begins)
         for k, (rule, query) in enumerate(zip(self.rules, self.queries, strict=True)):
             for i in range(len(texts)) if query is None else self.candidates(query, postings).tolist():
                 text = texts[i]
