@@ -9,11 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of rows that are sent to a Python worker at once: with very long texts, numbers of rows are no bound.
+BATCH_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Sends the package to all executors, once for each application; Arrow functions import it there."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
