@@ -67,11 +67,25 @@ class Bins:
         return (r2 > e[0] * e[0]) & (r2 < e[-1] * e[-1])
 
     def of(self, r2: Column) -> Column:
-        """The bin of a squared distance that is inside."""
-        out = F.lit(1)
-        for e in self.edges[1:-1]:
-            out = out + (r2 >= e * e).cast("int")
-        return out
+        """The bin of a squared distance that is inside.
+
+        A logarithm or root only guesses it; the squared edges decide, so rounding can't move a distance to another bin. The
+        generated code is short whatever the number of bins, which keeps the join's loop small enough to be compiled.
+        """
+        squares = [e * e for e in self.edges]
+        if self.n == 1:
+            return F.lit(1)
+        if self.kind == "linear":
+            place = (F.sqrt(r2) - self.rmin) / self.width
+        else:
+            place = (F.log(r2) - math.log(squares[0])) / (math.log(squares[-1] / squares[0]) / self.n)
+        guess = F.greatest(F.least(F.floor(place).cast("int"), F.lit(self.n - 1)), F.lit(0))
+        edges = F.array(*map(F.lit, squares))
+        return guess + 1 + (r2 >= F.get(edges, guess + 1)).cast("int") - ((r2 < F.get(edges, guess)) & (guess > 0)).cast("int")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """pairs with a distance inside, and their bin."""
+        return pairs.where(self.inside(F.col("r2"))).withColumn("bin", self.of(F.col("r2")))
 
 
 def widths(bins: Bins) -> list[tuple[int, float, float]]:

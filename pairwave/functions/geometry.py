@@ -86,7 +86,7 @@ def wrap(x: Column, length: float) -> Column:
 
 def nearest_image(d: Column, length: float) -> Column:
     """A coordinate difference to the nearest periodic image."""
-    return d - F.lit(float(length)) * F.round(d / F.lit(float(length)))
+    return d - F.lit(float(length)) * F.floor(d / F.lit(float(length)) + 0.5)
 
 
 def spherical_wrap(theta: Column, phi: Column) -> tuple[Column, Column]:

@@ -88,7 +88,7 @@ def approximate_correlation(df: DataFrame, bins: Bins, size: float) -> DataFrame
     cells = summaries(df.select("id", "x", "y", "z", "kappa", F.lit(1.0).alias("weight"), F.lit(1.0).alias("mass")), size).select(F.col("cell").alias("id"), "x", "y", "z", "kappa", F.col("nb").cast("double").alias("weight"))
     pairs = grid_pairs(cells, cells, bins.rmax)
     n = F.col("pweight") * F.col("qweight")
-    found = pairs.where(bins.inside(F.col("r2"))).groupBy(bins.of(F.col("r2")).alias("bin")).agg(F.sum(n).alias("n"), F.sum(n * F.col("pkappa") * F.col("qkappa")).alias("_s"))
+    found = bins.near(pairs).groupBy("bin").agg(F.sum(n).alias("n"), F.sum(n * F.col("pkappa") * F.col("qkappa")).alias("_s"))
     return on_bins(found.withColumn("xi", F.col("_s") / F.greatest("n", F.lit(1.0))), bins, "n", "xi")
 
 

@@ -71,7 +71,14 @@ def grid_pairs(p: DataFrame, q: DataFrame, rmax: float, *, box: float | None = N
         raise ValueError("the radius exceeds half the periodic box")
     a, b = _cells(_side(p, "p", extra), _side(q, "q", extra), rmax, box, size or rmax)
     a, b = _split(a, b, hot) if _is_hot(a, b, hot) else (a.withColumn("salt", F.lit(0)), b.withColumn("salt", F.lit(0)))
-    return _near(a.join(b, CELL), rmax, box, same)
+    # As many partitions as asked for: small inputs make much work here, so they must not be merged into one task.
+    n = _partitions(p)
+    return _near(a.repartition(n, *CELL).join(b.repartition(n, *CELL), CELL), rmax, box, same)
+
+
+def _partitions(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
 def _is_hot(p: DataFrame, q: DataFrame, hot: int) -> bool:

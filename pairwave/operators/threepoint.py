@@ -28,9 +28,9 @@ def moments(pairs: DataFrame, bins: Bins, most: int, *, plane: bool = False, wei
     weight: the pivot's value, its field by default; field: the value of the points around, their field by default.
     """
     p, d = g.cols("p"), g.cols("d")
-    near = pairs.where(bins.inside(F.col("r2"))).withColumn("_r", F.sqrt("r2"))
+    near = bins.near(pairs).withColumn("_r", F.sqrt("r2"))
     cosine, sine = g.direction_in_plane(d, F.col("_r")) if plane else g.direction_on_sphere(p, d, F.col("_r"))
-    near = near.select(*CELL, "pid", (F.col("pkappa") if weight is None else weight).alias("w"), bins.of(F.col("r2")).alias("bin"), (F.col("qkappa") if field is None else field).alias("_k"), cosine.alias("_c"), sine.alias("_s"))
+    near = near.select(*CELL, "pid", (F.col("pkappa") if weight is None else weight).alias("w"), "bin", (F.col("qkappa") if field is None else field).alias("_k"), cosine.alias("_c"), sine.alias("_s"))
     near = chebyshev(near, "_c", "_s", most)
     sums = [F.sum(F.col("_k") * F.col(f"_{kind}{m}")).alias(f"{kind}{m}") for kind in "cs" for m in range(most + 1)]
     return near.groupBy(*CELL, "pid", "w", "bin").agg(F.count("*").alias("n"), F.sum(F.col("_k") * F.col("_k")).alias("k2"), *sums)
@@ -102,9 +102,9 @@ def edge_corrected(zeta: DataFrame, counts: DataFrame, most: int) -> DataFrame:
 def triangles(pairs: DataFrame, bins: Bins, *, plane: bool = False) -> DataFrame:
     """pid, w, b1, b2, product, dphi: every pivot with two points around it, listed one by one: for tests of small catalogs."""
     p, d = g.cols("p"), g.cols("d")
-    near = pairs.where(bins.inside(F.col("r2"))).withColumn("_r", F.sqrt("r2"))
+    near = bins.near(pairs).withColumn("_r", F.sqrt("r2"))
     cosine, sine = g.direction_in_plane(d, F.col("_r")) if plane else g.direction_on_sphere(p, d, F.col("_r"))
-    arm = near.select(*CELL, "pid", F.col("pkappa").alias("w"), "qid", F.col("qkappa").alias("k"), bins.of(F.col("r2")).alias("bin"), F.atan2(sine, cosine).alias("phi"))
+    arm = near.select(*CELL, "pid", F.col("pkappa").alias("w"), "qid", F.col("qkappa").alias("k"), "bin", F.atan2(sine, cosine).alias("phi"))
     a, b = arm.alias("a"), arm.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*CELL, "pid")]
     return a.join(b, on).select(F.col("a.pid").alias("pid"), F.col("a.w").alias("w"), F.col("a.bin").alias("b1"), F.col("b.bin").alias("b2"), (F.col("a.k") * F.col("b.k")).alias("product"), (F.col("a.phi") - F.col("b.phi")).alias("dphi"))

@@ -18,7 +18,7 @@ def field_correlation(pairs: DataFrame, bins: Bins, *, pivot: Column | None = No
     """
     value = (F.col("pkappa") if pivot is None else pivot) * F.col("qkappa")
     half = 2.0 if symmetric else 1.0
-    found = pairs.where(bins.inside(F.col("r2"))).groupBy(bins.of(F.col("r2")).alias("bin")).agg((F.count("*") / half).alias("n"), (F.sum(value) / half).alias("_s"))
+    found = bins.near(pairs).groupBy("bin").agg((F.count("*") / half).alias("n"), (F.sum(value) / half).alias("_s"))
     return on_bins(found.withColumn("xi", F.col("_s") / F.greatest("n", F.lit(1.0))), bins, "n", "xi")
 
 

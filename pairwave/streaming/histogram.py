@@ -22,8 +22,7 @@ class PairStream:
         self.folder, self.bins, self.box = folder, bins, box
 
     def _sums(self, pairs: DataFrame, factor: int) -> DataFrame:
-        inside = pairs.where(self.bins.inside(F.col("r2")))
-        return inside.groupBy(self.bins.of(F.col("r2")).alias("bin")).agg((F.count("*") * factor).alias("n"), (F.sum(F.col("pkappa") * F.col("qkappa")) * factor).alias("s"))
+        return self.bins.near(pairs).groupBy("bin").agg((F.count("*") * factor).alias("n"), (F.sum(F.col("pkappa") * F.col("qkappa")) * factor).alias("s"))
 
     def batch(self, df: DataFrame, number: int) -> None:
         spark = df.sparkSession
