@@ -31,9 +31,12 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.999
 BLOCK = 512
 #: Rows of the needed-texts table up to which it is broadcast (at most some 100 bytes each); beyond, it is shuffled.
 BROADCAST_ROWS = 100_000
+#: Dropped ids (8 bytes each) up to which they are broadcast to the filter; beyond, they are shuffled.
+DROPPED_ROWS = 2_000_000
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
-WORD_MEMO = 500_000
+#: Words whose hashes a worker remembers.
+WORD_MEMO = 120_000
 _UNIT = ["band", "hash", "lo", "hi"]
 
 
@@ -364,11 +367,15 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """docs without the documents that resemble one with a smaller doc_id, directly or by others; all columns stay."""
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    classes = jaccard_classes(docs, n, threshold, recall).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    keep = written(classes.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_keep")).agg(F.count("*").alias("_rows")), "kept")
-    out = docs.join(keep.select("_keep"), ids == F.col("_keep"), "left_semi")
-    if keep.where("_rows > 1").isEmpty():
+    """docs without the documents that resemble one with a smaller doc_id, directly or by others; all columns stay.
+
+    Of rows that repeat a doc_id one stays.
+    """
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
+    classes = written(jaccard_classes(docs, n, threshold, recall).select(known("doc_id").alias("_id"), (known("doc_id") == known("class_id")).alias("_first")), "classes")
+    dropped = written(classes.where("not _first").select(F.col("_id").alias("_dropped")).distinct(), "dropped")
+    side = F.broadcast(dropped) if dropped.count() <= DROPPED_ROWS else dropped
+    out = docs.join(side, known("doc_id") == F.col("_dropped"), "left_anti")
+    if classes.where("_first").groupBy("_id").count().where("count > 1").isEmpty():
         return out
-    return out.dropDuplicates(["doc_id"])  # rows repeat: one of each doc_id stays
+    return out.dropDuplicates(["doc_id"])
