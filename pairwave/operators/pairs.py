@@ -70,10 +70,12 @@ def grid_pairs(p: DataFrame, q: DataFrame, rmax: float, *, box: float | None = N
     if box and rmax > box / 2:
         raise ValueError("the radius exceeds half the periodic box")
     a, b = _cells(_side(p, "p", extra), _side(q, "q", extra), rmax, box, size or rmax)
-    a, b = _split(a, b, hot) if _is_hot(a, b, hot) else (a.withColumn("salt", F.lit(0)), b.withColumn("salt", F.lit(0)))
     # As many partitions as asked for: small inputs make much work here, so they must not be merged into one task.
-    n = _partitions(p)
-    return _near(a.repartition(n, *CELL).join(b.repartition(n, *CELL), CELL), rmax, box, same)
+    n, keys = _partitions(p), CELL[:3]
+    if _is_hot(a, b, hot):
+        (a, b), keys = _split(a, b, hot), CELL
+    both = a.repartition(n, *keys).join(b.repartition(n, *keys), keys)
+    return _near(both if "salt" in keys else both.withColumn("salt", F.lit(0)), rmax, box, same)
 
 
 def _partitions(df: DataFrame) -> int:

@@ -557,3 +557,100 @@ def sphere_model(spark, sf):
     """Random points on the sphere: their number, and that all are on it."""
     s = models.unit_sphere_random(spark, 4096)
     return s.agg(F.count("*").alias("n"), (F.max(F.abs(g.dot(g.cols(), g.cols()) - 1.0)) < 1e-12).alias("on_sphere"))
+
+
+_PLACE = f"SELECT event_id AS id, event_id*{lit(0.37)} AS t, event_id*{lit(0.73)} AS f FROM events"
+_TWO = lit(2 * math.pi)
+
+
+@query(f"SELECT id, {tidy_sql(f'CASE WHEN u > {lit(math.pi)} THEN {_TWO}-u ELSE u END', 'theta')}, {tidy_sql(f'CASE WHEN u > {lit(math.pi)} THEN f+{lit(math.pi)} - floor((f+{lit(math.pi)})/{_TWO})*{_TWO} ELSE f - floor(f/{_TWO})*{_TWO} END', 'phi')} FROM (SELECT id, f, t - floor(t/{_TWO})*{_TWO} AS u FROM ({_PLACE}))")
+def spherical_wrap(spark, sf):
+    e = d.table(spark, sf, "events")
+    theta, phi = g.spherical_wrap(F.col("event_id") * 0.37, F.col("event_id") * 0.73)
+    return rounded(e.select(F.col("event_id").alias("id"), theta.alias("theta"), phi.alias("phi")), "theta", "phi")
+
+
+@query(f"WITH {d.sphere_sql()}, a AS (SELECT id, x, y, z, -y AS cx, x AS cy, 0e0 AS cz FROM sph), b AS (SELECT *, cy*z-cz*y AS wx, cz*x-cx*z AS wy, cx*y-cy*x AS wz FROM a), n AS (SELECT *, sqrt(wx*wx+wy*wy+wz*wz) AS s FROM b) SELECT id, " + ", ".join(tidy_sql(f"{lit(math.cos(0.2))}*{c_}-{lit(math.sin(0.2))}*w{c_}/s", c_) for c_ in "xyz") + " FROM n")
+def turn_in_plane(spark, sf):
+    """Points turned by 0.2 radians towards the north pole: along (p x n) x p, which is minus (n x p) x p."""
+    s = d.sphere(spark, sf)
+    out = g.turn_towards(g.cols(), (F.lit(0.0), F.lit(0.0), F.lit(1.0)), 0.2)
+    return rounded(s.select("id", *[v.alias(n) for n, v in zip("xyz", out, strict=True)]), "x", "y", "z")
+
+
+@query(f"SELECT event_id AS id, {tidy_sql(f'CASE WHEN a < 0 THEN a+{_TWO} ELSE a END', 'angle')} FROM (SELECT event_id, atan2(sin(event_id*{lit(0.7)})*2e0, cos(event_id*{lit(1.3)})) AS a FROM events)")
+def direction_quadrant(spark, sf):
+    k = F.col("event_id")
+    return rounded(d.table(spark, sf, "events").select(k.alias("id"), g.angle(F.cos(k * 1.3), F.sin(k * 0.7) * 2.0).alias("angle")), "angle")
+
+
+@query(f"WITH {d.box_sql()} SELECT id, " + ", ".join(tidy_sql(f"{x}+0.5e0", x) for x in "xyz") + " FROM box")
+def box_shift(spark, sf):
+    return rounded(d.box(spark, sf).select("id", *[(F.col(x) + 0.5).alias(x) for x in "xyz"]), "x", "y", "z")
+
+
+@query(_pairs(LOG) + _on_bins_sql("SELECT bin, count(*) AS n FROM pr WHERE pid BETWEEN 10 AND 60 GROUP BY bin", _N))
+def pivot_subset(spark, sf):
+    """Only some points are pivots; all are counted around them."""
+    s = d.sphere(spark, sf)
+    return _tidy_bins(counts.pair_counts(grid_pairs(s.where("id between 10 and 60"), s, LOG.rmax), LOG))
+
+
+@query(f"WITH {d.sphere_sql()} SELECT id, 2e0 AS kappa FROM sph")
+def kappa_constant(spark, sf):
+    return c.constant_field(d.sphere(spark, sf), 2.0).select("id", "kappa")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0")
+def finite_filter(spark, sf):
+    """Roots of balances: NaN where a balance is negative, and then left out, as is 0 by its logarithm."""
+    df = d.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 0, float("nan")).when(F.col("c_acctbal") == 0, float("-inf")).otherwise(F.col("c_acctbal")).alias("kappa"))
+    return c.finite(df, "kappa").select("id")
+
+
+@query(f"SELECT p_partkey AS id, {tidy_sql('p_size/1.05e0', 'bh86')}, {tidy_sql(f'p_size/1.05e0*{lit(math.sqrt(3) / 2)}', 'usual')}, {tidy_sql(f'p_size*{lit(math.sqrt(3) / 2)}*{lit(1 + 1 / 1.05)}', 'sw94')} FROM part")
+def opening_radii(spark, sf):
+    size = F.col("p_size").cast("double")
+    rules = {"bh86": "bh86", "usual": "default", "sw94": "sw94"}
+    return rounded(d.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), *[cells.opening_radius(size, 1.05, rule).alias(name) for name, rule in rules.items()]), *rules)
+
+
+@query("SELECT event_id AS id, " + ", ".join(tidy_sql(f"{f}({m}*(event_id*0.1e0))", f"{f[0]}{m}") for f in ("cos", "sin") for m in range(8)) + " FROM events")
+def chebyshev_multiples(spark, sf):
+    a = d.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.cos(F.col("event_id") * 0.1).alias("c"), F.sin(F.col("event_id") * 0.1).alias("s"))
+    out = numeric.chebyshev(a, "c", "s", 7).select("id", *[F.col(f"_{k}{m}").alias(f"{k}{m}") for k in "cs" for m in range(8)])
+    return rounded(out, *[f"{k}{m}" for k in "cs" for m in range(8)])
+
+
+@query("SELECT e AS options, list_contains(string_split(e, ','), 'stop') AS has_stop FROM (SELECT DISTINCT o_orderstatus || CASE WHEN o_orderstatus = 'F' THEN ',stop' ELSE ',stops' END AS e FROM orders)")
+def option_membership(spark, sf):
+    o = d.table(spark, sf, "orders").select(F.concat("o_orderstatus", F.when(F.col("o_orderstatus") == "F", ",stop").otherwise(",stops")).alias("options")).distinct()
+    return o.select("options", F.array_contains(F.split("options", ","), "stop").alias("has_stop"))
+
+
+@query(f"WITH {d.sphere_sql()} SELECT id, (ntile(2) OVER (PARTITION BY id % 7 ORDER BY z, id) - 1)::INTEGER AS half FROM sph")
+def median_split(spark, sf):
+    return cells.halves(d.sphere(spark, sf).withColumn("g", F.col("id") % 7), "z", ["g"]).select("id", "half")
+
+
+@query()
+def part_duplicates(spark, sf):
+    """Random steps, so no SQL: how many points share a position before and after."""
+    p = d.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    moved = c.part_duplicates(p)
+    return c.duplicates(p).agg(F.count("*").alias("before")).crossJoin(c.duplicates(moved).agg(F.count("*").alias("after")))  # one row each
+
+
+@query()
+def fft_of_curve(spark, sf):
+    """No SQL: NumPy's transform, tested against it."""
+    q = _curves(spark, sf).select(F.lit(0).alias("g"), "x", "y", F.lit(0.0).alias("im"))
+    return rounded(numeric.fourier(q, ["g"], "x", "y", "im"), "re", "im", digits=4)
+
+
+@query()
+def special_functions(spark, sf):
+    """No SQL: J0, I1, K0, E1, P(2, x) and erfc of part sizes, tested against tables."""
+    sizes = d.table(spark, sf, "part").select(F.col("p_size").cast("double").alias("x")).distinct()
+    f = {"j0": lambda v: numeric.bessel_j(0, v), "k0": lambda v: numeric.bessel_k(0, v), "e1": numeric.expint1, "p2": lambda v: numeric.gamma_p(2.0, v), "erfc": math.erfc, "lgamma": math.lgamma}
+    return rounded(sizes.select("x", *[numeric.elementwise(g_)(F.col("x")).alias(n) for n, g_ in f.items()]), *f)

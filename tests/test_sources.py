@@ -215,3 +215,25 @@ def test_stream_adds_up(spark, tmp_path):
     got, want = stream.result(spark).orderBy("bin").toPandas(), twopoint.field_correlation(grid_pairs(s, s, 0.9), bins, symmetric=False).orderBy("bin").toPandas()
     assert (got["n"] == want["n"]).all() and np.allclose(got["xi"], want["xi"])
     assert counts.pair_counts(grid_pairs(s, s, 0.9), bins).agg(F.sum("n")).first()[0] == got["n"].sum()
+
+
+def test_results_as_text(spark, tmp_path):
+    from pairwave.functions.bins import Bins
+    from pairwave.operators import counts, synthesis, threepoint
+    from pairwave.operators.pairs import grid_pairs
+    from pairwave.sources import histograms
+
+    bins, s = Bins(0.2, 0.9, 4), models.unit_sphere_random(spark, 60, constant=1.0)
+    pairs = grid_pairs(s, s, 0.9)
+    nn = counts.pair_counts(pairs, bins)
+    histograms.write_curve(nn, str(tmp_path / "histNN"), "n")
+    assert [r["value"] for r in text.vector(spark, str(tmp_path / "histNN"), 2).orderBy("i").collect()] == [r["n"] for r in nn.orderBy("bin").collect()]
+    histograms.write_counts(counts.box_correlation(nn, bins, 60, 2.0), str(tmp_path / "cf"))
+    histograms.write_bins(bins.frame(spark), str(tmp_path / "r"))
+    assert text.matrix(spark, str(tmp_path / "cf")).count() == 16 and text.matrix(spark, str(tmp_path / "r")).count() == 4
+    zeta = threepoint.full(threepoint.multipoles(threepoint.moments(pairs, bins, 2), 2, 60), bins, 2)
+    files = histograms.write_matrices(zeta, str(tmp_path), 2)
+    assert len(files) == 12 and files[0].endswith("histZetaM_cos_1")
+    got = {(r["i"] + 1, r["j"] + 1): r["value"] for r in text.matrix(spark, files[1]).collect()}
+    assert got == {(r["b1"], r["b2"]): r["cc"] for r in zeta.where("m = 1").collect()}
+    assert text.matrix(spark, histograms.write_slices(synthesis.slices(zeta, bins), str(tmp_path), 2, "cc")[0]).count() == 24
