@@ -60,7 +60,8 @@ class Bins:
         return [(k + 1, e[k], e[k + 1], c) for k, c in enumerate(self.centers)]
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows(), "bin int, lo double, hi double, r double")
+        rows = ", ".join(f"({k}, " + ", ".join(f"double('{x!r}')" for x in xs) + ")" for k, *xs in self.rows())
+        return spark.sql(f"SELECT * FROM VALUES {rows} AS t(bin, lo, hi, r)")
 
     def inside(self, r2: Column) -> Column:
         e = self.edges

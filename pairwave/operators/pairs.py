@@ -72,7 +72,7 @@ def grid_pairs(p: DataFrame, q: DataFrame, rmax: float, *, box: float | None = N
     a, b = _cells(_side(p, "p", extra), _side(q, "q", extra), rmax, box, size or rmax)
     # As many partitions as asked for: small inputs make much work here, so they must not be merged into one task.
     n, keys = _partitions(p), CELL[:3]
-    if _is_hot(a, b, hot):
+    if _is_hot(a, b, hot, p is q and size is None):
         (a, b), keys = _split(a, b, hot), CELL
     both = a.repartition(n, *keys).join(b.repartition(n, *keys), keys)
     return _near(both if "salt" in keys else both.withColumn("salt", F.lit(0)), rmax, box, same)
@@ -83,10 +83,15 @@ def _partitions(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
-def _is_hot(p: DataFrame, q: DataFrame, hot: int) -> bool:
-    """Whether any cell may have more than `hot` candidate pairs: by the fullest cells of both sides, two numbers."""
-    most = [x.groupBy(*CELL[:3]).count().agg(F.max("count")).first()[0] or 0 for x in (p, q)]
-    return most[0] * most[1] > hot
+def _is_hot(p: DataFrame, q: DataFrame, hot: int, twice: bool) -> bool:
+    """Whether any cell may have more than `hot` candidate pairs: one number for each side, whatever the input.
+
+    A cell gets q's points from 27 cells at most where cells are as wide as the radius. twice: both sides have the same points.
+    """
+    most = p.groupBy(*CELL[:3]).count().agg(F.max("count")).first()[0] or 0
+    if twice and 27 * most * most <= hot:
+        return False
+    return most * (q.groupBy(*CELL[:3]).count().agg(F.max("count")).first()[0] or 0) > hot
 
 
 def brute_pairs(p: DataFrame, q: DataFrame, rmax: float, *, box: float | None = None, extra: tuple[str, ...] = (), same: bool = True) -> DataFrame:

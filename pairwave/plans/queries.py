@@ -78,11 +78,14 @@ def nn_decade_bins(spark, sf):
     return _tidy_bins(counts.pair_counts(grid_pairs(s, s, DECADE.rmax), DECADE))
 
 
-@query(_pairs(LOG) + _on_bins_sql(_NN, _N))
+WIDE = Bins(0.2, 0.9, 4)
+
+
+@query(f"WITH {d.sphere_sql('sph2').replace('sph2 AS', 'sph AS')}, {d.bins_sql(WIDE)}, {d.pairs_sql(WIDE)} " + _on_bins_sql(_NN, _N))
 def nn_brute_equiv(spark, sf):
-    """All points against all others, without a grid: grows with the square of the catalog, kept as a yardstick."""
-    s = d.sphere(spark, sf, "sph")
-    return _tidy_bins(counts.pair_counts(brute_pairs(s, s, LOG.rmax), LOG))
+    """All points against all others, without a grid: a yardstick, so the smallest catalog is taken."""
+    s = d.sphere(spark, sf, "sph2")
+    return _tidy_bins(counts.pair_counts(brute_pairs(s, s, WIDE.rmax), WIDE))
 
 
 @query(_pairs(LOG) + _on_bins_sql("SELECT bin, count(*)/2e0 AS n, sum(pk*qk)/2e0 AS s FROM pr GROUP BY bin", "coalesce(x.n, 0)::DOUBLE AS n, " + tidy_sql("coalesce(x.s/greatest(x.n,1e0),0e0)", "xi")))
@@ -262,9 +265,6 @@ def zeta_2d(spark, sf):
     return rounded(threepoint.multipoles(found, MOST, b.count()), *threepoint.PARTS)
 
 
-WIDE = Bins(0.2, 0.9, 4)
-
-
 @query(
     f"WITH {d.sphere_sql('sph2').replace('sph2 AS', 'sph AS')}, {d.bins_sql(WIDE)}, {d.pairs_sql(WIDE)}, {d.moments_sql(WIDE, MOST)} "
     + "SELECT a.bin AS b1, b.bin AS b2, count(*) AS n, " + ", ".join(tidy_sql(f"sum(a.w*a.qk*b.qk*cos({m}*(a.phi-b.phi)))", f"re{m}") for m in range(MOST + 1)) + " FROM ph a JOIN ph b ON a.pid = b.pid GROUP BY a.bin, b.bin"
