@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .encoding import UNUSUAL_SPACE, MemoEncoder
-from .frames import extended
+from .frames import extended, fresh
 
 #: Ranks above every merge's.
 NEVER = 1 << 40
@@ -253,7 +253,7 @@ def speculative(path: str) -> SpeculativeBpe:
 
 def encode_frame(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """docs with a column ids (array of int), replacing one of that name."""
-    keep = [c for c in docs.columns if c not in ("ids", "_text")]
+    keep = [c for c in docs.columns if c != "ids"]
     schema = extended(docs.select(*[F.col(f"`{c}`") for c in keep]).schema, ids=T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,12 +265,12 @@ def encode_frame(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFra
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*keep, "ids"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(fresh(docs, "_text"))).mapInArrow(run, schema)
 
 
 def decode_frame(frame: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """frame with a column decoded (string; null ids give ""), replacing one of that name."""
-    keep = [c for c in frame.columns if c not in ("decoded", "_ids")]
+    keep = [c for c in frame.columns if c != "decoded"]
     schema = extended(frame.select(*[F.col(f"`{c}`") for c in keep]).schema, decoded=T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +281,7 @@ def decode_frame(frame: DataFrame, tokenizer: str, ids: str = "ids") -> DataFram
                 out = [dec.decode(x or ()) for x in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.string())], names=[*keep, "decoded"])
 
-    return frame.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`").alias("_ids")).mapInArrow(run, schema)
+    return frame.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`").alias(fresh(frame, "_ids"))).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:

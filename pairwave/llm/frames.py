@@ -59,6 +59,14 @@ def extended(schema: T.StructType, **added: T.DataType) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name not in added] + [T.StructField(k, v) for k, v in added.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc32(text: str) -> "F.Column":
     """Unsigned CRC-32 of a string column's UTF-8 bytes; null counts as empty."""
     return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))

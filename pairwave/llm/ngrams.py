@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import rows, written
+from .frames import fresh, rows, written
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Texts in a block of a bucket.
@@ -373,9 +373,10 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     """
     known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
     classes = written(jaccard_classes(docs, n, threshold, recall).select(known("doc_id").alias("_id"), (known("doc_id") == known("class_id")).alias("_first")), "classes")
-    dropped = written(classes.where("not _first").select(F.col("_id").alias("_dropped")).distinct(), "dropped")
+    gone = fresh(docs, "_dropped")
+    dropped = written(classes.where("not _first").select(F.col("_id").alias(gone)).distinct(), "dropped")
     side = F.broadcast(dropped) if dropped.count() <= DROPPED_ROWS else dropped
-    out = docs.join(side, known("doc_id") == F.col("_dropped"), "left_anti")
+    out = docs.join(side, known("doc_id") == F.col(gone), "left_anti")
     if classes.where("_first").groupBy("_id").count().where("count > 1").isEmpty():
         return out
     return out.dropDuplicates(["doc_id"])

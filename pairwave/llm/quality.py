@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import extended, rows, written
+from .frames import extended, fresh, rows, written
 
 #: Labelled rows that are learned from at most.
 SAMPLE = 20_000
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.col("quality").cast("int")).alias("_quality"))
     # At most `sample` rows, whatever the input: a broadcast of a fixed size.
     chosen = written(known.orderBy(F.xxhash64("_id"), "_id").limit(sample), "labelled")
-    rows_ = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "text", _length(docs), "_quality")
+    rows_ = docs.select("doc_id", "text", _length(docs)).join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "text", "n_chars", "_quality")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, lengths, labels_ in rows(batches, 256):
@@ -237,23 +237,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
     return written(found.coalesce(1).mapInArrow(learn, "model binary"), "model").first()[0]
 
 
-def scored(docs: DataFrame, model: bytes) -> DataFrame:
-    """docs with score and predicted, which replace columns of these names."""
+def scored(docs: DataFrame, model: bytes, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with a score and a prediction, which replace columns of these names."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # some 1 MB, by the numbers of buckets and factors
-    docs = docs.drop("score", "predicted")
-    columns = docs.columns
-    schema = extended(docs.schema, score=T.DoubleType(), predicted=T.IntegerType())
+    keep = docs.drop(score, predicted)
+    columns = keep.columns
+    schema = extended(keep.schema, **{score: T.DoubleType(), predicted: T.IntegerType()})
+    text, length = (fresh(keep, n) for n in ("_text", "_length"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine.load(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                score = machine.score(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(score), pa.array((score >= CUT).astype(np.int32))], names=[*columns, "score", "predicted"])
+                found = machine.score(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(found), pa.array((found >= CUT).astype(np.int32))], names=[*columns, score, predicted])
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text"), _length(docs).alias("_length")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias(text), _length(docs).alias(length)).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -264,6 +265,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs whose score is at least CUT, with all their columns (a column named score or predicted would be dropped)."""
-    columns = docs.columns
-    return scored(docs, train(docs, labels, sample)).where("predicted = 1").select(*[F.col(f"`{c}`") for c in columns])
+    """docs whose score is at least CUT, with all their columns."""
+    columns, score, predicted = docs.columns, fresh(docs, "_score"), fresh(docs, "_predicted")
+    out = scored(docs, train(docs, labels, sample), score, predicted)
+    return out.where(F.col(predicted) == 1).select(*[F.col(f"`{c}`") for c in columns])

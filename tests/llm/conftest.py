@@ -25,8 +25,9 @@ ROWS = [
 @pytest.fixture(scope="session")
 def docs(spark):
     """Documents with every kind of text, ties, repeated rows, and extra columns whose names operators use themselves."""
-    rows = [(i, t, "en", "s", None if t is None else len(t), 1, "x", 0.5) for i, t in ROWS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rank int, ids string, score double").repartition(3).cache()
+    rows = [(i, t, "en", "s", None if t is None else len(t), 1, "x", 0.5, "t", 7, 8, 9, 10, "k") for i, t in ROWS]
+    clashing = "rank int, ids string, score double, _text string, _id int, _dropped int, _quality int, size int, text_key string"
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {clashing}").repartition(3).cache()
 
 
 @pytest.fixture(scope="session")

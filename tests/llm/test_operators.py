@@ -110,7 +110,7 @@ def test_quality_edges(spark, docs, none):
     prior = {r["score"] for r in quality.classify(docs, labels.limit(0)).collect()}
     assert len(prior) == 1 and prior.pop() == pytest.approx(0.9)
     kept = quality.keep_good(docs, labels.limit(0))
-    assert kept.columns == docs.columns and kept.count() == docs.count()
+    assert kept.columns == docs.columns and kept.count() == docs.count() and {r["score"] for r in kept.collect()} == {0.5}
 
 
 # 2. GIF.
