@@ -359,10 +359,9 @@ def periodic_wrap(spark, sf):
 CELL = 0.125
 
 
-def _cell_sql() -> str:
-    bits = " + ".join(f"(((floor({x}/{lit(CELL)})::BIGINT + 512) >> {b}) & 1) << {3 * b + k}" for k, x in enumerate("xyz") for b in range(10))
-    bits = " + ".join(f"((((floor({x}/{lit(CELL)})::BIGINT + 512) >> {b}) & 1) << {3 * b + k})" for k, x in enumerate("xyz") for b in range(10))
-    return f"keyed AS (SELECT *, {bits} AS cell FROM box)"
+def _cell_sql(size: float = CELL, source: str = "box") -> str:
+    bits = " + ".join(f"((((floor({x}/{lit(size)})::BIGINT + 512) >> {b}) & 1) << {3 * b + k})" for k, x in enumerate("xyz") for b in range(10))
+    return f"keyed AS (SELECT *, {bits} AS cell FROM {source})"
 
 
 @query(
@@ -393,9 +392,11 @@ def cell_diagnostics(spark, sf):
     return rounded(cells.diagnostics(d.box(spark, sf), CELL, 3), "mean_nb")
 
 
-@query()
+@query(
+    f"WITH {d.sphere_sql()}, {_cell_sql(0.01, 'sph')}, cl AS (SELECT cell AS id, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(kappa) AS kappa, count(*)::DOUBLE AS nb FROM keyed GROUP BY cell), {d.bins_sql(LOG)}, {d.pairs_sql(LOG, 'cl', 'cl')} "
+    + _on_bins_sql("SELECT bin, sum(a.nb*b.nb) AS n, sum(a.nb*b.nb*pk*qk) AS s FROM pr JOIN cl a ON a.id = pid JOIN cl b ON b.id = qid GROUP BY bin", f"{tidy_sql('coalesce(x.n, 0e0)', 'n')}, {tidy_sql('coalesce(x.s/greatest(x.n,1e0),0e0)', 'xi')}")
+)
 def xi_approximate_cells(spark, sf):
-    """No SQL of its own: tested against the exact function."""
     return _tidy_bins(cells.approximate_correlation(c.catalog(d.sphere(spark, sf)), LOG, 0.01), "n", "xi")
 
 
