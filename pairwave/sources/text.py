@@ -60,7 +60,7 @@ def choose(columns: str | list[int] | None, default: list[int]) -> list[int]:
 
 def columns_ascii(spark: SparkSession, path: str, columns=None, **_) -> DataFrame:
     """x y z kappa."""
-    c = choose(columns, [1, 2, 3, 4])
+    c = choose(columns, [1, 2, 3, 4])[:4]
     return catalog(number(_named(table(spark, path, c), c, ("x", "y", "z", "kappa"))))
 
 
@@ -72,13 +72,13 @@ def columns_ascii_all(spark: SparkSession, path: str, **_) -> DataFrame:
 
 def columns_ascii_pos(spark: SparkSession, path: str, columns=None, **_) -> DataFrame:
     """x y z only; the field is 2."""
-    c = choose(columns, [1, 2, 3])
+    c = choose(columns, [1, 2, 3])[:3]
     return catalog(number(_named(table(spark, path, c), c, ("x", "y", "z"))), kappa=2.0)
 
 
 def columns_ascii_2d_to_3d(spark: SparkSession, path: str, columns=None, convention: str = "latitude", **_) -> DataFrame:
     """theta phi kappa, on the unit sphere: (latitude, longitude), or (polar angle, azimuth) with convention colatitude."""
-    c = choose(columns, [1, 2, 3])
+    c = choose(columns, [1, 2, 3])[:3]
     return catalog(number(from_sky(_named(table(spark, path, c), c, ("theta", "phi", "kappa")), "phi", "theta", convention=convention)))
 
 
@@ -87,13 +87,13 @@ def multi_columns_ascii(spark: SparkSession, path: str, columns=None, kind: str
     names = {"only-pos": ("x", "y", "z"), "pos-and-convergence": ("x", "y", "z", "kappa", "weight"), "pos-and-shear": ("x", "y", "z", "gamma1", "gamma2", "weight")}
     if kind not in names:
         raise ValueError(f"choose one of {', '.join(names)}")
-    c = choose(columns, list(range(1, 5)) if kind == "pos-and-convergence" else list(range(1, len(names[kind]) + 1)))
+    c = choose(columns, list(range(1, 5)) if kind == "pos-and-convergence" else list(range(1, len(names[kind]) + 1)))[: len(names[kind])]
     return catalog(number(_named(table(spark, path, c), c, names[kind])), kappa=2.0 if kind == "only-pos" else 1.0)
 
 
 def ra_dec_ascii(spark: SparkSession, path: str, columns=None, degrees: bool = False, **_) -> DataFrame:
     """ra dec kappa, on the unit sphere."""
-    c = choose(columns, [1, 2, 3])
+    c = choose(columns, [1, 2, 3])[:3]
     return catalog(number(from_sky(_named(table(spark, path, c), c, ("ra", "dec", "kappa")), "ra", "dec", degrees)))
 
 

@@ -191,6 +191,22 @@ def test_correlator_methods_agree_and_smooth(spark):
     assert np.allclose(three.getHistXi2pcf12(), three.getHistXi2pcf13())
 
 
+def test_correlator_reads_files(spark, put, tmp_path):
+    """Formats with three columns take the first three of the default four; results go with the parameters that made them."""
+    rng = np.random.default_rng(2)
+    path = put("p.txt", "".join(f"{a} {b} {c}\n" for a, b, c in rng.random((40, 3))))
+    base = dict(sizeHistN=3, rangeN=0.4, rminHist=0.05, mChebyshev=3, rootDir="", lengthBox=1.0, usePeriodic=True)
+    run = Correlator(spark, infile=path, infileformat="columns-ascii-pos", options="KKCorrelation", **base).run()
+    assert run.getNBody() == 40 and set(np.round(run.getHistXi2pcf()[run.getHistNN() > 0], 9)) == {4.0}
+    sky = put("s.txt", "".join(f"{a * 360} {b * 90} 1.5\n" for a, b in rng.random((30, 2))))
+    assert Correlator(spark, infile=sky, infileformat="ra-dec-ascii", options="in-degrees,KKCorrelation", **(base | {"usePeriodic": False})).run().getNBody() == 30
+    both = Correlator(spark, infile=f"{path},{path}", infileformat="columns-ascii-pos", iCatalogs="1,2", options="KKCorrelation", **base).run()
+    assert both.getHistNN().sum() > 0
+    out = str(tmp_path / "copy")
+    Correlator(spark, infile=path, infileformat="columns-ascii-pos", options="stop", **(base | {"rootDir": str(tmp_path)}), outfile="copy", outfileformat="columns-ascii-pos").run()
+    assert registry.read(spark, out, "columns-ascii-pos").count() == 40
+
+
 def test_command_line(tmp_path, capsys):
     f = tmp_path / "p"
     f.write_text("nbody = 10\nsizeHistN = 5\n")
