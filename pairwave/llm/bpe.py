@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .encoding import UNUSUAL_SPACE, MemoEncoder
-from .frames import extended, fresh
+from .frames import extended, fresh, trim
 
 #: Ranks above every merge's.
 NEVER = 1 << 40
@@ -295,5 +295,6 @@ def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 ids, counts = enc.encode_column(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), sha(enc.digits.join(ids, counts)), sha(enc.strings.join(ids, counts))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

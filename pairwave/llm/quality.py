@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import extended, fresh, rows, written
+from .frames import extended, fresh, rows, trim, written
 
 #: Labelled rows that are learned from at most.
 SAMPLE = 20_000
@@ -257,6 +257,7 @@ def scored(docs: DataFrame, model: bytes, score: str = "score", predicted: str =
                 part = batch.slice(at, 256)
                 found = machine.score(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(found), pa.array((found >= CUT).astype(np.int32))], names=[*columns, score, predicted])
+            trim()
 
     return docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias(text), _length(docs).alias(length)).mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import rows
+from .frames import rows, trim
 
 #: A query is None (everything), a trigram, or ("and" | "or", queries).
 Query = None | bytes | tuple
@@ -248,6 +248,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 new = [t if not s else masked(t, s) for t, s in zip(texts, scanner().scan(texts), strict=True)]
                 arrays = [pa.array(new, pa.string()) if i == place else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
+            trim()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .encoding import encoder, with_end
-from .frames import rows, written
+from .frames import rows, trim, written
 
 MAGIC = b"FRVB"
 HEAD = struct.Struct("<4sIQQ")
@@ -95,6 +95,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 ends = pa.py_buffer(np.append(0, np.cumsum(counts) * enc.dtype.itemsize))
                 raw = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, ends, pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), raw.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+            trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
