@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 #: Bytes of rows that are sent to a Python worker at once: with very long texts, numbers of rows are no bound.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
