@@ -9,8 +9,9 @@ each text its number of links and the least text that it is connected with, not
 and classes are the connected components (large-star and small-star steps, written to the shared folder each time).
 
 Words are lower-cased and cut at white space; a text of fewer than n words has one n-gram, all its words. Null text is
-the empty text. Texts without words are copies of equal texts only. Null doc_ids count as one id below all others. Rows with the same doc_id are one document:
-their links are united. An empty table gives no rows; extra columns are ignored. Ties go to the least doc_id.
+the empty text. Texts without words are copies of equal texts only. Null doc_ids count below all others. Texts are told
+apart by their hashes, whatever their ids: rows with the same doc_id, or with none, have links of their own where their texts
+differ, and a repeated row is one text. An empty table gives no rows; extra columns are ignored. Ties go to the least doc_id, then to the least text hash.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import fresh, rows, written
@@ -118,27 +119,46 @@ def signatures(grams: np.ndarray, counts: np.ndarray, bands: int, width: int) ->
     return out.view(np.int64)
 
 
+def known_id() -> Column:
+    """doc_id as a number, NO_ID for none."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def key_of_text() -> Column:
+    """128 bits of the text's SHA-256; null is the empty text."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), 1, 16)
+
+
+def node_of(id_: Column, key: Column) -> Column:
+    """24 bytes that name a text under an id, in the order of ids, then of text keys."""
+    return F.concat(F.unhex(F.lpad(F.hex(id_.bitwiseXOR(F.lit(NO_ID))), 16, "0")), key)
+
+
+def id_of(node: str) -> Column:
+    """The id in a node; null for NO_ID."""
+    number = F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(NO_ID))
+    return F.nullif(number, F.lit(NO_ID))
+
+
 def text_signatures(docs: DataFrame, n: int, bands: int, width: int) -> DataFrame:
     """id, text_key (128-bit hash of the text), bands (8 bytes each; empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows(batches, 256):
+        for ids, keys, texts in rows(batches, 256):
             grams, counts = shingles(texts, n)
             signed = signatures(grams, counts, bands, width)
-            keys = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([s.tobytes() if c else b"" for s, c in zip(signed, counts.tolist(), strict=True)], pa.binary())], ["id", "text_key", "bands"])
 
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
-    return docs.select(ids, "text").mapInArrow(run, "id long, text_key binary, bands binary")
+    return docs.select(known_id().alias("id"), key_of_text().alias("text_key"), "text").mapInArrow(run, "id long, text_key binary, bands binary")
 
 
 def text_classes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """text_key, rep, copies for each text; rep, bands for each text with words."""
-    classes = written(signed.groupBy("text_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "text-classes")
+    """text_key, first (its least id), copies for each text; rep (its node), bands, own (rows with that id and text) for each text with words."""
+    classes = written(signed.groupBy("text_key").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "text-classes")
     # Joined on the id as well, so copies of one text aren't one task.
     own = signed.select("id", F.col("text_key").alias("_key"), "bands")
-    reps = classes.join(own, (F.col("text_key") == F.col("_key")) & (F.col("rep") == F.col("id"))).where(F.length("bands") > 0)
-    return classes, reps.groupBy("rep", "bands").agg(F.count("*").alias("_n")).drop("_n")
+    reps = classes.join(own, (F.col("text_key") == F.col("_key")) & (F.col("first") == F.col("id"))).where(F.length("bands") > 0)
+    return classes, reps.groupBy(node_of(F.col("first"), F.col("text_key")).alias("rep"), "bands").agg(F.count("*").alias("own"))
 
 
 def by_unit(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple, list[list]]]:
@@ -193,7 +213,7 @@ def needs(units: DataFrame) -> DataFrame:
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            kinds = (pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [*_UNIT, "block", "rep", "bands"])
 
         for key, (block, rep, signed) in by_unit(batches, 3):
@@ -214,16 +234,20 @@ def needs(units: DataFrame) -> DataFrame:
             yield batch()
 
     dealt = units.repartition(*_UNIT).sortWithinPartitions(*_UNIT)
-    return dealt.select(*_UNIT, "block", "rep", "bands").mapInArrow(run, "band int, hash binary, lo int, hi int, block int, rep long, bands binary")
+    return dealt.select(*_UNIT, "block", "rep", "bands").mapInArrow(run, "band int, hash binary, lo int, hi int, block int, rep binary, bands binary")
 
 
-def with_sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+def with_sets(docs: DataFrame, needed: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """needed's rows with grams, the sorted set of the text's n-gram hashes (8 bytes each)."""
     units = needed.groupBy("rep", "bands").agg(F.collect_list(F.struct(*_UNIT, "block")).alias("units"))
-    units = written(units, "needed-texts")
+    repeated = reps.where("own > 1").select(F.col("rep").alias("_rep"), "own")
+    units = written(units.join(repeated, F.col("rep") == F.col("_rep"), "left").drop("_rep"), "needed-texts")
     side = F.broadcast(units) if units.count() <= BROADCAST_ROWS else units
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
-    joined = docs.select(ids, "text").join(side, F.col("id") == F.col("rep")).select("rep", "bands", "units", "text")
+    joined = docs.select(node_of(known_id(), key_of_text()).alias("node"), "text").join(side, F.col("node") == F.col("rep")).select("rep", "bands", "units", "text", "own")
+    if not units.where("own is not null").isEmpty():
+        # Of a repeated row one goes on; only such rows are shuffled for it.
+        joined = joined.where("own is null").union(joined.where("own is not null").dropDuplicates(["rep"]))
+    joined = joined.drop("own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rep, signed, where, texts in rows(batches, 128):
@@ -232,10 +256,10 @@ def with_sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
             sets = [np.unique(grams[e - c : e]).tobytes() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
             flat = [(u["band"], u["hash"], u["lo"], u["hi"], u["block"], r, s, g) for r, s, us, g in zip(rep, signed, where, sets, strict=True) for u in us]
             for at in range(0, len(flat), 256):
-                kinds = (pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                kinds = (pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*flat[at : at + 256], strict=True), kinds, strict=True)], [*_UNIT, "block", "rep", "bands", "grams"])
 
-    return joined.mapInArrow(run, "band int, hash binary, lo int, hi int, block int, rep long, bands binary, grams binary")
+    return joined.mapInArrow(run, "band int, hash binary, lo int, hi int, block int, rep binary, bands binary, grams binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -270,7 +294,7 @@ def linked(mine: np.ndarray, sets: list[np.ndarray], threshold: float) -> np.nda
     return np.stack([a[good], b[good], score[good]], 1)
 
 
-def roots(n: int, pairs: np.ndarray, names: list[int]) -> list[int]:
+def roots(n: int, pairs: np.ndarray, names: list[bytes]) -> list[bytes]:
     """For each place the least name of those that it is connected with."""
     parent = list(range(n))
 
@@ -302,15 +326,15 @@ def verified(rows_: DataFrame, threshold: float, pairs: bool = False) -> DataFra
                 continue
             if pairs:
                 ends = [[rep[int(i)] for i in found[:, k]] for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in zip(*ends, strict=True)], pa.int64()), pa.array([max(x) for x in zip(*ends, strict=True)], pa.int64()), pa.array(found[:, 2])], ["rep", "other", "jaccard"])
+                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in zip(*ends, strict=True)], pa.binary()), pa.array([max(x) for x in zip(*ends, strict=True)], pa.binary()), pa.array(found[:, 2])], ["rep", "other", "jaccard"])
                 continue
             links = np.bincount(found[:, :2].astype(np.int64).ravel(), minlength=len(rep))
             root = roots(len(rep), found, rep)
             keep = np.flatnonzero(links).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([rep[i] for i in keep], pa.int64()), pa.array(links[keep]), pa.array([root[i] for i in keep], pa.int64())], ["rep", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array([rep[i] for i in keep], pa.binary()), pa.array(links[keep]), pa.array([root[i] for i in keep], pa.binary())], ["rep", "links", "root"])
 
     dealt = rows_.repartition(*_UNIT).sortWithinPartitions(*_UNIT)
-    return dealt.select(*_UNIT, "block", "rep", "bands", "grams").mapInArrow(run, "rep long, other long, jaccard double" if pairs else "rep long, links long, root long")
+    return dealt.select(*_UNIT, "block", "rep", "bands", "grams").mapInArrow(run, "rep binary, other binary, jaccard double" if pairs else "rep binary, links long, root binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -339,14 +363,27 @@ def _prepared(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple
     bands, width = bands_for(threshold, recall)
     signed = written(text_signatures(docs, n, bands, width), "signatures")
     classes, reps = text_classes(signed)
-    needed = written(needs(candidate_units(written(reps, "text-reps"))), "needed")
-    return signed, classes, with_sets(docs, needed, n)
+    reps = written(reps, "text-reps")
+    needed = written(needs(candidate_units(reps)), "needed")
+    return signed, classes, with_sets(docs, needed, reps, n)
 
 
 def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id_a, doc_id_b, jaccard: every link between two different texts, by their least doc_ids."""
+    """doc_id_a, doc_id_b, jaccard: every link between two different texts, once, by their least doc_ids."""
     found = verified(_prepared(docs, n, threshold, recall)[2], threshold, True)
-    return found.select(*(F.nullif(F.col(c), F.lit(NO_ID)).alias(name) for c, name in (("rep", "doc_id_a"), ("other", "doc_id_b"))), "jaccard")
+    return found.select(id_of("rep").alias("doc_id_a"), id_of("other").alias("doc_id_b"), "jaccard")
+
+
+def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """id, text_key for each row; _key, first, copies, links, class (the least node of its texts) for each text."""
+    signed, classes, rows_ = _prepared(docs, n, threshold, recall)
+    found = written(verified(rows_, threshold), "links")
+    links = found.groupBy("rep").agg(F.sum("links").alias("links")).select(F.col("rep").alias("_rep"), "links")
+    parts = components(found.select(F.col("rep").alias("node"), "root")).select("node", F.col("root").alias("class"))
+    named = classes.withColumn("rep", node_of(F.col("first"), F.col("text_key")))
+    texts = named.join(links, F.col("rep") == F.col("_rep"), "left").join(parts, F.col("rep") == F.col("node"), "left")
+    texts = written(texts.select(F.col("text_key").alias("_key"), "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "rep").alias("class")), "text-links")
+    return signed.select("id", "text_key"), texts
 
 
 def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -355,15 +392,10 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     class_id: the least doc_id of all documents that links or equal texts connect; n_links: other texts linked with this one; text_id:
     the least doc_id with the same text; n_copies: rows with the same text, this one included.
     """
-    signed, classes, rows_ = _prepared(docs, n, threshold, recall)
-    found = written(verified(rows_, threshold), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links")).select(F.col("rep").alias("_rep"), "links")
-    parts = components(found.select(F.col("rep").alias("node"), "root")).select("node", F.col("root").alias("class"))
-    texts = classes.join(links, F.col("rep") == F.col("_rep"), "left").join(parts, F.col("rep") == F.col("node"), "left")
-    texts = written(texts.select(F.col("text_key").alias("_key"), "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "rep").alias("class")), "text-links")
-    own = signed.select("id", "text_key").join(texts, F.col("text_key") == F.col("_key"))
+    signed, texts = _linked(docs, n, threshold, recall)
+    own = signed.join(texts.withColumn("class_id", id_of("class")), F.col("text_key") == F.col("_key"))
     known = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    return own.select(known("id").alias("doc_id"), known("class").alias("class_id"), F.col("links").alias("n_links"), known("rep").alias("text_id"), F.col("copies").alias("n_copies"))
+    return own.select(known("id").alias("doc_id"), "class_id", F.col("links").alias("n_links"), known("first").alias("text_id"), F.col("copies").alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

@@ -317,6 +317,24 @@ def test_join_against_brute_force(spark, docs, none, texts):
     assert ngrams.jaccard_classes(none).count() == 0 and ngrams.one_of_each(none).count() == 0
 
 
+def test_repeated_rows_and_missing_ids_with_near_copies(spark, monkeypatch):
+    """Rows that share an id or have none are texts of their own, and a repeated row is one text."""
+    text = lambda name, k: " ".join([*(f"{name}{i}" for i in range(100)), f"x{k}"])
+    every = [(1, text("a", 0))] * 5 + [(2, text("a", 1)), (3, text("a", 2)), (3, text("a", 2))]
+    every += [(None, text("b", 0)), (None, text("b", 0)), (None, text("b", 1)), (None, text("c", 0)), (7, text("c", 1)), (None, None), (None, "alone")]
+    every += [(8, text("d", 0)), (8, text("e", 0)), (9, text("d", 1)), (9, text("e", 1)), (-4, text("e", 2))]
+    df = spark.createDataFrame(every, "doc_id long, text string").repartition(3).cache()
+    first, links, root = brute_classes([(i, t or "") for i, t in every])
+    low = lambda i: float("-inf") if i is None else i
+    want = Counter((i, root[t or ""], len(links[t or ""]), first[t or ""], sum((u or "") == (t or "") for _, u in every)) for i, t in every)
+    for limit in (ngrams.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(ngrams, "BROADCAST_ROWS", limit)
+        got = ngrams.jaccard_classes(df).collect()
+        assert Counter((r["doc_id"], r["class_id"], r["n_links"], r["text_id"], r["n_copies"]) for r in got) == want
+        pairs = Counter((r["doc_id_a"], r["doc_id_b"]) for r in ngrams.jaccard_pairs(df).collect())
+        assert pairs == Counter(tuple(sorted((first[t], first[u]), key=low)) for t in links for u in links[t] if t < u)
+
+
 def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "BLOCK", 4)
     base = [f"v{i}" for i in range(80)]
