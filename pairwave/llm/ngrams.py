@@ -32,8 +32,8 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.999
 BLOCK = 512
 #: Rows of the needed-texts table up to which it is broadcast (at most some 100 bytes each); beyond, it is shuffled.
 BROADCAST_ROWS = 100_000
-#: Dropped ids (8 bytes each) up to which they are broadcast to the filter; beyond, they are shuffled.
-DROPPED_ROWS = 2_000_000
+#: Dropped rows (an id and a text hash, 24 bytes each) up to which they are broadcast to the filter; beyond, they are shuffled.
+DROPPED_ROWS = 600_000
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 #: Words whose hashes a worker remembers.
@@ -401,14 +401,16 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """docs without the documents that resemble one with a smaller doc_id, directly or by others; all columns stay.
 
-    Of rows that repeat a doc_id one stays.
+    Of each group of texts that links connect, one row stays: the least doc_id's, of its texts the one with the least hash. Rows
+    with different texts that aren't connected all stay, whatever their doc_ids.
     """
-    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
-    classes = written(jaccard_classes(docs, n, threshold, recall).select(known("doc_id").alias("_id"), (known("doc_id") == known("class_id")).alias("_first")), "classes")
-    gone = fresh(docs, "_dropped")
-    dropped = written(classes.where("not _first").select(F.col("_id").alias(gone)).distinct(), "dropped")
+    signed, texts = _linked(docs, n, threshold, recall)
+    own = node_of(F.col("id"), F.col("text_key"))
+    classes = written(signed.join(texts, F.col("text_key") == F.col("_key")).select(own.alias("_node"), (own == F.col("class")).alias("_first")), "classes")
+    gone, node = fresh(docs, "_dropped"), node_of(known_id(), key_of_text())
+    dropped = written(classes.where("not _first").select(F.col("_node").alias(gone)).distinct(), "dropped")
     side = F.broadcast(dropped) if dropped.count() <= DROPPED_ROWS else dropped
-    out = docs.join(side, known("doc_id") == F.col(gone), "left_anti")
-    if classes.where("_first").groupBy("_id").count().where("count > 1").isEmpty():
+    out = docs.join(side, node == F.col(gone), "left_anti")
+    if classes.where("_first").groupBy("_node").count().where("count > 1").isEmpty():
         return out
-    return out.dropDuplicates(["doc_id"])
+    return out.withColumn(gone, node).dropDuplicates([gone]).drop(gone)

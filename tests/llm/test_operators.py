@@ -335,6 +335,20 @@ def test_repeated_rows_and_missing_ids_with_near_copies(spark, monkeypatch):
         assert pairs == Counter(tuple(sorted((first[t], first[u]), key=low)) for t in links for u in links[t] if t < u)
 
 
+def test_near_duplicates_go_by_text_and_not_by_id(spark, monkeypatch):
+    text = lambda name, k: " ".join([*(f"{name}{i}" for i in range(100)), f"x{k}"])
+    every = [(None, f"text {k} of nobody", k) for k in range(6)] + [(None, "text 0 of nobody", 0)]
+    every += [(1, text("a", 0), 1), (2, text("a", 1), 2), (2, "clean", 3), (2, "clean", 3), (2, text("a", 2), 4), (3, text("b", 0), 5), (3, text("b", 1), 6), (5, None, 7), (4, "", 8)]
+    df = spark.createDataFrame(every, "doc_id long, text string, _dropped int").repartition(3).cache()
+    for limit in (ngrams.DROPPED_ROWS, 0):
+        monkeypatch.setattr(ngrams, "DROPPED_ROWS", limit)
+        kept = ngrams.one_of_each(df)
+        got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+        (of_b,) = [k for k in got if k[0] == 3]
+        assert kept.columns == df.columns and of_b in {(3, text("b", 0)), (3, text("b", 1))}
+        assert got == Counter([*((None, f"text {k} of nobody") for k in range(6)), (1, text("a", 0)), (2, "clean"), of_b, (4, "")])
+
+
 def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "BLOCK", 4)
     base = [f"v{i}" for i in range(80)]
