@@ -1,11 +1,11 @@
 """GIF media columns: reading frames and storing 8-bit payloads (operator 2).
 
 `read_gif` decodes any GIF87a or GIF89a: LZW code streams, global and local palettes, interlacing, transparency,
-delays and the four disposal rules; frames come as they are shown, with the pixel indices that the file holds.
+delays and the four disposal rules, clear codes at any time; frames come as they are shown, with the pixel indices that the file holds.
 `frame_table` stores one row for each frame with its time and colour histogram. `payload_gif` writes bytes losslessly
 as pixels, 64 to a row, with real LZW compression; a comment holds the unpadded length.
 
-Null or empty text is 64 zero bytes. Null or broken media give no frames (`frame_table`); `payload` raises on them. Equal texts give
+Null or empty text is 64 zero bytes. Null or broken media, also with too few pixels, give no frames (`frame_table`); `payload` raises on them. Equal texts give
 equal bytes. Payloads beyond 64 x 4096 samples take several frames. Extra columns are ignored.
 """
 
@@ -78,9 +78,11 @@ def code_stream(codes: list[int]) -> bytes:
     return out[:size].astype(np.uint8).tobytes()
 
 
-def _codes(raw: np.ndarray, bit: int, least: int, many: int) -> np.ndarray:
-    """The next codes, as if no clear code were among them."""
-    if least == 8:
+def _codes(raw: np.ndarray, bit: int, least: int, many: int, full: bool) -> np.ndarray:
+    """The next codes, as if no clear code were among them; full: of a table that was full before."""
+    if full:
+        ends = bit + 12 * np.arange(many + 1)
+    elif least == 8:
         ends = bit + _UPTO[: many + 1]
     else:
         first = (1 << least) + 2
@@ -92,19 +94,20 @@ def _codes(raw: np.ndarray, bit: int, least: int, many: int) -> np.ndarray:
 
 
 def lzw_bytes(stream: bytes, least: int, count: int) -> bytes:
-    """Up to `count` samples of a code stream. Codes are cut out with numpy up to the next clear code, then looked up in the growing table."""
+    """`count` samples of a code stream. Codes are cut out with numpy up to the next clear code, then looked up in the growing table.
+
+    A full table stays as it is until a clear code comes, however late. A stream that ends before `count` samples is an error.
+    """
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     clear, end, out, bit, size = 1 << least, (1 << least) + 1, [], 0, 0
     base = [*_SINGLE[:clear], b"", b""]
+    table, prev, full = base.copy(), b"", False
     while size < count:
-        codes = _codes(raw, bit, least, min(8191, count - size + 3))
+        codes = _codes(raw, bit, least, min(8191, count - size + 3), full)
         if not len(codes):
             break
         stops = np.flatnonzero((codes == clear) | (codes == end))
         cut = int(stops[0]) if len(stops) else len(codes)
-        if not len(stops) and cut < count - size:
-            cut, codes = len(codes), codes
-        table, prev = base.copy(), b""
         for code in codes[:cut].tolist():
             if code < len(table):
                 entry = table[code]
@@ -117,9 +120,19 @@ def lzw_bytes(stream: bytes, least: int, count: int) -> bytes:
             out.append(entry)
             size += len(entry)
             prev = entry
-        if not len(stops) or codes[cut] == end:
+        if len(stops) and codes[cut] == end:
             break
-        bit += int(_UPTO[cut + 1]) if least == 8 else int(np.clip([((1 << least) + 2 + max(k - 1, 0)).bit_length() for k in range(cut + 1)], least + 1, 12).sum())
+        many = cut + 1 if len(stops) else cut
+        if full:
+            bit += 12 * many
+        else:
+            bit += int(_UPTO[many]) if least == 8 else int(np.clip([((1 << least) + 2 + max(k - 1, 0)).bit_length() for k in range(many)], least + 1, 12).sum())
+        if len(stops):
+            table, prev, full = base.copy(), b"", False
+        else:
+            full = True
+    if size < count:
+        raise ValueError("an LZW stream that ends short")
     return b"".join(out)[:count]
 
 
@@ -192,7 +205,7 @@ def read_gif(raw: bytes) -> tuple[list[Frame], list[bytes]]:
             raise ValueError("a frame without palette")
         least = raw[at]
         stream, at = _blocks(raw, at + 1)
-        pixels = np.frombuffer(lzw_bytes(stream, least, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        pixels = np.frombuffer(lzw_bytes(stream, least, w * h), np.uint8).reshape(h, w)
         if flags & 64:
             ordered = np.empty_like(pixels)
             ordered[_rows_in_order(h)] = pixels

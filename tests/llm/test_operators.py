@@ -124,6 +124,53 @@ def test_lzw_round_trip(raw, times):
     assert gif.lzw_bytes(stream, 8, len(raw)) == raw
 
 
+def late_codes(data, least, clear_every):
+    """Codes of an encoder that goes on with a full table and clears it only every so many codes, and their bits."""
+    clear, codes, bits = 1 << least, [1 << least], [least + 1]
+    table, prefix, since = {bytes([i]): i for i in range(clear)}, b"", 0
+
+    def put(code):
+        codes.append(code)
+        bits.append(min(12, max(least + 1, (clear + 2 + max(since - 1, 0)).bit_length())))
+
+    for b in data:
+        if prefix + bytes([b]) in table:
+            prefix += bytes([b])
+            continue
+        put(table[prefix])
+        since += 1
+        if len(table) + 2 < 4096:
+            table[prefix + bytes([b])] = len(table) + 2
+        if since >= clear_every:
+            put(clear)
+            table, since = {bytes([i]): i for i in range(clear)}, 0
+        prefix = bytes([b])
+    put(table[prefix])
+    since += 1
+    put(clear + 1)
+    return codes, bits
+
+
+@pytest.mark.parametrize("least", [2, 8])
+@pytest.mark.parametrize("clear_every", [8190, 8191, 8192, 20_000, 1 << 30])
+def test_late_clear_codes(spark, least, clear_every):
+    w, h = 300, 400
+    data = np.random.default_rng(3).integers(0, 1 << least, w * h, np.uint8).tobytes()
+    codes, bits = late_codes(data, least, clear_every)
+    text = "".join(f"{c:0{n}b}"[::-1] for c, n in zip(codes, bits, strict=True))
+    stream = bytes(int(text[i : i + 8][::-1], 2) for i in range(0, len(text), 8))
+    assert len(codes) > 8191 and gif.lzw_bytes(stream, least, len(data)) == data
+    with pytest.raises(ValueError):
+        gif.lzw_bytes(stream[: len(stream) // 2], least, len(data))
+    head = b"GIF89a" + bytes([w & 255, w >> 8, h & 255, h >> 8, 0xF0 | least - 1, 0, 0]) + bytes(3 << least)
+    image = b"\x2c" + bytes([0, 0, 0, 0, w & 255, w >> 8, h & 255, h >> 8, 0, least])
+    whole, short = (head + image + gif._chain(x) + b"\x3b" for x in (stream, stream[: len(stream) // 2]))
+    assert gif.read_gif(whole)[0][0].indices == data
+    if clear_every == 20_000:
+        rows = gif.frame_table(spark.createDataFrame([(1, whole), (2, short)], "doc_id long, media binary")).collect()
+        assert [(r["doc_id"], sum(r["histogram"])) for r in rows] == [(1, w * h)]
+
+
 def test_payload_round_trip_beyond_a_full_table_and_a_frame():
     rng = np.random.default_rng(1)
     for raw in (b"", b"x" * 64, rng.integers(0, 256, 300_000, np.uint8).tobytes(), b"ab" * 200_000):
