@@ -28,7 +28,10 @@ from .frames import rows, written
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, from RFC 4122
 DATE = "2000-01-01T00:00:00Z"
 
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+HIDDEN = re.compile(r"<!--|<(script|style|template|noscript)\b[^>]*>", re.I)
+HIDDEN_END = {"": re.compile("-->")} | {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "template", "noscript")}
+#: A head as far as a browser takes it: </head> is optional, and text or an element of the body ends it.
+HEAD = re.compile(r"<head(?=[\s/>])[^>]*>(?>\s++|<title\b[^>]*>(?:(?!<head[\s/>]).)*?</title\s*>|</?(?:base|basefont|bgsound|link|meta|html|noframes)\b[^>]*>|<[!?][^>]*>)*+(?:</head\s*>)?", re.S | re.I)
 BREAKS = re.compile(r"<(?:/?(?:p|div|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|blockquote|pre|form|title)|br|hr)\b[^>]*>", re.I)
 TAGS = re.compile(r"<[!/?]?[A-Za-z][^>]*>")
 BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
@@ -90,9 +93,24 @@ def response_record(key: str, url: str | None, page: str | None) -> bytes:
     return record(fields, http + body)
 
 
+def shown(page: str) -> str:
+    """page without comments, scripts, styles, templates and heads. Only scripts and styles without an end run to the end of the page."""
+    out, at, look, endless = [], 0, 0, set()
+    while m := HIDDEN.search(page, look):
+        name = (m[1] or "").lower()
+        end = None if name in endless else HIDDEN_END[name].search(page, m.end())
+        if not end and name not in ("script", "style"):
+            endless.add(name)
+            look = m.end()
+            continue
+        out.append(page[at : m.start()])
+        at = look = end.end() if end else len(page)
+    return HEAD.sub(" ", " ".join([*out, page[at:]]))
+
+
 def plain_text(page: str) -> str:
     """Visible text: no comments, scripts or heads; a line for each block, blanks pressed together, no empty lines."""
-    text = html.unescape(TAGS.sub("", BREAKS.sub("\n", HIDDEN.sub(" ", page))))
+    text = html.unescape(TAGS.sub("", BREAKS.sub("\n", shown(page))))
     return "\n".join(x for x in (BLANKS.sub(" ", line).strip() for line in text.split("\n")) if x)
 
 

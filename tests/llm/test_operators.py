@@ -477,6 +477,23 @@ def test_derivatives(spark):
     assert warc.derive(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><body><p>visible text</p></body></html>", "visible text"),
+        ("<html><head><title>T</title><meta charset=x><link rel=y><p>visible text</p>", "visible text"),
+        ("<HEAD ><!-- <p> --><style>a</style><script>b('</head>')</script><title>T <b>x</b></title>\n visible text", "visible text"),
+        ("<head><title>T</title></head><body>a<header>b</header><noscript>c</noscript>d", "a\nb\nd"),
+        ("<head><meta a><noscript>no<body>a<template>b", "noab"),
+        ("<p>a<!-- b<p>c<script>d<p>e", "a<!-- b\nc"),
+        ("<head><title>T<body>a", "Ta"),
+    ],
+)
+def test_heads_without_an_end(page, want):
+    assert warc.plain_text(page) == want
+    assert dict(x.split(": ", 1) for x in warc.derivatives(warc.response_record("1", "u", page))[0]["content"].strip().split("\r\n") if ": " in x)["text-length"] == str(len(warc.plain_text(page)))
+
+
 def test_other_records_have_no_derivatives():
     ok = warc.response_record("1", "u", "<p>x")
     assert len(warc.derivatives(ok)) == 2
