@@ -17,7 +17,7 @@ import pyarrow as pa
 
 #: White space other than blank, tab, line feed and carriage return, by any of the definitions in use.
 UNUSUAL_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
-#: Pieces that a PieceTable holds at most (some 50 bytes each), and the bits of its slots' numbers.
+#: Pieces beyond which a PieceTable is cleared before the next chunk (some 50 bytes each), and the bits of its slots' numbers at first.
 TABLE_PIECES, TABLE_BITS = 600_000, 21
 #: Pieces encoded by one library call, and bytes of text handled at once.
 CALL_PIECES, CHUNK_BYTES = 2_000, 1 << 18
@@ -41,7 +41,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PieceTable:
-    """A hash table from 64-bit keys and lengths of pieces to their ids, in arrays, looked up for many pieces at once."""
+    """A hash table from 64-bit keys and lengths of pieces to their ids, in arrays, looked up for many pieces at once.
+
+    It doubles its slots when more than half of them would be taken: a chunk is one text at least, with any number of pieces.
+    """
 
     def __init__(self, dtype: np.dtype):
         self.dtype = dtype
@@ -58,7 +61,7 @@ class PieceTable:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Entries of keys; -1 for those that aren't there. A key is never 0."""
-        mask = np.uint64((1 << TABLE_BITS) - 1)
+        mask = np.uint64(len(self.keys) - 1)
         slot = keys & mask
         seen = self.keys[slot]
         out = np.where(seen == keys, self.entry[slot], -1)
@@ -82,17 +85,26 @@ class PieceTable:
         self.starts[self.count : need] = self.used + np.cumsum(length) - length
         self.sizes[self.count : need] = sizes
         self.ids[self.used : room] = ids
-        mask = np.uint64((1 << TABLE_BITS) - 1)
+        if 2 * need > len(self.keys):
+            taken = np.flatnonzero(self.keys)
+            old, entry = self.keys[taken], self.entry[taken]
+            self.keys = np.zeros(1 << (2 * need - 1).bit_length(), np.uint64)
+            self.entry = np.zeros(len(self.keys), np.int32)
+            self._place(old, entry)
+        self._place(keys, np.arange(self.count, need))
+        self.count, self.used = need, room
+
+    def _place(self, keys: np.ndarray, entry: np.ndarray) -> None:
+        mask = np.uint64(len(self.keys) - 1)
         slot, left = keys & mask, np.arange(len(keys))
         while len(left):
             free = left[self.keys[slot[left]] == 0]
             _, first = np.unique(slot[free], return_index=True)
             won = free[first]
             self.keys[slot[won]] = keys[won]
-            self.entry[slot[won]] = self.count + won
+            self.entry[slot[won]] = entry[won]
             left = np.setdiff1d(left, won, True)
             slot[left] = (slot[left] + np.uint64(1)) & mask
-        self.count, self.used = need, room
 
 
 class MemoEncoder:

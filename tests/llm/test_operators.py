@@ -61,6 +61,16 @@ def test_piece_table_finds_what_it_was_given():
     assert (table.find(np.array([5], np.uint64)) == -1).all()
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_piece_table_grows_with_one_long_text(path, monkeypatch):
+    monkeypatch.setattr(encoding, "TABLE_BITS", 4)
+    monkeypatch.setattr(encoding, "TABLE_PIECES", 8)
+    tok, enc = Tokenizer.from_file(path), encoding.MemoEncoder(path)
+    texts = [" ".join(f"id{k * 7919}" for k in range(5000)), "a short one", "", " ".join(f"n{k}" for k in range(100))]
+    assert [x.tolist() for x in enc.encode(texts)] == [ids_of(tok, t) for t in texts]
+    assert enc.table.count < len(enc.table.keys) / 2 + 1
+
+
 # 1. Quality.
 
 
