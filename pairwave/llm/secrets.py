@@ -47,9 +47,10 @@ BASE = (
 )
 #: Kinds that the index makes cheap to add.
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----", re.A),
+    # Header lines, then up to the END line; without one, runs of base64 as long as keys have.
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----\s*(?>[A-Za-z][A-Za-z0-9-]*:(?:(?!-----)[^\r\n])*+[\r\n]\s*)*+(?:[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/]{16,}+={0,2})+(?:\s+[A-Za-z0-9+/]++={1,2})?)", re.A),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.A),
-    Rule("url_login", r"://[^\s:@/]{1,64}:[^\s:@/]{3,64}@[A-Za-z0-9.-]+", re.A),
+    Rule("url_login", r"://[^\s:@/]*:[^\s:@/]{3,}@[A-Za-z0-9.-]+", re.A),
 )
 RULES = BASE + MORE
 

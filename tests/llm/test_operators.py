@@ -570,6 +570,24 @@ def test_scanner_finds_what_full_scans_find(texts):
     assert secrets.scanner().scan(texts) == [plain_spans(t) for t in texts]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("see https://oauth2:" + "k" * 93 + "@host.org/x", "see https<url_login>/x"),
+        ("redis://:password@host:6379", "redis<url_login>:6379"),
+        ("a://" + "u" * 70 + ":pw1@h b", "a<url_login> b"),
+        ("http://host:80/a@b and u:pw1@h", "http://host:80/a@b and u:pw1@h"),
+        ("k -----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + "Ab+/" * 16 + "\nAb==\n-----END RSA PRIVATE KEY----- z", "k <private_key> z"),
+        ("k -----BEGIN PRIVATE KEY-----\r\n" + ("Ab+/" * 16 + "\r\n") * 3 + "Ab==\r\nThe text goes on.", "k <private_key>\r\nThe text goes on."),
+        ("-----BEGIN EC PRIVATE KEY-----\n" + "Ab+/" * 9, "<private_key>"),
+        ("-----BEGIN PRIVATE KEY----- is how a key starts.", "-----BEGIN PRIVATE KEY----- is how a key starts."),
+        ("-----BEGIN PRIVATE KEY-----\nab c\n-----END PRIVATE KEY-----", "<private_key>"),
+    ],
+)
+def test_long_logins_and_keys_with_headers_or_without_end(text, want):
+    assert secrets.masked(text, secrets.scanner().scan([text])[0]) == want
+
+
 def test_trigram_queries_hold_for_all_matches():
     q = [secrets.trigram_query(r) for r in secrets.RULES]
     assert q[2] is None and q[1] == ("and", (b"aki", b"kia"))
