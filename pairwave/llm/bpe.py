@@ -9,13 +9,15 @@ The normaliser and word pattern are those of the tokenizer's file: where a piece
 word pattern runs here, else the library's own normaliser and pre-tokenizer cut it. Merging, the model itself, is
 always done here.
 
-Null text is the empty text: no ids, decoded "". Extra columns are ignored; rows may repeat.
+Null text is the empty text: no ids, decoded "". Extra columns are ignored; rows may repeat. Very long texts are encoded and
+hashed in parts, very long words are merged with a heap.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -32,6 +34,10 @@ from .frames import extended, fresh, trim
 
 #: Ranks above every merge's.
 NEVER = 1 << 40
+#: Symbols from which a word is merged with a heap of its pairs.
+LONG_WORD = 64
+#: Ids whose strings are joined at once.
+JOIN_IDS = 1 << 18
 
 
 @functools.cache
@@ -106,6 +112,8 @@ class MergeTable:
 
     def merged(self, word: list[str]) -> list[int]:
         """Exact merging: the lowest rank first, the leftmost of equal ones."""
+        if len(word) > LONG_WORD:
+            return self._merged_long([self.vocab[s] for s in word])
         ids, none = [self.vocab[s] for s in word], (NEVER, -1)
         find = self.pairs.get
         steps = [find(p, none) for p in zip(ids, ids[1:])]
@@ -122,6 +130,27 @@ class MergeTable:
                 steps[i] = find((ids[i], ids[i + 1]), none)
         return ids
 
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same for any number of symbols in n log n steps: a heap of pairs, and links to the neighbours that are left."""
+        n, find = len(ids), self.pairs.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(hit[0], i, ids[i], ids[i + 1], hit[1]) for i in range(n - 1) if (hit := find((ids[i], ids[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, made = heapq.heappop(heap)
+            k = after[i]
+            if ids[i] != a or k >= n or ids[k] != b:
+                continue  # one of both was merged since
+            ids[i], ids[k] = made, -1
+            after[i] = after[k]
+            if after[i] < n:
+                before[after[i]] = i
+                if hit := find((made, ids[after[i]])):
+                    heapq.heappush(heap, (hit[0], i, made, ids[after[i]], hit[1]))
+            if (h := before[i]) >= 0 and (hit := find((ids[h], made))):
+                heapq.heappush(heap, (hit[0], h, ids[h], made, hit[1]))
+        return [i for i in ids if i >= 0]
+
     def is_sound(self, token: int) -> bool:
         """Whether a token's own symbols merge to that token."""
         if (known := self.sound.get(token)) is None:
@@ -208,6 +237,9 @@ class SpeculativeBpe(MemoEncoder):
     def _odd(self, pieces: list[str]) -> None:
         """Every piece can be encoded alone here."""
 
+    def _whole(self, text: str) -> np.ndarray:
+        return self._pieces([p for p in regex.split("[ \t\n\r]+", text) if p])[0]
+
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut: list[list] = []
         special = any(s in "\n".join(pieces) for s in self.special)
@@ -235,15 +267,32 @@ class ByteStrings:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(strings), np.uint8)
 
-    def join(self, numbers: np.ndarray, counts: np.ndarray) -> list[memoryview]:
-        """The strings of numbers one after the other, in parts of counts numbers each, each without its last byte."""
+    def sha256(self, numbers: np.ndarray, counts: np.ndarray) -> list[str]:
+        """SHA-256 of the strings of counts numbers each, without the last byte; many numbers are joined in parts."""
+        out, at, ends = [], 0, np.cumsum(counts)
+        while at < len(counts):
+            begin = int(ends[at] - counts[at])
+            to = max(at + 1, int(np.searchsorted(ends, begin + JOIN_IDS, "right")))
+            if to > at + 1 or counts[at] <= JOIN_IDS:
+                out += [hashlib.sha256(x).hexdigest() for x in self.join(numbers[begin : ends[to - 1]], counts[at:to])]
+            else:
+                sum_, last = hashlib.sha256(), int(ends[at])
+                for k in range(begin, last, JOIN_IDS):
+                    part = numbers[k : min(k + JOIN_IDS, last)]
+                    sum_.update(self.join(part, np.array([len(part)]), k + JOIN_IDS >= last)[0])
+                out.append(sum_.hexdigest())
+            at = to
+        return out
+
+    def join(self, numbers: np.ndarray, counts: np.ndarray, cut: bool = True) -> list[memoryview]:
+        """The strings of numbers one after the other, in parts of counts numbers each, each without its last byte if cut."""
         size = self.sizes[numbers]
         ends = np.cumsum(size)
         place = np.repeat(self.starts[numbers] - (ends - size), size)
         place += np.arange(len(place))
         raw = memoryview(self.data[place].tobytes())
         cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
-        return [raw[a : max(a, b - 1)] for a, b in zip(cuts, cuts[1:])]
+        return [raw[a : max(a, b - cut)] for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -289,12 +338,11 @@ def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = speculative(tokenizer)
-        sha = lambda parts: pa.array([hashlib.sha256(x).hexdigest() for x in parts])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids, counts = enc.encode_column(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), sha(enc.digits.join(ids, counts)), sha(enc.strings.join(ids, counts))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(enc.digits.sha256(ids, counts)), pa.array(enc.strings.sha256(ids, counts))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
