@@ -47,18 +47,64 @@ def test_piece_encoder_is_the_library(path, texts):
 
 
 def test_piece_table_finds_what_it_was_given():
+    """Also pieces whose keys fall into the same slots, or are equal."""
     table, rng = encoding.PieceTable(np.dtype("<u2")), np.random.default_rng(1)
     keys = np.unique(rng.integers(1, 1 << 62, 5000, np.uint64))
-    keys = np.concatenate([keys, np.unique(keys[:500] + (np.uint64(1) << np.uint64(encoding.TABLE_BITS)))])  # the same slots
-    keys = np.unique(keys)
+    keys = np.unique(np.concatenate([keys, keys[:500] + (np.uint64(1) << np.uint64(encoding.TABLE_BITS))]))
+    raw = rng.integers(0, 256, 8 * len(keys) + 8, np.uint8)
+    starts = 8 * np.arange(len(keys))
+    ends = starts + rng.integers(5, 9, len(keys))
     sizes = rng.integers(0, 4, len(keys)).astype(np.int32)
     ids = rng.integers(0, 60000, int(sizes.sum())).astype("<u2")
-    table.add(keys, ids, sizes)
-    at = table.find(keys)
-    ends = np.cumsum(sizes)
+    table.add(keys, raw, starts, ends, ids, sizes)
+    at = table.find(keys, raw, starts, ends)
+    upto = np.cumsum(sizes)
     for k in range(0, len(keys), 97):
-        assert table.ids[table.starts[at[k]] : table.starts[at[k]] + sizes[k]].tolist() == ids[ends[k] - sizes[k] : ends[k]].tolist()
-    assert (table.find(np.array([5], np.uint64)) == -1).all()
+        assert table.ids[table.starts[at[k]] : table.starts[at[k]] + sizes[k]].tolist() == ids[upto[k] - sizes[k] : upto[k]].tolist()
+    assert (table.find(np.array([5], np.uint64), raw, starts[:1], ends[:1]) == -1).all()
+    other = raw ^ np.uint8(1)
+    assert (table.find(keys, other, starts, ends) == -1).all()
+    table.add(keys[:3], other, starts[:3], ends[:3], np.array([7, 8, 9], "<u2"), np.ones(3, np.int32), True)
+    assert table.ids[table.starts[table.find(keys[:4], other, starts[:4], ends[:4])[:3]]].tolist() == [7, 8, 9]
+    assert (table.find(keys, raw, starts, ends) == at).all()
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+#: Pieces for which polynomial hashes modulo 2^64 agree, whatever their odd base.
+ALIKE = [thue_morse(n, *ab) for n in (1024, 2048, 4096) for ab in ("ab", "ba")] + [" ".join(thue_morse(1024, *ab) for ab in ("ab", "ba", "ab"))]
+
+
+@pytest.mark.parametrize("make", [lambda: encoding.MemoEncoder(WORD), lambda: encoding.MemoEncoder(BYTE), lambda: bpe.SpeculativeBpe(WORD)])
+def test_pieces_with_equal_keys_keep_their_ids(make):
+    enc = make()
+    for texts in (ALIKE, ALIKE[::-1]):
+        assert [x.tolist() for x in enc.encode(texts)] == [ids_of(enc.tok, t) for t in texts]
+    assert enc.table.clashes
+
+
+def test_pieces_with_equal_keys_through_the_queries(spark, word, byte):
+    df = spark.createDataFrame(list(enumerate(ALIKE)), "doc_id long, text string").coalesce(1)
+    ids = [ids_of(word, t) for t in ALIKE]
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    assert {r["doc_id"]: r["ids_crc32"] for r in varint.digest(df, WORD).collect()} == {k: crc([*x, 2]) for k, x in enumerate(ids)}
+    assert {r["doc_id"]: r["ids_sha256"] for r in bpe.digest(df, WORD).collect()} == {k: hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for k, x in enumerate(ids)}
+    pieces = packing.pack_documents(df, BYTE).collect()
+    for k, t in enumerate(ALIKE):
+        whole = [*ids_of(byte, t), 2]
+        assert {(r["start"], r["ids_crc32"]) for r in pieces if r["doc_id"] == k} == {(r["start"], crc(whole[r["start"] : r["start"] + r["length"]])) for r in pieces if r["doc_id"] == k}
+
+
+@pytest.mark.parametrize("make", [lambda: encoding.MemoEncoder(WORD), lambda: encoding.MemoEncoder(BYTE), lambda: bpe.SpeculativeBpe(WORD)])
+def test_long_texts_are_encoded_in_parts(make, monkeypatch):
+    monkeypatch.setattr(encoding, "CHUNK_BYTES", 400)
+    monkeypatch.setattr(encoding, "LONG_PART", 4000)
+    rng, enc = np.random.default_rng(3), make()
+    words = ["alpha", "be'ta", "Gamma,", "日本語", "12345", "x y", "<|endoftext|>", "new\nline", "tab\t\ttwo", "  double", "no\xa0break", "é ", "…", "'s", " 's"]
+    texts = ["a b", " ".join(rng.choice(words, 3000)), "", " ".join(rng.choice(words, 90)), "x" * 5000, "日本語" * 3000, None, " ".join(rng.choice(words, 700))]
+    assert [x.tolist() for x in enc.encode(texts)] == [ids_of(enc.tok, t or "") for t in texts]
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
@@ -245,7 +291,7 @@ def test_varint_round_trip(values):
     assert len(control) == -(-len(v) // 4) and varint.unpack(control, data, len(v)).tolist() == values
 
 
-def test_token_files(docs, none, texts, word, monkeypatch):
+def test_token_files(docs, none, texts, word, monkeypatch, tmp_path):
     monkeypatch.setattr(varint, "SHARD_TOKENS", 40)
     rows = sorted(varint.digest(docs, WORD).collect(), key=lambda r: r["start"])
     want = sorted(((i is not None, i or 0), np.array([*ids_of(word, t), 2], "<u4").tobytes()) for i, t in texts)
@@ -255,11 +301,28 @@ def test_token_files(docs, none, texts, word, monkeypatch):
         at += r["n_tokens"]
     assert [(r["doc_id"] is not None, r["doc_id"] or 0) for r in rows] == [k for k, _ in want]
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in rows) == sorted((str(k[1] if k[0] else None), len(b) // 4, zlib.crc32(b)) for k, b in want)
-    shards, ranks = varint.token_files(docs, WORD)
     counts = Counter(int(x) for _, b in want for x in np.frombuffer(b, "<u4"))
-    order = [r["id"] for r in ranks.orderBy("rank").collect()]
+    order = [r["id"] for r in varint.id_ranks(varint.encode_documents(docs, WORD, 2), WORD).orderBy("rank").collect()]
     assert order == sorted(counts, key=lambda i: (-counts[i], i))
-    assert varint.digest(none, WORD).count() == 0 and shards.count() >= 1
+    assert varint.digest(none, WORD).count() == 0
+    # Files of their own, read without the table of ranks.
+    shards, folder = varint.token_files(docs, WORD), f"file://{tmp_path}/files"
+    assert varint.write_files(shards, folder).count() == shards.count() > 1
+    got = varint.read_documents(varint.read_files(docs.sparkSession, folder)).collect()
+    assert sorted((r["start"], bytes(r["ids"])) for r in got) == sorted((r["start"], bytes(r["ids"])) for r in varint.read_documents(shards).collect())
+    assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in got) == sorted((str(k[1] if k[0] else None), b) for k, b in want)
+
+
+def test_long_shards_are_coded_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([np.arange(300), rng.integers(0, 1 << 32, 500), rng.integers(0, 1 << 17, 333)]).astype("<u4")
+    names, ranks = np.unique(ids, return_inverse=True)
+    whole = varint.shard_bytes([5, None], [1000, 133], ranks.astype("<u4"), names.astype("<u4"))
+    monkeypatch.setattr(varint, "PART", 64)
+    assert varint.shard_bytes([5, None], [1000, 133], ranks.astype("<u4"), names.astype("<u4")) == whole
+    doc_ids, counts, got = varint.read_shard(whole)
+    assert doc_ids == [5, None] and counts.tolist() == [1000, 133] and (got == ids).all()
+    assert varint.read_shard(varint.shard_bytes([1], [0], np.zeros(0, "<u4"), names))[2].size == 0
 
 
 # 4. Sharding.
@@ -551,12 +614,34 @@ def test_local_search_empties_bins_that_best_fit_leaves():
     assert sum(done.values()) < sum(start.values())
     fill = lambda bins: sum(sum(c) ** 2 * n for c, n in bins.items())
     assert fill(done) > fill(start)
-    assert packing.best_exchange((3, 2), (4, 4), 10) == ((3,), (4, 4, 2))
-    assert packing.best_exchange((5,), (4, 4), 9) == ((4,), (5, 4))
-    assert packing.best_exchange((3, 2), (4, 5), 10) == ((4,), (5, 3, 2))
+    step = lambda small, other, cap: packing.Search(Counter({small: 1, other: 1}), cap).improve(small)
+    assert step((3, 2), (4, 4), 10) == ((4, 4), (2,), ())
+    assert step((5,), (4, 4), 9) == ((4, 4), (5,), (4,))
+    assert step((3, 2), (4, 5), 10) == ((4, 5), (3, 2), (4,))
+    # An equal exchange with a full bin breaks a piece up, so that it fits.
+    assert packing.Search(Counter({(6,): 1, (7,): 2, (4, 3, 3): 1}), 10).split((6,)) == ((4, 3, 3), (6,), (3, 3))
+    done = packing.local_search(Counter({(6,): 1, (7,): 2, (4, 3, 3): 1}), 10)
+    assert sum(done.values()) == 3
     assert packing.piece_lengths(130, 64) == [2, 64, 64] and packing.piece_lengths(128, 64) == [64, 64] and packing.piece_lengths(1, 64) == [1]
 
 
+def test_search_beats_best_fit_on_many_lengths():
+    """Lengths with a few hot ones: the search gives most of what best fit decreasing leaves above the bound."""
+    rng = np.random.default_rng(9)
+    counts = Counter(rng.integers(8, 500, 3000).tolist()) + Counter({890: 150, 909: 90, 701: 60})
+    before = packing.best_fit_decreasing(dict(counts), 1024)
+    after = packing.local_search(before, 1024)
+    least = -(-sum(x * n for x, n in counts.items()) // 1024)
+    pieces = Counter()
+    for content, n in after.items():
+        assert sum(content) <= 1024
+        for x in content:
+            pieces[x] += n
+    assert pieces == counts and least <= sum(after.values()) <= sum(before.values())
+    found = packing.places(after)
+    assert packing.filled(found) == sum(after.values())
+
+
 # 10. Secrets.
 
 
