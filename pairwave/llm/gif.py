@@ -1,12 +1,14 @@
 """GIF media columns: reading frames and storing 8-bit payloads (operator 2).
 
-`read_gif` decodes any GIF87a or GIF89a: LZW code streams, global and local palettes, interlacing, transparency,
+`each_frame` decodes any GIF87a or GIF89a: LZW code streams, global and local palettes, interlacing, transparency,
 delays and the four disposal rules, clear codes at any time; frames come as they are shown, with the pixel indices that the file holds.
 `frame_table` stores one row for each frame with its time and colour histogram. `payload_gif` writes bytes losslessly
-as pixels, 64 to a row, with real LZW compression; a comment holds the unpadded length.
+as pixels, 64 to a row, with real LZW compression; a comment holds the unpadded length. The query stores GIFs, reads them into a
+stored frame table, and takes payloads and features from that table.
 
 Null or empty text is 64 zero bytes. Null or broken media, also with too few pixels, give no frames (`frame_table`); `payload` raises on them. Equal texts give
-equal bytes. Payloads beyond 64 x 4096 samples take several frames. Extra columns are ignored.
+equal bytes. Payloads beyond 64 x 4096 samples take several frames, which are made and read one by one, so a very long text
+takes the memory of its bytes. Repeated rows have frames of their own. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 from .frames import rows, written
 
 CLEAR, END = 256, 257
+#: Bytes of pixels after which a batch of frames goes on.
+FLUSH_BYTES = 4 << 20
+#: Bytes of one media's pixels that are held until all its frames are read; beyond, it is read once more to see whether it's whole.
+HOLD_BYTES = 64 << 20
 WIDTH, FRAME_ROWS = 64, 4096
 #: Bits of the k-th code after a clear code, for 8-bit samples: 9 until the table holds 512 entries, and so on up to 12.
 _BITS = np.clip([(258 + max(k - 1, 0)).bit_length() for k in range(8192)], 9, 12)
@@ -174,6 +180,12 @@ def _rows_in_order(height: int) -> np.ndarray:
 
 def read_gif(raw: bytes) -> tuple[list[Frame], list[bytes]]:
     """Frames and comments."""
+    comments: list[bytes] = []
+    return list(each_frame(raw, comments)), comments
+
+
+def each_frame(raw: bytes, comments: list[bytes]) -> Iterator[Frame]:
+    """Frames one after the other; comments are added to a list as they are met."""
     if raw[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background = struct.unpack_from("<HHBB", raw, 6)
@@ -182,7 +194,7 @@ def read_gif(raw: bytes) -> tuple[list[Frame], list[bytes]]:
         table = np.frombuffer(raw, np.uint8, 3 << (flags & 7) + 1, at).reshape(-1, 3)
         at += table.size
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames, comments, delay, disposal, clear_index, now = [], [], 0, 0, None, 0
+    number, delay, disposal, clear_index, now = 0, 0, 0, None, 0
     while at < len(raw) and raw[at] != 0x3B:
         if raw[at] == 0x21:
             label = raw[at + 1]
@@ -217,13 +229,13 @@ def read_gif(raw: bytes) -> tuple[list[Frame], list[bytes]]:
         colour = np.concatenate([colour, np.zeros((256 - len(colour), 4), np.uint8)]) if len(colour) < 256 else colour
         seen = slice(None) if clear_index is None else drawn != clear_index
         part[seen] = colour[drawn[seen]]
-        frames.append(Frame(len(frames), left, top, w, h, now, delay, disposal, clear_index, pixels.tobytes(), canvas.copy()))
+        yield Frame(number, left, top, w, h, now, delay, disposal, clear_index, pixels.tobytes(), canvas.copy())
+        number += 1
         if disposal == 2:
             part[:] = 0
         elif disposal == 3:
             canvas = before
         now, delay, disposal, clear_index = now + delay, 0, 0, None
-    return frames, comments
 
 
 def _chain(data: bytes) -> bytes:
@@ -253,55 +265,108 @@ def payload(media: bytes) -> tuple[bytes, int, list[Frame]]:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, media: each text's GIF, written to a table and read back."""
+    """row (a number of its own), doc_id, media: each text's GIF, written to a table and read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, text in rows(batches, 128):
-            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array([payload_gif(*padded(t)) for t in text], pa.binary())], ["doc_id", "media"])
+        for doc_id, text, row in rows(batches, 64):
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array([payload_gif(*padded(t)) for t in text], pa.binary())], ["row", "doc_id", "media"])
+
+    numbered = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+    return written(numbered.mapInArrow(run, "row long, doc_id long, media binary"), "gif")
+
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, media binary"), "gif")
+_CELLS = ("frame", "start_ms", "delay_ms", "disposal", "transparent", "left", "top", "width", "height")
+_CELL_TYPES = [(n, pa.int32()) for n in _CELLS] + [("last", pa.bool_()), ("histogram", pa.list_(pa.int32())), ("pixels", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("comment", pa.binary())]
 
 
-def frame_table(media: DataFrame) -> DataFrame:
-    """doc_id, frame, start_ms, delay_ms, disposal, transparent, left, top, width, height, rgba, histogram: one row for each frame.
+def frame_table(media: DataFrame, keys: tuple[str, ...] = ("doc_id",), stored: bool = False) -> DataFrame:
+    """keys, then frame, start_ms, delay_ms, disposal, transparent, left, top, width, height, last, histogram, pixels, media_bytes, media_sha256, comment: one row for each frame.
 
-    Media that is null or no readable GIF has no rows.
+    last: whether it's the last one of its media. histogram: of the canvas as shown, in 64 colours. pixels: the canvas in RGBA; stored: the frame's
+    indices as stored. comment: all comments before the first frame. Media that is null or no readable GIF has no rows.
     """
-    names = ("frame", "start_ms", "delay_ms", "disposal", "transparent", "left", "top", "width", "height")
-    schema = "doc_id long, " + ", ".join(f"{n} int" for n in names) + ", rgba binary, histogram array<int>"
+    schema = ", ".join(f"{k} long" for k in keys) + ", " + ", ".join(f"{n} int" for n in _CELLS) + ", last boolean, histogram array<int>, pixels binary, media_bytes long, media_sha256 string, comment binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, raw in rows(batches, 16):
-            ids, found = [], []
-            for d, x in zip(doc_id, raw, strict=True):
-                try:
-                    frames = read_gif(x)[0] if x else []
-                except (ValueError, IndexError, struct.error):
-                    frames = []
-                ids += [d] * len(frames)
-                found += frames
-            cells = [[f.number, f.start_ms, f.delay_ms, f.disposal, f.transparent, f.left, f.top, f.width, f.height] for f in found]
-            numbers = [pa.array([c[k] for c in cells], pa.int32()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *numbers, pa.array([f.rgba.tobytes() for f in found], pa.binary()), pa.array([f.histogram() for f in found], pa.list_(pa.int32()))], ["doc_id", *names, "rgba", "histogram"])
-
-    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, schema)
+        held, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            kinds = [(k, pa.int64()) for k in keys] + _CELL_TYPES
+            return pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], kind) for i, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
+
+        for *ids, found in rows(batches, 16):
+            for key, raw in zip(zip(*ids, strict=True), found, strict=True):
+                for cells in frame_cells(raw, stored):
+                    held.append((*key, *cells))
+                    size += len(cells[11])
+                    if size > FLUSH_BYTES:
+                        yield batch()
+                        held, size = [], 0
+        if held:
+            yield batch()
+
+    return media.select(*[F.col(k).cast("long").alias(k) for k in keys], "media").mapInArrow(run, schema)
+
+
+def frame_cells(raw: bytes | None, stored: bool) -> Iterator[tuple]:
+    """The cells of each frame of some media; none at all of broken media."""
+    held, size, whole = [], 0, False
+    try:
+        for cells in _cells(raw or b"", stored):
+            held.append(cells)
+            size += len(cells[11])
+            if size > HOLD_BYTES and not whole:
+                for _ in each_frame(raw, []):  # raises on broken media
+                    pass
+                whole = True
+            if whole:
+                yield from held
+                held = []
+    except (ValueError, IndexError, struct.error):
+        return
+    yield from held
+
+
+def _cells(raw: bytes, stored: bool) -> Iterator[tuple]:
+    comments: list[bytes] = []
+    held: Frame | None = None
+    about = (len(raw), hashlib.sha256(raw).hexdigest())
+
+    def cells(f: Frame, last: bool) -> tuple:
+        return (f.number, f.start_ms, f.delay_ms, f.disposal, f.transparent, f.left, f.top, f.width, f.height, last, f.histogram(), f.indices if stored else f.rgba.tobytes(), *about, b"".join(comments))
+
+    for frame in each_frame(raw, comments):
+        if held is not None:
+            yield cells(held, False)
+        held = frame
+    if held is not None:
+        yield cells(held, True)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: from the stored media.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: from the stored frames of the stored media.
 
     feature: frames, milliseconds, and the colour histogram summed over frames.
     """
+    frames = written(frame_table(store(docs), ("row", "doc_id"), True), "gif-frames")
+    names = ["doc_id", "frame", "last", "delay_ms", "histogram", "pixels", "media_bytes", "media_sha256", "comment"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, media in rows(batches, 128):
+        for parts in rows(batches, 256):
             out = []
-            for raw in media:
-                data, length, frames = payload(raw)
-                colours = np.sum([f.histogram() for f in frames], 0)
-                feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};colours=" + ",".join(f"{i}:{n}" for i, n in enumerate(colours.tolist()) if n)
-                out.append((length, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return store(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for doc_id, frame, last, delay, histogram, pixels, media_bytes, media_sum, comment in zip(*parts, strict=True):
+                if frame == 0:
+                    sum_, size, ms, colours = hashlib.sha256(), 0, 0, np.zeros(64, np.int64)
+                sum_.update(pixels)
+                size, ms, colours = size + len(pixels), ms + delay, colours + histogram
+                if last:
+                    feature = f"frames={frame + 1};ms={ms};colours=" + ",".join(f"{i}:{colours[i]}" for i in np.flatnonzero(colours).tolist())
+                    out.append((doc_id, int(comment), size, sum_.hexdigest(), zlib.crc32(pixels[-64:]), media_bytes, media_sum, feature))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    # Only documents of several frames are shuffled, to have these together and in order.
+    alone = (F.col("frame") == 0) & F.col("last")
+    several = frames.where(~alone).repartition("row").sortWithinPartitions("row", "frame")
+    return frames.where(alone).select(*names).mapInArrow(run, schema).union(several.select(*names).mapInArrow(run, schema))
