@@ -34,20 +34,48 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Paths of the temporary tables made by this process.
+_made: list[str] = []
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is stored there goes when the session's JVM exits, or earlier by `forget`."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where, system = _file_system(spark, path)
+    system.deleteOnExit(where)
+    _made.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as a Parquet table in the shared folder and read back: cuts lineage and survives lost executors.
 
-    The table is deleted when the session's JVM exits, since the returned frame is read lazily.
+    The table stays until `forget` or the JVM's exit, since the returned frame is read lazily.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    path = temporary(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> list[str]:
+    """Paths of the temporary tables that are there now, oldest first."""
+    return list(_made)
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes temporary tables that nothing will read again."""
+    for path in paths:
+        where, system = _file_system(spark, path)
+        system.delete(where, True)
+        _made.remove(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 @functools.cache
 def _trimmer():
     try:

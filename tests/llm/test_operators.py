@@ -399,34 +399,68 @@ def test_long_shards_are_coded_in_parts(monkeypatch):
 # 4. Sharding.
 
 
-def test_virtual_slots(docs, none):
-    rows = sharding.sharded(docs, 4, 64).collect()
+def check_places(rows):
     by = defaultdict(list)
     for r in rows:
         by[r["shard"]].append(r["slot"])
-    assert len(rows) == docs.count() and all(sorted(v) == list(range(len(v))) for v in by.values())
-    sizes = {(i, s, k) for i, s, k in docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).collect()}
-    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in rows} == sizes
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_virtual_slots(docs, none, monkeypatch):
+    sizes = Counter((i, s, k) for i, s, k in docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).collect())
+    for copies in (sharding.COPIES, 1):
+        monkeypatch.setattr(sharding, "COPIES", copies)
+        rows = sharding.sharded(docs, 4, 64).collect()
+        check_places(rows)
+        assert len(rows) == docs.count() and Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == sizes
+        assert {r["virtual_slot"] for r in rows} == {int(hashlib.md5((str(i) if i is not None else "").encode()).hexdigest()[:8], 16) % 64 for i, _, _ in sizes}
     assert sharding.sharded(none).count() == 0
 
 
-def test_bytes_are_near_equal_and_growth_moves_few(spark, data):
+def plain_rebalance(shard_of, size_of, shards):
+    """The edit of a map, slot by slot."""
+    share, loads, out, pool = sum(size_of.values()) / shards, [0] * shards, {}, []
+    for k in set(shard_of.values()):
+        upto = 0
+        for v in sorted((v for v in shard_of if shard_of[v] == k), key=lambda v: (-size_of[v], v)):
+            upto += size_of[v]
+            if upto <= share:
+                out[v] = k
+                loads[k] += size_of[v]
+            else:
+                pool.append(v)
+    for v in sorted(pool, key=lambda v: (-size_of[v], v)):
+        out[v] = loads.index(min(loads))
+        loads[out[v]] += size_of[v]
+    return out
+
+
+def test_maps_are_stored_edited_and_loaded_by_version(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data('0.01')}/documents.parquet")
-    rows = sharding.sized(docs)
-    first = sharding.first_map(sharding.slot_sizes(rows), 16).cache()
-    load = [r["b"] for r in first.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()]
-    assert len(load) == 16 and max(load) < 1.05 * min(load) and first.count() == sharding.SLOTS
-    greedy, want = [0] * 16, {}
-    for r in sorted(first.collect(), key=lambda r: (-r["bytes"], r["virtual_slot"])):
-        k = greedy.index(min(greedy))
-        greedy[k] += r["bytes"]
-        want[r["virtual_slot"]] = k
-    assert {r["virtual_slot"]: r["shard"] for r in first.collect()} == want
-    second = sharding.grown_map(first)
-    moved = first.alias("a").join(second.alias("b"), "virtual_slot").where("a.shard <> b.shard")
-    assert moved.select("b.shard").distinct().count() == 1 and moved.select("b.version").first()[0] == 2
-    share = moved.agg(F.sum("a.bytes")).first()[0] / sum(load)
-    assert 0.03 < share < 1 / 17 + 0.001
+    maps = sharding.SlotMaps(spark, f"file://{tmp_path}/maps")
+    rows = sharding.sharded(docs, 16, maps=maps).collect()
+    check_places(rows)
+    assert maps.versions() == [1, 2] and {r["map_version"] for r in rows} == {2}
+    first, second = ({r["virtual_slot"]: r for r in maps.load(v).collect()} for v in (1, 2))
+    size_of = {v: r["bytes"] for v, r in first.items()}
+    assert all(r["shard"] == v % 16 for v, r in first.items()) and len(second) == sharding.SLOTS
+    assert sum(size_of.values()) == sum(r["size"] for r in rows) and {v: r["bytes"] for v, r in second.items()} == size_of
+    assert {v: r["shard"] for v, r in second.items()} == plain_rebalance({v: r["shard"] for v, r in first.items()}, size_of, 16)
+    load = Counter()
+    for r in second.values():
+        load[r["shard"]] += r["bytes"]
+    assert len(load) == 16 and max(load.values()) < 1.05 * min(load.values())
+    assert all(r["shard"] == second[r["virtual_slot"]]["shard"] and r["first_shard"] == first[r["virtual_slot"]]["shard"] for r in rows)
+    # One shard more: only slots beyond the new share move, nearly all to it; the rows of the others stay.
+    third = maps.save(sharding.rebalanced(maps.load(2), maps.load(2).select("virtual_slot", "bytes", "rows"), 17))
+    grown = {r["virtual_slot"]: r["shard"] for r in maps.load(third).collect()}
+    assert third == 3 and grown == plain_rebalance({v: r["shard"] for v, r in second.items()}, size_of, 17)
+    moved = sum(size_of[v] for v in grown if grown[v] != second[v]["shard"])
+    assert moved < 1.5 * sum(size_of.values()) / 17
+    with pytest.raises(Exception, match="(?i)exist"):
+        maps.save(maps.load(2))
+    # A later run edits the latest version.
+    assert {r["map_version"] for r in sharding.sharded(docs, 17, maps=maps).collect()} == {4}
 
 
 # 5. Fingerprints.
