@@ -52,4 +52,19 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_factorisation_machine, op2_gif, op3_ranked_varint, op4_virtual_slots, op5_one_permutation, op6_banded_jaccard, op7_speculative_bpe, op8_warc_derivatives, op9_swap_packing, op10_trigram_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: CRC-32 of a text's UTF-8 bytes, by hex digits and the table of its polynomial; the slot of a doc_id; the edit of the first map.
+_OP4 = f"""WITH RECURSIVE polynomial AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 1 AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {sharding.SLOTS} AS v,
+ xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(hex(coalesce(text, '')), ''), lambda c: (instr('0123456789ABCDEF', c) - 1)::BIGINT)),
+ lambda s, n: CASE WHEN s < 4294967296 THEN s + ((n + 16) << 32) ELSE xor((s & 4294967295) >> 8, t[1 + (xor(s & 255, (((s >> 32) - 16) << 4) + n))::INTEGER]) END), 4294967295)::BIGINT AS crc FROM documents, polynomial),
+m AS (SELECT k.v, k.v % 16 AS shard, coalesce(sum(size), 0)::BIGINT AS bytes FROM (SELECT unnest(range({sharding.SLOTS})) AS v) k LEFT JOIN d ON d.v = k.v GROUP BY k.v),
+u AS (SELECT *, sum(bytes) OVER (PARTITION BY shard ORDER BY bytes DESC, v ROWS UNBOUNDED PRECEDING) <= sum(bytes) OVER () / 16 AS stays FROM m),
+pool AS (SELECT v, bytes, row_number() OVER (ORDER BY bytes DESC, v) AS n FROM u WHERE NOT stays),
+loads AS (SELECT list(b ORDER BY shard) AS l FROM (SELECT shard, coalesce(sum(bytes) FILTER (stays), 0)::BIGINT AS b FROM u GROUP BY shard)),
+placed AS (SELECT 0::BIGINT AS n, l, NULL::BIGINT AS v, NULL::INTEGER AS shard FROM loads UNION ALL
+ SELECT p.n, list_transform(l, lambda x, i: CASE WHEN i = e THEN x + p.bytes ELSE x END), p.v, (e - 1)::INTEGER FROM (SELECT n, l, list_position(l, list_min(l)) AS e FROM placed) r JOIN pool p ON p.n = r.n + 1),
+now AS (SELECT v, shard FROM u WHERE stays UNION ALL SELECT v, shard FROM placed WHERE n > 0)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, now.shard::INTEGER AS shard, row_number() OVER (PARTITION BY now.shard ORDER BY d.v, crc % {sharding.GROUPS}, doc_id NULLS FIRST, size, crc) - 1 AS slot, NULL::INTEGER AS grown_shard,
+ d.v::INTEGER AS virtual_slot, 2::INTEGER AS map_version, (d.v % 16)::INTEGER AS first_shard FROM d JOIN now ON now.v = d.v"""
+ORACLE_SQL: dict[str, str] = {"op4_virtual_slots": _OP4}

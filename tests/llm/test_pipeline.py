@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +56,16 @@ def test_stages_take_odd_rows(spark, folder):
 
 def test_each_operator_has_one_query():
     assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_matches_sql(spark, data, name, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data(sf)}/documents.parquet')")
+    got, want = QUERIES[name](spark, data(sf)).toPandas(), con.execute(ORACLE_SQL[name]).df()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns and len(got) == len(want)
+    got, want = (x[columns].sort_values(["doc_id", "slot"]).reset_index(drop=True) for x in (got, want))
+    for c in columns:
+        assert ((got[c] == want[c]) | (got[c].isna() & want[c].isna())).all(), c
