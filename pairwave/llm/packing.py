@@ -38,7 +38,7 @@ from .frames import trim, written
 #: Ranks of one length that share a row of the table of places.
 BUCKET = 256
 #: Rows of a small side (at most some 50 bytes each) up to which it is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 #: Pieces of a bin up to which choices of three of them are listed for equal exchanges.
 TRIPLES = 12
 

@@ -5,15 +5,16 @@ contains them for certain. For each batch of texts an inverted index of those tr
 are intersected and united as the query says, and only candidates are verified with the rule itself, over the whole
 text. A rule from which no trigram follows (such as runs of hex digits) scans every text.
 
-Null text is the empty text: no spans. Spans are in code points, the end exclusive; equal texts give equal spans; extra
-columns are ignored, and repeated rows are scanned each.
+Null text is the empty text: no spans. An empty table gives no rows. Spans are in code points, the end exclusive; of one start the kinds go as listed; equal
+texts give equal spans; extra columns are ignored, and repeated rows are scanned each. A very long text is indexed in
+windows and verified as a whole; every pattern takes time in proportion to the text, whatever it holds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import re._constants as sc
+import re._constants as sc  # Python's own parser: no public name gives an expression's tree (tested with 3.11 to 3.13)
 import re._parser as sre
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -27,6 +28,8 @@ from .frames import rows, trim
 
 #: A query is None (everything), a trigram, or ("and" | "or", queries).
 Query = None | bytes | tuple
+#: Bytes of text whose trigrams are looked up at once.
+WINDOW = 4 << 20
 #: Alternatives that the exact strings of an expression are kept for.
 MAX_STRINGS = 64
 
@@ -37,19 +40,22 @@ class Rule:
     pattern: str
     flags: int = 0
     keep: Callable[[re.Match], bool] = field(default=lambda m: True, compare=False)
+    #: The same kept matches by an expression that does less work.
+    fast: str | None = None
 
 
 #: The base kinds, in the order of their names in reports.
 BASE = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: m.end(2) - m.start(2) >= 6),
     Rule("access", r"AKIA[A-Z0-9]+", re.A, lambda m: m.end() - m.start() >= 20),
-    Rule("hex", r"[0-9a-f]+", re.A, lambda m: m.end() - m.start() >= 24),
+    Rule("hex", r"[0-9a-f]+", re.A, lambda m: m.end() - m.start() >= 24, r"(?<![0-9a-f])[0-9a-f]{24,}"),
 )
 #: Kinds that the index makes cheap to add.
 MORE = (
     # Header lines, then up to the END line; without one, runs of base64 as long as keys have.
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----\s*(?>[A-Za-z][A-Za-z0-9-]*:(?:(?!-----)[^\r\n])*+[\r\n]\s*)*+(?:[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/]{16,}+={0,2})+(?:\s+[A-Za-z0-9+/]++={1,2})?)", re.A),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.A),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----\s*+(?>[A-Za-z][A-Za-z0-9-]*:(?:(?!-----)[^\r\n])*+[\r\n]\s*)*+(?:[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/]{16,}+={0,2})++(?:\s+[A-Za-z0-9+/]++={1,2})?)", re.A),
+    # From the start of a run only: else each eyJ in a long run would be tried up to its end.
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", re.A),
     Rule("url_login", r"://[^\s:@/]*:[^\s:@/]{3,}@[A-Za-z0-9.-]+", re.A),
 )
 RULES = BASE + MORE
@@ -149,8 +155,7 @@ class TrigramScanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.compiled = [re.compile(r.pattern, r.flags) for r in rules]
-        # A longer run of hex digits is found faster with its least length in the pattern; the kept matches are the same.
+        self.compiled = [re.compile(r.fast or r.pattern, r.flags) for r in rules]
         self.queries = [trigram_query(r) for r in rules]
         self.grams = sorted(set().union(*map(mentioned, self.queries)))
         self.number = np.zeros(1 << 24, np.uint8 if len(self.grams) < 255 else np.uint16)
@@ -158,16 +163,17 @@ class TrigramScanner:
             self.number[g[0] << 16 | g[1] << 8 | g[2]] = i + 1
         self.fold = np.arange(256, dtype=np.uint8)
         self.fold[65:91] += 32
-        self.is_hex = np.zeros(256, bool)
-        self.is_hex[[*b"0123456789abcdef"]] = True
 
     def postings(self, raw: np.ndarray, begins: np.ndarray) -> dict[bytes, np.ndarray]:
         """Texts of the batch that hold each trigram, ascending. begins: where each text starts in raw."""
-        low = self.fold[raw].astype(np.int32)
-        found = self.number[low[:-2] << 16 | low[1:-1] << 8 | low[2:]] if len(low) > 2 else np.zeros(0, np.uint8)
-        at = np.flatnonzero(found)
-        owner = np.searchsorted(begins, at, "right") - 1
-        keys = np.unique(found[at].astype(np.int64) * len(begins) + owner)
+        parts = [np.zeros(0, np.int64)]
+        for first in range(0, len(raw) - 2, WINDOW):
+            low = self.fold[raw[first : first + WINDOW + 2]].astype(np.int32)
+            found = self.number[low[:-2] << 16 | low[1:-1] << 8 | low[2:]]
+            at = np.flatnonzero(found)
+            owner = np.searchsorted(begins, at + first, "right") - 1
+            parts.append(np.unique(found[at].astype(np.int64) * len(begins) + owner))
+        keys = np.unique(np.concatenate(parts))
         gram, text = keys // len(begins), keys % len(begins)
         cuts = np.searchsorted(gram, np.arange(1, len(self.grams) + 2))
         return {g: text[cuts[i] : cuts[i + 1]] for i, g in enumerate(self.grams)}

@@ -6,8 +6,12 @@ metadata record holds the source's HTTP status and headers and what was found in
 conversion record (WARC-Concurrent-To); the conversion record holds the page's plain text in UTF-8. Record ids are
 made of the source's id, so a repeated run gives the same ids.
 
+Tags are looked for up to a page's last ">" only, and ends of comments, scripts and titles once: a page takes time in
+proportion to its length, whatever it holds.
+
 Null url is the empty URI; null html is an empty body, with an empty text. Records of other types and records that
-can't be read have no derivatives. Repeated rows give repeated records. Extra columns are ignored.
+can't be read have no derivatives; a body's chunks and compression are undone, one that can't be is taken as it is. Repeated rows give repeated
+records, rows of one page_id with different pages different ones. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,10 +21,11 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import rows, written
@@ -35,9 +40,14 @@ HEAD = re.compile(r"<head(?=[\s/>])[^>]*>(?>\s++|<title\b[^>]*>(?:(?!<head[\s/>]
 BREAKS = re.compile(r"<(?:/?(?:p|div|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|blockquote|pre|form|title)|br|hr)\b[^>]*>", re.I)
 TAGS = re.compile(r"<[!/?]?[A-Za-z][^>]*>")
 BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*\bhref\s*=", re.I)
+TITLE, TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
+ROOT, LANG = re.compile(r"<html\b[^>]*>", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+ANCHOR, HREF = re.compile(r"<a\b[^>]*>", re.I), re.compile(r"\bhref\s*=", re.I)
+#: Numbers of characters that no character has, and zeros before others.
+BEYOND, ZEROS = re.compile(r"&#0*[1-9][0-9]{7,};?"), re.compile(r"&#0+(?=[0-9])")
+CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
+#: Bytes to which a compressed body may unfold; a longer one is taken as it is.
+MOST_BODY = 1 << 30
 
 
 def digest_of(data: bytes) -> str:
@@ -58,24 +68,64 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_head(raw: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """First line, fields and the rest after the empty line; a line that begins with white space continues a field."""
+def decoded(raw: bytes) -> str:
+    """UTF-8, or Latin-1 where it isn't."""
+    try:
+        return raw.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+def parse_head(raw: bytes, strict: bool = True) -> tuple[str, list[tuple[str, str]], bytes]:
+    """First line, fields and the rest after the empty line; a line that begins with white space continues a field. Lines without colon are errors if strict, else left out."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
     if not gap:
         raise ValueError("no end of the header")
-    first, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    first, *lines = decoded(head).split("\r\n")
     fields: list[tuple[str, str]] = []
     for line in lines:
-        if line[:1] in " \t" and fields:
+        if line[:1] in (" ", "\t") and fields:
             fields[-1] = (fields[-1][0], f"{fields[-1][1]} {line.strip()}")
         else:
             name, colon, value = line.partition(":")
-            if not colon:
+            if colon:
+                fields.append((name.strip(), value.strip()))
+            elif strict:
                 raise ValueError("a header line without colon")
-            fields.append((name.strip(), value.strip()))
     return first, fields, rest
 
 
+def unchunked(body: bytes) -> bytes:
+    """The data of a body in chunks; the body itself where it isn't one."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return body
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return body
+
+
+def unfolded(body: bytes, coding: str) -> bytes:
+    """A body without its compression; the body itself where that isn't known or fails."""
+    bits = {"gzip": 31, "x-gzip": 31, "deflate": 47}.get(coding.strip().lower())
+    if bits is None:
+        return body
+    for wbits in (bits, -15):
+        try:
+            tool = zlib.decompressobj(wbits)
+            out = tool.decompress(body, MOST_BODY)
+            if tool.eof:
+                return out
+        except zlib.error:
+            continue
+    return body
+
+
 def parse_record(raw: bytes) -> tuple[list[tuple[str, str]], bytes]:
     """Fields and block of a record."""
     version, fields, rest = parse_head(raw)
@@ -93,27 +143,59 @@ def response_record(key: str, url: str | None, page: str | None) -> bytes:
     return record(fields, http + body)
 
 
+def tags_end(page: str) -> int:
+    """Where tags can't be any more: after the last ">"."""
+    return page.rfind(">") + 1
+
+
 def shown(page: str) -> str:
     """page without comments, scripts, styles, templates and heads. Only scripts and styles without an end run to the end of the page."""
-    out, at, look, endless = [], 0, 0, set()
-    while m := HIDDEN.search(page, look):
+    out, at, look, endless, last = [], 0, 0, set(), tags_end(page)
+    while m := HIDDEN.search(page, look, last):
         name = (m[1] or "").lower()
-        end = None if name in endless else HIDDEN_END[name].search(page, m.end())
+        end = None if name in endless else HIDDEN_END[name].search(page, m.end(), last)
         if not end and name not in ("script", "style"):
             endless.add(name)
             look = m.end()
             continue
         out.append(page[at : m.start()])
         at = look = end.end() if end else len(page)
-    return HEAD.sub(" ", " ".join([*out, page[at:]]))
+    return without(HEAD, " ", " ".join([*out, page[at:]]))
+
+
+def without(pattern: re.Pattern, new: str, page: str) -> str:
+    """page with each match before the end of tags replaced."""
+    last = tags_end(page)
+    return pattern.sub(new, page[:last]) + page[last:]
+
+
+def characters(text: str) -> str:
+    """text with character references resolved."""
+    return html.unescape(BEYOND.sub("\ufffd", ZEROS.sub("&#", text))) if "&" in text else text
 
 
 def plain_text(page: str) -> str:
     """Visible text: no comments, scripts or heads; a line for each block, blanks pressed together, no empty lines."""
-    text = html.unescape(TAGS.sub("", BREAKS.sub("\n", shown(page))))
+    text = characters(without(TAGS, "", without(BREAKS, "\n", shown(page))))
     return "\n".join(x for x in (BLANKS.sub(" ", line).strip() for line in text.split("\n")) if x)
 
 
+def title_of(page: str) -> str:
+    """The first title's text; an unfinished one is none."""
+    last = tags_end(page)
+    if not (begin := TITLE.search(page, 0, last)) or not (end := TITLE_END.search(page, begin.end(), last)):
+        return ""
+    return " ".join(characters(without(TAGS, "", page[begin.end() : end.start()])).split())
+
+
+def language_of(page: str) -> str:
+    """The language that the first html element with one names."""
+    for tag in ROOT.finditer(page, 0, tags_end(page)):
+        if found := LANG.search(tag[0]):
+            return found[1].lower()
+    return ""
+
+
 def derivatives(raw: bytes | None) -> list[dict]:
     """The metadata and the conversion record of a response record; none of anything else."""
     try:
@@ -121,23 +203,25 @@ def derivatives(raw: bytes | None) -> list[dict]:
         source = {k.lower(): v for k, v in fields}
         if source["warc-type"] != "response":
             return []
-        status, headers, body = parse_head(block)
+        status, headers, body = parse_head(block, False)
         ref = source["warc-record-id"]
     except (ValueError, KeyError):
         return []
-    charset = re.search(r"charset=[\"']?([\w.:-]+)", dict((k.lower(), v) for k, v in headers).get("content-type", ""))
+    known = {k.lower(): v for k, v in headers}
+    sent = unfolded(unchunked(body) if "chunked" in known.get("transfer-encoding", "").lower() else body, known.get("content-encoding", ""))
+    charset = CHARSET.search(known.get("content-type", ""))
     try:
-        page = body.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
+        page = sent.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, ValueError):
+        page = sent.decode("utf-8", "replace")
     text = plain_text(page)
-    data = text.encode()
+    data = text.encode("utf-8", "replace")
     kept = [("WARC-Refers-To", ref), *((k, source[k.lower()]) for k in ("WARC-Target-URI", "WARC-Date") if k.lower() in source)]
     source_digests = [(f"WARC-Source-{k}", source[f"warc-{k.lower()}"]) for k in ("Payload-Digest", "Block-Digest") if f"warc-{k.lower()}" in source]
     ids = {kind: record_id(f"{kind} {ref}") for kind in ("metadata", "conversion")}
-    title, lang = TITLE.search(page), LANG.search(page)
-    notes = [("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in headers), ("source-payload-digest", source.get("warc-payload-digest", digest_of(body))), ("title", " ".join(html.unescape(TAGS.sub("", title[1])).split()) if title else ""), ("language", lang[1].lower() if lang else ""), ("outlinks", str(len(LINK.findall(page)))), ("text-length", str(len(text)))]
-    about = "".join(f"{k}: {field(v)}\r\n" for k, v in notes).encode("utf-8", "surrogatepass")
+    links = sum(1 for tag in ANCHOR.finditer(page, 0, tags_end(page)) if HREF.search(tag[0]))
+    notes = [("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in headers), ("source-payload-digest", source.get("warc-payload-digest", digest_of(body))), ("title", title_of(page)), ("language", language_of(page)), ("outlinks", str(links)), ("text-length", str(len(text)))]
+    about = "".join(f"{k}: {field(v)}\r\n" for k, v in notes).encode("utf-8", "replace")
     out = []
     for kind, media, content, more in (("metadata", "application/warc-fields", about, [("WARC-Concurrent-To", ids["conversion"])]), ("conversion", "text/plain; charset=utf-8", data, [])):
         digests = [("WARC-Block-Digest", digest_of(content)), *source_digests]
@@ -146,6 +230,43 @@ def derivatives(raw: bytes | None) -> list[dict]:
     return out
 
 
+def split_records(raw: bytes) -> Iterator[bytes]:
+    """The records of a WARC file's bytes, plain or with a gzip member for each record; what comes after a broken record is left out."""
+    if raw[:2] == b"\x1f\x8b":
+        while raw[:2] == b"\x1f\x8b":
+            tool = zlib.decompressobj(31)
+            try:
+                member = tool.decompress(raw)
+            except zlib.error:
+                return
+            if not tool.eof:
+                return
+            yield from split_records(member)
+            raw = tool.unused_data
+        return
+    at = 0
+    while (gap := raw.find(b"\r\n\r\n", at)) >= 0:
+        length = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", raw[at:gap])
+        end = gap + 4 + int(length[1]) if length and raw.startswith(b"WARC/", at) else len(raw) + 1
+        if end > len(raw):
+            return
+        yield raw[at:end] + b"\r\n\r\n"
+        at = end
+        while raw[at : at + 2] == b"\r\n":
+            at += 2
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """page_id (the record's number in its file), file, record: all records of WARC files, as `build_derivatives` takes them. A file must fit into a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, contents in rows(batches, 1):
+            for k, found in enumerate(split_records(contents[0])):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array(names), pa.array([found], pa.binary())], ["page_id", "file", "record"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "page_id long, file string, record binary")
+
+
 _NAMES = ("record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", "content_length", "content", "record")
 
 
