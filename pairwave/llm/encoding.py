@@ -71,12 +71,12 @@ class PieceTable:
         self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
         self.entry = np.zeros(1 << TABLE_BITS, np.int32)
         self.count = 0
-        self.starts = np.zeros(1 << 16, np.int64)
+        self.starts = np.zeros(1 << 16, np.int32)
         self.sizes = np.zeros(1 << 16, np.int32)  # -1: a part with this piece is encoded whole
         self.ids = np.zeros(1 << 18, self.dtype)
         self.used = 0
-        self.begins = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int64)
+        self.begins = np.zeros(1 << 16, np.int32)
+        self.lengths = np.zeros(1 << 16, np.int32)
         self.bytes = np.zeros(1 << 20, np.uint8)
         self.filled = 0
         self.clashes: dict[bytes, int] = {}
@@ -137,7 +137,7 @@ class PieceTable:
         self.ids[self.used : room] = ids
         self.lengths[new] = ends - starts
         self.begins[new] = self.filled + np.cumsum(ends - starts) - (ends - starts)
-        self.bytes[self.filled : upto] = raw[np.repeat(starts - (self.begins[new] - self.filled), ends - starts) + np.arange(upto - self.filled)]
+        self.bytes[self.filled : upto] = raw[np.repeat(starts + self.filled - self.begins[new], ends - starts) + np.arange(upto - self.filled)]
         if clash:
             for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
                 self.clashes[raw[a:b].tobytes()] = self.count + k
@@ -257,7 +257,7 @@ class MemoEncoder:
 
     def _entries(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table's entries of all pieces; new ones are learned first."""
-        power, inverse = _powers(LONG_PART)
+        power, inverse = _powers(max(3 * CHUNK_BYTES, len(raw)))
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
         keys = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)

@@ -124,13 +124,18 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, tie long")
 
 
-def id_ranks(tokens: DataFrame, tokenizer: str) -> DataFrame:
+def id_type(tokenizer: str) -> str:
+    """The NumPy type of a tokenizer's ids, so that workers that only handle ids don't load it."""
+    return encoder(tokenizer).dtype.str
+
+
+def id_ranks(tokens: DataFrame, dtype: str) -> DataFrame:
     """id, n, rank: ids by falling count over all documents, then by id. At most as many rows as the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, total = encoder(tokenizer), np.zeros(0, np.int64)
+        total = np.zeros(0, np.int64)
         for (ids,) in rows(batches):
-            seen = np.bincount(np.frombuffer(b"".join(ids), enc.dtype))
+            seen = np.bincount(np.frombuffer(b"".join(ids), dtype))
             if len(seen) > len(total):
                 seen, total = total, seen
             total[: len(seen)] += seen
@@ -142,7 +147,7 @@ def id_ranks(tokens: DataFrame, tokenizer: str) -> DataFrame:
     return counts.select("id", "n", (F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).cast("long").alias("rank"))
 
 
-def write_shards(tokens: DataFrame, ranks: DataFrame, tokenizer: str) -> DataFrame:
+def write_shards(tokens: DataFrame, ranks: DataFrame, dtype: str) -> DataFrame:
     """part, seq, n_docs, n_tokens, blob: shards in ascending doc_id order (by part, then seq), written and read back."""
     spark = tokens.sparkSession
     table = ranks.select("id", "rank").toArrow()  # at most the vocabulary
@@ -156,11 +161,11 @@ def write_shards(tokens: DataFrame, ranks: DataFrame, tokenizer: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, (lookup, names), part = encoder(tokenizer), shared.value, TaskContext.get().partitionId()
+        (lookup, names), part = shared.value, TaskContext.get().partitionId()
         doc_ids, counts, held, seq, size = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), enc.dtype)
+            ids = np.frombuffer(b"".join(held), dtype)
             blob = shard_bytes(doc_ids, counts, lookup[ids], names)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "blob"])
 
@@ -190,8 +195,9 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     return written(starts.join(before, F.col("part") == F.col("_part")).select("part", "seq", (F.col("_before") + F.col("_within")).alias("start")), "token-starts")
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids (bytes of unsigned 32-bit ids), shard: each document from its shard's bytes."""
+def read_documents(shards: DataFrame, sums: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids (bytes of unsigned 32-bit ids) or with sums ids_crc32 (their CRC-32), shard: each document from its shard's bytes."""
+    name, kind = ("ids_crc32", "long") if sums else ("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, seq, start, blob in rows(batches, 1):
@@ -201,20 +207,21 @@ def read_documents(shards: DataFrame) -> DataFrame:
             while at < len(doc_ids):
                 to = max(at + 1, min(at + 512, int(np.searchsorted(ends, begins[at] + PART, "right"))))
                 sl, at = slice(at, to), to
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids[sl], pa.int64()), pa.array(begins[sl] + start[0]), pa.array(counts[sl]), pa.array([raw[4 * b : 4 * e] for b, e in zip(begins[sl].tolist(), ends[sl].tolist(), strict=True)], pa.binary()), pa.array([f"{part[0]:06d}-{seq[0]:06d}"] * (sl.stop - sl.start))],
-                    ["doc_id", "start", "n_tokens", "ids", "shard"],
-                )
+                found = [raw[4 * b : 4 * e] for b, e in zip(begins[sl].tolist(), ends[sl].tolist(), strict=True)]
+                found = pa.array(map(zlib.crc32, found), pa.int64()) if sums else pa.array(found, pa.binary())
+                cells = [pa.array(doc_ids[sl], pa.int64()), pa.array(begins[sl] + start[0]), pa.array(counts[sl]), found, pa.array([f"{part[0]:06d}-{seq[0]:06d}"] * (sl.stop - sl.start))]
+                yield pa.RecordBatch.from_arrays(cells, ["doc_id", "start", "n_tokens", name, "shard"])
+            trim()
 
     whole = shards.select("part", "seq", "blob").join(shard_starts(shards), ["part", "seq"]).select("part", "seq", "start", "blob")
-    return whole.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, shard string")
+    return whole.mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {kind}, shard string")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """The written shards."""
     tokens = written(encode_documents(docs, tokenizer, end_id), "token-ids")
-    ranks = written(id_ranks(tokens, tokenizer), "token-ranks")
-    return write_shards(tokens, ranks, tokenizer)
+    ranks = written(id_ranks(tokens, id_type(tokenizer)), "token-ranks")
+    return write_shards(tokens, ranks, id_type(tokenizer))
 
 
 def write_files(shards: DataFrame, folder: str) -> DataFrame:
@@ -255,11 +262,4 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def digest(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, shard: from the files."""
-    shards = token_files(docs, tokenizer, end_id)
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(x.as_buffer()) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64()), batch.column("shard")], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
-
-    return read_documents(shards).mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    return read_documents(token_files(docs, tokenizer, end_id), True)
