@@ -7,12 +7,13 @@ of two fingerprints is the share of equal bins, corrected for bins that are equa
 
 Words are lower-cased and cut at ASCII white space; a text of fewer than five words has one shingle, all its words.
 Null text is the empty text. Texts without words have an empty fingerprint: likeness 1 to each other, 0 to others.
-Rows go by descending doc_id, null last, equal ids by text; a single row follows itself. An empty table gives
-no rows; extra columns are ignored.
+Rows go by descending doc_id, null last, equal ids by a hash of their text, then by text; a single row follows itself. An empty table gives
+no rows; extra columns are ignored. A very long text is one value of an expression: its hashes must fit into a task.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,9 +24,9 @@ from .frames import written
 
 WORDS, BIN_BITS, BITS = 5, 7, 8
 BINS = 1 << BIN_BITS
-#: Rows that a range of doc_ids should hold, and ranges at most (a multiple of GROUPS).
+#: Rows that a range of doc_ids should hold, and ranges that are told apart by one list of bounds (a multiple of GROUPS).
 RANGE_ROWS, GROUPS = 2000, 128
-MOST_RANGES = GROUPS * GROUPS
+COARSE = GROUPS * GROUPS
 NO_ID = -(1 << 63)
 
 
@@ -84,15 +85,47 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(estimate)
 
 
+def _below(bounds: Column, key: Column) -> Column:
+    return F.size(F.filter(bounds, lambda b: b < key))
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<bigint>")
+
+
 def _range_of(key: Column, bounds: list[int]) -> Column:
-    """How many bounds are below key, found in two steps of at most GROUPS comparisons."""
-    below = lambda x: F.size(F.filter(x, lambda b: b < key))
+    """How many bounds are below key, found in two steps of some GROUPS comparisons."""
     if len(bounds) < GROUPS:
-        return below(F.array(*map(F.lit, bounds)).cast("array<bigint>")) if bounds else F.lit(0)
+        return _below(_longs(bounds), key) if bounds else F.lit(0)
     parts = [bounds[i : i + GROUPS] for i in range(0, len(bounds), GROUPS)]
-    fine = F.array(*[F.array(*map(F.lit, p)).cast("array<bigint>") for p in parts])
-    coarse = F.array(*[F.lit(p[-1]) for p in parts[:-1]]).cast("array<bigint>")
-    return let(below(coarse), lambda g: g * GROUPS + below(F.get(fine, g)))
+    fine = F.array(*map(_longs, parts))
+    return let(_below(_longs([p[-1] for p in parts[:-1]]), key), lambda g: g * GROUPS + _below(F.get(fine, g), key))
+
+
+def ranged(base: DataFrame, rows: int) -> DataFrame:
+    """base with _range, which rises with (_key, _tie): about RANGE_ROWS rows each.
+
+    Bounds are percentiles of _key, COARSE at most; beyond that number each such range is cut again by its own percentiles. A key
+    that fills several ranges is cut by _tie, a hash that spreads evenly, into as many parts.
+    """
+    wanted = max(64, -(-rows // RANGE_ROWS))
+    coarse = min(COARSE, wanted)
+    cuts = sorted(base.agg(F.percentile_approx("_key", [k / coarse for k in range(1, coarse)], 10 * coarse)).first()[0] or [])
+    bounds = sorted(set(cuts))
+    out = base.withColumn("_first", _range_of(F.col("_key"), bounds))
+    fine = min(GROUPS, -(-wanted // coarse))
+    if fine > 1:
+        # A list for each coarse range: at most COARSE x GROUPS numbers.
+        lists = written(out.groupBy("_first").agg(F.percentile_approx("_key", [k / fine for k in range(1, fine)], 10 * fine).alias("_cuts")), "range-cuts")
+        lists = lists.select(F.col("_first").alias("_f"), F.array_sort(F.array_distinct("_cuts")).alias("_cuts"))
+        out = out.join(F.broadcast(lists), F.col("_first") == F.col("_f")).withColumn("_second", _below(F.col("_cuts"), F.col("_key"))).drop("_f", "_cuts")
+    else:
+        out = out.withColumn("_second", F.lit(0))
+    # Keys that several cuts name: as many as there are cuts at most.
+    heavy = {k: n * fine for k, n in Counter(cuts).items() if n > 1}
+    parts = F.coalesce(F.try_element_at(F.map_from_arrays(_longs([*heavy]), _longs([*heavy.values()])), F.col("_key")), F.lit(1)) if heavy else F.lit(1)
+    third = F.floor((F.shiftright("_tie", 32) + (1 << 31)) * parts / float(1 << 32)).cast("long")
+    return out.withColumn("_range", (F.col("_first").cast("long") * (2 * GROUPS) + F.col("_second")) * (1 << 24) + third).drop("_first", "_second")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -102,21 +135,21 @@ def with_next(docs: DataFrame) -> DataFrame:
     spans more than a range.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = base.count()
-    ranges = min(MOST_RANGES, max(64, -(-rows // RANGE_ROWS)))
-    # As many numbers as there are ranges.
-    cuts = base.agg(F.percentile_approx("_key", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
-    bounds = sorted(set(cuts))
-    base = base.withColumn("_range", _range_of(F.col("_key"), bounds))
-    # The first row of each range: at most as many rows as there are ranges.
-    heads = written(base.groupBy("_range").agg(F.max("_key").alias("_key")), "range-heads")
-    texts = base.join(F.broadcast(heads), ["_range", "_key"]).groupBy("_range").agg(F.min("text").alias("text"))
-    every = Window.orderBy(F.desc("_range"))
-    follow = texts.select("_range", F.coalesce(F.lead("text").over(every), F.first("text").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("text"))
-    follow = follow.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("_key"), "text", "_range", F.lit(1).alias("_after"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
+    base = ranged(base, base.count())
+    # The first row of each range: at most as many rows as there are ranges. Ties go from the greatest hash on, as keys do.
+    first = F.struct("_key", "_tie")
+    heads = written(base.groupBy("_range").agg(F.max(first).alias("_head")), "range-heads").select(F.col("_range").alias("_r"), "_head")
+    texts = base.join(F.broadcast(heads), (F.col("_range") == F.col("_r")) & (first == F.col("_head"))).groupBy("_range").agg(F.min("text").alias("text"))
+    order = Window.orderBy(F.desc("_range"))  # rows are ranges
+    after = texts.select("_range", F.lead("_range").over(order).alias("_after"))
+    top = written(after, "range-order")
+    start = texts.select(F.col("_range").alias("_s"), "text")
+    greatest = top.agg(F.max("_range").alias("_top"))
+    follow = top.crossJoin(F.broadcast(greatest)).select("_range", F.coalesce("_after", "_top").alias("_s")).join(start, "_s")  # one row joined to each
+    follow = follow.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("_key"), "text", F.lit(0).cast("long").alias("_tie"), "_range", F.lit(1).alias("_after"))
     both = base.withColumn("_after", F.lit(0)).unionByName(follow).withColumn("print", fingerprint(F.col("text")))
-    order = Window.partitionBy("_range").orderBy("_after", F.desc("_key"), "text")
+    order = Window.partitionBy("_range").orderBy("_after", F.desc("_key"), F.desc("_tie"), "text")
     out = both.withColumn("next_text", F.lead("text").over(order)).withColumn("next_print", F.lead("print").over(order))
     return out.where("_after = 0").select("doc_id", "text", "print", "next_text", "next_print")
 

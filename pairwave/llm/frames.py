@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from pyspark.sql import types as T
 
 #: Rows turned into Python objects at once inside an Arrow function.
 SLICE_ROWS = 512
+#: Characters of a text that are cut into words at once.
+WORD_CHARS = 1 << 20
+_SPACE = re.compile(r"\s")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,3 +120,36 @@ def fresh(df: DataFrame, name: str) -> str:
 def crc32(text: str) -> "F.Column":
     """Unsigned CRC-32 of a string column's UTF-8 bytes; null counts as empty."""
     return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def words_in_parts(text: str) -> Iterator[list[str]]:
+    """text.lower().split(), a part of a very long text at a time."""
+    at = 0
+    while len(text) - at > 2 * WORD_CHARS and (gap := _SPACE.search(text, at + WORD_CHARS)):
+        yield text[at : gap.start()].lower().split()
+        at = gap.start()
+    yield (text[at:] if at else text).lower().split()
+
+
+def hashed_words(texts: list[str | None], memo: dict[str, int], most: int, hash_of: Callable[[bytes], int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased words, text after text, and how many each text has. memo: hashes of known words, cleared beyond `most`."""
+    parts, held, size, lengths = [np.zeros(0, np.uint64)], [], 0, np.zeros(len(texts), np.int64)
+
+    def flush() -> None:
+        if len(memo) > most:
+            memo.clear()
+        for w in set().union(*held) - memo.keys():
+            memo[w] = hash_of(w.encode("utf-8", "surrogatepass"))
+        get = memo.__getitem__
+        parts.append(np.fromiter((get(w) for ws in held for w in ws), np.uint64, sum(map(len, held))))
+
+    for i, text in enumerate(texts):
+        for words in words_in_parts(text or ""):
+            held.append(words)
+            lengths[i] += len(words)
+            size += len(words)
+            if size > WORD_CHARS:
+                flush()
+                held, size = [], 0
+    flush()
+    return np.concatenate(parts), lengths

@@ -12,6 +12,7 @@ Words are lower-cased and cut at white space; a text of fewer than n words has o
 the empty text. Texts without words are copies of equal texts only. Null doc_ids count below all others. Texts are told
 apart by their hashes, whatever their ids: rows with the same doc_id, or with none, have links of their own where their texts
 differ, and a repeated row is one text. An empty table gives no rows; extra columns are ignored. Ties go to the least doc_id, then to the least text hash.
+Very long texts are cut and hashed in parts; a bucket's blocks hold a bounded number of texts and of n-grams.
 """
 
 from __future__ import annotations
@@ -25,13 +26,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fresh, rows, written
+from .frames import forget, fresh, hashed_words, made, rows, written
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: Texts in a block of a bucket.
-BLOCK = 512
-#: Rows of the needed-texts table up to which it is broadcast (at most some 100 bytes each); beyond, it is shuffled.
-BROADCAST_ROWS = 100_000
+#: Texts in a block of a bucket, and n-grams that their full sets should have together.
+BLOCK, BLOCK_GRAMS = 512, 4 << 20
+#: Bytes of the needed-texts table up to which it is broadcast; beyond, it is shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of n-gram sets after which a batch goes on.
+FLUSH_BYTES = 4 << 20
+#: N-grams hashed at once.
+PART = 1 << 20
 #: Dropped rows (an id and a text hash, 24 bytes each) up to which they are broadcast to the filter; beyond, they are shuffled.
 DROPPED_ROWS = 600_000
 #: Stands for a null doc_id.
@@ -69,23 +74,16 @@ _words: dict[str, int] = {}
 
 def shingles(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams, text after text (with repetitions), and how many each text has."""
-    if len(_words) > WORD_MEMO:
-        _words.clear()
-    cut = [(t or "").lower().split() for t in texts]
-    for w in set().union(*cut) - _words.keys():
-        _words[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    get = _words.__getitem__
-    words = np.fromiter((get(w) for ws in cut for w in ws), np.uint64, sum(map(len, cut)))
-    lengths = np.array([len(ws) for ws in cut], np.int64)
+    words, lengths = hashed_words(texts, _words, WORD_MEMO, xxhash.xxh3_64_intdigest)
     counts = np.where(lengths >= n, lengths - n + 1, np.minimum(lengths, 1))
     factor = _odd(5, n)
-    if len(words) >= n:
-        total = len(words) - n + 1
-        windows = sum(words[k : k + total] * factor[k] for k in range(n))
-    else:
-        windows = np.zeros(0, np.uint64)
+    windows = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for k in range(n if len(windows) else 0):
+        windows += words[k : k + len(windows)] * factor[k]
     begins = np.cumsum(lengths) - lengths
     long = lengths >= n
+    if len(texts) == 1 and long[0]:
+        return mix(windows), counts
     take = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     out = np.empty(len(take), np.uint64)
     is_long = np.repeat(long, counts)
@@ -104,15 +102,18 @@ def signatures(grams: np.ndarray, counts: np.ndarray, bands: int, width: int) ->
         return out.view(np.int64)
     starts = (np.cumsum(counts) - counts)[full]
     a, b, c = _odd(7, bands * width), _odd(11, bands * width), _odd(13, width)
-    least = np.empty((bands * width, len(full)), np.uint64)
-    # A few texts at a time, so that their n-grams stay in the processor's cache.
+    least = np.full((bands * width, len(full)), np.iinfo(np.uint64).max, np.uint64)
+    # A few texts at a time, so that their n-grams stay in the processor's cache; a very long one in parts.
     at = 0
     while at < len(full):
         to = max(at + 1, int(np.searchsorted(starts, starts[at] + 30_000)))
-        end = starts[to] if to < len(full) else len(grams)
-        part, own = grams[starts[at] : end], starts[at:to] - starts[at]
-        for k in range(bands * width):
-            least[k, at:to] = np.minimum.reduceat(part * a[k] + b[k] >> np.uint64(32), own)
+        end = int(starts[to]) if to < len(full) else len(grams)
+        for begin in range(int(starts[at]), end, PART if to == at + 1 else end):
+            part = grams[begin : min(end, begin + PART) if to == at + 1 else end]
+            own = starts[at:to] - starts[at]
+            for k in range(bands * width):
+                found = np.minimum.reduceat(part * a[k] + b[k] >> np.uint64(32), own)
+                np.minimum(least[k, at:to], found, out=least[k, at:to])
         at = to
     for k in range(bands):
         out[full, k] = mix(sum(least[k * width + j] * c[j] for j in range(width)) + np.uint64(k))
@@ -141,24 +142,24 @@ def id_of(node: str) -> Column:
 
 
 def text_signatures(docs: DataFrame, n: int, bands: int, width: int) -> DataFrame:
-    """id, text_key (128-bit hash of the text), bands (8 bytes each; empty without words)."""
+    """id, text_key (128-bit hash of the text), bands (8 bytes each; empty without words), grams (how many n-grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, keys, texts in rows(batches, 256):
             grams, counts = shingles(texts, n)
             signed = signatures(grams, counts, bands, width)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([s.tobytes() if c else b"" for s, c in zip(signed, counts.tolist(), strict=True)], pa.binary())], ["id", "text_key", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([s.tobytes() if c else b"" for s, c in zip(signed, counts.tolist(), strict=True)], pa.binary()), pa.array(counts)], ["id", "text_key", "bands", "grams"])
 
-    return docs.select(known_id().alias("id"), key_of_text().alias("text_key"), "text").mapInArrow(run, "id long, text_key binary, bands binary")
+    return docs.select(known_id().alias("id"), key_of_text().alias("text_key"), "text").mapInArrow(run, "id long, text_key binary, bands binary, grams long")
 
 
 def text_classes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """text_key, first (its least id), copies for each text; rep (its node), bands, own (rows with that id and text) for each text with words."""
+    """text_key, first (its least id), copies for each text; rep (its node), bands, grams, own (rows with that id and text) for each text with words."""
     classes = written(signed.groupBy("text_key").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "text-classes")
     # Joined on the id as well, so copies of one text aren't one task.
-    own = signed.select("id", F.col("text_key").alias("_key"), "bands")
+    own = signed.select("id", F.col("text_key").alias("_key"), "bands", "grams")
     reps = classes.join(own, (F.col("text_key") == F.col("_key")) & (F.col("first") == F.col("id"))).where(F.length("bands") > 0)
-    return classes, reps.groupBy(node_of(F.col("first"), F.col("text_key")).alias("rep"), "bands").agg(F.count("*").alias("own"))
+    return classes, reps.groupBy(node_of(F.col("first"), F.col("text_key")).alias("rep"), "bands", "grams").agg(F.count("*").alias("own"))
 
 
 def by_unit(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple, list[list]]]:
@@ -198,9 +199,10 @@ def _sides(lo: int, hi: int, blocks: list[int]) -> np.ndarray | None:
 def candidate_units(reps: DataFrame) -> DataFrame:
     """band, hash, lo, hi, block, rep, bands: the texts of each pair of blocks of each bucket with two texts at least."""
     places = F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("bands") / 8).cast("int") - 1), lambda k: F.substring(F.col("bands"), (k * 8 + 1).cast("int"), F.lit(8))))
-    single = reps.select(places.alias("band", "hash"), "rep", "bands")
-    full = single.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    single = reps.select(places.alias("band", "hash"), "rep", "bands", "grams")
+    full = single.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("grams").alias("all")).where("n > 1")
+    # Texts of a block are chosen by hash, so their n-grams are near BLOCK_GRAMS together, or those of one text.
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_GRAMS)).cast("int")
     member = single.join(full, ["band", "hash"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return member.select("band", "hash", "block", "rep", "bands", other.alias("o")).select("band", "hash", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", "rep", "bands")
@@ -242,7 +244,8 @@ def with_sets(docs: DataFrame, needed: DataFrame, reps: DataFrame, n: int) -> Da
     units = needed.groupBy("rep", "bands").agg(F.collect_list(F.struct(*_UNIT, "block")).alias("units"))
     repeated = reps.where("own > 1").select(F.col("rep").alias("_rep"), "own")
     units = written(units.join(repeated, F.col("rep") == F.col("_rep"), "left").drop("_rep"), "needed-texts")
-    side = F.broadcast(units) if units.count() <= BROADCAST_ROWS else units
+    size = units.agg(F.sum(F.lit(64) + F.length("rep") + F.length("bands") + 64 * F.size("units"))).first()[0] or 0
+    side = F.broadcast(units) if size <= BROADCAST_BYTES else units
     joined = docs.select(node_of(known_id(), key_of_text()).alias("node"), "text").join(side, F.col("node") == F.col("rep")).select("rep", "bands", "units", "text", "own")
     if not units.where("own is not null").isEmpty():
         # Of a repeated row one goes on; only such rows are shuffled for it.
@@ -250,14 +253,25 @@ def with_sets(docs: DataFrame, needed: DataFrame, reps: DataFrame, n: int) -> Da
     joined = joined.drop("own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rep, signed, where, texts in rows(batches, 128):
+        out, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [*_UNIT, "block", "rep", "bands", "grams"])
+
+        for rep, signed, where, texts in rows(batches, 64):
             grams, counts = shingles(texts, n)
             ends = np.cumsum(counts)
-            sets = [np.unique(grams[e - c : e]).tobytes() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
-            flat = [(u["band"], u["hash"], u["lo"], u["hi"], u["block"], r, s, g) for r, s, us, g in zip(rep, signed, where, sets, strict=True) for u in us]
-            for at in range(0, len(flat), 256):
-                kinds = (pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*flat[at : at + 256], strict=True), kinds, strict=True)], [*_UNIT, "block", "rep", "bands", "grams"])
+            for r, s, units_, c, e in zip(rep, signed, where, counts.tolist(), ends.tolist(), strict=True):
+                found = np.unique(grams[e - c : e]).tobytes()
+                for u in units_:
+                    out.append((u["band"], u["hash"], u["lo"], u["hi"], u["block"], r, s, found))
+                    size += len(found) + len(s)
+                    if size > FLUSH_BYTES:
+                        yield batch()
+                        out, size = [], 0
+        if out:
+            yield batch()
 
     return joined.mapInArrow(run, "band int, hash binary, lo int, hi int, block int, rep binary, bands binary, grams binary")
 
@@ -341,6 +355,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of edges (node, root)."""
     edges = written(edges.where("node <> root").select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).distinct(), "edges")
     seen = None
+    mine = made()[-1:]
     while True:
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(state) == seen:
@@ -357,6 +372,9 @@ def components(edges: DataFrame) -> DataFrame:
                 edges = joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
             edges = edges.where("u <> v").distinct()
         edges = written(edges, "edges")
+        # Nothing reads the round before any more.
+        forget(edges.sparkSession, mine)
+        mine = made()[-1:]
 
 
 def _prepared(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -411,6 +429,11 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     dropped = written(classes.where("not _first").select(F.col("_node").alias(gone)).distinct(), "dropped")
     side = F.broadcast(dropped) if dropped.count() <= DROPPED_ROWS else dropped
     out = docs.join(side, node == F.col(gone), "left_anti")
-    if classes.where("_first").groupBy("_node").count().where("count > 1").isEmpty():
+    repeated = written(classes.where("_first").groupBy(F.col("_node").alias(gone)).count().where("count > 1").select(gone), "repeated")
+    if repeated.isEmpty():
         return out
-    return out.withColumn(gone, node).dropDuplicates([gone]).drop(gone)
+    # Of rows with one id and text, the one whose columns have the least hash: whatever the order, the same row stays.
+    side = F.broadcast(repeated) if repeated.count() <= DROPPED_ROWS else repeated
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = out.join(side, node == F.col(gone)).groupBy(gone).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return out.join(side, node == F.col(gone), "left_anti").union(chosen.select("_row.*"))

@@ -13,12 +13,13 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pairwave.llm import bpe, encoding, fingerprints, gif, ngrams, packing, quality, secrets, sharding, varint, warc
+from pairwave.llm import bpe, encoding, fingerprints, frames, gif, ngrams, packing, quality, secrets, sharding, varint, warc
 
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
 SLOW = dict(deadline=None, suppress_health_check=list(HealthCheck))
@@ -377,7 +378,7 @@ def test_token_files(docs, none, texts, word, monkeypatch, tmp_path):
     assert [(r["doc_id"] is not None, r["doc_id"] or 0) for r in rows] == [k for k, _ in want]
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in rows) == sorted((str(k[1] if k[0] else None), len(b) // 4, zlib.crc32(b)) for k, b in want)
     counts = Counter(int(x) for _, b in want for x in np.frombuffer(b, "<u4"))
-    order = [r["id"] for r in varint.id_ranks(varint.encode_documents(docs, WORD, 2), WORD).orderBy("rank").collect()]
+    order = [r["id"] for r in varint.id_ranks(varint.encode_documents(docs, WORD, 2), varint.id_type(WORD)).orderBy("rank").collect()]
     assert order == sorted(counts, key=lambda i: (-counts[i], i))
     assert varint.digest(none, WORD).count() == 0
     # Files of their own, read without the table of ranks.
@@ -477,7 +478,8 @@ def plain_shingles(text):
 
 def test_fingerprints(docs, none, texts):
     rows = fingerprints.digest(docs).collect()
-    order = sorted(texts, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    ties = {t or "": h for t, h in docs.select("text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    order = sorted(texts, key=lambda x: (x[0] is None, -(x[0] or 0), -ties[x[1]], x[1]))
     want = []
     for k, (i, t) in enumerate(order):
         nxt = order[(k + 1) % len(order)][1]
@@ -490,6 +492,77 @@ def test_fingerprints(docs, none, texts):
     assert fingerprints.digest(none).count() == 0
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_xxhash64(data, seed=42):
+    """Spark's hash of bytes is xxHash64 with this seed."""
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def spark_hash_of_longs(values):
+    """xxhash64 of an array of longs: each element's eight bytes, seeded by the hash so far."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest((v & MASK).to_bytes(8, "little"), seed)
+    return seed
+
+
+def plain_fingerprint(text):
+    """One-permutation MinHash by its definition: the least hash of each bin, empty bins from the filled bin that is first in an order of theirs."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    words = [plain_xxhash64(w.encode()) for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+    n = fingerprints.WORDS
+    grams = [words[i : i + n] for i in range(len(words) - n + 1)] if len(words) >= n else [words] if words else []
+    bins = {}
+    for gram in grams:
+        h = signed(spark_hash_of_longs(gram))
+        b = (h >> 64 - fingerprints.BIN_BITS) + fingerprints.BINS // 2
+        bins[b] = min(h, bins.get(b, h))
+    if not bins:
+        return ""
+
+    def turn(empty, b):
+        # xxhash64 of two ints: each one's four bytes.
+        seed = xxhash.xxh64_intdigest(empty.to_bytes(4, "little"), 42)
+        return signed(xxhash.xxh64_intdigest(b.to_bytes(4, "little"), seed))
+
+    values = [bins[b] if b in bins else min((turn(b, c), bins[c]) for c in bins)[1] for b in range(fingerprints.BINS)]
+    return "".join(f"{v & 255:02x}" for v in values)
+
+
+def test_fingerprints_against_a_plain_version(spark, data, texts):
+    rng = np.random.default_rng(6)
+    sample = [t for _, t in texts if t.isascii()] + [" ".join(rng.choice(["a", "bb", "ccc", "d"], k)) for k in (1, 4, 5, 6, 40, 200, 2000)]
+    sample += [r["text"] for r in spark.read.parquet(f"{data('0.001')}/documents.parquet").limit(60).collect()]
+    df = spark.createDataFrame(list(enumerate(sample)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in fingerprints.digest(df).collect()}
+    for k, t in enumerate(sample):
+        nxt = sample[(k - 1) % len(sample)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        want, other, follow = plain_fingerprint(t), plain_fingerprint(edited), plain_fingerprint(nxt)
+        assert (rows[k]["fingerprint"], rows[k]["edited_fingerprint"]) == (want, other)
+        for a, b, got in ((want, other, rows[k]["near_edited"]), (want, follow, rows[k]["near_next"])):
+            equal = sum(a[i : i + 2] == b[i : i + 2] for i in range(0, 256, 2)) / 128
+            likely = 1.0 if a == b else 0.0 if not (a and b) else min(max((equal - 1 / 256) / (1 - 1 / 256), 0.0), 1.0)
+            assert got == pytest.approx(likely)
+
+
+@pytest.mark.parametrize(("rows", "groups"), [(3, 4), (1, 2), (2000, 128)])
+def test_ranges_of_any_size_keep_the_order(spark, monkeypatch, rows, groups):
+    """Hot ids, no ids, ranges cut twice: the document that follows is the same."""
+    for name, value in (("RANGE_ROWS", rows), ("GROUPS", groups), ("COARSE", groups * groups)):
+        monkeypatch.setattr(fingerprints, name, value)
+    every = [(None, f"nobody {k} a b c d") for k in range(60)] + [(5, f"five {k} a b c d") for k in range(50)] + [(k, f"text {k} a b c d") for k in range(-20, 20)] + [(7, "same a b c d e")] * 9
+    df = spark.createDataFrame(every, "doc_id long, text string").repartition(3)
+    ties = {t: h for t, h in df.select("text", F.xxhash64("text")).collect()}
+    order = sorted(every, key=lambda x: (x[0] is None, -(x[0] or 0), -ties[x[1]], x[1]))
+    want = Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    got = Counter((r["doc_id"], r["text"], r["next_text"]) for r in fingerprints.with_next(df).collect())
+    assert got == want
+
+
 def test_likeness_estimates_jaccard(spark, data):
     docs = spark.read.parquet(f"{data('0.001')}/documents.parquet")
     rows = docs.join(fingerprints.digest(docs), "doc_id").select("text", "near_edited", F.col("doc_id")).orderBy(F.desc("doc_id")).collect()
@@ -556,8 +629,8 @@ def test_repeated_rows_and_missing_ids_with_near_copies(spark, monkeypatch):
     first, links, root = brute_classes([(i, t or "") for i, t in every])
     low = lambda i: float("-inf") if i is None else i
     want = Counter((i, root[t or ""], len(links[t or ""]), first[t or ""], sum((u or "") == (t or "") for _, u in every)) for i, t in every)
-    for limit in (ngrams.BROADCAST_ROWS, 0):
-        monkeypatch.setattr(ngrams, "BROADCAST_ROWS", limit)
+    for limit in (ngrams.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(ngrams, "BROADCAST_BYTES", limit)
         got = ngrams.jaccard_classes(df).collect()
         assert Counter((r["doc_id"], r["class_id"], r["n_links"], r["text_id"], r["n_copies"]) for r in got) == want
         pairs = Counter((r["doc_id_a"], r["doc_id_b"]) for r in ngrams.jaccard_pairs(df).collect())
@@ -578,8 +651,46 @@ def test_near_duplicates_go_by_text_and_not_by_id(spark, monkeypatch):
         assert got == Counter([*((None, f"text {k} of nobody") for k in range(6)), (1, text("a", 0)), (2, "clean"), of_b, (4, "")])
 
 
-def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngrams, "BLOCK", 4)
+def test_of_rows_with_one_id_and_text_always_the_same_stays(spark):
+    every = [(1, "a b c d e f", k) for k in range(9)] + [(2, "other words here", 5), (2, "other words here", 5)]
+    kept = {tuple(ngrams.one_of_each(spark.createDataFrame(every[::step], "doc_id long, text string, k int").repartition(n)).orderBy("doc_id").collect()) for step in (1, -1) for n in (1, 4)}
+    assert len(kept) == 1 and [(r["doc_id"], r["text"]) for r in kept.pop()] == [(1, "a b c d e f"), (2, "other words here")]
+
+
+def test_recall_on_the_sample_corpus(spark, data):
+    """Every link between texts of the corpus by brute force over an inverted list of n-grams."""
+    docs = spark.read.parquet(f"{data('0.01')}/documents.parquet")
+    texts = {}
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        texts.setdefault(r["text"] or "", r["doc_id"])
+    sets, at = {}, defaultdict(list)
+    for t, i in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for g in sets[i]:
+            at[g].append(i)
+    shared = Counter((a, b) for ids in at.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    want = {(min(p), max(p)) for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    got = {(r["doc_id_a"], r["doc_id_b"]) for r in ngrams.jaccard_pairs(docs).collect()}
+    assert want and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    texts = ["a b c d e f g " * 40, "x y", "", None, "w " * 300 + "Σίσυφος ΟΔΟΣ", "one"]
+    want, counts = ngrams.shingles(texts)
+    signed = ngrams.signatures(want, counts, 3, 2)
+    features = quality.features(texts, [1] * 6)
+    for name, value in ((ngrams, "PART"), (ngrams, "WORD_MEMO"), (quality, "WORD_MEMO"), (frames, "WORD_CHARS")):
+        monkeypatch.setattr(name, value, 16)
+    assert (ngrams.shingles(texts)[0] == want).all() and (ngrams.shingles(texts)[1] == counts).all()
+    assert (ngrams.signatures(want, counts, 3, 2) == signed).all()
+    assert all((a == b).all() for a, b in zip(quality.features(texts, [1] * 6), features, strict=True))
+    assert (ngrams.shingles(texts[:1])[0] == want[: counts[0]]).all()
+
+
+@pytest.mark.parametrize(("name", "value"), [("BLOCK", 4), ("BLOCK_GRAMS", 300)])
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch, name, value):
+    monkeypatch.setattr(ngrams, name, value)
     base = [f"v{i}" for i in range(80)]
     every = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(25)]
     first, links, root = brute_classes(every)
