@@ -115,24 +115,18 @@ def ring_to_nest(nside: int, pix: np.ndarray) -> np.ndarray:
     ring = np.where(belt, (pix - cap) // (4 * nside) + nside, np.where(pix < cap, i, 4 * nside - i))
     size = np.where(belt, nside, i)
     along = np.where(belt, (pix - cap) % (4 * nside), np.where(pix < cap, from_pole - 2 * i * (i - 1), 4 * i - 1 - (from_pole - 2 * i * (i - 1))))
-    out = np.full(pix.shape, -1, np.int64)
-    shift = np.where(belt, (ring - nside) % 2, 0)
-    for face in range(12):
-        row, column = divmod(face, 4)
-        centre = 2 * column if row == 1 else 2 * column + 1
-        total = (row + 2) * nside - ring - 1  # x + y
-        double = 2 * (along + 1) - 1 - shift - centre * size  # x - y, up to its parity and whole turns
-        for turn in (-8, 0, 8):
-            for odd in (0, 1):
-                diff = double + turn * size + odd
-                x, y = (total + diff) // 2, (total - diff) // 2
-                good = (total + diff) % 2 == 0
-                good &= (x >= 0) & (x < nside) & (y >= 0) & (y < nside) & (out < 0)
-                inner = _spread(np.where(good, x, 0)) | _spread(np.where(good, y, 0)) << np.uint64(1)
-                number = face * nside * nside + inner.astype(np.int64)
-                good &= nest_to_ring(nside, np.where(good, number, 0)) == pix
-                out = np.where(good, number, out)
-    return out
+    # In the belt, pixel centers lie on two families of diagonals, counted by azimuth and ring; each base pixel spans nside of both.
+    rise, fall = along + (ring - nside) // 2, along + (3 * nside - ring) // 2
+    up, down = rise // nside, fall // nside
+    face = np.where(up == down, up % 4 + 4, np.where(up < down, up % 4, down % 4 + 8))
+    x, y = fall % nside, nside - 1 - rise % nside
+    # In a cap, a ring has size pixels of each of four base pixels, on one line x + y = const, x - y rising with azimuth.
+    quarter, place = along // size, along % size
+    north = pix < cap
+    face = np.where(belt, face, np.where(north, quarter, quarter + 8))
+    x = np.where(belt, x, np.where(north, nside - size + place, place))
+    y = np.where(belt, y, np.where(north, nside - 1 - place, size - 1 - place))
+    return face * nside * nside + (_spread(x) | _spread(y) << np.uint64(1)).astype(np.int64)
 
 
 def _numbers(convert):

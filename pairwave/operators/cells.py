@@ -16,13 +16,24 @@ from .pairs import grid_pairs
 THETA, MOST_SHARE, FIXED_SHARE = 1.25, 0.05, 0.01
 
 
-def morton(size: float, level_bits: int = 10) -> Column:
-    """Interleaved cell numbers of x, y, z for cubes of a side, counted from -2^(bits - 1) sides."""
+#: Bits of a cell's number on each axis.
+AXIS_BITS = 21
+
+
+def _spread(n: Column) -> Column:
+    """The 21 bits of a number at every third place."""
+    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        n = n.bitwiseOR(F.shiftleft(n, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return n
+
+
+def morton(size: float) -> Column:
+    """Interleaved cell numbers of x, y, z for cubes of a side, counted from -2^20 sides; a point farther off is an error."""
     out = F.lit(0).cast("long")
     for k, c in enumerate("xyz"):
-        n = F.floor(F.col(c) / size).cast("long") + (1 << level_bits - 1)
-        for b in range(level_bits):
-            out = out.bitwiseOR(F.shiftleft(F.shiftright(n, b).bitwiseAND(F.lit(1).cast("long")), 3 * b + k))
+        n = F.floor(F.col(c) / size).cast("long") + (1 << AXIS_BITS - 1)
+        n = F.when((n < 0) | (n >= 1 << AXIS_BITS), F.raise_error(F.lit(f"{c} is more than 2^{AXIS_BITS - 1} cells of {size} from 0")).cast("long")).otherwise(n)
+        out = out.bitwiseOR(F.shiftleft(_spread(n), k))
     return out
 
 
@@ -45,10 +56,8 @@ def inertia(df: DataFrame, size: float) -> DataFrame:
     return keyed.groupBy("cell").agg(F.count("*").alias("nb"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))], *second)
 
 
-def opening_radius(size: Column, theta: float, rule: str = "default", dims: int = 3) -> Column:
-    """How near a cell is opened: never with theta 0 ("exact"), its size over theta ("bh86"), that times sqrt(d) / 2 ("default"), or its half diagonal plus ("sw94")."""
-    if theta == 0 or rule == "exact":
-        return F.lit(float("inf"))
+def opening(size, theta: float, rule: str = "default", dims: int = 3):
+    """How near a cell of a size (number or Column) is opened, theta > 0: its size over theta ("bh86"), that times sqrt(d) / 2 ("default"), or its half diagonal plus ("sw94")."""
     if rule == "bh86":
         return size / theta
     if rule == "default":
@@ -58,6 +67,60 @@ def opening_radius(size: Column, theta: float, rule: str = "default", dims: int
     raise ValueError(f"no such rule: {rule}")
 
 
+def opening_radius(size: Column, theta: float, rule: str = "default", dims: int = 3) -> Column:
+    """The same as a Column; with theta 0 or rule "exact" a cell is always opened."""
+    return F.lit(float("inf")) if theta == 0 or rule == "exact" else opening(size, theta, rule, dims)
+
+
+def samples(df: DataFrame, size: float, by_mass: bool = False) -> DataFrame:
+    """id (0), x, y, z (means, by_mass: weighted by mass), kappa (mean), nb of each cube that holds points: what stands for its points where they are far."""
+    nb = F.col("nb") if "nb" in df.columns else F.lit(1.0)
+    mass = F.col("mass") if by_mass and "mass" in df.columns else nb
+    keyed = df.select(*[F.floor(F.col(c) / size).alias(f"g{c}") for c in "xyz"], "x", "y", "z", "kappa", nb.cast("double").alias("nb"), mass.cast("double").alias("_mass"))
+    mean = lambda c, w: (F.sum(F.col(c) * F.col(w)) / F.sum(w)).alias(c)
+    return keyed.groupBy("gx", "gy", "gz").agg(F.sum("nb").alias("nb"), *[mean(c, "_mass") for c in "xyz"], mean("kappa", "nb")).select(F.lit(0).cast("long").alias("id"), "x", "y", "z", "kappa", "nb")
+
+
+def pyramid(df: DataFrame, size: float, levels: int) -> DataFrame:
+    """level, cell, nb, mass, weight, kappa, x, y, z, radius: summaries of cells of size, 2 size, 4 size, ...; one pass over the points serves all levels but their radii."""
+    keyed = df.withColumn("_k", morton(size)).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("cell", F.expr("shiftright(_k, 3 * level)"))
+    by = ["level", "cell"]
+    means = keyed.groupBy(*by).agg(F.count("*").alias("nb"), F.sum("mass").alias("mass"), F.sum("weight").alias("weight"), (F.sum(F.col("weight") * F.col("kappa")) / F.count("*")).alias("kappa"), *[F.avg(c).alias(f"m{c}") for c in "xyz"])
+    distance = sum(((F.col(c) - F.col(f"m{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+    far = keyed.select(*by, "x", "y", "z").join(means.select(*by, "mx", "my", "mz"), by).groupBy(*by).agg(F.sqrt(F.max(distance)).alias("radius"))
+    return means.join(far, by).select(*by, "nb", "mass", "weight", "kappa", *[F.col(f"m{c}").alias(c) for c in "xyz"], "radius")
+
+
+def opened_pairs(pyramid_: DataFrame, levels: int, rmin: float, rmax: float, theta: float, rule: str = "default") -> DataFrame:
+    """level_a, cell_a, level_b, cell_b, nb_a, nb_b, r: the pairs of cells that a walk down the pyramid ends with.
+
+    From all pairs of the coarsest cells on: a pair whose radii together, opened, don't exceed its distance is accepted; pairs wholly
+    beyond rmax, or nearer than rmin, are left out; of any other the wider cell is opened into its children. Pairs of finest cells are
+    accepted as they are. One join a level; each pair of points lies in one accepted pair at most.
+    """
+    columns = ("level", "cell", "nb", "x", "y", "z", "radius")
+    side = lambda s: pyramid_.select(*[F.col(c).alias(f"{c}_{s}") for c in columns])
+    top = levels - 1
+    pairs = side("a").where(F.col("level_a") == top).crossJoin(side("b").where(F.col("level_b") == top))  # cells of the coarsest level, some dozens
+    done = None
+    for _ in range(2 * levels - 1):
+        r = F.sqrt(sum(((F.col(f"{c}_a") - F.col(f"{c}_b")) ** 2 for c in "xyz"), F.lit(0.0)))
+        reach = F.col("radius_a") + F.col("radius_b")
+        pairs = pairs.withColumn("r", r).where((F.col("r") - reach < rmax) & (F.col("r") + reach > rmin))
+        ended = (opening(reach, theta, rule) <= F.col("r")) | ((F.col("level_a") == 0) & (F.col("level_b") == 0))
+        kept = pairs.where(ended)
+        done = kept if done is None else done.unionByName(kept)
+        first = (F.col("level_a") > 0) & ((F.col("level_b") == 0) | (F.col("radius_a") >= F.col("radius_b")))
+        # The cell that is opened, and the one that stays; one join with the children.
+        wide, stays = ({c: F.when(F.col("_first") == flag, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")) for c in columns} for flag in (True, False))
+        rest = pairs.where(~ended).withColumn("_first", first).select("_first", wide["cell"].alias("_cell"), (wide["level"] - 1).alias("_level"), *[stays[c].alias(f"{c}_s") for c in columns])
+        child = pyramid_.select(*[F.col(c).alias(f"{c}_w") for c in columns], F.shiftright("cell", 3).alias("_up"))
+        opened = rest.join(child, (F.col("_cell") == F.col("_up")) & (F.col("_level") == F.col("level_w")))
+        pick = lambda s: [F.when(F.col("_first") == (s == "a"), F.col(f"{c}_w")).otherwise(F.col(f"{c}_s")).alias(f"{c}_{s}") for c in columns]
+        pairs = opened.select(*pick("a"), *pick("b"))
+    return done.select("level_a", "cell_a", "level_b", "cell_b", "nb_a", "nb_b", "r")
+
+
 def smoothing_radius(bins: Bins, rsmooth_arcmin: float | None = None, fixed: bool = False, smallest_cell: float | None = None) -> float:
     """In radians: as given, 1 % of the range, or the smallest cell, but no more than 5 % of the range; times THETA."""
     if rsmooth_arcmin is not None:
@@ -67,6 +130,15 @@ def smoothing_radius(bins: Bins, rsmooth_arcmin: float | None = None, fixed: boo
     return THETA * min(r, MOST_SHARE * bins.rmax)
 
 
+def smallest_cell(df: DataFrame, points: int) -> float:
+    """The side of cells that hold so many points each, if they fill the widest face of their bounding box evenly: a row from one pass."""
+    box = df.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    if not box["n"]:
+        return 0.0
+    wide = sorted(box[c] for c in "xyz")
+    return math.sqrt(wide[1] * wide[2] * points / box["n"])
+
+
 def smooth_pivots(df: DataFrame, size: float) -> DataFrame:
     """Pivots that stand for all points of their cell: id (the least), position of that point, nb, kappa (mean), kappa_sum.
 

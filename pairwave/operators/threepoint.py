@@ -8,13 +8,15 @@ leave it.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.bins import Bins
+from ..functions.bins import Bins, angle_bin
 from ..functions.numeric import chebyshev
 from .pairs import CELL
 
@@ -108,3 +110,14 @@ def triangles(pairs: DataFrame, bins: Bins, *, plane: bool = False) -> DataFrame
     a, b = arm.alias("a"), arm.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*CELL, "pid")]
     return a.join(b, on).select(F.col("a.pid").alias("pid"), F.col("a.w").alias("w"), F.col("a.bin").alias("b1"), F.col("b.bin").alias("b2"), (F.col("a.k") * F.col("b.k")).alias("product"), (F.col("a.phi") - F.col("b.phi")).alias("dphi"))
+
+
+def by_angle(triangles_: DataFrame, bins: Bins, angles: int) -> DataFrame:
+    """l, phi, b1, b2, re, im (0): sums of products of triangles by the angle between both arms, for every bin of angles and distances."""
+    turn = F.pmod("dphi", F.lit(2 * math.pi))
+    found = triangles_.select((angle_bin(turn, angles) - 1).alias("l"), "b1", "b2", (F.col("w") * F.col("product")).alias("_v")).groupBy("l", "b1", "b2").agg(F.sum("_v").alias("re"))
+    spark = triangles_.sparkSession
+    b = spark.range(1, bins.n + 1)
+    grid = spark.range(angles).select(F.col("id").cast("int").alias("l")).crossJoin(b.select(F.col("id").cast("int").alias("b1"))).crossJoin(b.select(F.col("id").cast("int").alias("b2")))  # angles n^2 rows by parameters
+    phi = (F.col("l") + 0.5) * (2 * math.pi / angles)
+    return grid.join(F.broadcast(found), ["l", "b1", "b2"], "left").select("l", phi.alias("phi"), "b1", "b2", F.coalesce("re", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))

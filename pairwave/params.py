@@ -23,10 +23,19 @@ METHODS = {"octree-sincos-omp": "open", "octree-ggg-omp": "open", "kdtree-omp":
 ALIASES = {"search": "searchMethod", "m": "mChebyshev", "in": "infile", "infmt": "infileformat", "ic": "iCatalogs", "root": "rootDir", "o": "outfile", "ofmt": "outfileformat", "log": "useLogHist", "bins": "sizeHistN", "range": "rangeN", "rmin": "rminHist", "n": "nbody", "lbox": "lengthBox", "opt": "options", "verb": "verbose"}
 
 
+#: Options that name the statistic; without one a run has three-point multipoles.
+STATISTICS = frozenset({"NNCorrelation", "NNEstimator", "KKCorrelation", "KKKCorrelation", "GGGCorrelation"})
+#: Options that say what a run here does anyway: all pairs are exact, the FITS writer has the field, equal positions are taken.
+ANYWAY = frozenset({"no-one-ball", "kappa", "no-check-two-bodies-eq-pos", "make-info"})
+#: Parameters that Spark's own settings stand for; a run says so in its log.
+BY_SPARK = ("numberThreads", "stepState")
+
+
 @dataclass(frozen=True)
 class Params:
     """Defaults are those of a unit-sphere run."""
 
+    # Names and defaults of parameters.
     searchMethod: str = "octree-sincos-omp"
     mChebyshev: int = 7
     nsmooth: int = 8
@@ -82,6 +91,11 @@ class Params:
             return Bins(self.rminHist, self.rangeN, self.sizeHistN, "linear")
         return Bins(self.rminHist, self.rangeN, self.sizeHistN) if self.rminHist > 0 else Bins(0.0, self.rangeN, self.sizeHistN, "decade", self.logHistBinsPD)
 
+    @property
+    def by_spark(self) -> list[str]:
+        """Parameters set to other than their defaults that Spark's settings stand for."""
+        return [n for n in BY_SPARK if getattr(self, n) != FIELDS[n].default]
+
     @property
     def key(self) -> str:
         """The same for equal parameters."""
@@ -112,6 +126,17 @@ class Params:
         need(self.nbody >= 3, "nbody must be 3 at least")
         need(self.lengthBox > 0, "lengthBox must be positive")
         need(not {"bh86", "sw94"} <= self.flags, "choose one of bh86 and sw94")
+        need(not self.flags & {"bh86", "sw94"} or "behavior-ball" in self.flags, "bh86 and sw94 are rules of behavior-ball")
+        need(not {"behavior-ball", "no-one-ball"} <= self.flags, "choose one of behavior-ball and no-one-ball")
+        need(not {"check-eq-pos", "no-check-two-bodies-eq-pos"} <= self.flags, "choose one of check-eq-pos and no-check-two-bodies-eq-pos")
+        need(not {"fix-rsmooth", "default-rsmooth"} <= self.flags, "choose one of fix-rsmooth and default-rsmooth")
+        need(len(self.flags & STATISTICS) <= 1, f"choose one of {', '.join(sorted(STATISTICS))}")
+        need(not self.flags & {"patch-with-all", "all"} or "patch" in self.flags, "patch-with-all and all need patch")
+        need("Rcut/theta" not in self.flags or self.theta > 0, "Rcut/theta needs theta > 0")
+        need("cute-box-rmin" not in self.flags or not self.useLogHist, "cute-box-rmin is for linear bins")
+        need(not self.preScript or "pre-processing" in self.flags, "preScript needs the option pre-processing")
+        need(not self.posScript or "post-processing" in self.flags, "posScript needs the option post-processing")
+        numbers(self.iCatalogs)
         need(len(self.flags & {"only-pos", "pos-and-convergence", "pos-and-shear"}) <= 1, "choose one of only-pos, pos-and-convergence and pos-and-shear")
 
     def replace(self, **changes) -> Params:

@@ -61,23 +61,23 @@ def bins_sql(bins: Bins) -> str:
     return f"bins(bin, lo2, hi2, lo, hi, r) AS (VALUES {rows})"
 
 
-def pairs_sql(bins: Bins, p: str = "sph", q: str = "sph", length: float | None = None, plane: bool = False, name: str = "pr") -> str:
-    """Directed pairs with their bin, by comparing all with all."""
+def pairs_sql(bins: Bins, p: str = "sph", q: str = "sph", length: float | None = None, plane: bool = False, name: str = "pr", same: bool | None = None) -> str:
+    """Directed pairs with their bin, by comparing all with all. same: no point with itself, by default where both are one catalog."""
     d = {c: f"(p.{c}-q.{c})" for c in ("xy" if plane else "xyz")}
     if length:
         d = {c: f"({v} - {lit(length)}*round({v}/{lit(length)}))" for c, v in d.items()}
     if plane:
         d["z"] = "0e0"
     top = lit(bins.edges[-1] ** 2)
-    keep = "pid <> qid AND " if p == q else ""
+    keep = "pid <> qid AND " if (p == q if same is None else same) else ""
     z = {s: "0e0" if plane else f"{s}.z" for s in "pq"}
     return f"""{name}0 AS (SELECT p.id AS pid, q.id AS qid, p.x AS px, p.y AS py, {z['p']} AS pz, p.kappa AS pk, q.kappa AS qk, {d['x']} AS dx, {d['y']} AS dy, {d['z']} AS dz FROM {p} p, {q} q),
 {name}1 AS (SELECT *, dx*dx+dy*dy+dz*dz AS r2 FROM {name}0),
 {name} AS (SELECT a.*, b.bin FROM (SELECT * FROM {name}1 WHERE {keep}r2 > 0 AND r2 < {top}) a JOIN bins b ON a.r2 < b.hi2 AND (a.r2 > b.lo2 OR (b.bin > 1 AND a.r2 = b.lo2)))"""
 
 
-def moments_sql(bins: Bins, most: int, p: str = "sph", plane: bool = False, weight: str = "pk", field: str = "qk", name: str = "mo") -> str:
-    """Moments by pivot and bin from pr, by angles and their multiples."""
+def moments_sql(bins: Bins, most: int, p: str = "sph", plane: bool = False, weight: str = "pk", field: str = "qk", name: str = "mo", number: str = "") -> str:
+    """Moments by pivot and bin from pr, by angles and their multiples. number: a column of pr with the points that a row stands for."""
     if plane:
         angle = f"ang AS (SELECT pr.*, -dx/sqrt(r2) AS cs, -dy/sqrt(r2) AS sn FROM pr)"
     else:
@@ -88,8 +88,8 @@ ang0 AS (SELECT *, greatest(least((dx*ax+dy*ay+dz*az)/(sqrt(r2)*sqrt(ax*ax+ay*ay
 ang AS (SELECT *, CASE WHEN side < 0 THEN -sqrt(1e0-cs*cs) ELSE sqrt(1e0-cs*cs) END AS sn FROM ang0)"""
     sums = ", ".join(f"sum({field}*{f}({m}*phi)) AS {k}{m}" for k, f in (("c", "cos"), ("s", "sin")) for m in range(most + 1))
     return f"""{angle},
-ph AS (SELECT pid, bin, {weight} AS w, pk, qk, atan2(sn, cs) AS phi FROM ang),
-{name} AS (SELECT pid, bin, w, count(*) AS n, sum({field}*{field}) AS k2, {sums} FROM ph GROUP BY pid, bin, w)"""
+ph AS (SELECT pid, bin, {weight} AS w, pk, qk, atan2(sn, cs) AS phi{", " + number if number else ""} FROM ang),
+{name} AS (SELECT pid, bin, w, {f"sum({number})" if number else "count(*)"} AS n, sum({field}*{field}) AS k2, {sums} FROM ph GROUP BY pid, bin, w)"""
 
 
 def zeta_sql(most: int, points: str, norm: str = "pivot", source: str = "mo", name: str = "zeta") -> str:

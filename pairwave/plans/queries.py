@@ -15,6 +15,8 @@ from ..functions import numeric
 from ..functions.bins import Bins, angle_bin, widths
 from ..operators import cells, compare, counts, synthesis, threepoint, twopoint
 from ..operators.pairs import brute_pairs, grid_pairs
+from ..operators.sweep import cell_levels as sweep_levels
+from ..operators.sweep import multipole_rows, pair_rows, sweep
 from ..sources import models
 from . import derived as d
 from .derived import lit, rounded, tidy_sql
@@ -53,20 +55,22 @@ def _tidy_bins(df: DataFrame, *more: str) -> DataFrame:
     return rounded(rounded(df, "r", digits=9), *more)
 
 
+def _counts(points: DataFrame, bins: Bins, **kw) -> DataFrame:
+    return _tidy_bins(pair_rows(sweep(points, points, bins, **kw), bins).select("bin", "r", F.col("n").cast("long").alias("n")))
+
+
 _NN = "SELECT bin, count(*) AS n FROM pr GROUP BY bin"
 _N = "coalesce(x.n, 0)::BIGINT AS n"
 
 
 @query(_pairs(LOG) + _on_bins_sql(_NN, _N))
 def nn_log_sphere(spark, sf):
-    s = d.sphere(spark, sf)
-    return _tidy_bins(counts.pair_counts(grid_pairs(s, s, LOG.rmax), LOG))
+    return _counts(d.sphere(spark, sf), LOG)
 
 
 @query(_pairs(LINEAR) + _on_bins_sql(_NN, _N))
 def nn_linear_sphere(spark, sf):
-    s = d.sphere(spark, sf)
-    return _tidy_bins(counts.pair_counts(grid_pairs(s, s, LINEAR.rmax), LINEAR))
+    return _counts(d.sphere(spark, sf), LINEAR)
 
 
 DECADE = Bins(0.0, 0.4, 8, "decade", 8)
@@ -90,7 +94,8 @@ def nn_brute_equiv(spark, sf):
 
 @query(_pairs(LOG) + _on_bins_sql("SELECT bin, count(*)/2e0 AS n, sum(pk*qk)/2e0 AS s FROM pr GROUP BY bin", "coalesce(x.n, 0)::DOUBLE AS n, " + tidy_sql("coalesce(x.s/greatest(x.n,1e0),0e0)", "xi")))
 def xi_kk_auto(spark, sf):
-    return _tidy_bins(twopoint.auto(d.sphere(spark, sf), LOG), "xi")
+    s = d.sphere(spark, sf)
+    return _tidy_bins(pair_rows(sweep(s, s, LOG), LOG, True), "xi")
 
 
 @query(_pairs(LOG) + _on_bins_sql("SELECT bin, count(*)::DOUBLE AS n, sum(pk*qk) AS s FROM pr GROUP BY bin", "coalesce(x.n, 0)::DOUBLE AS n, " + tidy_sql("coalesce(x.s/greatest(x.n,1e0),0e0)", "xi")))
@@ -103,7 +108,7 @@ _XI = "coalesce(x.s/greatest(x.n,1),0e0)"
 
 @query(f"WITH {d.sphere_sql()}, {d.sphere_sql('sph2')}, {d.bins_sql(LOG)}, {d.pairs_sql(LOG, 'sph', 'sph2')} " + _on_bins_sql("SELECT bin, count(*) AS n, sum(pk*qk) AS s FROM pr GROUP BY bin", "coalesce(x.n, 0)::DOUBLE AS n, " + tidy_sql(_XI, "xi")))
 def xi_kk_cross(spark, sf):
-    return _tidy_bins(twopoint.crossed(d.sphere(spark, sf), d.sphere(spark, sf, "sph2"), LOG), "xi")
+    return _tidy_bins(pair_rows(sweep(d.sphere(spark, sf), d.sphere(spark, sf, "sph2"), LOG, same=False), LOG), "xi")
 
 
 @query(
@@ -119,8 +124,7 @@ _BOXPAIRS = f"WITH {d.box_sql()}, {d.bins_sql(BOX)}, {d.pairs_sql(BOX, 'box', 'b
 
 @query(_BOXPAIRS + _on_bins_sql(_NN, _N))
 def nn_box_minimage(spark, sf):
-    b = d.box(spark, sf)
-    return _tidy_bins(counts.pair_counts(grid_pairs(b, b, BOX.rmax, box=1.0), BOX))
+    return _counts(d.box(spark, sf), BOX, box=1.0)
 
 
 _CF = f"coalesce(x.n/((SELECT count(*) FROM part)*(4e0*{lit(math.pi)}*(b.hi*b.hi*b.hi-b.lo*b.lo*b.lo)/3e0))/(SELECT count(*) FROM part) - 1e0, 0e0)"
@@ -138,7 +142,7 @@ def cf_poisson_error(spark, sf):
 
 def _cf(spark, sf):
     b = d.box(spark, sf)
-    nn = counts.pair_counts(grid_pairs(b, b, BOX.rmax, box=1.0), BOX)
+    nn = pair_rows(sweep(b, b, BOX, box=1.0), BOX).select("bin", "r", F.col("n").cast("long").alias("n"))
     return _tidy_bins(counts.box_correlation(nn, BOX, b.count(), 1.0), "cf", "err")
 
 
@@ -165,14 +169,10 @@ def _zeta_sql(norm: str = "pivot", weight: str = "pk", field: str = "qk", name:
     return f"{d.sphere_sql()}, {d.bins_sql(ZETA)}, {d.pairs_sql(ZETA)}, {d.moments_sql(ZETA, MOST, weight=weight, field=field)}, {d.zeta_sql(MOST, 'sph', norm, name=name)}"
 
 
-def _moments(spark, sf, most=MOST, **kw):
+def _zeta(spark, sf, what="pivot", most=MOST, counts=-1, **kw):
     s = d.sphere(spark, sf)
-    return threepoint.moments(grid_pairs(s, s, ZETA.rmax), ZETA, most, **kw), s.count()
-
-
-def _zeta(spark, sf, norm="pivot", **kw):
-    found, n = _moments(spark, sf, **kw)
-    return threepoint.multipoles(found, MOST, n, norm=norm)
+    sums = sweep(s, s, ZETA, most, counts=counts, **kw)
+    return multipole_rows(sums, what, s.count() if what == "pivot" else None)
 
 
 _FOUR = ", ".join(tidy_sql(p, p) for p in threepoint.PARTS)
@@ -213,7 +213,7 @@ def zeta_xr1r2(spark, sf):
 
 @query(f"WITH {_zeta_sql('none', '1e0', '1e0')} SELECT m, b1, b2, " + ", ".join(tidy_sql(p, p, 4) for p in threepoint.PARTS) + " FROM zeta")
 def n_multipoles(spark, sf):
-    return rounded(_zeta(spark, sf, "none", weight=F.lit(1.0), field=F.lit(1.0)), *threepoint.PARTS, digits=4)
+    return rounded(_zeta(spark, sf, "counts", -1, MOST), *threepoint.PARTS, digits=4)
 
 
 def _both_sql() -> str:
@@ -224,13 +224,16 @@ def _both_sql() -> str:
 
 @query(f"WITH {_both_sql()} SELECT zeta.m, zeta.b1, zeta.b2, " + ", ".join(tidy_sql(f"zeta.{p}/n0.cc", p) for p in threepoint.PARTS) + " FROM zeta JOIN n0 ON zeta.b1 = n0.b1 AND zeta.b2 = n0.b2 WHERE n0.cc <> 0")
 def zeta_norm_ratio(spark, sf):
-    return rounded(threepoint.ratio(_zeta(spark, sf, "none"), _zeta(spark, sf, "none", weight=F.lit(1.0), field=F.lit(1.0))), *threepoint.PARTS)
+    s = d.sphere(spark, sf)
+    sums = _once(sweep(s, s, ZETA, MOST, counts=0))
+    return rounded(threepoint.ratio(multipole_rows(sums, "plain"), multipole_rows(sums, "counts")), *threepoint.PARTS)
 
 
 @query(f"WITH {_zeta_sql()} SELECT m, b1, b2, {tidy_sql('cc - CASE WHEN b1 = b2 THEN k ELSE 0e0 END', 'cc')} FROM zeta LEFT JOIN (SELECT bin, sum(w*k2/(greatest(n,1)*greatest(n,1)))/(SELECT count(*) FROM sph) AS k FROM mo GROUP BY bin) z ON z.bin = b1")
 def zeta_without_degenerate(spark, sf):
-    found, n = _moments(spark, sf)
-    return rounded(threepoint.multipoles(found, MOST, n, drop_degenerate=True).select("m", "b1", "b2", "cc"), "cc")
+    s = d.sphere(spark, sf)
+    sums = _once(sweep(s, s, ZETA, MOST, squares=True))
+    return rounded(multipole_rows(sums, "pivot", s.count(), True).select("m", "b1", "b2", "cc"), "cc")
 
 
 ANGLES = 8
@@ -261,8 +264,7 @@ _PLANE = f"{d.box_sql()}, {d.bins_sql(PLANE)}, {d.pairs_sql(PLANE, 'box', 'box',
 @query(f"WITH {_PLANE} SELECT m, b1, b2, {_FOUR} FROM zeta")
 def zeta_2d(spark, sf):
     b = d.box(spark, sf).withColumn("z", F.lit(0.0))
-    found = threepoint.moments(grid_pairs(b, b, PLANE.rmax), PLANE, MOST, plane=True)
-    return rounded(threepoint.multipoles(found, MOST, b.count()), *threepoint.PARTS)
+    return rounded(multipole_rows(sweep(b, b, PLANE, MOST, plane=True), "pivot", b.count()), *threepoint.PARTS)
 
 
 @query(
@@ -277,14 +279,17 @@ def triangles_direct(spark, sf):
     return rounded(out, *[f"re{m}" for m in range(MOST + 1)])
 
 
+def _once(sums: DataFrame) -> DataFrame:
+    """sums as a local table, so that several results come from one pass: a row for each bin or pair of bins and multipole."""
+    return sums.sparkSession.createDataFrame(sums.toArrow(), sums.schema)
+
+
 @query()
 def zeta_edge_corrected(spark, sf):
     """No SQL: linear systems; tested against a direct solution."""
     s = d.sphere(spark, sf)
-    pairs = grid_pairs(s, s, ZETA.rmax)
-    kk = threepoint.multipoles(threepoint.moments(pairs, ZETA, MOST), MOST, s.count(), norm="none")
-    nn = threepoint.multipoles(threepoint.moments(pairs, ZETA, 2 * MOST, weight=F.lit(1.0), field=F.lit(1.0)), 2 * MOST, s.count(), norm="none")
-    return rounded(threepoint.edge_corrected(kk, nn, MOST), "re", "im")
+    sums = _once(sweep(s, s, ZETA, MOST, counts=2 * MOST))
+    return rounded(threepoint.edge_corrected(multipole_rows(sums, "plain"), multipole_rows(sums, "counts"), MOST), "re", "im")
 
 
 @query(f"WITH {d.sphere_sql()} SELECT id, {tidy_sql('kappa - (SELECT avg(kappa) FROM sph)', 'kappa')} FROM sph")
@@ -360,7 +365,7 @@ CELL = 0.125
 
 
 def _cell_sql(size: float = CELL, source: str = "box") -> str:
-    bits = " + ".join(f"((((floor({x}/{lit(size)})::BIGINT + 512) >> {b}) & 1) << {3 * b + k})" for k, x in enumerate("xyz") for b in range(10))
+    bits = " + ".join(f"((((floor({x}/{lit(size)})::BIGINT + {1 << cells.AXIS_BITS - 1}) >> {b}) & 1) << {3 * b + k})" for k, x in enumerate("xyz") for b in range(cells.AXIS_BITS))
     return f"keyed AS (SELECT *, {bits} AS cell FROM {source})"
 
 
@@ -387,6 +392,67 @@ def pivot_smooth_grid(spark, sf):
     return rounded(cells.smooth_pivots(d.box(spark, sf), CELL).select("id", "nb", "kappa_sum", "kappa"), "kappa_sum", "kappa")
 
 
+SMOOTH = 0.06
+_PIVOTS = f"pv AS (SELECT min(id) AS id, arg_min(x, id) AS x, arg_min(y, id) AS y, arg_min(z, id) AS z, count(*) AS nb, sum(kappa) AS kappa FROM sph GROUP BY floor(x/{lit(SMOOTH)}), floor(y/{lit(SMOOTH)}), floor(z/{lit(SMOOTH)}))"
+
+
+@query(
+    f"WITH {d.sphere_sql()}, {_PIVOTS}, {d.bins_sql(LOG)}, {d.pairs_sql(LOG, 'pv', 'sph', same=True)} "
+    + _on_bins_sql("SELECT bin, sum(nb)::DOUBLE AS n, sum(pk*qk) AS s FROM pr JOIN pv ON pv.id = pid GROUP BY bin", "coalesce(x.n, 0e0) AS n, " + tidy_sql("coalesce(x.s/greatest(x.n,1e0),0e0)", "xi"))
+)
+def xi_smoothed_pivots(spark, sf):
+    """Pivots that stand for the points of their cell: pairs and products are weighted by their number."""
+    s = d.sphere(spark, sf)
+    return _tidy_bins(pair_rows(sweep(cells.smooth_pivots(s, SMOOTH), s, LOG), LOG), "xi")
+
+
+@query(f"WITH {d.sphere_sql()}, {_PIVOTS}, {d.bins_sql(ZETA)}, {d.pairs_sql(ZETA, 'pv', 'sph', same=True)}, {d.moments_sql(ZETA, MOST)}, {d.zeta_sql(MOST, 'sph')} SELECT m, b1, b2, {_FOUR} FROM zeta")
+def zeta_smoothed_pivots(spark, sf):
+    s = d.sphere(spark, sf)
+    return rounded(multipole_rows(sweep(cells.smooth_pivots(s, SMOOTH), s, ZETA, MOST), "pivot", s.count()), *threepoint.PARTS)
+
+
+@query(
+    f"WITH {d.sphere_sql()}, {d.sphere_sql('sph2')}, {d.sphere_sql('sph3')}, {d.bins_sql(ZETA)}, {d.pairs_sql(ZETA, 'sph', 'sph2')}, {d.moments_sql(ZETA, MOST, name='one')}, "
+    + f"{d.pairs_sql(ZETA, 'sph', 'sph3', name='pr2')}, {d.moments_sql(ZETA, MOST, name='two').replace('FROM pr)', 'FROM pr2)').replace('pr.*', 'pr2.*').replace('ax AS', 'ax2 AS').replace('FROM ax)', 'FROM ax2)').replace('ang0', 'ang02').replace('ang AS', 'ang2 AS').replace('FROM ang)', 'FROM ang2)').replace('ph AS', 'ph2 AS').replace('FROM ph ', 'FROM ph2 ')}, "
+    + "zeta AS (" + " UNION ALL ".join(f"SELECT {m} AS m, a.bin AS b1, b.bin AS b2, " + ", ".join(f"sum(a.w*a.{k[0]}{m}*b.{k[1]}{m}/(a.n*b.n)::DOUBLE)/(SELECT count(*) FROM sph) AS {k}" for k in threepoint.PARTS) + " FROM one a JOIN two b ON a.pid = b.pid GROUP BY a.bin, b.bin" for m in range(MOST + 1))
+    + f") SELECT m, b1, b2, {_FOUR} FROM zeta"
+)
+def zeta_three_fields(spark, sf):
+    """Pivots of one catalog, the first bin of another, the second bin of a third."""
+    s, a, b = (d.sphere(spark, sf, name) for name in ("sph", "sph2", "sph3"))
+    return rounded(multipole_rows(sweep(s, a, ZETA, MOST, same=False, third=b), "pivot", s.count()), *threepoint.PARTS)
+
+
+THETA, FINEST = 0.5, 0.02
+
+
+def _ball_sql(bins: Bins) -> str:
+    """Pairs of points with points and with the cells that each bin takes."""
+    parts, rows = [], []
+    for k, (side, first, last) in enumerate(sweep_levels(bins, THETA, "default", FINEST)):
+        if first == last:
+            continue
+        if side:
+            parts.append(f"q{k} AS (SELECT row_number() OVER () AS id, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(kappa) AS kappa, count(*)::DOUBLE AS nb FROM sph GROUP BY floor(x/{lit(side)}), floor(y/{lit(side)}), floor(z/{lit(side)}))")
+        parts.append(d.pairs_sql(bins, "sph", f"q{k}" if side else "sph", name=f"p{k}_"))
+        rows.append(f"SELECT pid, px, py, pz, pk, {'qk*nb' if side else 'qk'} AS qk, dx, dy, dz, r2, bin, {'nb' if side else '1e0'} AS qn FROM p{k}_" + (f" JOIN q{k} ON q{k}.id = qid" if side else "") + f" WHERE bin BETWEEN {first + 1} AND {last}")
+    return f"WITH {d.sphere_sql()}, {d.bins_sql(bins)}, {', '.join(parts)}, pr AS ({' UNION ALL '.join(rows)})"
+
+
+@query(_ball_sql(LOG) + " " + _on_bins_sql("SELECT bin, sum(qn) AS n, sum(pk*qk) AS s FROM pr GROUP BY bin", "coalesce(x.n, 0e0) AS n, " + tidy_sql("coalesce(x.s/greatest(x.n,1e0),0e0)", "xi")))
+def xi_opening_angle(spark, sf):
+    """Cells stand for their points as far as the opening angle lets them."""
+    s = d.sphere(spark, sf)
+    return _tidy_bins(pair_rows(sweep(s, s, LOG, theta=THETA, cell=FINEST), LOG), "xi")
+
+
+@query(f"{_ball_sql(ZETA)}, {d.moments_sql(ZETA, MOST, number='qn')}, {d.zeta_sql(MOST, 'sph')} SELECT m, b1, b2, {_FOUR} FROM zeta")
+def zeta_opening_angle(spark, sf):
+    s = d.sphere(spark, sf)
+    return rounded(multipole_rows(sweep(s, s, ZETA, MOST, theta=THETA, cell=FINEST), "pivot", s.count()), *threepoint.PARTS)
+
+
 @query(f"WITH {d.box_sql()}, {_cell_sql()} SELECT level::INTEGER AS level, count(*) AS cells, max(n) AS most, {tidy_sql('avg(n)', 'mean_nb')} FROM (SELECT level, cell >> (3*level) AS c, count(*) AS n FROM keyed, (SELECT unnest(range(3)) AS level) GROUP BY level, c) GROUP BY level")
 def cell_diagnostics(spark, sf):
     return rounded(cells.diagnostics(d.box(spark, sf), CELL, 3), "mean_nb")

@@ -6,17 +6,20 @@ import dataclasses
 import logging
 import time
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__, catalog as c
+from ..functions.bins import Bins
 from ..operators import cells, compare, counts, synthesis, threepoint, twopoint
-from ..operators.pairs import brute_pairs, grid_pairs
-from ..params import METHODS, Params, from_dict
+from ..operators.pairs import brute_pairs
+from ..operators.sweep import multipole_rows, pair_rows, sweep
+from ..params import METHODS, Params, from_dict, numbers
 from ..session import ship
-from ..sources import models, registry
+from ..sources import histograms, models, registry
 
 log = logging.getLogger("pairwave")
 LEVELS = {0: logging.ERROR, 1: logging.WARNING, 2: logging.INFO, 3: logging.DEBUG}
@@ -26,13 +29,20 @@ PARTS = {1: "cc", 2: "ss", 3: "sc", 4: "cs"}
 class Correlator:
     """Set parameters, run, and read results as arrays or DataFrames.
 
-    Results are small tables by bin, pair of bins or angle. A run with unchanged parameters and catalogs is not repeated.
+    Results are small tables by bin, pair of bins or angle. A run with unchanged parameters, catalogs and levels is not repeated. All sums of a
+    run come from one pass over its pairs.
+
+    Pairs are exact unless the option behavior-ball lets cells stand for their points (theta, bh86 or sw94 say how near). With
+    smooth-pivot a pivot stands for the nb points of its cell: numbers of pairs and all sums are weighted by nb and divided by the sums of nb,
+    so a constant field 1 has xi = 1, and zeta_0 = 1 where every pivot has points in both bins, for any radius.
     """
 
     def __init__(self, spark: SparkSession, **parameters):
         self.spark = spark
         self.before: list[Callable[[Correlator], None]] = []
         self.after: list[Callable[[Correlator], None]] = []
+        #: Functions that preScript and posScript may name; no command is ever started.
+        self.scripts: dict[str, Callable[[Correlator], None]] = {}
         self.clean_all()
         self.set(**parameters)
 
@@ -47,8 +57,6 @@ class Correlator:
 
     def clean(self) -> None:
         """Forgets results."""
-        for df in getattr(self, "tables", {}).values():
-            df.unpersist()
         self.tables: dict[str, DataFrame] = {}
         self.done = None
         self.cpu_time = 0.0
@@ -81,7 +89,8 @@ class Correlator:
                 raise ValueError(f"no such testmodel: {p.testmodel}")
             options = {"seed": p.seed, "length": p.lengthBox}
             if p.testmodel == "unit-sphere-random":
-                options = {"seed": p.seed, "patch": (p.thetaL, p.thetaR, p.phiL, p.phiR) if p.has("patch") else None}
+                patch = (p.thetaL, p.thetaR, p.phiL, p.phiR) if p.has("patch") else None
+                options = {"seed": p.seed, "patch": patch, "whole": p.has("all") or p.has("patch-with-all")}
             out = [model(self.spark, p.nbody, **options)]
         else:
             kind = next((k for k in ("only-pos", "pos-and-convergence", "pos-and-shear") if p.has(k)), "pos-and-convergence")
@@ -93,9 +102,13 @@ class Correlator:
                 options["columns"] = choose(p.columns, [1, 2, 3, 4])
             files = p.infile.split(",")
             if p.has("read-mask"):
-                if len(files) != 2:
-                    raise ValueError("read-mask needs a catalog and its mask")
-                out = [registry.read(self.spark, files[0], p.infileformat.split(",")[0], mask=files[1], **options)]
+                if len(files) < 2:
+                    raise ValueError("read-mask needs catalogs and, as the last file, their mask")
+                kinds = p.infileformat.split(",")
+                kinds = kinds * len(files) if len(kinds) == 1 else kinds
+                if len(kinds) != len(files):
+                    raise ValueError("lists of files and formats differ in length")
+                out = [registry.read(self.spark, f, k, mask=files[-1], **options).withColumn("cat_id", F.lit(n)) for n, (f, k) in enumerate(zip(files[:-1], kinds))]
             elif p.has("all-in-one"):
                 out = [registry.read_all_in_one(self.spark, p.infile, p.infileformat, **options)]
             else:
@@ -104,10 +117,33 @@ class Correlator:
             out = [c.constant_field(x, 1.0 if p.has("kappa-constant-one") else 2.0) for x in out]
         if p.has("check-eq-pos"):
             out = [c.require_distinct(x) for x in out]
-        if p.searchMethod == "octree-ggg-omp" or p.has("read-mask"):
+        if p.searchMethod == "octree-ggg-omp" and not p.has("patch-with-all") or p.has("read-mask"):
             out = [x.where("mask") for x in out]
         return out
 
+    def roles(self, catalogs: list[DataFrame]) -> list[DataFrame]:
+        """Pivots, the points around them and, for three fields, the second points, as iCatalogs numbers them (from 1); the last number stands for what it leaves out.
+
+        With one catalog all are that one. The default takes several catalogs in their order. With patch-with-all only the patch has pivots.
+        """
+        p = self.params
+        wanted = numbers(p.iCatalogs)
+        if len(catalogs) > 1 and p.iCatalogs == Params.iCatalogs:
+            wanted = list(range(1, len(catalogs) + 1))
+        # A number beyond the catalogs is the mask's, which comes last.
+        wanted = [k for k in wanted if not (p.has("read-mask") and k == len(catalogs) + 1)]
+        if len(catalogs) == 1:
+            wanted = [1]
+        if not wanted or min(wanted) < 1 or max(wanted) > len(catalogs) or len(wanted) > 3:
+            raise ValueError(f"iCatalogs={p.iCatalogs} for {len(catalogs)} catalogs")
+        self.same = len(set(wanted[:2])) == 1
+        out = [catalogs[k - 1] for k in wanted]
+        if len(out) == 1:
+            out.append(out[0])
+        if p.has("patch-with-all"):
+            out[0] = out[0].where("mask")
+        return out
+
     # Running.
 
     def run(self, levels: tuple[str, ...] = ("MainLoop",)) -> Correlator:
@@ -116,85 +152,169 @@ class Correlator:
         if unknown:
             raise ValueError(f"no such levels: {', '.join(sorted(unknown))}")
         p = self.params
-        if self.done == (p.key, tuple(map(id, self.given))):
+        key = (p.key, tuple(map(id, self.given)), frozenset(levels))
+        if self.done == key:
             return self
         self.clean()
         began = time.process_time()
         ship(self.spark)
-        for hook in self.before:
+        self._log_file()
+        for name in p.by_spark:
+            log.warning("%s is accepted but not used: Spark's settings say how work is shared out", name)
+        scripts = [self._script(p.preScript)] if p.preScript else []
+        after = [self._script(p.posScript)] if p.posScript else []
+        for hook in (*scripts, *self.before):
             hook(self)
         if set(levels) == {"input"}:
             return self
-        catalogs = self.load()
-        self.points = catalogs[0].count()
-        if p.outfile and p.has("stop") or p.outfile and not p.has("save-ra-dec"):
-            registry.write(catalogs[0], f"{p.rootDir}/{p.outfile}", p.outfileformat)
-        if not p.has("stop") and not p.has("header-info") and "MainLoop" in levels:
-            self._compute(catalogs)
-        for hook in self.after:
+        if p.has("statistics-histograms") or p.has("edge-corrections-from-files"):
+            self._from_files()
+        else:
+            catalogs = self.load()
+            self.points = catalogs[0].count()
+            log.info("%d points in the first of %d catalogs", self.points, len(catalogs))
+            if p.outfile and not p.has("save-ra-dec"):
+                registry.write(catalogs[0], f"{p.rootDir}/{p.outfile}", p.outfileformat, box=p.lengthBox if p.has("cute-box-fmt") else None)
+            if p.outfile and p.has("save-ra-dec"):
+                registry.write_sky(catalogs[0], f"{p.rootDir}/{p.outfile}")
+            if not p.has("stop") and not p.has("header-info") and "MainLoop" in levels:
+                self._compute(catalogs)
+        for hook in (*self.after, *after):
             hook(self)
-        self.done = (p.key, tuple(map(id, self.given)))
+        self.done = key
         self.cpu_time = time.process_time() - began
+        log.info("done after %.2f s of the driver's time", self.cpu_time)
         return self
 
     Run = run
 
-    def _pairs(self, a: DataFrame, b: DataFrame, same: bool) -> DataFrame:
+    def _script(self, name: str) -> Callable[[Correlator], None]:
+        if name not in self.scripts:
+            raise ValueError(f"no function {name} in scripts")
+        return self.scripts[name]
+
+    def _log_file(self) -> None:
+        """A log below rootDir with the level of verbose_log, if rootDir is a local folder."""
         p = self.params
-        box = p.lengthBox if p.usePeriodic or METHODS[p.searchMethod] == "box" else None
-        if METHODS[p.searchMethod] == "brute":
-            return brute_pairs(a, b, p.rangeN, box=box, same=same)
-        return grid_pairs(a, b, p.rangeN, box=box, same=same)
+        for old in list(log.handlers):
+            if getattr(old, "pairwave", False):
+                log.removeHandler(old)
+                old.close()
+        if not p.rootDir or "://" in p.rootDir or p.verbose_log <= 0:
+            return
+        folder = Path(p.rootDir.removeprefix("file:"))
+        folder.mkdir(parents=True, exist_ok=True)
+        handler = logging.FileHandler(folder / f"pairwave{p.suffixOutFiles}.log", mode="w")
+        handler.pairwave = True
+        handler.setLevel(LEVELS.get(p.verbose_log, logging.DEBUG))
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(handler)
+        log.setLevel(min(LEVELS.get(max(p.verbose, p.verbose_log), logging.DEBUG), log.level))
 
     def _keep(self, name: str, df: DataFrame) -> None:
-        """A result table: a row for each bin, or pair of bins, and multipole at most."""
-        self.tables[name] = df.coalesce(1).persist()
+        """A result table: a row for each bin, or pair of bins, and multipole at most. It stays in the driver."""
+        self.tables[name] = self.spark.createDataFrame(df.toArrow(), df.schema)
+
+    def _from_files(self) -> None:
+        """Statistics over saved runs, or edge corrections of one: infile names their folders."""
+        p, folders = self.params, [f.strip() for f in self.params.infile.split(",")]
+        self.bins = p.bins
+        if p.has("edge-corrections-from-files"):
+            self._keep("histZetaM_EE", edge_corrections_from_files(self.spark, folders[0], p.mChebyshev))
+        else:
+            for table, value in (("histNN", "n"), ("histXi2pcf", "xi")):
+                self._keep(f"{table}_stat", statistics(self.spark, folders, table, "bin", value))
+        self._write()
+
+    def _bins(self) -> Bins:
+        p = self.params
+        box = METHODS[p.searchMethod] == "box"
+        return Bins(0.0, p.rangeN, p.sizeHistN, "linear") if box and not p.useLogHist and p.searchMethod == "neighbor-boxes-omp" else p.bins
+
+    def smoothing(self, pivots: DataFrame) -> float:
+        """The side of the cells whose points one pivot stands for."""
+        p = self.params
+        if p.rsmooth:
+            return cells.smoothing_radius(self.bins, float(p.rsmooth))
+        smallest = None
+        if not p.has("fix-rsmooth"):
+            smallest = cells.smallest_cell(pivots, p.nsmooth) * (2.0 if p.has("default-rsmooth") else 1.0)
+        return cells.smoothing_radius(self.bins, fixed=p.has("fix-rsmooth"), smallest_cell=smallest)
 
     def _compute(self, catalogs: list[DataFrame]) -> None:
         p = self.params
-        bins = p.bins
-        if METHODS[p.searchMethod] == "box" and not p.useLogHist:
-            from ..functions.bins import Bins
-
-            bins = Bins(0.0, p.rangeN, p.sizeHistN, "linear") if p.searchMethod == "neighbor-boxes-omp" else bins
-        self.bins = bins
-        pivots, around = catalogs[0], catalogs[min(1, len(catalogs) - 1)]
-        same = len(catalogs) == 1
-        symmetric = same and not p.has("asymmetric")
-        scale = 1.0
-        weight = None
+        bins = self.bins = self._bins()
+        pivots, around, *third = self.roles(catalogs)
+        box_search = METHODS[p.searchMethod] == "box"
+        total = pivots.count()
+        symmetric = self.same and not p.has("asymmetric") and not p.has("patch-with-all")
+        if p.has("make-tree"):
+            self._keep("cells", cells.diagnostics(pivots, cells.smallest_cell(pivots, p.nsmooth), 8))
         if p.has("smooth-pivot"):
-            size = cells.smoothing_radius(bins, float(p.rsmooth) if p.rsmooth else None, p.has("fix-rsmooth"))
-            smooth = cells.smooth_pivots(pivots, size)
-            pivots, same = smooth.withColumn("weight", F.col("nb").cast("double")), False
-            scale = self.points / max(1, smooth.count())
-            weight = F.col("pweight") * F.col("pkappa")
-        pairs = self._pairs(pivots, around, same)
-        if METHODS[p.searchMethod] == "box" or p.has("compute-HistN") or p.has("and-CF"):
-            nn = counts.pair_counts(pairs, bins)
-            self._keep("histNN", nn)
-            if p.has("and-CF") or METHODS[p.searchMethod] == "box":
-                self._keep("histCF", counts.box_correlation(nn, bins, self.points, p.lengthBox))
-        else:
-            self._keep("histNN", counts.pair_counts(pairs, bins, symmetric))
-        if p.has("NNCorrelation"):
+            pivots = cells.smooth_pivots(pivots, self.smoothing(pivots))
+        only_pairs = box_search or bool(p.flags & {"NNCorrelation", "NNEstimator", "KKCorrelation"})
+        edge = p.has("edge-corrections")
+        most, many = (-1, -1) if only_pairs else (p.mChebyshev, 2 * p.mChebyshev if edge else -1)
+        box = p.lengthBox if p.usePeriodic or box_search else None
+        theta = p.theta if p.has("behavior-ball") else 0.0
+        rule = next((r for r in ("bh86", "sw94") if p.has(r)), "default")
+        reach = p.rangeN / p.theta if p.has("Rcut/theta") else None
+        brute = METHODS[p.searchMethod] == "brute"
+        if brute:
+            self._brute(pivots, around, total, symmetric, box, reach)
             return self._write()
-        self._keep("histXi2pcf", twopoint.field_correlation(pairs, bins, pivot=weight, symmetric=symmetric))
-        if len(catalogs) > 2:
-            self._keep("histXi2pcf13", twopoint.field_correlation(self._pairs(pivots, catalogs[2], False), bins, symmetric=False))
-        if METHODS[p.searchMethod] == "box" or p.has("KKCorrelation"):
+        found = sweep(pivots, around, bins, most, counts=many, box=box, same=self.same, theta=theta, rule=rule, third=third[0] if third else None, reach=reach, by_mass=p.has("center-of-mass"))
+        self._keep("sums", found)
+        sums = self.tables.pop("sums")
+        counted = box_search or p.has("compute-HistN") or p.has("and-CF") or p.has("NNEstimator")
+        pairs = pair_rows(sums, bins, symmetric)
+        nn = pair_rows(sums, bins, symmetric and not counted).select("bin", "r", "n")
+        self._keep("histNN", nn)
+        if p.has("and-CF") or p.has("NNEstimator") or box_search:
+            self._keep("histCF", self._correlation(pair_rows(sums, bins).select("bin", "r", "n"), total))
+        if p.has("NNCorrelation") or p.has("NNEstimator"):
             return self._write()
-        most = p.mChebyshev
-        norm = "none" if p.has("no-normalize-HistZeta") or p.has("edge-corrections") else "pivot"
-        found = threepoint.moments(pairs, bins, most, weight=weight)
-        total = pivots.count()
-        zeta = threepoint.full(threepoint.multipoles(found, most, total, norm=norm, scale=scale), bins, most)
+        self._keep("histXi2pcf", pairs)
+        if third:
+            self._keep("histXi2pcf13", pair_rows(sums, bins, what="pairs13"))
+        if only_pairs:
+            return self._write()
+        plain = p.has("no-normalize-HistZeta") or edge
+        zeta = threepoint.full(multipole_rows(sums, "plain" if plain else "pivot", None if plain else total), bins, p.mChebyshev)
+        counts_ = multipole_rows(sums, "counts") if edge else None
+        self._multipoles(zeta, counts_)
+        self._write()
+
+    def _correlation(self, nn: DataFrame, total: int) -> DataFrame:
+        p = self.params
+        out = counts.box_correlation(nn, self.bins, total, p.lengthBox)
+        if p.has("cute-box-rmin"):
+            out = out.withColumn("r", (F.col("bin") - 0.5) * (p.rangeN / p.sizeHistN))
+        return out
+
+    def _brute(self, pivots: DataFrame, around: DataFrame, total: int, symmetric: bool, box: float | None, reach: float | None) -> None:
+        """Everything by comparing all with all and listing triangles: a yardstick for small catalogs."""
+        p, bins = self.params, self.bins
+        pairs = brute_pairs(pivots, around, min(p.rangeN, reach or p.rangeN), box=box, same=self.same)
+        self._keep("histNN", counts.pair_counts(pairs, bins, symmetric))
+        if p.has("NNCorrelation") or p.has("NNEstimator"):
+            return
+        self._keep("histXi2pcf", twopoint.field_correlation(pairs, bins, symmetric=symmetric))
+        if p.has("KKCorrelation"):
+            return
+        norm = "none" if p.has("no-normalize-HistZeta") else "pivot"
+        found = threepoint.multipoles(threepoint.moments(pairs, bins, p.mChebyshev), p.mChebyshev, total, norm=norm)
+        self._multipoles(threepoint.full(found, bins, p.mChebyshev), None)
+        if p.has("out-HistZetaG"):
+            self._keep("histZetaG", threepoint.by_angle(threepoint.triangles(pairs, bins), bins, p.sizeHistPhi))
+
+    def _multipoles(self, zeta: DataFrame, many: DataFrame | None) -> None:
+        p, bins, most = self.params, self.bins, self.params.mChebyshev
         self._keep("histZetaM", zeta)
-        if p.has("edge-corrections"):
-            one = F.lit(1.0)
-            many = threepoint.multipoles(threepoint.moments(pairs, bins, 2 * most, weight=one, field=one), 2 * most, total, norm="none")
+        zeta = self.tables["histZetaM"]
+        if many is not None:
             self._keep("histZetaM_N", many)
-            self._keep("histZetaM_EE", threepoint.edge_corrected(zeta, many, most))
+            self._keep("histZetaM_EE", threepoint.edge_corrected(zeta, self.tables["histZetaM_N"], most))
         if p.has("xr1r2"):
             self._keep("histZetaM_r1r2", synthesis.weighted(zeta, bins))
         if p.has("out-m-HistZeta"):
@@ -204,17 +324,37 @@ class Correlator:
             self._keep("histZetaGm", synthesis.re_im(zeta))
             self._keep("histZetaG", synthesis.at_angles(zeta, p.sizeHistPhi))
             self._keep("histZetaG_fft", synthesis.dft(zeta, most))
-        self._write()
 
     def _write(self) -> None:
-        """Every table as Parquet below rootDir, with the parameters that made it; nothing with no-out-Hist or without rootDir."""
-        p = self.params
+        """Every table as Parquet below rootDir/tables, and as the text files that plotting scripts read, with the parameters that made them; nothing with no-out-Hist or without rootDir."""
+        p, spark = self.params, self.spark
         if p.has("no-out-Hist") or not p.rootDir:
             return
         for name, df in self.tables.items():
-            df.write.mode("overwrite").parquet(f"{p.rootDir}/{name}{p.suffixOutFiles}")
-        self.bins.frame(self.spark).coalesce(1).write.mode("overwrite").parquet(f"{p.rootDir}/rBins{p.suffixOutFiles}")
-        self.spark.createDataFrame([(line,) for line in p.to_json().splitlines()], "value string").coalesce(1).write.mode("overwrite").text(f"{p.rootDir}/parameters-usedvalues")
+            df.coalesce(1).write.mode("overwrite").parquet(f"{p.rootDir}/tables/{name}{p.suffixOutFiles}")
+        path = lambda name: f"{p.rootDir}/{name}{p.suffixOutFiles}.txt"
+        have = self.tables.get
+        bins = self.bins.frame(spark)
+        bins.coalesce(1).write.mode("overwrite").parquet(f"{p.rootDir}/tables/rBins{p.suffixOutFiles}")
+        histograms.write_bins(bins, path("rBins"))
+        if nn := have("histNN"):
+            histograms.write_curve(nn, path(p.histNNFileName), "n")
+        if cf := have("histCF"):
+            histograms.write_curve(cf, path("histCF"), "cf")
+            histograms.write_counts(cf, path("histCF_errors"))
+        for name, suffix in (("histXi2pcf", ""), ("histXi2pcf13", "13")):
+            if xi := have(name):
+                histograms.write_curve(xi, path(p.histXi2pcfFileName + suffix), "xi")
+        ends = f"{p.suffixOutFiles}.txt"
+        for name in ("histZetaM", "histZetaM_r1r2"):
+            if zeta := have(name):
+                histograms.write_matrices(zeta, p.rootDir, p.mChebyshev, name.replace("histZeta", p.histZetaFileName, 1), ends)
+        for part in threepoint.PARTS:
+            if sliced := have(f"mhistZetaM_{part}"):
+                histograms.write_slices(sliced, p.rootDir, p.mChebyshev, part, ends)
+        if by_angle := have("histZetaG"):
+            histograms.write_angles(by_angle, p.rootDir, p.sizeHistPhi, f"{p.histZetaFileName}G", suffix=ends)
+        histograms.write_file(spark, f"{p.rootDir}/parameters-usedvalues", p.to_json().encode())
 
     # Getters.
 
@@ -267,8 +407,8 @@ class Correlator:
         return self.params.theta
 
     def getrsmooth(self) -> float:
-        p = self.params
-        return cells.smoothing_radius(p.bins, float(p.rsmooth) if p.rsmooth else None, p.has("fix-rsmooth"))
+        self.bins = self._bins()
+        return self.smoothing(self.roles(self.load())[0])
 
     def getCPUTime(self) -> float:
         return self.cpu_time
@@ -292,13 +432,13 @@ class Correlator:
 
 def statistics(spark: SparkSession, folders: list[str], table: str, key: str, value: str) -> DataFrame:
     """Mean, deviation and range of a table's values over saved runs."""
-    parts = [spark.read.parquet(f"{f}/{table}") for f in folders]
+    parts = [spark.read.parquet(f"{f}/tables/{table}") for f in folders]
     return compare.over_runs(c.union(*parts), [key], value)
 
 
 def edge_corrections_from_files(spark: SparkSession, folder: str, most: int) -> DataFrame:
     """Edge-corrected multipoles from saved sums and counts."""
-    return threepoint.edge_corrected(spark.read.parquet(f"{folder}/histZetaM"), spark.read.parquet(f"{folder}/histZetaM_N"), most)
+    return threepoint.edge_corrected(spark.read.parquet(f"{folder}/tables/histZetaM"), spark.read.parquet(f"{folder}/tables/histZetaM_N"), most)
 
 
 __all__ = ["Correlator", "edge_corrections_from_files", "statistics"]

@@ -40,11 +40,11 @@ def simple_cubic_random(spark: SparkSession, nbody: int, length: float = 1.0, se
     return catalog(df.withColumn("kappa", wave(F.lit(float(length)))))
 
 
-def unit_sphere_random(spark: SparkSession, nbody: int, seed: int = 123, patch: tuple[float, float, float, float] | None = None, constant: float | None = None, convention: str = "colatitude", **_) -> DataFrame:
-    """Points at random on the unit sphere with a Gaussian field; patch: only those within (thetaL, thetaR, phiL, phiR)."""
+def unit_sphere_random(spark: SparkSession, nbody: int, seed: int = 123, patch: tuple[float, float, float, float] | None = None, constant: float | None = None, convention: str = "colatitude", whole: bool = False, **_) -> DataFrame:
+    """Points at random on the unit sphere with a Gaussian field; patch: only those within (thetaL, thetaR, phiL, phiR), or with whole all, whose mask says which."""
     df = spark.range(nbody).withColumns({"phi": 2 * math.pi * F.rand(seed), "theta": F.acos(1.0 - 2.0 * F.rand(seed + 1))})
-    if patch:
-        df = df.where(in_patch(F.col("theta"), F.col("phi"), *patch))
+    inside = in_patch(F.col("theta"), F.col("phi"), *patch) if patch else F.lit(True)
+    df = df.withColumn("mask", inside) if whole else df.where(inside)
     xyz = sphere(F.col("phi"), F.col("theta"), convention)
     kappa = F.lit(float(constant)) if constant is not None else KAPPA_MEAN + KAPPA_SD * F.randn(seed + 2)
     return catalog(df.withColumns({**dict(zip("xyz", xyz, strict=True)), "kappa": kappa}))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,13 @@ def write(df: DataFrame, path: str, format: str = "columns-ascii", box: float |
         raise ValueError(f"no such format: {format}")
 
 
+def write_sky(df: DataFrame, path: str) -> None:
+    """Longitude and latitude in radians and the field, as the reader of "ra-dec-ascii" takes them."""
+    r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    sky = df.select(F.pmod(F.atan2("y", "x"), F.lit(2 * math.pi)).alias("ra"), F.asin(F.col("z") / r).alias("dec"), "kappa")
+    text.write_columns(sky, path, ["ra", "dec", "kappa"])
+
+
 def _write_files(df: DataFrame, path: str, format: str) -> None:
     """Part files in a binary format, made in the executors and stored through Hadoop's file system, one for each partition."""
     import pandas as pd

@@ -7,28 +7,32 @@ from pyspark.sql import functions as F
 
 from ..catalog import catalog, from_sky, number
 
-#: Columns that can be chosen from a table of numbers.
-MOST_COLUMNS = 7
+
+def _values(spark: SparkSession, path: str) -> DataFrame:
+    """v: the values of all lines but comments (# or %) and empty ones."""
+    return spark.read.text(path).where(~F.trim("value").rlike(r"^([#%]|$)")).select(F.split(F.trim("value"), r"[\s,]+").alias("v"))
 
 
 def table(spark: SparkSession, path: str, columns: list[int] | None = None, strict: bool = True) -> DataFrame:
-    """c1, c2, ... (double): chosen 1-based columns of all lines but comments (# or %) and empty ones.
+    """c1, c2, ... (double): chosen 1-based columns, or all that the first line has.
 
-    strict: a line with another number of values than it takes, or a value that isn't a number, is an error when it is read.
+    strict: a line with another number of values than the first, or with less than it takes, or a value that isn't a number, is an error when it is read.
     """
-    lines = spark.read.text(path).where(~F.trim("value").rlike(r"^([#%]|$)"))
-    parts = lines.select(F.split(F.trim("value"), r"[\s,]+").alias("v"))
-    wanted = columns or list(range(1, (parts.agg(F.max(F.size("v"))).first()[0] or 0) + 1))
+    parts = _values(spark, path)
+    first = parts.first()
+    width = len(first["v"]) if first else 0
+    wanted = columns or list(range(1, width + 1))
     if not strict:
         return parts.select(*[F.get("v", F.lit(c - 1)).try_cast("double").alias(f"c{c}") for c in wanted])
     few = max(wanted, default=0)
-    checked = F.when(F.size("v") < few, F.raise_error(F.concat(F.lit(f"a line has less than {few} values: "), F.array_join("v", " ")))).otherwise(F.col("v"))
+    said = F.concat(F.lit(f"a line has less than {few} values, or not the {width} of the first: "), F.array_join("v", " "))
+    checked = F.when((F.size("v") < few) | (F.size("v") != width), F.raise_error(said)).otherwise(F.col("v"))
     return parts.select(checked.alias("v")).select(*[F.get("v", F.lit(c - 1)).cast("double").alias(f"c{c}") for c in wanted])
 
 
 def require_even(spark: SparkSession, path: str) -> int:
     """The number of values that every line has; an error if lines differ."""
-    parts = spark.read.text(path).where(~F.trim("value").rlike(r"^([#%]|$)")).select(F.size(F.split(F.trim("value"), r"[\s,]+")).alias("n"))
+    parts = _values(spark, path).select(F.size("v").alias("n"))
     least, most = parts.agg(F.min("n"), F.max("n")).first()
     if least != most:
         raise ValueError(f"{path}: lines have {least} to {most} values")
@@ -48,14 +52,16 @@ def header(spark: SparkSession, path: str) -> dict:
 
 
 def choose(columns: str | list[int] | None, default: list[int]) -> list[int]:
-    """Up to seven 1-based columns; 1 to 7 if any is out of range, the default if none are given."""
+    """1-based columns from a list or a comma list, the default if none are given; anything else than positive numbers is an error."""
     if columns is None or columns == "":
         return default
     try:
         got = [int(c) for c in (columns.split(",") if isinstance(columns, str) else columns)]
-    except ValueError:
-        got = [0]
-    return got[:MOST_COLUMNS] if all(c >= 1 for c in got) else list(range(1, MOST_COLUMNS + 1))
+    except ValueError as e:
+        raise ValueError(f"columns are numbers, not {columns}") from e
+    if min(got, default=0) < 1:
+        raise ValueError(f"columns count from 1: {columns}")
+    return got
 
 
 def columns_ascii(spark: SparkSession, path: str, columns=None, **_) -> DataFrame:

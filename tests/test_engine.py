@@ -14,7 +14,9 @@ from pairwave.functions import healpix as hp
 from pairwave.functions import numeric
 from pairwave.functions.bins import Bins
 from pairwave.operators import cells, compare, counts, synthesis, threepoint, twopoint
+from pairwave.operators import sweep as sw
 from pairwave.operators.pairs import best_side, brute_pairs, grid_pairs
+from pairwave.operators.sweep import multipole_rows, pair_rows, sweep
 from pairwave.plans import derived as d
 
 
@@ -43,6 +45,71 @@ def test_split_cells_lose_no_pair(spark):
     assert key(grid_pairs(p, p, 0.05, hot=50)) == key(brute_pairs(p, p, 0.05))
 
 
+def sums_of(df):
+    return {(r["what"], r["m"], r["b1"], r["b2"]): r[4:8] for r in df.collect()}
+
+
+def same_sums(a, b):
+    a, b = sums_of(a), sums_of(b)
+    assert all(np.allclose(a.get(k, (0,) * 4), b.get(k, (0,) * 4), rtol=1e-9, atol=1e-9) for k in a.keys() | b.keys())
+
+
+@pytest.mark.parametrize("box", [None, 1.0])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sweep_is_the_sum_over_pairs(spark, box, seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    p, q, bins = points(spark, random_points(70, seed), rng.random(70)), points(spark, random_points(60, 9), rng.random(60)), Bins(0.05, 0.3, 3)
+    for wide, at_once, cell in ((sw.WIDE, sw.AT_ONCE, sw.CELL_POINTS), (1, 64, 1), (0.2, 1 << 18, 4)):
+        for name, value in (("WIDE", wide), ("AT_ONCE", at_once), ("CELL_POINTS", cell)):
+            monkeypatch.setattr(sw, name, value)
+        for a, b, same in ((p, p, True), (p, q, False)):
+            sums = sweep(a, b, bins, 2, counts=3, box=box, same=same, squares=True).cache()
+            pairs = grid_pairs(a, b, bins.rmax, box=box, same=same)
+            n = counts.pair_counts(pairs, bins)
+            assert [(r["bin"], r["n"]) for r in pair_rows(sums, bins).orderBy("bin").collect()] == [(r["bin"], r["n"]) for r in n.orderBy("bin").collect()]
+            found = threepoint.moments(pairs, bins, 2)
+            ones = threepoint.moments(pairs, bins, 3, weight=F.lit(1.0), field=F.lit(1.0))
+            key = lambda df: {tuple(r[:3]): r[3:] for r in df.collect()}
+            for got, want in ((multipole_rows(sums, "pivot", 70), threepoint.multipoles(found, 2, 70)), (multipole_rows(sums, "plain"), threepoint.multipoles(found, 2, 70, norm="none")), (multipole_rows(sums, "counts"), threepoint.multipoles(ones, 3, 70, norm="none")), (multipole_rows(sums, "plain", None, True), threepoint.multipoles(found, 2, 70, norm="none", drop_degenerate=True))):
+                got, want = key(got), key(want)
+                assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-8, atol=1e-8) for k in want)
+
+
+def test_sweep_splits_hot_blocks_and_takes_empty_catalogs(spark, monkeypatch):
+    p, bins = points(spark, random_points(90, 3, 0.1)), Bins(0.01, 0.05, 3)
+    want = sweep(p, p, bins, 2).cache()
+    want.count()
+    monkeypatch.setattr(sw, "HOT_PAIRS", 50)
+    same_sums(sweep(p, p, bins, 2), want)
+    none = p.limit(0)
+    for a, b in ((none, p), (p, none), (none, none)):
+        assert [r["n"] for r in pair_rows(sweep(a, b, bins, 2), bins).collect()] == [0, 0, 0]
+
+
+def test_cells_stand_for_points_within_an_error(spark):
+    """The finer the opening angle, the nearer to the exact sums; with cells of one point they are exact."""
+    xyz, k = on_sphere(3000, 4), np.random.default_rng(5).random(3000) + 1.0
+    p, bins = points(spark, xyz, k), Bins(0.05, 0.6, 5)
+    exact = sums_of(sweep(p, p, bins, 2))
+    errors = []
+    for theta in (1.0, 0.3):
+        got = sums_of(sweep(p, p, bins, 2, theta=theta, cell=0.02))
+        errors.append(max(abs(got["pivot", 0, a, b][0] / exact["pivot", 0, a, b][0] - 1) for a in range(1, 6) for b in range(1, 6)))
+        assert abs(sum(got["pairs", 0, b, 0][0] for b in range(1, 6)) / sum(exact["pairs", 0, b, 0][0] for b in range(1, 6)) - 1) < 0.02
+    assert errors[1] < 0.01 and errors[0] < 0.05
+    tiny = sums_of(sweep(p, p, bins, 2, theta=1e-4, cell=1e-7))
+    assert all(np.allclose(tiny[key], exact[key], rtol=1e-6, atol=1e-6) for key in exact)
+
+
+def test_levels_of_cells():
+    bins = Bins(0.1, 1.6, 4)
+    assert sw.cell_levels(bins, 0.0, "default", 0.01) == [(0.0, 0, 4)] == sw.cell_levels(bins, 1.0, "exact", 0.01)
+    levels = sw.cell_levels(bins, 1.0, "bh86", 0.15)
+    assert levels == [(0.0, 0, 1), (0.15, 1, 2), (0.3, 2, 3), (0.6, 3, 4)]
+    for side, first, last in levels:
+        assert all(cells.opening(side, 1.0, "bh86") <= bins.edges[b] for b in range(first, last))
+
+
 def test_negative_coordinates_and_cell_edges(spark):
     p = points(spark, [(0, 0, 0), (-0.5, 0, 0), (0.5, 0, 0), (1.0, 0, 0), (-1.0, 0, 0), (0, 0.5, -0.5)])
     assert key(grid_pairs(p, p, 0.8, size=0.5)) == key(brute_pairs(p, p, 0.8))
@@ -204,6 +271,37 @@ def test_catalog_defaults_duplicates_and_jitter(spark):
     assert c.duplicates(moved).isEmpty() and moved.where("active").count() == 2
 
 
+def test_cells_far_from_the_origin_stay_apart(spark):
+    p = c.catalog(points(spark, [(0, 0, 0), (0.1, 0, 0), (0.2, 0, 0), (-0.1, 0.1, 0.05)]))
+    assert cells.summaries(p, 1e-4).count() == 4 and cells.inertia(p, 1e-4).count() == 4
+    assert [r["cells"] for r in cells.diagnostics(p, 1e-4, 2).orderBy("level").collect()] == [4, 4]
+    with pytest.raises(Exception, match="cells of"):
+        cells.summaries(p, 1e-8).collect()
+
+
+def test_pyramid_and_the_pairs_of_a_walk(spark):
+    p = c.catalog(points(spark, random_points(150, 6), np.random.default_rng(1).random(150)))
+    levels = 3
+    tree = cells.pyramid(p, 0.05, levels).cache()
+    rows = lambda df: sorted((r["nb"], round(r["radius"], 9), round(r["kappa"], 9), round(r["x"], 9)) for r in df.collect())
+    assert rows(cells.summaries(p, 0.1)) == rows(tree.where("level = 1"))
+    # Opened to the end, a walk lists every pair of finest cells that may hold pairs of the range.
+    finest = tree.where("level = 0").select(F.lit(0).alias("level"), "cell", "nb", "x", "y", "z", "radius").toPandas()
+    walk = cells.opened_pairs(tree, levels, 0.2, 0.5, 1e-6).toPandas()
+    assert (walk[["level_a", "level_b"]] == 0).all().all() or (walk[walk[["level_a", "level_b"]].max(1) > 0]["r"] > 0).all()
+    v, radius = finest[["x", "y", "z"]].to_numpy(), finest["radius"].to_numpy()
+    r = np.linalg.norm(v[:, None] - v[None], axis=2)
+    reach = radius[:, None] + radius[None]
+    assert len(walk[(walk["level_a"] == 0) & (walk["level_b"] == 0)]) <= ((r - reach < 0.5) & (r + reach > 0.2)).sum()
+    # With an opening angle far fewer pairs stand for the same pairs of points: nb_a nb_b of those wholly inside the range.
+    wide = cells.opened_pairs(tree, levels, 0.2, 0.5, 2.0).toPandas()
+    xyz = np.array(random_points(150, 6))
+    inside = np.linalg.norm(xyz[:, None] - xyz[None], axis=2)
+    exact = ((inside > 0.2) & (inside < 0.5)).sum()
+    got = (wide["nb_a"] * wide["nb_b"])[(wide["r"] > 0.2) & (wide["r"] < 0.5)].sum()
+    assert len(wide) < 0.8 * len(walk) and abs(got / exact - 1) < 0.1
+
+
 def test_smooth_pivots_and_approximate_cells(spark, data):
     s = c.catalog(d.sphere(spark, data("0.001")))
     smooth = cells.smooth_pivots(s, 0.3)
@@ -227,6 +325,13 @@ def test_numeric_kernels(spark):
     df = spark.createDataFrame([(0, i, float(x), 0.0) for i, x in enumerate(v)], "g int, i int, re double, im double")
     out = numeric.fourier(df, ["g"], "i", "re", "im").orderBy("k").toPandas()
     assert np.allclose(out["re"] + 1j * out["im"], np.fft.fft(v))
+    half = numeric.fourier_real(df, ["g"], "i", "re").orderBy("k").toPandas()
+    assert np.allclose(half["re"] + 1j * half["im"], np.fft.rfft(v))
+    x = np.array([0.5, 1.0, 60.0])
+    for f in (lambda v: numeric.bessel_j(1, v), lambda v: numeric.bessel_i(0, v), lambda v: numeric.bessel_k(2, v), numeric.expint1, lambda v: numeric.gamma_p(2.5, v)):
+        assert np.allclose(f(x), [f(float(u)) for u in x], rtol=1e-12)
+    got = spark.createDataFrame([(1.0,), (None,), (2.0,)], "x double").select(numeric.elementwise(lambda v: numeric.bessel_j(0, v))(F.col("x")).alias("y")).collect()
+    assert got[1]["y"] is None and got[0]["y"] == pytest.approx(0.7651976865579666)
     system = spark.createDataFrame([(0, 0, 0, 2.0), (0, 0, 1, 1.0), (0, 1, 1, 4.0), (0, 0, 2, 4.0), (0, 1, 2, 8.0)], "g int, i int, j int, a double")
     assert [r["x"] for r in numeric.solve(system, ["g"], 2).orderBy("i").collect()] == pytest.approx([1.0, 2.0])
     assert numeric.bessel_j(0, 1.0) == pytest.approx(0.7651976865579666) and numeric.bessel_i(1, 1.0) == pytest.approx(0.5651591039924851)

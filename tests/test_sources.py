@@ -50,10 +50,15 @@ def test_ragged_lines_are_an_error(spark, put):
         text.require_even(spark, path)
     with pytest.raises(Exception, match="less than 4 values"):
         registry.read(spark, path).collect()
+    with pytest.raises(Exception, match="of the first"):
+        registry.read(spark, put("l.txt", "1 2 3 4\n1 2 3 4 5\n")).collect()
 
 
 def test_columns_choice():
-    assert text.choose("3,1,2", [1]) == [3, 1, 2] and text.choose("0,1", [1]) == list(range(1, 8)) and text.choose("", [5]) == [5] and text.choose("x", [5]) == list(range(1, 8))
+    assert text.choose("3,1,2", [1]) == [3, 1, 2] and text.choose("", [5]) == [5] and text.choose("9,8,7,6,5,4,3,2,1", [1]) == [9, 8, 7, 6, 5, 4, 3, 2, 1]
+    for bad in ("0,1", "x", [-1]):
+        with pytest.raises(ValueError):
+            text.choose(bad, [1])
 
 
 def test_matrix_and_vector(spark, put):
@@ -171,8 +176,16 @@ def test_correlator(spark, tmp_path):
     assert run.getHistNN().sum() > 0 and run.getHistXi2pcf().shape == (4,)
     a = run.getHistZetaMsincos(1, 1)
     assert a.shape == (4, 4) and np.allclose(a, a.T) and run.getHistZetaM_EE(1).shape == (4, 4)
-    saved = spark.read.parquet(str(tmp_path / "out" / "histZetaM"))
-    assert saved.count() == 4 * 16 and "nbody" in (tmp_path / "out" / "parameters-usedvalues").glob("part*").__next__().read_text()
+    saved = spark.read.parquet(str(tmp_path / "out" / "tables" / "histZetaM"))
+    assert saved.count() == 4 * 16 and "nbody" in (tmp_path / "out" / "parameters-usedvalues").read_text()
+    # The text files that scripts read hold the same numbers.
+    file = lambda name: np.loadtxt(tmp_path / "out" / name)
+    assert np.allclose(file("rBins.txt"), run.getrBins()) and np.allclose(file("histNN.txt")[:, 1], run.getHistNN()) and np.allclose(file("histXi2pcf.txt")[:, 1], run.getHistXi2pcf())
+    for k, name in enumerate(("cos", "sin", "sincos", "cossin"), 1):
+        for m in (1, 4):
+            assert np.allclose(file(f"histZetaM_{name}_{m}.txt"), run.getHistZetaMsincos(m, k))
+    assert file("mhistZetaM_cos_2.txt").shape == (4, 6) and file("histZetaG_1.txt").shape == (4, 4)
+    assert "300 points" in (tmp_path / "out" / "pairwave.log").read_text() or run.params.verbose_log < 2
     with pytest.raises(KeyError):
         run.getHistCF()
     run.set(searchMethod="neighbor-boxes-omp", testmodel="simple-cubic-random", lengthBox=1.0, useLogHist=False, rangeN=0.3, rminHist=0.0, options="").run()
@@ -181,16 +194,112 @@ def test_correlator(spark, tmp_path):
     assert run.tables == {} and run.params == Params()
 
 
-def test_correlator_methods_agree_and_smooth(spark):
+def test_correlator_methods_agree(spark):
     s = models.unit_sphere_random(spark, 150)
     base = dict(sizeHistN=3, rangeN=0.8, rminHist=0.2, mChebyshev=3, rootDir="")
     a, b = (Correlator(spark, searchMethod=m, **base).use(s).run() for m in ("octree-ggg-omp", "brute"))
     assert np.allclose(a.getHistZetaMsincos(2, 2), b.getHistZetaMsincos(2, 2)) and (a.getHistNN() == b.getHistNN()).all()
-    assert Correlator(spark, options="smooth-pivot", **base).use(s).run().getHistXi2pcf().shape == (3,)
     three = Correlator(spark, options="KKCorrelation", **base).use(s, s, s).run()
     assert np.allclose(three.getHistXi2pcf12(), three.getHistXi2pcf13())
 
 
+@pytest.mark.parametrize("rsmooth", ["30", "400", "2000"])
+def test_smoothing_keeps_a_constant_field_at_one(spark, rsmooth):
+    """Whatever the radius: all weights are the pivots' numbers of points, in sums and in counts."""
+    s = models.unit_sphere_random(spark, 400, constant=1.0)
+    base = dict(sizeHistN=2, rangeN=1.2, rminHist=0.4, mChebyshev=2, rootDir="")
+    plain = Correlator(spark, **base).use(s).run()
+    smooth = Correlator(spark, options="smooth-pivot", rsmooth=rsmooth, **base).use(s).run()
+    assert np.allclose(smooth.getHistXi2pcf(), 1.0) and np.allclose(smooth.getHistZetaMsincos(1, 1), 1.0)
+    assert np.allclose(plain.getHistZetaMsincos(1, 1), 1.0) and abs(smooth.getHistNN().sum() / plain.getHistNN().sum() - 1) < 0.1
+
+
+def test_roles_of_catalogs(spark, put):
+    rng = np.random.default_rng(5)
+    paths = [put(f"c{k}", "".join(f"{a} {b} {c} {v}\n" for a, b, c, v in rng.random((n, 4)))) for k, n in enumerate((30, 40, 50))]
+    base = dict(sizeHistN=3, rangeN=0.8, rminHist=0.1, mChebyshev=2, rootDir="")
+    read = [registry.read(spark, p) for p in paths]
+    run = lambda **kw: Correlator(spark, infile=",".join(paths), **base, **kw).run()
+    use = lambda *c, **kw: Correlator(spark, **base, **kw).use(*c).run()
+    both = run(iCatalogs="1,1", options="KKCorrelation")
+    assert (both.getHistNN() == use(read[0], options="KKCorrelation").getHistNN()).all() and both.same
+    crossed = run(iCatalogs="2,3", options="KKCorrelation,asymmetric")
+    assert np.allclose(crossed.getHistXi2pcf(), use(read[1], read[2], options="KKCorrelation").getHistXi2pcf()) and crossed.getNBody() == 30
+    three = run(iCatalogs="3,1,2")
+    assert np.allclose(three.getHistZetaMsincos(1, 1), use(read[2], read[0], read[1]).getHistZetaMsincos(1, 1)) and three.getHistXi2pcf13().shape == (3,)
+    # By hand: pivots of the third, first bin around by the first, second bin by the second.
+    p, a, b = (np.array(x.select("x", "y", "z", "kappa").collect()) for x in (read[2], read[0], read[1]))
+    e, want = three.bins.edges, np.zeros((3, 3))
+    for i in range(len(p)):
+        mean = []
+        for q in (a, b):
+            r = np.sqrt(((p[i, :3] - q[:, :3]) ** 2).sum(1))
+            mean.append([q[(r >= lo) & (r < hi), 3].sum() / max(1, ((r >= lo) & (r < hi)).sum()) for lo, hi in zip(e, e[1:])])
+        want += p[i, 3] * np.outer(*mean) / len(p)
+    assert np.allclose(three.getHistZetaMsincos(1, 1), want)
+    for bad in ("4", "0", "1,2,3,1"):
+        with pytest.raises(ValueError):
+            run(iCatalogs=bad)
+
+
+def test_levels_are_part_of_a_run(spark):
+    s = models.unit_sphere_random(spark, 60)
+    run = Correlator(spark, sizeHistN=2, rangeN=0.8, rminHist=0.2, mChebyshev=2, rootDir="").use(s)
+    run.run(("StartRun",))
+    assert run.tables == {} and run.getNBody() == 60
+    run.run(("MainLoop",))
+    assert run.getHistNN().sum() > 0
+
+
+def test_options_act_or_are_refused(spark, tmp_path):
+    s = models.unit_sphere_random(spark, 300)
+    base = dict(sizeHistN=3, rangeN=0.8, rminHist=0.2, mChebyshev=2, rootDir="")
+    exact = Correlator(spark, **base).use(s).run()
+    assert (Correlator(spark, options="no-one-ball,KKKCorrelation", **base).use(s).run().getHistNN() == exact.getHistNN()).all()
+    near = Correlator(spark, options="behavior-ball", theta=0.2, **base).use(s).run()
+    assert not (near.getHistNN() == exact.getHistNN()).all() and np.allclose(near.getHistNN(), exact.getHistNN(), rtol=0.15)
+    assert np.abs(near.getHistXi2pcf() - exact.getHistXi2pcf()).max() < 2e-5
+    assert not np.allclose(Correlator(spark, options="behavior-ball,bh86", theta=2.0, **base).use(s).run().getHistNN(), Correlator(spark, options="behavior-ball,sw94", theta=2.0, **base).use(s).run().getHistNN())
+    cut = Correlator(spark, options="Rcut/theta", theta=2.0, **base).use(s).run().getHistNN()
+    assert cut[0] == exact.getHistNN()[0] and cut[2] == 0 and 0 < cut[1] <= exact.getHistNN()[1]
+    cf = Correlator(spark, options="NNEstimator", **base).use(s).run()
+    assert set(cf.tables) == {"histNN", "histCF"}
+    assert "cells" in Correlator(spark, options="make-tree,NNCorrelation", **base).use(s).run().tables
+    wide = Correlator(spark, options="patch,patch-with-all,NNCorrelation", nbody=2000, **base).run()
+    inside = Correlator(spark, options="patch,NNCorrelation", nbody=2000, **base).run()
+    assert wide.getHistNN().sum() > 2 * inside.getHistNN().sum() > 0
+    seen = []
+    scripted = Correlator(spark, options="pre-processing,post-processing,stop", preScript="a", posScript="b", **base).use(s)
+    scripted.scripts |= {"a": lambda r: seen.append("a"), "b": lambda r: seen.append("b")}
+    scripted.run()
+    assert seen == ["a", "b"]
+    with pytest.raises(ValueError):
+        Correlator(spark, options="pre-processing", preScript="rm -rf x", **base).use(s).run()
+    for bad in ("bh86", "behavior-ball,no-one-ball", "NNCorrelation,KKCorrelation", "patch-with-all", "cute-box-rmin", "check-eq-pos,no-check-two-bodies-eq-pos"):
+        with pytest.raises(ValueError):
+            Params(options=bad)
+    folders = []
+    for k in range(3):
+        folders.append(str(tmp_path / f"r{k}"))
+        Correlator(spark, **(base | {"rootDir": folders[-1]}), options="edge-corrections", numberThreads=3).use(models.unit_sphere_random(spark, 100, seed=k)).run()
+    stat = Correlator(spark, infile=",".join(folders), options="statistics-histograms", **base).run()
+    assert stat.tables["histNN_stat"].count() == 3
+    again = Correlator(spark, infile=folders[0], options="edge-corrections-from-files", **base).run()
+    assert np.allclose(again.getHistZetaM_EE(1), np.array([[r["re"] for r in spark.read.parquet(f"{folders[0]}/tables/histZetaM_EE").where(f"m = 0 and b1 = {a}").orderBy("b2").collect()] for a in (1, 2, 3)]))
+    assert "numberThreads" in (tmp_path / "r0" / "pairwave.log").read_text()
+
+
+def test_brute_run_counts_triangles_by_angle(spark):
+    s = models.unit_sphere_random(spark, 40)
+    base = dict(sizeHistN=2, rangeN=1.2, rminHist=0.3, mChebyshev=3, sizeHistPhi=8, rootDir="", options="out-HistZetaG,no-normalize-HistZeta")
+    brute = Correlator(spark, searchMethod="brute", **base).use(s).run()
+    zeta = brute.getHistZetaMsincos(1, 1)
+    total = brute.tables["histZetaG"].groupBy("b1", "b2").agg(F.sum("re").alias("v"))
+    for r in total.collect():
+        assert r["v"] == pytest.approx(zeta[r["b1"] - 1, r["b2"] - 1], rel=1e-9)
+    assert brute.tables["histZetaG"].count() == 8 * 4
+
+
 def test_correlator_reads_files(spark, put, tmp_path):
     """Formats with three columns take the first three of the default four; results go with the parameters that made them."""
     rng = np.random.default_rng(2)
@@ -200,8 +309,8 @@ def test_correlator_reads_files(spark, put, tmp_path):
     assert run.getNBody() == 40 and set(np.round(run.getHistXi2pcf()[run.getHistNN() > 0], 9)) == {4.0}
     sky = put("s.txt", "".join(f"{a * 360} {b * 90} 1.5\n" for a, b in rng.random((30, 2))))
     assert Correlator(spark, infile=sky, infileformat="ra-dec-ascii", options="in-degrees,KKCorrelation", **(base | {"usePeriodic": False})).run().getNBody() == 30
-    both = Correlator(spark, infile=f"{path},{path}", infileformat="columns-ascii-pos", iCatalogs="1,2", options="KKCorrelation", **base).run()
-    assert both.getHistNN().sum() > 0
+    both = Correlator(spark, infile=f"{path},{path}", infileformat="columns-ascii-pos", iCatalogs="1,2", options="KKCorrelation,asymmetric", **base).run()
+    assert (both.getHistNN() == 2 * run.getHistNN()).all()
     out = str(tmp_path / "copy")
     Correlator(spark, infile=path, infileformat="columns-ascii-pos", options="stop", **(base | {"rootDir": str(tmp_path)}), outfile="copy", outfileformat="columns-ascii-pos").run()
     assert registry.read(spark, out, "columns-ascii-pos").count() == 40
