@@ -1,12 +1,14 @@
 """Binary catalogs: FITS tables and maps, GADGET snapshots, NumPy maps, Fortran-record maps, packed doubles.
 
-Each file is one row of Spark's binaryFile source, so it may come from any file system; files are parsed with NumPy in
-the executors and cut into Arrow batches. A file must fit into a task's memory: snapshots and maps are stored in parts for that.
+A file is one row of Spark's binaryFile source, so it may come from any file system, and is parsed with NumPy in
+the executors. Tables, maps and packed catalogs beyond RANGE bytes are read in ranges of rows, a task each, where pyarrow knows the
+file system (local or shared folders, HDFS, object stores); their size has no bound then. Snapshots must fit into a task: they come in parts.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import math
 import struct
 from collections.abc import Callable, Iterator
@@ -22,6 +24,8 @@ from ..functions.geometry import wrap
 
 #: Rows of an Arrow batch.
 BATCH = 100_000
+#: Bytes of a file beyond which it is read in ranges, and bytes of a range.
+RANGE = 128 << 20
 BLOCK = 2880
 #: NumPy types of FITS table columns, big-endian.
 FITS_TYPES = {"L": "i1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8"}
@@ -38,9 +42,99 @@ def _files(spark: SparkSession, path: str | list[str], parse: Callable[[str, byt
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
 
+def opened(uri: str):
+    """A file for reading at any place, by URI."""
+    from pyarrow import fs
+
+    system, where = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(where)
+
+
+def _sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """URIs and sizes of the files that a path, folder or pattern names."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for status in system.globStatus(where) or []:
+        inner = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [(f.getPath().toString(), f.getLen()) for f in inner if not f.isDirectory() and not f.getPath().getName().startswith((".", "_"))]
+    return out
+
+
+#: Of a file: places where rows of each segment begin, bytes of a row in each, rows, and what parsing needs.
+Layout = tuple[list[int], list[int], int, dict]
+
+
+def _rows(spark: SparkSession, path: str, parse: Callable[[str, bytes], pd.DataFrame], layout: Callable[[object], Layout], part: Callable[[list[bytes], int, dict], pd.DataFrame], schema: str) -> DataFrame:
+    """Rows of files: small files whole (parse), large ones in ranges. layout: of an open file; part: rows from the segments' bytes and the number of the first row."""
+    files = _sizes(spark, path)
+    large = [uri for uri, size in files if size > RANGE]
+    if not large:
+        return _files(spark, path, parse, schema)
+    tasks = []
+    for uri in large:
+        with opened(uri) as f:
+            begins, widths, n, info = layout(f)
+        step = max(1, RANGE // sum(widths))
+        tasks += [(uri, begins, widths, at, min(step, n - at), json.dumps(info)) for at in range(0, n, step)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for uri, begins_, widths_, first, many, info_ in frame.itertuples(index=False):
+                with opened(uri) as f:
+                    for at in range(0, many, BATCH):
+                        n = min(BATCH, many - at)
+                        yield part([f.read_at(n * w, b + (first + at) * w) for b, w in zip(begins_, widths_, strict=True)], first + at, json.loads(info_))
+
+    plan = spark.createDataFrame(tasks, "uri string, begins array<long>, widths array<long>, first long, many long, info string").repartition(len(tasks), "uri", "first")
+    out = plan.mapInPandas(run, schema)
+    small = [uri for uri, size in files if size <= RANGE]
+    return out.union(_files(spark, small, parse, schema)) if small else out
+
+
 # FITS.
 
 
+def fits_layout(f) -> tuple[dict[str, str], np.dtype, int, int]:
+    """Header, row type, rows and place of an open file's first binary table."""
+    size, at = f.size(), 0
+    while at < size:
+        head = b""
+        while not head or not any(head[k : k + 80].strip() == b"END" for k in range(len(head) - BLOCK, len(head), 80)):
+            block = f.read_at(BLOCK, at + len(head))
+            if len(block) < BLOCK:
+                raise ValueError("broken FITS header")
+            head += block
+        cards, _ = fits_cards(head, 0)
+        at += len(head)
+        if cards.get("XTENSION") == "BINTABLE":
+            return cards, _row_type(cards), int(cards["NAXIS2"]), at
+        at += -(-_data_size(cards) // BLOCK) * BLOCK
+    raise ValueError("no binary table")
+
+
+def _data_size(cards: dict[str, str]) -> int:
+    axes = [int(cards[f"NAXIS{k + 1}"]) for k in range(int(cards.get("NAXIS", 0)))]
+    return abs(int(cards.get("BITPIX", 8))) // 8 * math.prod(axes) + int(cards.get("PCOUNT", 0)) if axes else 0
+
+
+def _row_type(cards: dict[str, str]) -> np.dtype:
+    fields = []
+    for k in range(1, int(cards["TFIELDS"]) + 1):
+        form = cards[f"TFORM{k}"]
+        kind = form.lstrip("0123456789")[:1]
+        many = int(form[: len(form) - len(form.lstrip("0123456789"))] or 1)
+        base = f"S{many}" if kind == "A" else FITS_TYPES[kind]
+        fields.append((cards.get(f"TTYPE{k}", f"col{k}"), base) if kind == "A" or many == 1 else (cards.get(f"TTYPE{k}", f"col{k}"), base, (many,)))
+    return np.dtype(fields)
+
+
+def _table_layout(f) -> Layout:
+    cards, kind, n, at = fits_layout(f)
+    return [at], [kind.itemsize], n, {"cards": cards}
+
+
 def fits_cards(raw: bytes, at: int) -> tuple[dict[str, str], int]:
     """Values of a header's cards by keyword, and the place after the header."""
     cards: dict[str, str] = {}
@@ -64,18 +158,9 @@ def fits_tables(raw: bytes) -> list[tuple[dict[str, str], np.ndarray]]:
     at, out = 0, []
     while at < len(raw) and raw[at : at + BLOCK].strip(b"\0 "):
         cards, at = fits_cards(raw, at)
-        axes = [int(cards[f"NAXIS{k + 1}"]) for k in range(int(cards.get("NAXIS", 0)))]
-        size = abs(int(cards.get("BITPIX", 8))) // 8 * math.prod(axes) + int(cards.get("PCOUNT", 0)) if axes else 0
         if cards.get("XTENSION") == "BINTABLE":
-            fields = []
-            for k in range(1, int(cards["TFIELDS"]) + 1):
-                form = cards[f"TFORM{k}"]
-                kind = form.lstrip("0123456789")[:1]
-                many = int(form[: len(form) - len(form.lstrip("0123456789"))] or 1)
-                base = f"S{many}" if kind == "A" else FITS_TYPES[kind]
-                fields.append((cards.get(f"TTYPE{k}", f"col{k}"), base) if kind == "A" or many == 1 else (cards.get(f"TTYPE{k}", f"col{k}"), base, (many,)))
-            out.append((cards, np.frombuffer(raw, np.dtype(fields), axes[1], at)))
-        at += -(-size // BLOCK) * BLOCK
+            out.append((cards, np.frombuffer(raw, _row_type(cards), int(cards["NAXIS2"]), at)))
+        at += -(-_data_size(cards) // BLOCK) * BLOCK
     return out
 
 
@@ -92,7 +177,11 @@ def fits_columns(spark: SparkSession, path: str, columns: list[int]) -> DataFram
         cards, data = fits_tables(raw)[0]
         return pd.DataFrame({f"c{c}": _column(data, cards, c - 1) for c in columns})
 
-    return _files(spark, path, parse, ", ".join(f"c{c} double" for c in columns))
+    def part(raw: list[bytes], _: int, info: dict) -> pd.DataFrame:
+        data = np.frombuffer(raw[0], _row_type(info["cards"]))
+        return pd.DataFrame({f"c{c}": _column(data, info["cards"], c - 1) for c in columns})
+
+    return _rows(spark, path, parse, _table_layout, part, ", ".join(f"c{c} double" for c in columns))
 
 
 def _renamed(df: DataFrame, columns: list[int], names: tuple[str, ...]) -> DataFrame:
@@ -116,25 +205,48 @@ def fits_radecr_field(spark: SparkSession, path: str, columns: list[int] | None
 
 
 def fits_map(spark: SparkSession, path: str, field: int = 0) -> DataFrame:
-    """pix, value, nside, nest: a map's field, all rows in the order of pixels."""
+    """pix, value, nside, nest: a map's field; pixels are numbered by row, or by the first column in maps of a part of the sky (INDXSCHM EXPLICIT)."""
+
+    def rows(cards: dict[str, str], data: np.ndarray, first: int) -> pd.DataFrame:
+        explicit = cards.get("INDXSCHM", "").upper() == "EXPLICIT"
+        value = _column(data, cards, field + explicit)
+        many = len(value) // max(1, len(data))  # maps may have several pixels to a row
+        pix = data[data.dtype.names[0]].astype(np.int64) if explicit else np.arange(len(value)) + first * many
+        nside = int(cards.get("NSIDE") or healpix.npix2nside(int(cards["NAXIS2"]) * many))
+        return pd.DataFrame({"pix": pix, "value": value, "nside": nside, "nest": cards.get("ORDERING", "RING").upper().startswith("NEST")})
 
     def parse(_: str, raw: bytes) -> pd.DataFrame:
-        cards, data = fits_tables(raw)[0]
-        value = _column(data, cards, field)
-        nside = int(cards.get("NSIDE") or healpix.npix2nside(len(value)))
-        return pd.DataFrame({"pix": np.arange(len(value)), "value": value, "nside": nside, "nest": cards.get("ORDERING", "RING").upper().startswith("NEST")})
+        return rows(*fits_tables(raw)[0], 0)
 
-    return _files(spark, path, parse, "pix long, value double, nside int, nest boolean")
+    def part(raw: list[bytes], first: int, info: dict) -> pd.DataFrame:
+        return rows(info["cards"], np.frombuffer(raw[0], _row_type(info["cards"])), first)
+
+    return _rows(spark, path, parse, _table_layout, part, "pix long, value double, nside int, nest boolean")
+
+
+def _array_layout(f) -> Layout:
+    head = io.BytesIO(f.read_at(min(f.size(), 1 << 16), 0))
+    version = np.lib.format.read_magic(head)
+    shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+    if kind.hasobject or fortran and len(shape) > 1:
+        raise ValueError("an array of another kind than numbers in order")
+    return [head.tell()], [kind.itemsize], math.prod(shape), {"kind": kind.str, "rows": math.prod(shape)}
 
 
 def numpy_map(spark: SparkSession, path: str, nest: bool = False) -> DataFrame:
     """pix, value, nside, nest from an .npy file with one number for each pixel."""
 
+    def rows(value: np.ndarray, first: int, n: int) -> pd.DataFrame:
+        return pd.DataFrame({"pix": np.arange(len(value)) + first, "value": value.astype(np.float64), "nside": healpix.npix2nside(n), "nest": nest})
+
     def parse(_: str, raw: bytes) -> pd.DataFrame:
-        value = np.load(io.BytesIO(raw), allow_pickle=False).astype(np.float64).ravel()
-        return pd.DataFrame({"pix": np.arange(len(value)), "value": value, "nside": healpix.npix2nside(len(value)), "nest": nest})
+        value = np.load(io.BytesIO(raw), allow_pickle=False).ravel()
+        return rows(value, 0, len(value))
+
+    def part(raw: list[bytes], first: int, info: dict) -> pd.DataFrame:
+        return rows(np.frombuffer(raw[0], np.dtype(info["kind"])), first, info["rows"])
 
-    return _files(spark, path, parse, "pix long, value double, nside int, nest boolean")
+    return _rows(spark, path, parse, _array_layout, part, "pix long, value double, nside int, nest boolean")
 
 
 def map_catalog(map_: DataFrame, mask: DataFrame | None = None, inside_only: bool = True) -> DataFrame:
@@ -266,6 +378,23 @@ def fortran_map(raw: bytes) -> dict[str, np.ndarray | int]:
     return {"nside": nside, **{name: values[k * npix : (k + 1) * npix] for k, name in enumerate(names[: len(values) // npix])}}
 
 
+def _record_layout(f) -> Layout:
+    """Places of the fields of a map whose fields are a record each."""
+    at, found, size = 0, [], f.size()
+    while at < size:
+        (n,) = struct.unpack("<i", f.read_at(4, at))
+        if at + 8 + n > size or struct.unpack("<i", f.read_at(4, at + 4 + n))[0] != n:
+            raise ValueError("broken map: length marks differ")
+        found.append((at + 4, n))
+        at += 8 + n
+    nside = struct.unpack("<i", f.read_at(4, found[0][0]))[0]
+    pixels = healpix.nside2npix(nside)
+    fields = [place for place, n in found[1:] if n > 8]
+    if any(n != 4 * pixels for _, n in found[1:] if n > 8):
+        raise ValueError("a large map whose fields aren't a record each")
+    return fields[:3], [4] * len(fields[:3]), pixels, {"nside": nside}
+
+
 def takahashi(spark: SparkSession, path: str, **_) -> DataFrame:
     """A full-sky map of convergence and shear in Fortran records, ring scheme, as points."""
 
@@ -274,7 +403,14 @@ def takahashi(spark: SparkSession, path: str, **_) -> DataFrame:
         n = healpix.nside2npix(got["nside"])
         return pd.DataFrame({"id": np.arange(n), "nside": got["nside"], **{k: got[k].astype(np.float64) if k in got else np.nan for k in ("kappa", "gamma1", "gamma2")}})
 
-    df = _files(spark, path, parse, "id long, nside int, kappa double, gamma1 double, gamma2 double")
+    names = ("kappa", "gamma1", "gamma2")
+
+    def part(raw: list[bytes], begin: int, info: dict) -> pd.DataFrame:
+        got = {name: np.frombuffer(r, "<f4").astype(np.float64) for name, r in zip(names, raw)}
+        n = len(got["kappa"])
+        return pd.DataFrame({"id": np.arange(n) + begin, "nside": info["nside"], **{k: got.get(k, np.nan) for k in names}})
+
+    df = _rows(spark, path, parse, _record_layout, part, "id long, nside int, kappa double, gamma1 double, gamma2 double")
     first = df.select("nside").first()
     x, y, z = healpix.pix2vec(first["nside"] if first else 1, F.col("id"))
     return catalog(df.withColumns({"x": x, "y": y, "z": z}))
@@ -294,12 +430,24 @@ def packed(spark: SparkSession, path: str, **_) -> DataFrame:
     """Catalogs in packed doubles with 4 fields or all 7."""
     names = ("x", "y", "z", "kappa", "weight", "mass", "m")
 
-    def parse(_: str, raw: bytes) -> pd.DataFrame:
+    def head(raw: bytes) -> tuple[int, int]:
         mark, width, n = struct.unpack_from(PACKED, raw)
         if mark != b"PWCAT01\0":
             raise ValueError("not a packed catalog")
-        data = np.frombuffer(raw, "<f8", width * n, struct.calcsize(PACKED)).reshape(n, width)
-        return pd.DataFrame({c: data[:, k] if k < width else np.ones(n) for k, c in enumerate(names)})
+        return width, n
+
+    def rows(raw: bytes, width: int) -> pd.DataFrame:
+        data = np.frombuffer(raw, "<f8").reshape(-1, width)
+        return pd.DataFrame({c: data[:, k] if k < width else np.ones(len(data)) for k, c in enumerate(names)})
+
+    def parse(_: str, raw: bytes) -> pd.DataFrame:
+        width, n = head(raw)
+        begin = struct.calcsize(PACKED)
+        return rows(raw[begin : begin + 8 * width * n], width)
+
+    def layout(f) -> Layout:
+        width, n = head(f.read_at(struct.calcsize(PACKED), 0))
+        return [struct.calcsize(PACKED)], [8 * width], n, {"width": width}
 
-    df = _files(spark, path, parse, ", ".join(f"{c} double" for c in names))
+    df = _rows(spark, path, parse, layout, lambda raw, _, info: rows(raw[0], info["width"]), ", ".join(f"{c} double" for c in names))
     return catalog(number(df.withColumn("mask", F.col("m") > 0)))

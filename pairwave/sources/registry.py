@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import SCHEMA, catalog, union
+from ..functions import healpix
 from . import binary, text
 
 
@@ -57,11 +58,12 @@ def read_all_in_one(spark: SparkSession, paths: str, formats: str = "columns-asc
     return union(*read_many(spark, paths, formats, **options))
 
 
-def write(df: DataFrame, path: str, format: str = "columns-ascii", box: float | None = None) -> None:
-    """A catalog in a format; all but "fits" and "binary" are written in parallel, a part for each partition.
+def write(df: DataFrame, path: str, format: str = "columns-ascii", box: float | None = None, nside: int | None = None, nest: bool = False) -> None:
+    """A catalog in a format, written in parallel, a part for each partition.
 
     columns-ascii: x y z kappa, with a header; columns-ascii-all: all fields; columns-ascii-pos: positions only (box: shifted by half its
-    side, from a centered box to one from 0); fits, numpy-healpix: one table x y z kappa in each part file's row; parquet.
+    side, from a centered box to one from 0); fits, binary, binary-all: one table in each part file; fits-healpix: ids as pixels of a map with
+    kappa, each part file a map of a part of the sky (nside: by the number of points if not given); parquet.
     """
     if format == "parquet":
         df.select(*[f.name for f in SCHEMA.fields]).write.mode("overwrite").parquet(path)
@@ -72,8 +74,16 @@ def write(df: DataFrame, path: str, format: str = "columns-ascii", box: float |
         text.write_columns(df.withColumn("m", F.col("mask").cast("double")), path, ["x", "y", "z", "kappa", "weight", "mass", "m"])
     elif format == "columns-ascii-pos":
         text.write_columns(df.withColumns({c: F.col(c) + (box / 2 if box else 0.0) for c in "xyz"}), path, ["x", "y", "z"])
-    elif format in ("fits", "numpy-healpix", "binary", "binary-all"):
-        _write_files(df, path, format)
+    elif format in ("fits", "binary", "binary-all"):
+        names = ["x", "y", "z", "kappa", "weight", "mass", "mask"] if format == "binary-all" else ["x", "y", "z", "kappa"]
+        make = binary.packed_bytes if format.startswith("binary") else (lambda c: binary.fits_bytes({k.upper(): v for k, v in c.items()}))
+        _write_files(df.select(*[F.col(n).cast("double") for n in names]), path, make, "fits" if format == "fits" else "bin")
+    elif format == "fits-healpix":
+        n = healpix.npix2nside(df.count()) if nside is None else nside
+        if n < 1:
+            raise ValueError("a map of a part of the sky needs nside")
+        cards = {"PIXTYPE": "HEALPIX", "ORDERING": "NESTED" if nest else "RING", "NSIDE": n, "COORDSYS": "G", "INDXSCHM": "EXPLICIT", "OBJECT": "PARTIAL"}
+        _write_files(df.select(F.col("id").alias("pixel"), F.col("kappa").cast("double").alias("signal")), path, lambda c: binary.fits_bytes({k.upper(): v for k, v in c.items()}, cards), "fits")
     else:
         raise ValueError(f"no such format: {format}")
 
@@ -85,27 +95,39 @@ def write_sky(df: DataFrame, path: str) -> None:
     text.write_columns(sky, path, ["ra", "dec", "kappa"])
 
 
-def _write_files(df: DataFrame, path: str, format: str) -> None:
-    """Part files in a binary format, made in the executors and stored through Hadoop's file system, one for each partition."""
+def _write_files(df: DataFrame, path: str, make: Callable[[dict], bytes], ending: str) -> None:
+    """A file for each partition, written by its task under another name and then moved, where pyarrow knows the file system; else handed to the driver one by one."""
     import pandas as pd
 
-    names = ["x", "y", "z", "kappa", "weight", "mass", "mask"] if format == "binary-all" else ["x", "y", "z", "kappa"]
-    make = binary.packed_bytes if format.startswith("binary") else (lambda c: binary.fits_bytes({k.upper(): v for k, v in c.items()}))
+    spark, names = df.sparkSession, df.columns
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(root, True)
+    system.mkdirs(root)
+    uri = system.makeQualified(root).toString()
+    known = uri.split(":")[0] in ("file", "hdfs", "viewfs", "s3", "gs", "abfs", "abfss")
 
     def run(parts):
+        import uuid
+
+        from pyarrow import fs
+        from pyspark import TaskContext
+
         got = [p for p in parts if len(p)]
         if got:
             whole = pd.concat(got)
-            yield pd.DataFrame({"content": [make({c: whole[c].to_numpy().astype("float64") for c in names})]})
-
-    blobs = df.select(*names).mapInPandas(run, "content binary")
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(root, True)
-    fs.mkdirs(root)
-    for k, row in enumerate(blobs.toLocalIterator()):  # one part at a time in the driver's memory
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(root, f"part-{k:05d}.{'fits' if 'binary' not in format else 'bin'}"))
-        out.write(row["content"])
-        out.close()
+            content = make({c: whole[c].to_numpy() for c in names})
+            name = f"part-{TaskContext.get().partitionId():05d}.{ending}"
+            if known:
+                there, folder = fs.FileSystem.from_uri(uri)
+                hidden = f"{folder}/.{uuid.uuid4().hex}"
+                with there.open_output_stream(hidden) as out:
+                    out.write(content)
+                there.move(hidden, f"{folder}/{name}")
+            yield pd.DataFrame({"name": [name], "content": [b"" if known else content]})
+
+    for row in df.mapInPandas(run, "name string, content binary").toLocalIterator():
+        if not known:
+            out = system.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, row["name"]))
+            out.write(row["content"])
+            out.close()

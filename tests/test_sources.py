@@ -111,6 +111,42 @@ def test_maps_and_masks(spark, put):
     assert registry.read(spark, put("m.npy", out.getvalue()), "numpy-healpix").count() == 48
 
 
+def test_large_files_are_read_in_ranges(spark, put, monkeypatch):
+    """The same rows from ranges as from whole files, for every format that is read so."""
+    import io
+
+    rng = np.random.default_rng(1)
+    n = 1000
+    columns = {k: rng.random(n) for k in ("X", "Y", "Z", "K")}
+    array = io.BytesIO()
+    np.save(array, rng.random(192).astype("f4"))
+    record = lambda b: struct.pack("<i", len(b)) + b + struct.pack("<i", len(b))
+    k = rng.random(48).astype("<f4")
+    files = {
+        "fits": put("a.fits", binary.fits_bytes(columns | {"I": np.arange(n, dtype="i4")})),
+        "binary-all": put("a.bin", binary.packed_bytes({c: rng.random(n) for c in "abcdefg"})),
+        "fits-healpix": put("m.fits", binary.map_bytes(rng.random(192))),
+        "numpy-healpix": put("m.npy", array.getvalue()),
+        "takahashi": put("t.dat", record(struct.pack("<i", 2)) + record(struct.pack("<q", 48)) + record(k.tobytes()) + record((k + 1).tobytes())),
+    }
+    rows = lambda: {f: sorted(tuple(round(v, 12) if isinstance(v, float) else v for v in r) for r in registry.read(spark, p, f).select("x", "y", "z", "kappa", "weight", "mask", F.coalesce("gamma1", F.lit(-1.0))).collect()) for f, p in files.items()}
+    whole = rows()
+    assert {f: len(r) for f, r in whole.items()} == {"fits": n, "binary-all": n, "fits-healpix": 192, "numpy-healpix": 192, "takahashi": 48}
+    monkeypatch.setattr(binary, "RANGE", 100)
+    monkeypatch.setattr(binary, "BATCH", 7)
+    assert rows() == whole
+
+
+def test_maps_are_written_by_tasks(spark, tmp_path):
+    df = binary.map_catalog(spark.range(48).select(F.col("id").alias("pix"), (F.col("id") * 0.5).alias("value"), F.lit(2).alias("nside"), F.lit(False).alias("nest"))).repartition(3)
+    registry.write(df, str(tmp_path / "map"), "fits-healpix")
+    assert len(list((tmp_path / "map").glob("part-*.fits"))) == 3
+    got = registry.read(spark, str(tmp_path / "map"), "fits-healpix")
+    assert xyz(got) == xyz(df) and sorted(r["id"] for r in got.select("id").collect()) == list(range(48))
+    with pytest.raises(ValueError):
+        registry.write(df.limit(5), str(tmp_path / "part"), "fits-healpix")
+
+
 def test_fits_sky_tables(spark, put):
     path = put("t.fits", binary.fits_bytes({"RA": np.array([0.0, 90.0]), "DEC": np.array([0.0, 0.0]), "R": np.array([2.0, 3.0]), "K": np.array([1.0, 2.0])}))
     r = registry.read(spark, path, "fits-radecr-field").orderBy("kappa").collect()
