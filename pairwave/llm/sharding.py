@@ -22,7 +22,7 @@ from .frames import crc32, temporary, written
 
 SLOTS = 4096
 #: Groups by text that the rows of a slot are dealt to.
-GROUPS = 64
+GROUPS = 16
 #: Copies of a repeated row that are given places at once.
 COPIES = 1 << 16
 MAP = "version int, virtual_slot int, shard int, bytes long, rows long"
