@@ -52,14 +52,14 @@ def temporary(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """df written once as a Parquet table in the shared folder and read back: cuts lineage and survives lost executors.
 
-    The table stays until `forget` or the JVM's exit, since the returned frame is read lazily.
+    level: of zstd, a higher one takes more time and less disk. The table stays until `forget` or the JVM's exit, since the returned frame is read lazily.
     """
     spark = df.sparkSession
     path = temporary(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -348,7 +348,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
     feature: frames, milliseconds, and the colour histogram summed over frames.
     """
-    frames = written(frame_table(store(docs), ("row", "doc_id"), True), "gif-frames")
+    frames = written(frame_table(store(docs), ("row", "doc_id"), True), "gif-frames", level=9)
     names = ["doc_id", "frame", "last", "delay_ms", "histogram", "pixels", "media_bytes", "media_sha256", "comment"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
