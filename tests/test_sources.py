@@ -359,6 +359,24 @@ def test_command_line(tmp_path, capsys):
     assert cli.main(["--help"]) == 0 and "sizeHistN" in capsys.readouterr().out and cli.main(["--version"]) == 0
 
 
+@pytest.mark.parametrize("box", [None, 1.0])
+def test_stream_reads_the_blocks_that_a_batch_reaches(spark, tmp_path, box):
+    from pairwave.functions.bins import Bins
+    from pairwave.operators import twopoint
+    from pairwave.operators.pairs import grid_pairs
+    from pairwave.streaming.histogram import PairStream
+
+    bins = Bins(0.0, 0.06, 3, "linear")
+    s = models.simple_cubic_random(spark, 1000, 1.0).select("id", "x", "y", "z", "kappa").cache()
+    stream = PairStream(str(tmp_path / "state"), bins, box)
+    for k, part in enumerate((F.col("x") < 0.5, F.col("x") >= 0.5)):
+        stream.batch(s.where(part), k)
+    stream.batch(s.where(F.col("x") >= 0.5), 1)  # run again
+    assert len(list((tmp_path / "state" / "points" / "batch=0").glob("block=*"))) > 8
+    got, want = stream.result(spark).orderBy("bin").toPandas(), twopoint.field_correlation(grid_pairs(s, s, bins.rmax, box=box), bins, symmetric=False).orderBy("bin").toPandas()
+    assert (got["n"] == want["n"]).all() and got["n"].sum() > 0 and np.allclose(got["xi"], want["xi"])
+
+
 def test_stream_adds_up(spark, tmp_path):
     from pairwave.functions.bins import Bins
     from pairwave.operators import counts, twopoint
