@@ -51,9 +51,13 @@ def summaries(df: DataFrame, size: float, level: int = 0, center_of_mass: bool =
 
 def inertia(df: DataFrame, size: float) -> DataFrame:
     """cell, nb, bounding box, and second moments of positions about their mean."""
-    keyed = df.withColumn("cell", morton(size))
+    return extents(df.withColumn("cell", morton(size)), "cell")
+
+
+def extents(keyed: DataFrame, key: str) -> DataFrame:
+    """key, nb, bounding box, and second moments of positions about their mean, for each group of points."""
     second = [(F.avg(F.col(a) * F.col(b)) - F.avg(a) * F.avg(b)).alias(f"i{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
-    return keyed.groupBy("cell").agg(F.count("*").alias("nb"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))], *second)
+    return keyed.groupBy(key).agg(F.count("*").alias("nb"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))], *second)
 
 
 def opening(size, theta: float, rule: str = "default", dims: int = 3):
@@ -175,3 +179,20 @@ def halves(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """df with half 0 or 1: below or from the median of column in each group on."""
     w = Window.partitionBy(*by).orderBy(column, "id")
     return df.withColumn("half", (F.ntile(2).over(w) - 1).cast("int"))
+
+
+def kd_tree(df: DataFrame, levels: int, accuracy: int = 10_000) -> DataFrame:
+    """df with node: a number from 2^levels on, its leaf in a tree that halves each node at the median of its widest axis; node >> k is the ancestor k levels up.
+
+    Medians are taken by partial aggregates, good to 1 / accuracy of a node's points, so no node is one task. Points on a median go to the
+    lower half, equal points stay together.
+    """
+    out = df.withColumn("node", F.lit(1).cast("long"))
+    for _ in range(levels):
+        wide = F.greatest(*[F.max(c) - F.min(c) for c in "xyz"])
+        axis = F.when(F.max("x") - F.min("x") == wide, 0).when(F.max("y") - F.min("y") == wide, 1).otherwise(2)
+        cuts = out.groupBy("node").agg(axis.alias("_axis"), *[F.percentile_approx(c, 0.5, accuracy).alias(f"_m{c}") for c in "xyz"]).withColumnRenamed("node", "_node")
+        value, cut = (F.when(F.col("_axis") == 0, F.col(f"{p}x")).when(F.col("_axis") == 1, F.col(f"{p}y")).otherwise(F.col(f"{p}z")) for p in ("", "_m"))
+        joined = out.join(F.broadcast(cuts), F.col("node") == F.col("_node"))  # 2^levels rows at most
+        out = joined.withColumn("node", F.col("node") * 2 + (value > cut).cast("long")).drop("_node", "_axis", "_mx", "_my", "_mz")
+    return out

@@ -279,6 +279,21 @@ def triangles_direct(spark, sf):
     return rounded(out, *[f"re{m}" for m in range(MOST + 1)])
 
 
+_TURNS = lit(2 * math.pi)
+
+
+@query(
+    f"WITH {d.sphere_sql('sph2').replace('sph2 AS', 'sph AS')}, {d.bins_sql(WIDE)}, {d.pairs_sql(WIDE)}, {d.moments_sql(WIDE, 0)}, "
+    f"t AS (SELECT a.bin AS b1, b.bin AS b2, a.w*a.qk*b.qk AS v, a.phi-b.phi AS p FROM ph a JOIN ph b ON a.pid = b.pid), f AS (SELECT least(floor((p - floor(p/{_TURNS})*{_TURNS})/{lit(2 * math.pi / ANGLES)})::INTEGER, {ANGLES - 1}) AS l, b1, b2, sum(v) AS re FROM t GROUP BY 1, 2, 3), "
+    f"g AS (SELECT l::INTEGER AS l, x.bin AS b1, y.bin AS b2 FROM (SELECT unnest(range({ANGLES})) AS l), bins x, bins y) SELECT g.l, {tidy_sql('(g.l+0.5e0)*' + lit(2 * math.pi / ANGLES), 'phi', 9)}, g.b1, g.b2, {tidy_sql('coalesce(f.re, 0e0)', 're')} FROM g LEFT JOIN f ON f.l = g.l AND f.b1 = g.b1 AND f.b2 = g.b2"
+)
+def triangles_by_angle(spark, sf):
+    """Triangles one by one into bins of the angle between both arms: a yardstick, so the smallest catalog is taken."""
+    s = d.sphere(spark, sf, "sph2")
+    out = threepoint.by_angle(threepoint.triangles(grid_pairs(s, s, WIDE.rmax), WIDE), WIDE, ANGLES).drop("im")
+    return rounded(rounded(out, "phi", digits=9), "re")
+
+
 def _once(sums: DataFrame) -> DataFrame:
     """sums as a local table, so that several results come from one pass: a row for each bin or pair of bins and multipole."""
     return sums.sparkSession.createDataFrame(sums.toArrow(), sums.schema)
@@ -378,6 +393,16 @@ def cell_summaries(spark, sf):
     return rounded(out.select("cell", "nb", "kappa", "x", "y", "z", "radius"), "kappa", "x", "y", "z", "radius")
 
 
+@query(
+    f"WITH {d.box_sql()}, {_cell_sql(CELL / 2)}, lv AS (SELECT v.level, k.cell >> (3*v.level) AS c, k.kappa, k.x, k.y, k.z FROM keyed k, (SELECT unnest(range(3)) AS level) v), "
+    f"mean AS (SELECT level, c, count(*) AS nb, avg(kappa) AS kappa, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM lv GROUP BY level, c) "
+    f"SELECT m.level::INTEGER AS level, m.c AS cell, max(m.nb) AS nb, {tidy_sql('max(m.kappa)', 'kappa')}, {tidy_sql('max(m.x)', 'x')}, {tidy_sql('sqrt(max((k.x-m.x)**2+(k.y-m.y)**2+(k.z-m.z)**2))', 'radius')} FROM mean m JOIN lv k ON k.level = m.level AND k.c = m.c GROUP BY m.level, m.c"
+)
+def cell_pyramid(spark, sf):
+    out = cells.pyramid(c.catalog(d.box(spark, sf)), CELL / 2, 3)
+    return rounded(out.select("level", "cell", "nb", "kappa", "x", "radius"), "kappa", "x", "radius")
+
+
 _SECOND = [("xx", "x", "x"), ("xy", "x", "y"), ("xz", "x", "z"), ("yy", "y", "y"), ("yz", "y", "z"), ("zz", "z", "z")]
 
 

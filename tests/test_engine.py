@@ -302,6 +302,22 @@ def test_pyramid_and_the_pairs_of_a_walk(spark):
     assert len(wide) < 0.8 * len(walk) and abs(got / exact - 1) < 0.1
 
 
+def test_kd_tree_halves_nodes(spark):
+    xyz = np.array(random_points(400, 8)) * [3, 1, 0.2]
+    p = cells.kd_tree(points(spark, xyz), 4).cache()
+    leaves = p.groupBy("node").count().collect()
+    assert len(leaves) == 16 and all(16 <= r["node"] < 32 and 20 <= r["count"] <= 30 for r in leaves)
+    # The first cut is along x, at its median.
+    side = {r["id"]: r["node"] >> 3 for r in p.collect()}
+    median = np.sort(xyz[:, 0])[199]
+    assert all((side[i] == 3) == (xyz[i, 0] > median) for i in side)
+    boxes = {r["node"]: r for r in cells.extents(p, "node").collect()}
+    for r in p.collect():
+        b = boxes[r["node"]]
+        assert all(b[f"min_{k}"] <= r[k] <= b[f"max_{k}"] for k in "xyz")
+    assert sum(b["nb"] for b in boxes.values()) == 400 and cells.kd_tree(points(spark, [(0, 0, 0)] * 3), 2).select("node").distinct().count() == 1
+
+
 def test_smooth_pivots_and_approximate_cells(spark, data):
     s = c.catalog(d.sphere(spark, data("0.001")))
     smooth = cells.smooth_pivots(s, 0.3)
