@@ -29,7 +29,7 @@ from .frames import rows, trim
 #: A query is None (everything), a trigram, or ("and" | "or", queries).
 Query = None | bytes | tuple
 #: Bytes of text whose trigrams are looked up at once.
-WINDOW = 4 << 20
+WINDOW = 1 << 20
 #: Alternatives that the exact strings of an expression are kept for.
 MAX_STRINGS = 64
 

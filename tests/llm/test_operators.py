@@ -11,7 +11,6 @@ from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings
