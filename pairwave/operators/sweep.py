@@ -33,7 +33,7 @@ from .threepoint import PARTS
 WIDE, BLOCK_POINTS = 8, 20_000
 #: Candidate pairs of a block from which its pivots are dealt to several tasks.
 HOT_PAIRS = 2_000_000_000
-#: Candidate pairs that are compared at once, and pivots that a fine cell should hold.
+#: Candidate pairs that are compared at once, and pivots that a fine cell should hold, for each level of cells.
 AT_ONCE, CELL_POINTS = 1 << 18, 32
 #: A cell's side is so much wider than the radius that rounding can't put two near points more than a cell apart.
 SLACK = 1 + 1e-9
@@ -75,7 +75,7 @@ class Block:
         # The first side that is no less than the least radius and gives cells enough pivots.
         side = min(r for k in range(len(around)) if (r := plan.radius(k)) > 0) * SLACK
         filled = np.maximum(extent, side)
-        while len(pivots) * side ** 2 < CELL_POINTS * np.sort(filled)[-2:].prod() / 4 and side < filled.max():
+        while len(pivots) * side**2 < CELL_POINTS * len(plan.levels) * np.sort(filled)[-2:].prod() / 4 and side < filled.max():
             side *= 2
         self.side, self.low, self.n = side, low, None
         self.where = [self._grid(self._moved(a[:, 1:4]), k) for k, a in enumerate(around)]
