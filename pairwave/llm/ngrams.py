@@ -37,6 +37,8 @@ BROADCAST_BYTES = 32 << 20
 FLUSH_BYTES = 4 << 20
 #: N-grams hashed at once.
 PART = 1 << 20
+#: Copies from which a text's rows are joined by broadcast: as many such texts as there are rows, over this number, at most.
+HOT_COPIES = 100_000
 #: Dropped rows (an id and a text hash, 24 bytes each) up to which they are broadcast to the filter; beyond, they are shuffled.
 DROPPED_ROWS = 600_000
 #: Stands for a null doc_id.
@@ -404,6 +406,18 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[D
     return signed.select("id", "text_key"), texts
 
 
+def _by_text(signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """signed's rows with their text's columns. Texts with very many copies are broadcast, so that no task gets all rows of one text."""
+    same = F.col("text_key") == F.col("_key")
+    hot = texts.where(F.col("copies") >= HOT_COPIES)
+    many = hot.count()
+    if not 0 < many <= DROPPED_ROWS:
+        return signed.join(texts, same)
+    often = F.broadcast(hot)
+    seldom = signed.join(F.broadcast(hot.select("_key")), same, "left_anti")
+    return signed.join(often, same).unionByName(seldom.join(texts.where(F.col("copies") < HOT_COPIES), same))
+
+
 def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links, text_id, n_copies, one row for each row of docs.
 
@@ -411,7 +425,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     the least doc_id with the same text; n_copies: rows with the same text, this one included.
     """
     signed, texts = _linked(docs, n, threshold, recall)
-    own = signed.join(texts.withColumn("class_id", id_of("class")), F.col("text_key") == F.col("_key"))
+    own = _by_text(signed, texts.withColumn("class_id", id_of("class")))
     known = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return own.select(known("id").alias("doc_id"), "class_id", F.col("links").alias("n_links"), known("first").alias("text_id"), F.col("copies").alias("n_copies"))
 
@@ -424,7 +438,7 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     """
     signed, texts = _linked(docs, n, threshold, recall)
     own = node_of(F.col("id"), F.col("text_key"))
-    classes = written(signed.join(texts, F.col("text_key") == F.col("_key")).select(own.alias("_node"), (own == F.col("class")).alias("_first")), "classes")
+    classes = written(_by_text(signed, texts).select(own.alias("_node"), (own == F.col("class")).alias("_first")), "classes")
     gone, node = fresh(docs, "_dropped"), node_of(known_id(), key_of_text())
     dropped = written(classes.where("not _first").select(F.col("_node").alias(gone)).distinct(), "dropped")
     side = F.broadcast(dropped) if dropped.count() <= DROPPED_ROWS else dropped

@@ -625,6 +625,7 @@ def test_repeated_rows_and_missing_ids_with_near_copies(spark, monkeypatch):
     every += [(None, text("b", 0)), (None, text("b", 0)), (None, text("b", 1)), (None, text("c", 0)), (7, text("c", 1)), (None, None), (None, "alone")]
     every += [(8, text("d", 0)), (8, text("e", 0)), (9, text("d", 1)), (9, text("e", 1)), (-4, text("e", 2))]
     df = spark.createDataFrame(every, "doc_id long, text string").repartition(3).cache()
+    monkeypatch.setattr(ngrams, "HOT_COPIES", 3)
     first, links, root = brute_classes([(i, t or "") for i, t in every])
     low = lambda i: float("-inf") if i is None else i
     want = Counter((i, root[t or ""], len(links[t or ""]), first[t or ""], sum((u or "") == (t or "") for _, u in every)) for i, t in every)

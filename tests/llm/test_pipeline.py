@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipe
 from pairwave.llm import ngrams, quality, secrets
+from pairwave.llm.frames import made
 from pairwave.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -36,7 +37,9 @@ def test_stages_keep_their_promises(spark, folder):
 
 
 def test_run_is_all_stages(spark, folder):
+    before = set(made())
     rows = pipe.run(spark, folder).collect()
+    assert len(set(made()) - before) == 1  # only the last stage's table is left
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in pipe.STAGES:
         docs = stage(spark, docs, folder)
