@@ -309,7 +309,7 @@ def sweep(pivots: DataFrame, around: DataFrame, bins: Bins, most: int = -1, *, c
     plan = Plan(tuple(bins.edges), most, counts, plane, same, box, tuple((a, b) for _, a, b in levels), squares, third is not None, min(bins.rmax, reach or bins.rmax))
     p = _points(pivots, "p")
     parts = []
-    side = _block_side(p, bins.rmax, box, [s for s, _, _ in levels])
+    side = _block_side(p, [x for x in (around, third) if x is not None and x is not pivots], bins.rmax)
     for k, ((size, first, last), points) in enumerate((level, field) for field in (around, third) if field is not None for level in levels):
         if first == last:
             continue
@@ -344,15 +344,16 @@ def _points(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(F.pmod(F.col("id").cast("long"), F.lit(1 << 53)).alias(f"{prefix}id"), *[c.alias(f"{prefix}{n}") for n, c in cells_.items()])
 
 
-def _block_side(p: DataFrame, rmax: float, box: float | None, sides: list[float]) -> float:
-    """As many radii as leave a block BLOCK_POINTS pivots or so: one pass over the pivots, one row."""
+def _block_side(p: DataFrame, others: list[DataFrame], rmax: float) -> float:
+    """As many radii as leave a block BLOCK_POINTS points of the largest catalog or so: one row from a pass over the pivots, and counts."""
     found = p.agg(F.count("*").alias("n"), *[f(f"p{c}").alias(f"{name}{c}") for c in "xyz" for name, f in (("l", F.min), ("h", F.max))]).first()
     tasks = 2 * p.sparkSession.sparkContext.defaultParallelism
     if not found["n"]:
         return rmax
+    n = max([found["n"], *(x.count() for x in others)])
     # A catalog fills a surface at least, so a block that is k radii wide holds at most about its share of the widest face.
     extent = sorted(max(found[f"h{c}"] - found[f"l{c}"], rmax) for c in "xyz")[1:]
-    wide = min(BLOCK_POINTS, max(1.0, found["n"] / tasks)) / found["n"] * extent[0] * extent[1]
+    wide = min(BLOCK_POINTS, max(1.0, n / tasks)) / n * extent[0] * extent[1]
     return rmax * min(WIDE, max(1.0, math.sqrt(wide) / rmax))
 
 
