@@ -34,7 +34,7 @@ WIDE, BLOCK_POINTS = 8, 20_000
 #: Candidate pairs of a block from which its pivots are dealt to several tasks.
 HOT_PAIRS = 2_000_000_000
 #: Candidate pairs that are compared at once, and pivots that a fine cell should hold, for each level of cells.
-AT_ONCE, CELL_POINTS = 1 << 18, 32
+AT_ONCE, CELL_POINTS = 1 << 16, 32
 #: A cell's side is so much wider than the radius that rounding can't put two near points more than a cell apart.
 SLACK = 1 + 1e-9
 _GRID = ["gx", "gy", "gz"]
@@ -161,8 +161,9 @@ class Sums:
         for mine, near in block.chunks():
             most = max(1, max(map(len, near)))
             step = min(1024, max(1, AT_ONCE // most))
+            here = [np.ascontiguousarray(a[i].T) for a, i in zip(around, near, strict=True)]  # a row for each column
             for at in range(0, len(mine), step):
-                self.chunk(pivots[mine[at : at + step]], [a[i] for a, i in zip(around, near, strict=True)])
+                self.chunk(pivots[mine[at : at + step]], here)
 
     def chunk(self, p: np.ndarray, around: list[np.ndarray]) -> None:
         plan, n, levels = self.plan, self.n, len(self.plan.levels)
@@ -183,12 +184,9 @@ class Sums:
         each, other = np.maximum(count, 1.0), np.maximum(second.count, 1.0)
         if plan.drop:
             self.squared += np.stack([own @ (first.squared / (each * each)), own @ first.squared])
-        for m in range(plan.most + 1):
-            a, b = (x.field[:, m] for x in (first, second))
-            _add(self.plain[m], a, b, own)
-            _add(self.pivot[m], a / each, b / other, own)
-        for m in range(plan.most_counts + 1):
-            _add(self.counts[m], first.ones[:, m], first.ones[:, m], many)
+        _add(self.plain, first.field, second.field, own)
+        _add(self.pivot, first.field / each, second.field / other, own)
+        _add(self.counts, first.ones, first.ones, many)
 
     def moments(self, p: np.ndarray, around: list[np.ndarray], most_counts: int) -> Moments:
         """Sums by pivot and bin over the points around, those of each level in its bins."""
@@ -197,55 +195,62 @@ class Sums:
         size = len(p) * n
         count, squared, total = np.zeros(size), np.zeros(size), np.zeros(size)
         field, ones = np.zeros((2, plan.most + 1, size)), np.zeros((2, most_counts + 1, size))
+        p = np.ascontiguousarray(p.T)  # a row for each column
         if most >= 0 and not plan.plane:
-            axis = p[:, 1:4] - _rows(self.turn, p[:, 1:4])
-            length, across = np.sqrt(_dot(axis, axis)), np.stack([axis[:, a] * p[:, 1 + b] - axis[:, b] * p[:, 1 + a] for a, b in ((1, 2), (2, 0), (0, 1))], 1)
+            axis = p[1:4] - np.stack([r[0] * p[1] + r[1] * p[2] + r[2] * p[3] for r in self.turn])
+            length = np.sqrt(axis[0] * axis[0] + axis[1] * axis[1] + axis[2] * axis[2])
+            across = np.stack([axis[a] * p[1 + b] - axis[b] * p[1 + a] for a, b in ((1, 2), (2, 0), (0, 1))])
         for level, q in enumerate(around):
             low, high = plan.levels[level]
-            if not len(q) or low == high:
+            width = q.shape[1]
+            if not width or low == high:
                 continue
-            d = [p[:, k][:, None] - q[:, k][None, :] for k in (1, 2, 3)]
+            d = [p[k][:, None] - q[k][None, :] for k in (1, 2, 3)]
             if plan.box:
                 d = [v - plan.box * np.floor(v / plan.box + 0.5) for v in d]
             r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-            good = (r2 < min(self.squares[high], plan.reach * plan.reach)) & ((r2 > self.squares[low]) if low == 0 else (r2 >= self.squares[low]))
-            if low == 0:
-                good &= r2 > 0
-            if plan.same and level == 0:
-                good &= p[:, 0][:, None] != q[:, 0][None, :]
+            good = r2 < min(self.squares[high], plan.reach * plan.reach)
+            good &= r2 > max(self.squares[low], 0.0) if low == 0 else r2 >= self.squares[low]
             flat = np.flatnonzero(good)
+            i = flat // width
+            j = flat - i * width
+            if plan.same and level == 0 and not (other := p[0][i] != q[0][j]).all():
+                flat, i, j = flat[other], i[other], j[other]
             if not len(flat):
                 continue
-            i = flat // len(q)
-            j = flat - i * len(q)
             r2 = r2.ravel()[flat]
             key = i * n + np.searchsorted(self.squares[1:-1], r2, "right")
-            weight = q[j, 5]
-            value = q[j, 4] * weight
-            count += np.bincount(key, weight, size)
-            total += np.bincount(key, value, size)
+            # Pairs in the order of pivots and bins, so that each sum is over a run of them; 16 bits are sorted by counting.
+            order = np.argsort(key.astype(np.uint16) if size <= 1 << 16 else key, kind="stable")
+            key, flat, i, j, r2 = key[order], flat[order], i[order], j[order], r2[order]
+            starts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
+            at = key[starts]
+            weight = q[5][j]
+            value = q[4][j] * weight
+            count[at] += np.add.reduceat(weight, starts)
+            total[at] += np.add.reduceat(value, starts)
             if most < 0:
                 continue
             if plan.drop:
-                squared += np.bincount(key, q[j, 4] * value, size)
+                squared[at] += np.add.reduceat(q[4][j] * value, starts)
             d, r = [v.ravel()[flat] for v in d], np.sqrt(r2)
             if plan.plane:
-                cosine, sine = -d[0] / r, -d[1] / r
+                turn = (-d[0] / r) + 1j * (-d[1] / r)
             else:
-                axis_, across_ = axis[i], across[i]
-                cosine = np.clip((d[0] * axis_[:, 0] + d[1] * axis_[:, 1] + d[2] * axis_[:, 2]) / (r * length[i]), -1.0, 1.0)
+                cosine = np.clip((d[0] * axis[0][i] + d[1] * axis[1][i] + d[2] * axis[2][i]) / (r * length[i]), -1.0, 1.0)
                 sine = np.sqrt(1.0 - cosine * cosine)
-                sine = np.where(d[0] * across_[:, 0] + d[1] * across_[:, 1] + d[2] * across_[:, 2] < 0, -sine, sine)
-            c0, s0, c1, s1 = np.ones(len(r)), np.zeros(len(r)), cosine, sine
-            for m in range(most + 1):
-                if m <= plan.most:
-                    field[0, m] += np.bincount(key, value * c0, size)
-                    field[1, m] += np.bincount(key, value * s0, size)
-                if m <= most_counts:
-                    ones[0, m] += np.bincount(key, weight * c0, size)
-                    ones[1, m] += np.bincount(key, weight * s0, size)
-                c0, s0, c1, s1 = c1, s1, 2.0 * cosine * c1 - c0, 2.0 * cosine * s1 - s0
-        shape = (len(p), n)
+                np.negative(sine, out=sine, where=d[0] * across[0][i] + d[1] * across[1][i] + d[2] * across[2][i] < 0)
+                turn = cosine + 1j * sine
+            # Powers of e^(i phi): cosines and sines of its multiples.
+            for sums, top, first in ((field, plan.most, value), (ones, most_counts, weight)):
+                power = first.astype(complex)
+                for m in range(top + 1):
+                    if m:
+                        power *= turn
+                    found = np.add.reduceat(power, starts)
+                    sums[0, m, at] += found.real
+                    sums[1, m, at] += found.imag
+        shape = (p.shape[1], n)
         return Moments(count.reshape(shape), total.reshape(shape), squared.reshape(shape), field.reshape(2, -1, *shape), ones.reshape(2, -1, *shape))
 
     def rows(self) -> pa.RecordBatch:
@@ -260,18 +265,13 @@ class Sums:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["what", "m", "b1", "b2", *PARTS])
 
 
-def _rows(matrix: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return np.stack([v[:, 0] * r[0] + v[:, 1] * r[1] + v[:, 2] * r[2] for r in matrix], 1)
-
-
-def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a[:, 0] * b[:, 0] + a[:, 1] * b[:, 1] + a[:, 2] * b[:, 2]
-
-
 def _add(total: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> None:
-    """Adds the products w C C, w S S, w S C, w C S over pivots; a, b: cosines and sines by pivot and bin."""
-    wc, ws = a[0].T * weight, a[1].T * weight
-    total += np.stack([wc @ b[0], ws @ b[1], ws @ b[0], wc @ b[1]])
+    """Adds the products w C C, w S S, w S C, w C S over pivots, for all multipoles; a, b: cosines and sines by multipole, pivot and bin."""
+    if not len(total):
+        return
+    c, s = np.swapaxes(a, 2, 3) * weight
+    for k, (x, y) in enumerate(((c, b[0]), (s, b[1]), (s, b[0]), (c, b[1]))):
+        total[:, k] += x @ y
 
 
 def cell_levels(bins: Bins, theta: float, rule: str, start: float) -> list[tuple[float, int, int]]:
