@@ -288,7 +288,7 @@ def _with_bytes(docs: DataFrame, text: str) -> tuple[list[str], DataFrame]:
 
 
 def _schema(docs: DataFrame, keep: list[str], added: str) -> T.StructType:
-    return T.StructType([docs.schema[c] for c in keep] + T._parse_datatype_string(added).fields)
+    return T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + T._parse_datatype_string(added).fields)
 
 
 def _ranges(spans: list[list[tuple[int, int]]]) -> pa.Array:
