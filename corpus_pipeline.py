@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairwave.llm import ngrams, packing, quality, secrets
-from pairwave.llm.frames import forget, made, table, written
+from pairwave.llm.frames import forget, noted, stored, table
 from pairwave.session import ship
 
 
@@ -42,9 +42,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read again as the next stage's input. Then what the stage itself wrote goes, and its input."""
-    docs, kept = table(spark, sf_dir, "documents"), set(made())
+    docs, latest = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        latest = made()[-1]
-        forget(spark, [path for path in made() if path not in kept and path != latest])
+        with noted() as paths:
+            docs, path = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(spark, latest + [p for p in paths if p != path])
+        latest = [path]
     return docs

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Paths of the temporary tables made by this process.
-_made: list[str] = []
+#: Lists that take down the paths of tables made inside `noted`, of this thread or task only.
+_notes: ContextVar[tuple[list[str], ...]] = ContextVar("_notes", default=())
+
+
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of all temporary tables that this thread makes inside: their maker may `forget` them, nobody else has them."""
+    paths: list[str] = []
+    token = _notes.set((*_notes.get(), paths))
+    try:
+        yield paths
+    finally:
+        _notes.reset(token)
 
 
 def temporary(spark: SparkSession, name: str) -> str:
@@ -48,32 +61,32 @@ def temporary(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     where, system = _file_system(spark, path)
     system.deleteOnExit(where)
-    _made.append(path)
+    for paths in _notes.get():
+        paths.append(path)
     return path
 
 
-def written(df: DataFrame, name: str, level: int = 3) -> DataFrame:
-    """df written once as a Parquet table in the shared folder and read back: cuts lineage and survives lost executors.
+def stored(df: DataFrame, name: str, level: int = 3) -> tuple[DataFrame, str]:
+    """df written once as a Parquet table in the shared folder and read back, and its path: cuts lineage and survives lost executors.
 
     level: of zstd, a higher one takes more time and less disk. The table stays until `forget` or the JVM's exit, since the returned frame is read lazily.
     """
     spark = df.sparkSession
     path = temporary(spark, name)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def made() -> list[str]:
-    """Paths of the temporary tables that are there now, oldest first."""
-    return list(_made)
+def written(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """The table of `stored` alone."""
+    return stored(df, name, level)[0]
 
 
 def forget(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes temporary tables that nothing will read again."""
+    """Deletes temporary tables that nothing will read again: the caller's own."""
     for path in paths:
         where, system = _file_system(spark, path)
         system.delete(where, True)
-        _made.remove(path)
 
 
 def _file_system(spark: SparkSession, path: str):

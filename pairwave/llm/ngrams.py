@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import forget, fresh, hashed_words, made, rows, written
+from .frames import forget, fresh, hashed_words, rows, stored, written
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Texts in a block of a bucket, and n-grams that their full sets should have together.
@@ -157,11 +157,13 @@ def text_signatures(docs: DataFrame, n: int, bands: int, width: int) -> DataFram
 
 def text_classes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """text_key, first (its least id), copies for each text; rep (its node), bands, grams, own (rows with that id and text) for each text with words."""
-    classes = written(signed.groupBy("text_key").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "text-classes")
-    # Joined on the id as well, so copies of one text aren't one task.
-    own = signed.select("id", F.col("text_key").alias("_key"), "bands", "grams")
-    reps = classes.join(own, (F.col("text_key") == F.col("_key")) & (F.col("first") == F.col("id"))).where(F.length("bands") > 0)
-    return classes, reps.groupBy(node_of(F.col("first"), F.col("text_key")).alias("rep"), "bands", "grams").agg(F.count("*").alias("own"))
+    # Counted before anything is joined: rows of one id and text are one row from here on. Their signatures are equal.
+    own = written(signed.groupBy("id", "text_key").agg(F.count("*").alias("own"), F.first("bands").alias("bands"), F.first("grams").alias("grams")), "texts-by-id")
+    classes = written(own.groupBy("text_key").agg(F.min("id").alias("first"), F.sum("own").alias("copies")), "text-classes")
+    # Joined on the id as well, so copies of one text under many ids aren't one task.
+    own = own.where(F.length("bands") > 0).withColumnRenamed("text_key", "_key")
+    reps = classes.join(own, (F.col("text_key") == F.col("_key")) & (F.col("first") == F.col("id")))
+    return classes, reps.select(node_of(F.col("first"), F.col("text_key")).alias("rep"), "bands", "grams", "own")
 
 
 def by_unit(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple, list[list]]]:
@@ -355,9 +357,8 @@ def verified(rows_: DataFrame, threshold: float, pairs: bool = False) -> DataFra
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of edges (node, root)."""
-    edges = written(edges.where("node <> root").select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).distinct(), "edges")
+    edges, path = stored(edges.where("node <> root").select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).distinct(), "edges")
     seen = None
-    mine = made()[-1:]
     while True:
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(state) == seen:
@@ -373,10 +374,10 @@ def components(edges: DataFrame) -> DataFrame:
             else:
                 edges = joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
             edges = edges.where("u <> v").distinct()
-        edges = written(edges, "edges")
+        before = path
+        edges, path = stored(edges, "edges")
         # Nothing reads the round before any more.
-        forget(edges.sparkSession, mine)
-        mine = made()[-1:]
+        forget(edges.sparkSession, [before])
 
 
 def _prepared(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:

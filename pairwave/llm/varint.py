@@ -3,8 +3,8 @@
 An id is replaced by its rank in the corpus (0: the most frequent), so frequent ids take one byte. A control byte
 holds four 2-bit lengths (1 to 4 data bytes); data bytes follow in little-endian order. A shard is one byte string
 with header, rank table (the id of each rank that the shard may hold, in the same coding), document index, control bytes and data
-bytes: it's read without anything else. Shards are stored as rows of a Parquet table: Spark's committer makes
-the writing safe against lost tasks on any file system. `write_files` makes a file of each where workers can write.
+bytes: it's read without anything else. Each shard is a file, which its task writes under another name and moves; where workers can't
+reach the file system, shards are rows of a Parquet table.
 
 Documents go in ascending doc_id order (null first; rows of one doc_id by a checksum of their ids). Null text is the empty
 text: one end id. An empty table gives no shard and no row. Extra columns are ignored. A very long text is a shard of its own,
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .encoding import encoder, with_end
-from .frames import rows, trim, written
+from .frames import rows, temporary, trim, written
 
 MAGIC = b"FRVB"
 HEAD = struct.Struct("<4sIIQQ")
@@ -34,6 +34,8 @@ PART = 1 << 18
 SHARD_TOKENS = 1 << 20
 #: Tokens that a range of doc_ids should hold.
 RANGE_TOKENS = 1 << 24
+#: File systems that workers use by themselves, and tasks that read files at most.
+SYSTEMS, FILE_TASKS = ("file", "hdfs", "s3", "gs", "abfs", "abfss"), 1 << 14
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _TOTALS = _LENGTHS.sum(1)
@@ -147,8 +149,40 @@ def id_ranks(tokens: DataFrame, dtype: str) -> DataFrame:
     return counts.select("id", "n", (F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).cast("long").alias("rank"))
 
 
-def write_shards(tokens: DataFrame, ranks: DataFrame, dtype: str) -> DataFrame:
-    """part, seq, n_docs, n_tokens, blob: shards in ascending doc_id order (by part, then seq), written and read back."""
+def streamed(spark: SparkSession, path: str) -> bool:
+    """Whether workers read and write files there by themselves."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() in SYSTEMS
+
+
+def put_file(folder: str, part: int, seq: int, content: bytes) -> str:
+    """Writes a shard's file PART-SEQ.frvb under another name and moves it: a task that is lost and run again leaves whole files only."""
+    import uuid
+
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder)
+    system.create_dir(root, recursive=True)
+    name, hidden = f"{root}/{part:06d}-{seq:06d}.frvb", f"{root}/.{uuid.uuid4().hex}"
+    with system.open_output_stream(hidden) as out:
+        out.write(content)
+    system.move(hidden, name)
+    return name
+
+
+def get_file(folder: str, part: int, seq: int) -> bytes:
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder)
+    with system.open_input_stream(f"{root}/{part:06d}-{seq:06d}.frvb") as stream:
+        return stream.read()
+
+
+def write_shards(tokens: DataFrame, ranks: DataFrame, dtype: str, folder: str | None = None) -> DataFrame:
+    """part, seq, n_docs, n_tokens, blob: shards in ascending doc_id order (by part, then seq), written and read back.
+
+    With a folder (URI) that workers reach, each shard is a file in it and blob is null.
+    """
     spark = tokens.sparkSession
     table = ranks.select("id", "rank").toArrow()  # at most the vocabulary
     ids, order = table["id"].to_numpy(), table["rank"].to_numpy()
@@ -167,6 +201,9 @@ def write_shards(tokens: DataFrame, ranks: DataFrame, dtype: str) -> DataFrame:
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), dtype)
             blob = shard_bytes(doc_ids, counts, lookup[ids], names)
+            if folder:
+                put_file(folder, part, seq, blob)
+                blob = None
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "blob"])
 
         for ds, ns, xs in rows(batches, 64):
@@ -195,13 +232,13 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     return written(starts.join(before, F.col("part") == F.col("_part")).select("part", "seq", (F.col("_before") + F.col("_within")).alias("start")), "token-starts")
 
 
-def read_documents(shards: DataFrame, sums: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids (bytes of unsigned 32-bit ids) or with sums ids_crc32 (their CRC-32), shard: each document from its shard's bytes."""
+def read_documents(shards: DataFrame, sums: bool = False, folder: str | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids (bytes of unsigned 32-bit ids) or with sums ids_crc32 (their CRC-32), shard: each document from its shard's bytes, or its file in folder."""
     name, kind = ("ids_crc32", "long") if sums else ("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, seq, start, blob in rows(batches, 1):
-            doc_ids, counts, ids = read_shard(blob[0])
+            doc_ids, counts, ids = read_shard(get_file(folder, part[0], seq[0]) if blob[0] is None else blob[0])
             ends, raw = np.cumsum(counts), memoryview(ids.astype("<u4", copy=False)).cast("B")
             begins, at = ends - counts, 0
             while at < len(doc_ids):
@@ -214,14 +251,16 @@ def read_documents(shards: DataFrame, sums: bool = False) -> DataFrame:
             trim()
 
     whole = shards.select("part", "seq", "blob").join(shard_starts(shards), ["part", "seq"]).select("part", "seq", "start", "blob")
+    if folder:  # rows are short now, their files aren't: one for each task, or so
+        whole = whole.repartition(max(1, min(FILE_TASKS, shards.count())), "part", "seq")
     return whole.mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {kind}, shard string")
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """The written shards."""
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
+    """The written shards, with a folder as files in it."""
     tokens = written(encode_documents(docs, tokenizer, end_id), "token-ids")
     ranks = written(id_ranks(tokens, id_type(tokenizer)), "token-ranks")
-    return write_shards(tokens, ranks, id_type(tokenizer))
+    return write_shards(tokens, ranks, id_type(tokenizer), folder)
 
 
 def write_files(shards: DataFrame, folder: str) -> DataFrame:
@@ -231,18 +270,8 @@ def write_files(shards: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(folder)
-        system.create_dir(root, recursive=True)
         for part, seq, blob in rows(batches, 1):
-            name = f"{root}/{part[0]:06d}-{seq[0]:06d}.frvb"
-            hidden = f"{root}/.{uuid.uuid4().hex}"
-            with system.open_output_stream(hidden) as out:
-                out.write(blob[0])
-            system.move(hidden, name)
+            name = put_file(folder, part[0], seq[0], blob[0])
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(seq, pa.int64()), pa.array([name])], ["part", "seq", "path"])
 
     return shards.select("part", "seq", "blob").mapInArrow(run, "part long, seq long, path string")
@@ -261,5 +290,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, shard: from the files."""
-    return read_documents(token_files(docs, tokenizer, end_id), True)
+    """doc_id, start, n_tokens, ids_crc32, shard: from files, which workers write where they can; else a shard is a cell of a Parquet table."""
+    folder = temporary(docs.sparkSession, "token-files")
+    folder = folder if streamed(docs.sparkSession, folder) else None
+    return read_documents(token_files(docs, tokenizer, end_id, folder), True, folder)

@@ -19,10 +19,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import html
+import itertools
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,9 @@ BEYOND, ZEROS = re.compile(r"&#0*[1-9][0-9]{7,};?"), re.compile(r"&#0+(?=[0-9])"
 CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
 #: Bytes to which a compressed body may unfold; a longer one is taken as it is.
 MOST_BODY = 1 << 30
+#: Bytes of a gzip member that are unfolded at once, and bytes that come of them at once; file systems from which workers read streams.
+SLICE, UNZIPPED = 1 << 16, 1 << 20
+STREAMED = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
 
 
 def digest_of(data: bytes) -> str:
@@ -230,41 +234,101 @@ def derivatives(raw: bytes | None) -> list[dict]:
     return out
 
 
-def split_records(raw: bytes) -> Iterator[bytes]:
-    """The records of a WARC file's bytes, plain or with a gzip member for each record; what comes after a broken record is left out."""
-    if raw[:2] == b"\x1f\x8b":
-        while raw[:2] == b"\x1f\x8b":
-            tool = zlib.decompressobj(31)
+def unzipped(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes of gzip members one after the other, a part at a time; ends where a member is broken or what follows isn't one."""
+    tool, rest = zlib.decompressobj(31), b""
+    for piece in pieces:
+        view = memoryview(rest + piece if rest else piece)
+        rest, at = b"", 0
+        while at < len(view):
+            if tool.eof:
+                if len(view) - at < 2:
+                    rest = bytes(view[at:])
+                    break
+                if view[at : at + 2] != b"\x1f\x8b":
+                    return
+                tool = zlib.decompressobj(31)
+            part = view[at : at + SLICE]
             try:
-                member = tool.decompress(raw)
+                out = tool.decompress(part, UNZIPPED)
+                yield out
+                while tool.unconsumed_tail:
+                    yield tool.decompress(tool.unconsumed_tail, UNZIPPED)
             except zlib.error:
                 return
-            if not tool.eof:
-                return
-            yield from split_records(member)
-            raw = tool.unused_data
-        return
-    at = 0
-    while (gap := raw.find(b"\r\n\r\n", at)) >= 0:
-        length = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", raw[at:gap])
-        end = gap + 4 + int(length[1]) if length and raw.startswith(b"WARC/", at) else len(raw) + 1
-        if end > len(raw):
-            return
-        yield raw[at:end] + b"\r\n\r\n"
-        at = end
-        while raw[at : at + 2] == b"\r\n":
-            at += 2
+            at += len(part) - len(tool.unused_data)
+
+
+def split_records(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The records in a WARC file's bytes, given in parts, plain or gzipped; what comes after a broken record is left out. Holds one record at a time."""
+    pieces = iter(pieces)
+    start = b""
+    while len(start) < 2 and (piece := next(pieces, None)) is not None:
+        start += piece
+    pieces = itertools.chain([start], pieces)
+    if start[:2] == b"\x1f\x8b":
+        pieces = unzipped(pieces)
+    held, at, look = bytearray(), 0, 0
+    wanted = 0  # bytes that the record at `at` needs; 0: its head isn't known yet
+    for piece in pieces:
+        if at > SLICE << 2:
+            del held[:at]
+            look, at = look - at, 0
+        held += piece
+        while True:
+            if not wanted:
+                while held[at : at + 2] == b"\r\n":
+                    at += 2
+                gap = held.find(b"\r\n\r\n", max(at, look))
+                if gap < 0:
+                    look = max(at, len(held) - 3)
+                    break
+                head = bytes(held[at:gap])
+                length = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head)
+                if not length or not head.startswith(b"WARC/"):
+                    return
+                wanted = gap + 4 - at + int(length[1])
+            if len(held) - at < wanted:
+                break
+            yield bytes(held[at : at + wanted]) + b"\r\n\r\n"
+            at += wanted
+            wanted, look = 0, at
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id (the record's number in its file), file, record: all records of WARC files, as `build_derivatives` takes them. A file must fit into a task."""
+    """page_id (the record's number in its file), file, record: all records of WARC files, as `build_derivatives` takes them.
+
+    A file is read as a stream, by its task, where pyarrow knows the file system: it may have any size. Elsewhere Spark reads it whole.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    known = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() in STREAMED
+
+    def pieces(name: str, content: bytes | None) -> Iterator[bytes]:
+        if content is not None:
+            view = memoryview(content)
+            yield from (bytes(view[at : at + SLICE]) for at in range(0, len(view), SLICE))
+            return
+        from pyarrow import fs
+
+        local = name.startswith("file:")
+        system, there = (fs.LocalFileSystem(), name.removeprefix("file://").removeprefix("file:")) if local else fs.FileSystem.from_uri(name)
+        with system.open_input_stream(there, compression=None) as stream:
+            while piece := stream.read(SLICE << 4):
+                yield piece
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, contents in rows(batches, 1):
-            for k, found in enumerate(split_records(contents[0])):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array(names), pa.array([found], pa.binary())], ["page_id", "file", "record"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "page_id long, file string, record binary")
+            found, size, first = [], 0, 0
+            for record_ in itertools.chain(split_records(pieces(names[0], contents[0])), [None]):
+                if record_ is not None:
+                    found.append(record_)
+                    size += len(record_)
+                if found and (record_ is None or size > SLICE << 4):
+                    yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(found)), pa.int64()), pa.array(names * len(found)), pa.array(found, pa.binary())], ["page_id", "file", "record"])
+                    first, found, size = first + len(found), [], 0
+
+    return files.select("path", F.lit(None).cast("binary").alias("content") if known else "content").mapInArrow(run, "page_id long, file string, record binary")
 
 
 _NAMES = ("record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", "content_length", "content", "record")

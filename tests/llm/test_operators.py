@@ -383,6 +383,11 @@ def test_token_files(docs, none, texts, word, monkeypatch, tmp_path):
     # Files of their own, read without the table of ranks.
     shards, folder = varint.token_files(docs, WORD), f"file://{tmp_path}/files"
     assert varint.write_files(shards, folder).count() == shards.count() > 1
+    before = {p.name: p.read_bytes() for p in (tmp_path / "files").iterdir()}
+    direct = varint.token_files(docs, WORD, folder=f"file://{tmp_path}/direct")
+    assert direct.where("blob IS NOT NULL").count() == 0 and {p.name: p.read_bytes() for p in (tmp_path / "direct").iterdir()} == before
+    monkeypatch.setattr(varint, "SYSTEMS", ())  # no file system that workers reach: shards in a table
+    assert sorted(map(tuple, varint.digest(docs, WORD).drop("shard").collect()), key=repr) == sorted((tuple(r)[:4] for r in rows), key=repr)
     got = varint.read_documents(varint.read_files(docs.sparkSession, folder)).collect()
     assert sorted((r["start"], bytes(r["ids"])) for r in got) == sorted((r["start"], bytes(r["ids"])) for r in varint.read_documents(shards).collect())
     assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in got) == sorted((str(k[1] if k[0] else None), b) for k, b in want)
@@ -507,6 +512,17 @@ def spark_hash_of_longs(values):
     return seed
 
 
+def test_long_texts_are_fingerprinted_by_rows(spark, docs, monkeypatch):
+    """Parts have the same shingles as the whole, so results don't depend on where a text counts as long."""
+    extra = spark.createDataFrame([(50, "a  b\nc\td\x0be f\x0cg  "), (51, " lead " * 30), (51, " lead " * 30), (52, "w" * 90), (None, "x " * 40), (53, " \n" * 40)], "doc_id long, text string")
+    frame = docs.select("doc_id", "text").unionByName(extra)
+    want = Counter(map(tuple, fingerprints.digest(frame).collect()))
+    monkeypatch.setattr(fingerprints, "LONG_CHARS", 12)
+    for words in (5, 256):
+        monkeypatch.setattr(fingerprints, "PART_WORDS", words)
+        assert Counter(map(tuple, fingerprints.digest(frame).collect())) == want
+
+
 def plain_fingerprint(text):
     """One-permutation MinHash by its definition: the least hash of each bin, empty bins from the filled bin that is first in an order of theirs."""
     signed = lambda h: h - (1 << 64) if h >> 63 else h
@@ -872,6 +888,31 @@ def test_warc_files(spark, tmp_path):
     assert Counter(r["content"] for r in warc.build_derivatives(read).where("record_type = 'conversion'").collect()) == {"page 0": 3, "page 1": 2, "page 2": 2}
 
 
+def test_gzipped_warc_in_linear_time():
+    """Members of any size, cut anywhere; no member is copied once for each other."""
+    import time
+
+    records = [warc.response_record(str(k), None, "x" * (k % 97) * 11 + "é") for k in range(300)]
+    raw = b"".join(map(gzip.compress, records))
+    for size in (1, 7, 1000, len(raw)):
+        assert list(warc.split_records(raw[at : at + size] for at in range(0, len(raw), size))) == records
+    whole = gzip.compress(b"".join(records))  # one member for all
+    assert list(warc.split_records([whole])) == records and list(warc.split_records([b"".join(records)])) == records
+    assert list(warc.split_records([raw[:-9]])) == records[:-1] or list(warc.split_records([raw[:-9]])) == records
+    assert list(warc.split_records([])) == list(warc.split_records([b""])) == list(warc.split_records([b"\x1f"])) == []
+    member = gzip.compress(warc.response_record("1", "u", "".join(chr(33 + k * 7919 % 90) for k in range(7000))), 1)
+    began = time.process_time()
+    assert sum(1 for _ in warc.split_records([member * 16_000])) == 16_000
+    assert time.process_time() - began < 30  # the square of the size took minutes
+
+
+def test_long_warc_file_is_read_as_a_stream(spark, tmp_path):
+    records = [warc.response_record(str(k), f"http://a/{k}", f"<p>page {k} " + "y" * 20_000) for k in range(400)]
+    (tmp_path / "a b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    read = warc.read_warc(spark, str(tmp_path)).collect()
+    assert [bytes(r["record"]) for r in sorted(read, key=lambda r: r["page_id"])] == records
+
+
 def test_other_records_have_no_derivatives():
     ok = warc.response_record("1", "u", "<p>x")
     assert len(warc.derivatives(ok)) == 2
