@@ -40,6 +40,14 @@ def union(*catalogs: DataFrame) -> DataFrame:
     return out
 
 
+def combined(*catalogs: DataFrame) -> DataFrame:
+    """All points of several catalogs as one whose points are told apart: of k catalogs, the n-th (from 0) has ids k id + n.
+
+    Pairs leave out equal ids, so points of different files must not share one.
+    """
+    return union(*[c.withColumn("id", F.col("id") * len(catalogs) + n) for n, c in enumerate(catalogs)])
+
+
 def number(df: DataFrame) -> DataFrame:
     """df with distinct ids (not consecutive, so no pass over all partitions is needed)."""
     return df.withColumn("id", F.monotonically_increasing_id())

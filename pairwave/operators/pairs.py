@@ -28,8 +28,8 @@ def _side(df: DataFrame, prefix: str, extra: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[(F.col(c) if c in have else fill[c]).alias(f"{prefix}{c}") for c in (*FIELDS, *extra)])
 
 
-def _cells(p: DataFrame, q: DataFrame, rmax: float, box: float | None, size: float) -> tuple[DataFrame, DataFrame]:
-    """p with its cell, q with each cell that its ball reaches."""
+def _cells(p: DataFrame, q: DataFrame, rmax: float, box: float | None, size: float, half: bool = False) -> tuple[DataFrame, DataFrame]:
+    """p with its cell, q with each cell that its ball reaches; half: only those not beyond its own along x."""
     n = max(1, math.floor(box / size)) if box else None
     step = box / n if box else size
 
@@ -43,6 +43,8 @@ def _cells(p: DataFrame, q: DataFrame, rmax: float, box: float | None, size: flo
         low, high = (F.floor((F.col(f"q{c}") + s * (rmax + slack)) / step).cast("int") for s in (-1, 1))
         if n:
             high = F.least(high, low + (n - 1))  # each cell of the ring once
+        if half and c == "x" and not (n and n * step < 2 * (rmax + step)):
+            high = F.floor((F.col("qx") + slack) / step).cast("int")
         q = q.withColumn(f"_c{c}", F.explode(F.sequence(low, high)))
     # The distance from q to the cell's box must not exceed the radius.
     gap = [F.greatest(F.col(f"_c{c}") * step - F.col(f"q{c}"), F.col(f"q{c}") - (F.col(f"_c{c}") + 1) * step, F.lit(0.0)) for c in "xyz"]

@@ -8,12 +8,20 @@ multipoles of the counts. The moments of `threepoint` are the same sums as DataF
 
 With theta > 0, cells of points stand for their points where they are far: a bin that begins at distance r takes cells whose
 opening radius (`cells.opening`) isn't beyond r, weighted by their numbers of points, the widest such. A bin then has
-a bounded number of samples around a pivot, however many points there are, and the error of a sample's position is at most
-half a cell's diagonal. With theta = 0 all pairs are exact.
+a bounded number of samples around a pivot, however many points there are. A cell's points may lie in another bin than their mean, so counts by bin
+are off by several percent where a cell is as wide as a bin; README has figures. With theta = 0 all pairs are exact.
+
+With safe, a task builds nested cells of its block's points, with the greatest distance R of a point from the mean, and each pivot descends from
+the widest: a cell at distance r is taken if r - R and r + R lie in one bin, else it's opened. Counts and sums of fields by bin are
+those of all points then; only angles of points are replaced by their cell's, which are off by R / r at most.
+
+A block whose pairs or pivots are very many is dealt to several tasks by its pivots. The points around come in pieces, so a task holds a
+bounded number of pivots with their sums, and of points, however many lie in the block.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,8 +39,8 @@ from .threepoint import PARTS
 
 #: Radii that a block's side has at most, and points that it should hold.
 WIDE, BLOCK_POINTS = 8, 20_000
-#: Candidate pairs of a block from which its pivots are dealt to several tasks.
-HOT_PAIRS = 2_000_000_000
+#: Candidate pairs of a block from which its pivots are dealt to several tasks, pivots that a task has at once, those where points come in pieces, and points of a piece.
+HOT_PAIRS, MOST_PIVOTS, PIECE_PIVOTS, PIECE = 2_000_000_000, 1 << 18, 1 << 13, 1 << 20
 #: Candidate pairs that are compared at once, and pivots that a fine cell should hold, for each level of cells.
 AT_ONCE, CELL_POINTS = 1 << 16, 32
 #: A cell's side is so much wider than the radius that rounding can't put two near points more than a cell apart.
@@ -55,6 +63,9 @@ class Plan:
     drop: bool  # whether sums of squared fields are wanted
     third: bool  # whether a second field is around the pivots
     reach: float  # pairs from this distance on are left out
+    half: bool = False  # each pair once, from the point with the lesser x
+    sides: tuple[float, ...] = ()  # of nested cells that stand for points within one bin, finest first
+    tally: bool = False  # whether counters are wanted
 
     def radius(self, level: int) -> float:
         return self.edges[self.levels[level % len(self.levels)][1]]
@@ -116,7 +127,7 @@ class Block:
         order = np.lexsort(mine.T)
         cuts = np.flatnonzero((np.diff(mine[order], axis=0) != 0).any(1)) + 1
         firsts = order[np.append(0, cuts)]
-        steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        steps = [(i, j) for i in ((0, 1) if self.plan.half else (-1, 0, 1)) for j in (-1, 0, 1)]
         ranges = []
         for key, _, strides, side in self.where:
             middle = self._numbers(moved[firsts], side) @ strides
@@ -139,6 +150,45 @@ class Moments:
     field: np.ndarray
     ones: np.ndarray
 
+    @staticmethod
+    def none(pivots: int, n: int, most: int, most_counts: int) -> Moments:
+        return Moments(*np.zeros((3, pivots, n)), np.zeros((2, most + 1, pivots, n)), np.zeros((2, most_counts + 1, pivots, n)))
+
+    def part(self, at: np.ndarray) -> Moments:
+        return Moments(self.count[at], self.sums[at], self.squared[at], self.field[:, :, at], self.ones[:, :, at])
+
+    def add(self, at: np.ndarray, more: Moments) -> None:
+        for mine, new in ((self.count, more.count), (self.sums, more.sums), (self.squared, more.squared)):
+            mine[at] += new
+        for mine, new in ((self.field, more.field), (self.ones, more.ones)):
+            mine[:, :, at] += new
+
+
+class Tree:
+    """Nested cells of points: of each level, finest first, means, greatest distances, sums, and which rows of the level below each has."""
+
+    def __init__(self, points: np.ndarray, moved: np.ndarray, sides: tuple[float, ...]):
+        numbers = np.floor(moved / sides[0]).astype(np.int64)
+        # In the order of cells of every level at once: the coarsest number first.
+        keys = [numbers >> k for k in range(len(sides))]
+        order = np.lexsort([k[:, c] for k in keys for c in (2, 1, 0)])
+        self.order, weight = order, points[order, 5]
+        xyz, value = moved[order], points[order, 4] * weight
+        self.levels = []
+        below = np.arange(len(order))  # where rows of the level below start
+        for k in keys:
+            k = k[order]
+            starts = np.append(0, np.flatnonzero((np.diff(k, axis=0) != 0).any(1)) + 1)
+            many = np.add.reduceat(weight, starts)
+            size = np.diff(np.append(starts, len(order)))
+            mean = np.stack([np.add.reduceat(xyz[:, c], starts) for c in range(3)], 1) / size[:, None]
+            off = xyz - np.repeat(mean, size, 0)
+            far = np.sqrt(np.maximum.reduceat((off * off).sum(1), starts))
+            first = np.searchsorted(below, starts)
+            # A little wider than the greatest distance, so that rounding puts no point into another bin.
+            self.levels.append((mean, far * (1 + 1e-12) + 1e-300, many, np.add.reduceat(value, starts) / np.where(many, many, 1.0), first, np.diff(np.append(first, len(below)))))
+            below = starts
+
 
 class Sums:
     """Sums of a task over all its blocks."""
@@ -152,30 +202,63 @@ class Sums:
         self.counts = np.zeros((plan.most_counts + 1, 4, self.n, self.n))
         self.filled, self.squared = np.zeros((self.n, self.n)), np.zeros((2, self.n))
         self.turn = np.array(euler(REFERENCE_ANGLE, REFERENCE_ANGLE, REFERENCE_ANGLE))
-
-    def block(self, pivots: np.ndarray, around: list[np.ndarray]) -> None:
-        """pivots: id, x, y, z, value, weight; around: the same for each level, weight the number of points."""
-        if not len(pivots) or not any(map(len, around)):
+        self.samples = 0  # cells and points that pivots took
+        # By level, 0 for points: candidates, those taken, the points that these stand for.
+        self.tally = np.zeros((1 + max(len(plan.levels), len(plan.sides)), 3))
+
+    def block(self, pivots: np.ndarray, pieces: Iterator[list[np.ndarray]]) -> None:
+        """pivots: id, x, y, z, value, weight; pieces: lists of the same for each level, weight the number of points. Only one piece is held at a time."""
+        plan, first = self.plan, next(pieces, None)
+        second = next(pieces, None)
+        if not len(pivots) or first is None:
+            return
+        if second is None:
+            for at, moments in self.around(pivots, first):
+                self.products_of(pivots[at], *moments)
             return
-        block = Block(self.plan, pivots, around)
+        # Moments of all pivots are added up over the pieces.
+        n = self.n
+        total = [Moments.none(len(pivots), n, plan.most, plan.most_counts), *([Moments.none(len(pivots), n, plan.most, -1)] if plan.third else [])]
+        for piece in itertools.chain([first, second], pieces):
+            for at, moments in self.around(pivots, piece):
+                for have, more in zip(total, moments, strict=True):
+                    have.add(at, more)
+        for at in np.split(np.arange(len(pivots)), range(1024, len(pivots), 1024)):
+            self.products_of(pivots[at], *[t.part(at) for t in total])
+
+    def around(self, pivots: np.ndarray, around: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[Moments]]]:
+        """Some pivots' numbers, and their moments (of both fields, if there are two) over the points around."""
+        plan, levels = self.plan, len(self.plan.levels)
+        if not any(map(len, around)):
+            return
+        block = Block(plan, pivots, around)
+        trees = [Tree(a, block._moved(a[:, 1:4]), plan.sides) if plan.sides and len(a) else None for a in around]
         for mine, near in block.chunks():
+            if plan.sides:
+                for at in np.split(mine, range(64, len(mine), 64)):
+                    p = np.ascontiguousarray(pivots[at].T)
+                    p[1:4] = block._moved(pivots[at, 1:4]).T
+                    yield at, [self.descend(p, tree, a, -1 if k else plan.most_counts) for k, (tree, a) in enumerate(zip(trees, around, strict=True))]
+                continue
             most = max(1, max(map(len, near)))
             step = min(1024, max(1, AT_ONCE // most))
             here = [np.ascontiguousarray(a[i].T) for a, i in zip(around, near, strict=True)]  # a row for each column
             for at in range(0, len(mine), step):
-                self.chunk(pivots[mine[at : at + step]], here)
+                part = mine[at : at + step]
+                p = np.ascontiguousarray(pivots[part].T)
+                yield part, [self.moments(p, here[:levels], plan.most_counts), *([self.moments(p, here[levels:], -1)] if plan.third else [])]
 
-    def chunk(self, p: np.ndarray, around: list[np.ndarray]) -> None:
-        plan, n, levels = self.plan, self.n, len(self.plan.levels)
-        first = self.moments(p, around[:levels], plan.most_counts)
+    def products_of(self, p: np.ndarray, first: Moments, second: Moments | None = None) -> None:
+        """Adds what these pivots' moments give to the sums over pivots."""
+        plan = self.plan
         # Of each pivot: its value times its weight, and its weight.
         own, many = p[:, 4] * p[:, 5], p[:, 5]
         count = first.count
         self.pairs[0] += many @ count
         self.products[0] += own @ first.sums
-        second = first
-        if plan.third:
-            second = self.moments(p, around[levels:], -1)
+        if second is None:
+            second = first
+        else:
             self.pairs[1] += many @ second.count
             self.products[1] += own @ second.sums
         if max(plan.most, plan.most_counts) < 0:
@@ -190,16 +273,8 @@ class Sums:
 
     def moments(self, p: np.ndarray, around: list[np.ndarray], most_counts: int) -> Moments:
         """Sums by pivot and bin over the points around, those of each level in its bins."""
-        plan, n = self.plan, self.n
-        most = max(plan.most, most_counts)
-        size = len(p) * n
-        count, squared, total = np.zeros(size), np.zeros(size), np.zeros(size)
-        field, ones = np.zeros((2, plan.most + 1, size)), np.zeros((2, most_counts + 1, size))
-        p = np.ascontiguousarray(p.T)  # a row for each column
-        if most >= 0 and not plan.plane:
-            axis = p[1:4] - np.stack([r[0] * p[1] + r[1] * p[2] + r[2] * p[3] for r in self.turn])
-            length = np.sqrt(axis[0] * axis[0] + axis[1] * axis[1] + axis[2] * axis[2])
-            across = np.stack([axis[a] * p[1 + b] - axis[b] * p[1 + a] for a, b in ((1, 2), (2, 0), (0, 1))])
+        plan = self.plan
+        out = Moments.none(p.shape[1], self.n, plan.most, most_counts)
         for level, q in enumerate(around):
             low, high = plan.levels[level]
             width = q.shape[1]
@@ -211,56 +286,123 @@ class Sums:
             r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
             good = r2 < min(self.squares[high], plan.reach * plan.reach)
             good &= r2 > max(self.squares[low], 0.0) if low == 0 else r2 >= self.squares[low]
+            if plan.half:
+                good &= (d[0] < 0) | ((d[0] == 0) & (p[0][:, None] < q[0][None, :]))
             flat = np.flatnonzero(good)
+            self.tally[level, 0] += good.size
             i = flat // width
             j = flat - i * width
             if plan.same and level == 0 and not (other := p[0][i] != q[0][j]).all():
                 flat, i, j = flat[other], i[other], j[other]
-            if not len(flat):
-                continue
-            r2 = r2.ravel()[flat]
-            key = i * n + np.searchsorted(self.squares[1:-1], r2, "right")
-            # Pairs in the order of pivots and bins, so that each sum is over a run of them; 16 bits are sorted by counting.
-            order = np.argsort(key.astype(np.uint16) if size <= 1 << 16 else key, kind="stable")
-            key, flat, i, j, r2 = key[order], flat[order], i[order], j[order], r2[order]
-            starts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
-            at = key[starts]
-            weight = q[5][j]
-            value = q[4][j] * weight
-            count[at] += np.add.reduceat(weight, starts)
-            total[at] += np.add.reduceat(value, starts)
-            if most < 0:
-                continue
-            if plan.drop:
-                squared[at] += np.add.reduceat(q[4][j] * value, starts)
-            d, r = [v.ravel()[flat] for v in d], np.sqrt(r2)
-            if plan.plane:
-                turn = (-d[0] / r) + 1j * (-d[1] / r)
-            else:
-                cosine = np.clip((d[0] * axis[0][i] + d[1] * axis[1][i] + d[2] * axis[2][i]) / (r * length[i]), -1.0, 1.0)
-                sine = np.sqrt(1.0 - cosine * cosine)
-                np.negative(sine, out=sine, where=d[0] * across[0][i] + d[1] * across[1][i] + d[2] * across[2][i] < 0)
-                turn = cosine + 1j * sine
-            # Powers of e^(i phi): cosines and sines of its multiples.
-            for sums, top, first in ((field, plan.most, value), (ones, most_counts, weight)):
-                power = first.astype(complex)
-                for m in range(top + 1):
-                    if m:
-                        power *= turn
-                    found = np.add.reduceat(power, starts)
-                    sums[0, m, at] += found.real
-                    sums[1, m, at] += found.imag
-        shape = (p.shape[1], n)
-        return Moments(count.reshape(shape), total.reshape(shape), squared.reshape(shape), field.reshape(2, -1, *shape), ones.reshape(2, -1, *shape))
+            self._taken(level, q[5][j])
+            self._collect(out, p, i, [v.ravel()[flat] for v in d], r2.ravel()[flat], q[5][j], q[4][j], most_counts)
+        return out
+
+    def _taken(self, level: int, weight: np.ndarray) -> None:
+        self.samples += len(weight)
+        self.tally[level, 1:] += len(weight), weight.sum()
+
+    def descend(self, p: np.ndarray, tree: Tree | None, points: np.ndarray, most_counts: int) -> Moments:
+        """The same over cells that lie within one bin of a pivot, and the points of all others."""
+        plan, edges, squares = self.plan, np.array(self.plan.edges), self.squares
+        out = Moments.none(p.shape[1], self.n, plan.most, most_counts)
+        if tree is None:
+            return out
+        reach = min(edges[-1], plan.reach)
+        middle = p[1:4].mean(1)
+        round_ = np.sqrt(((p[1:4] - middle[:, None]) ** 2).sum(0).max())
+        mean, far, *_ = tree.levels[-1]
+        off = mean - middle
+        if plan.box:
+            off -= plan.box * np.floor(off / plan.box + 0.5)
+        top = np.flatnonzero((off * off).sum(1) < (reach + round_ + far) ** 2 * (1 + 1e-9))
+        i, j = np.repeat(np.arange(p.shape[1]), len(top)), np.tile(top, p.shape[1])
+        taken: list[tuple] = []
+        for level, (mean, far, many, value, first, below) in reversed(list(enumerate(tree.levels, 1))):
+            self.tally[level, 0] += len(i)
+            d = [p[k + 1][i] - mean[:, k][j] for k in range(3)]
+            if plan.box:
+                d = [v - plan.box * np.floor(v / plan.box + 0.5) for v in d]
+            r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+            r, wide = np.sqrt(r2), far[j]
+            b = np.searchsorted(squares[1:-1], r2, "right")
+            inside = (r - wide > edges[b]) & (r + wide < np.minimum(edges[b + 1], reach))
+            take = np.flatnonzero(inside)
+            self._taken(level, many[j[take]])
+            taken.append((i[take], [v[take] for v in d], r2[take], many[j[take]], value[j[take]]))
+            rest = np.flatnonzero(~inside & (r - wide < reach) & (r + wide > edges[0]))
+            i, j = i[rest], j[rest]
+            size = below[j]
+            i, j = np.repeat(i, size), np.repeat(first[j] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        q = points[tree.order[j]]
+        d = [p[k][i] - q[:, k] for k in (1, 2, 3)]
+        if plan.box:
+            d = [v - plan.box * np.floor(v / plan.box + 0.5) for v in d]
+        r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+        good = (r2 < reach * reach) & (r2 > max(squares[0], 0.0))
+        if plan.same:
+            good &= p[0][i] != q[:, 0]
+        self.tally[0, 0] += len(good)
+        good = np.flatnonzero(good)
+        self._taken(0, q[good, 5])
+        taken.append((i[good], [v[good] for v in d], r2[good], q[good, 5], q[good, 4]))
+        i, r2, weight, value = (np.concatenate([t[k] for t in taken]) for k in (0, 2, 3, 4))
+        self._collect(out, p, i, [np.concatenate([t[1][k] for t in taken]) for k in range(3)], r2, weight, value, most_counts)
+        return out
+
+    def _collect(self, out: Moments, p: np.ndarray, i: np.ndarray, d: list[np.ndarray], r2: np.ndarray, weight: np.ndarray, value: np.ndarray, most_counts: int) -> None:
+        """Adds samples of pivots i, p - q = d apart, with weights and mean values."""
+        plan, n = self.plan, self.n
+        if not len(r2):
+            return
+        most, size = max(plan.most, most_counts), p.shape[1] * n
+        key = i * n + np.searchsorted(self.squares[1:-1], r2, "right")
+        # Pairs in the order of pivots and bins, so that each sum is over a run of them; 16 bits are sorted by counting.
+        order = np.argsort(key.astype(np.uint16) if size <= 1 << 16 else key, kind="stable")
+        key, i, r2, weight, value = key[order], i[order], r2[order], weight[order], value[order]
+        starts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
+        at = key[starts]
+        squares = value * value * weight if plan.drop else None
+        value = value * weight
+        out.count.reshape(-1)[at] += np.add.reduceat(weight, starts)
+        out.sums.reshape(-1)[at] += np.add.reduceat(value, starts)
+        if most < 0:
+            return
+        if plan.drop:
+            out.squared.reshape(-1)[at] += np.add.reduceat(squares, starts)
+        d, r = [v[order] for v in d], np.sqrt(r2)
+        if plan.plane:
+            turn = (-d[0] / r) + 1j * (-d[1] / r)
+        else:
+            axis = p[1:4] - np.stack([t[0] * p[1] + t[1] * p[2] + t[2] * p[3] for t in self.turn])
+            length = np.sqrt(axis[0] * axis[0] + axis[1] * axis[1] + axis[2] * axis[2])
+            across = np.stack([axis[a] * p[1 + b] - axis[b] * p[1 + a] for a, b in ((1, 2), (2, 0), (0, 1))])
+            cosine = np.clip((d[0] * axis[0][i] + d[1] * axis[1][i] + d[2] * axis[2][i]) / (r * length[i]), -1.0, 1.0)
+            sine = np.sqrt(1.0 - cosine * cosine)
+            np.negative(sine, out=sine, where=d[0] * across[0][i] + d[1] * across[1][i] + d[2] * across[2][i] < 0)
+            turn = cosine + 1j * sine
+        # Powers of e^(i phi): cosines and sines of its multiples.
+        for sums, top, first in ((out.field, plan.most, value), (out.ones, most_counts, weight)):
+            power = first.astype(complex)
+            for m in range(top + 1):
+                if m:
+                    power *= turn
+                found = np.add.reduceat(power, starts)
+                sums[0, m].reshape(-1)[at] += found.real
+                sums[1, m].reshape(-1)[at] += found.imag
 
     def rows(self) -> pa.RecordBatch:
         n, out = self.n, []
+        if self.plan.half:
+            self.pairs, self.products = 2 * self.pairs, 2 * self.products
         for k, b in np.ndindex(1 + self.plan.third, n):
             out.append((("pairs", "pairs13")[k], 0, b + 1, 0, self.pairs[k, b], self.products[k, b], self.squared[0, b], self.squared[1, b]))
         for what, sums in (("pivot", self.pivot), ("plain", self.plain), ("counts", self.counts)):
             for m, a, b in np.ndindex(len(sums), n, n):
                 if self.filled[a, b]:
                     out.append((what, m, a + 1, b + 1, *sums[m, :, a, b].tolist()))
+        if self.plan.tally:
+            out += [("counters", level, 0, 0, *found.tolist(), 0.0) for level, found in enumerate(self.tally)]
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 4)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["what", "m", "b1", "b2", *PARTS])
 
@@ -294,40 +436,49 @@ def cell_levels(bins: Bins, theta: float, rule: str, start: float) -> list[tuple
     return out if out[0][0] == 0.0 else [(0.0, 0, 0), *out]
 
 
-def sweep(pivots: DataFrame, around: DataFrame, bins: Bins, most: int = -1, *, counts: int = -1, box: float | None = None, same: bool = True, plane: bool = False, squares: bool = False, theta: float = 0.0, rule: str = "default", cell: float | None = None, third: DataFrame | None = None, reach: float | None = None, by_mass: bool = False) -> DataFrame:
+def sweep(pivots: DataFrame, around: DataFrame, bins: Bins, most: int = -1, *, counts: int = -1, box: float | None = None, same: bool = True, plane: bool = False, squares: bool = False, theta: float = 0.0, rule: str = "default", cell: float | None = None, third: DataFrame | None = None, reach: float | None = None, by_mass: bool = False, safe: bool = False, counters: bool = False) -> DataFrame:
     """what, m, b1, b2, cc, ss, sc, cs: all sums, a row for each bin or pair of bins and multipole; read it by the functions below.
 
     pivots: id, x, y, z, kappa, and nb where a pivot stands for several points. most, counts: multipoles of the field and of the counts. same: a
     point is no pair with itself. squares: also sums of squared fields. theta, rule, cell: see above; cell is the side of the smallest cells, by_mass: their
     centers weigh points by mass. third: points of another field, which has the second bin of the multipoles (what = "pairs13": its pairs). reach:
-    the greatest distance of a pair, where it's less than the bins'.
+    the greatest distance of a pair, where it's less than the bins'. safe: nested cells stand for points within one bin; cell is the side of the finest, 4 points' or so by
+    default. Not with theta or squares. counters: also what `counters` reads.
     """
-    spark = pivots.sparkSession
+    if safe and (theta > 0 or squares):
+        raise ValueError("cells within one bin go without an opening angle and without squares")
     if box and bins.rmax > box / 2:
         raise ValueError("the radius exceeds half the periodic box")
     levels = cell_levels(bins, theta, rule, cell or bins.edges[1 if bins.edges[0] == 0 else 0] / 2)
-    plan = Plan(tuple(bins.edges), most, counts, plane, same, box, tuple((a, b) for _, a, b in levels), squares, third is not None, min(bins.rmax, reach or bins.rmax))
+    # Each pair once, where both points count alike: then p of q is q of p.
+    half = same and pivots is around and max(most, counts) < 0 and theta <= 0 and not safe and third is None and "nb" not in pivots.columns
     p = _points(pivots, "p")
     parts = []
-    side = _block_side(p, [x for x in (around, third) if x is not None and x is not pivots], bins.rmax)
+    side, spacing = _block_side(p, [x for x in (around, third) if x is not None and x is not pivots], bins.rmax)
+    sides = _nested(bins, cell or 2 * spacing) if safe else ()
+    plan = Plan(tuple(bins.edges), most, counts, plane, same, box, tuple((a, b) for _, a, b in levels), squares, third is not None, min(bins.rmax, reach or bins.rmax), half, sides, counters)
+    homes = []
     for k, ((size, first, last), points) in enumerate((level, field) for field in (around, third) if field is not None for level in levels):
         if first == last:
             continue
         q = points if not size else cells.samples(points, size, by_mass)
-        placed, reached = _cells(p, _points(q, "q"), bins.edges[last], box, side)
+        placed, reached = _cells(p, _points(q, "q"), bins.edges[last], box, side, half)
         parts.append(reached.select(*_GRID, F.lit(k + 1).alias("side"), *[F.col(f"q{c}").alias(c) for c in _COLUMNS]))
+        if not size and points is not pivots:
+            homes.append(_cells(_points(points, "p"), _points(points, "q"), bins.rmax, box, side)[0].select(*_GRID))
     mine = placed.select(*_GRID, F.lit(0).alias("side"), *[F.col(f"p{c}").alias(c) for c in _COLUMNS])
     points = parts[0]
     for part in parts[1:]:
         points = points.union(part)
-    mine, points = _split(mine, points)
+    mine, points = _split(mine, points, homes)
     both = mine.union(points).repartition(_partitions(pivots), *_GRID, "salt").sortWithinPartitions(*_GRID, "salt", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums(plan)
-        for sides, table in _blocks(batches):
-            cuts = np.searchsorted(sides, np.arange(len(plan.levels) * (1 + plan.third) + 2))
-            sums.block(table[: cuts[1]], [table[a:b] for a, b in zip(cuts[1:-1], cuts[2:], strict=True)])
+        for pivots, pieces in _blocks(batches, len(plan.levels) * (1 + plan.third)):
+            sums.block(pivots, pieces)
+            for _ in pieces:  # of a block without pivots
+                pass
         yield sums.rows()
 
     found = both.select(*_GRID, "salt", "side", *_COLUMNS).mapInArrow(run, _SCHEMA)
@@ -344,59 +495,84 @@ def _points(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(F.pmod(F.col("id").cast("long"), F.lit(1 << 53)).alias(f"{prefix}id"), *[c.alias(f"{prefix}{n}") for n, c in cells_.items()])
 
 
-def _block_side(p: DataFrame, others: list[DataFrame], rmax: float) -> float:
-    """As many radii as leave a block BLOCK_POINTS points of the largest catalog or so: one row from a pass over the pivots, and counts."""
+def _block_side(p: DataFrame, others: list[DataFrame], rmax: float) -> tuple[float, float]:
+    """As many radii as leave a block BLOCK_POINTS points of the largest catalog or so, and the mean spacing of points: one row from a pass over the pivots, and counts."""
     found = p.agg(F.count("*").alias("n"), *[f(f"p{c}").alias(f"{name}{c}") for c in "xyz" for name, f in (("l", F.min), ("h", F.max))]).first()
     tasks = 2 * p.sparkSession.sparkContext.defaultParallelism
     if not found["n"]:
-        return rmax
+        return rmax, rmax
     n = max([found["n"], *(x.count() for x in others)])
     # A catalog fills a surface at least, so a block that is k radii wide holds at most about its share of the widest face.
     extent = sorted(max(found[f"h{c}"] - found[f"l{c}"], rmax) for c in "xyz")[1:]
     wide = min(BLOCK_POINTS, max(1.0, n / tasks)) / n * extent[0] * extent[1]
-    return rmax * min(WIDE, max(1.0, math.sqrt(wide) / rmax))
+    return rmax * min(WIDE, max(1.0, math.sqrt(wide) / rmax)), math.sqrt(extent[0] * extent[1] / n)
 
 
-def _split(mine: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both with a salt: blocks with more than HOT_PAIRS candidate pairs get several, pivots by their id, points for each."""
-    counts = [x.groupBy(*_GRID).agg(F.count("*").alias(n)) for x, n in ((mine, "_np"), (points, "_nq"))]
-    pairs = F.col("_np") * F.col("_nq")
-    hot = counts[0].join(counts[1], _GRID).where(pairs > HOT_PAIRS).select(*_GRID, F.ceil(pairs / HOT_PAIRS).cast("int").alias("_splits"))
-    most = counts[0].agg(F.max("_np")).first()[0] or 0
-    # A block gets points from 27 blocks at most.
-    if 27 * most * most <= HOT_PAIRS or hot.isEmpty():
+def _nested(bins: Bins, finest: float) -> tuple[float, ...]:
+    """Sides of nested cells from the finest on, as long as a cell of the plane could fit into the widest bin."""
+    widest, sides = max(hi - lo for _, lo, hi, _ in bins.rows()), [finest]
+    while 2 * sides[-1] * math.sqrt(2) < widest:
+        sides.append(2 * sides[-1])
+    return tuple(sides)
+
+
+def _split(mine: DataFrame, points: DataFrame, homes: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Both with a salt: blocks of very many candidate pairs or pivots get several, pivots by their id, points for each. homes: blocks of other catalogs' points."""
+    most = [x.groupBy(*_GRID).count().agg(F.max("count")).first()[0] or 0 for x in (mine, *homes)]
+    # A block gets points from 27 blocks at most, of each of these catalogs and of as many cells.
+    if 27 * most[0] * max(most) <= HOT_PAIRS and most[0] <= PIECE_PIVOTS:
         return mine.withColumn("salt", F.lit(0)), points.withColumn("salt", F.lit(0))
+    counts = [x.groupBy(*_GRID).agg(F.count("*").alias(n)) for x, n in ((mine, "_np"), (points, "_nq"))]
+    pivots, wanted = F.when(F.col("_nq") > PIECE, PIECE_PIVOTS).otherwise(MOST_PIVOTS), F.ceil(F.col("_np") * F.col("_nq") / HOT_PAIRS)
+    wanted = F.least(F.greatest(wanted, F.ceil(F.col("_np") / pivots)), F.col("_np"))
+    hot = counts[0].join(counts[1], _GRID).withColumn("_splits", wanted.cast("int")).where("_splits > 1").select(*_GRID, "_splits")
     splits = F.coalesce("_splits", F.lit(1))
     mine = mine.join(hot, _GRID, "left").withColumn("salt", F.pmod(F.xxhash64("id"), splits).cast("int"))
     points = points.join(hot, _GRID, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), splits - 1)))
     return mine.select(*_GRID, "side", *_COLUMNS, "salt"), points.select(*_GRID, "side", *_COLUMNS, "salt")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sides and columns id, x, y, z, value, number of each block; rows come in the order of blocks."""
-    last, held = None, []
-
-    def whole() -> tuple[np.ndarray, np.ndarray]:
-        table = np.concatenate(held)
-        return table[:, 0].astype(np.int64), table[:, 1:]
-
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """Block, sides and columns id, x, y, z, value, number of rows that lie together, in the order of blocks and sides."""
     for batch in batches:
         keys = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]], 1)
         table = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[4:]], 1)
-        cuts = np.append(np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1, len(keys))
-        at = 0
-        for to in cuts.tolist():
-            if to == at:
-                continue
-            key = tuple(keys[at].tolist())
-            if key != last:
-                if held:
-                    yield whole()
-                last, held = key, []
-            held.append(table[at:to])
-            at = to
-    if held:
-        yield whole()
+        cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1
+        for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(keys)).tolist(), strict=True):
+            if b > a:
+                yield tuple(keys[a].tolist()), table[a:b, 0].astype(np.int64), table[a:b, 1:]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[tuple[np.ndarray, Iterator[list[np.ndarray]]]]:
+    """Pivots of each block, and the points around in pieces of some PIECE rows: lists by level. Pieces are to be read before the next block."""
+    none = np.zeros((0, len(_COLUMNS)))
+
+    def by_level(held: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        sides, table = (np.concatenate(x) for x in zip(*held, strict=True))
+        cuts = np.searchsorted(sides, np.arange(1, levels + 2))
+        return [table[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)] if len(table) else [none] * levels
+
+    for _, rows in itertools.groupby(_runs(batches), key=lambda run: run[0]):
+        pivots, ahead = [], []
+        for _, sides, table in rows:
+            at = int(np.searchsorted(sides, 1))
+            pivots.append(table[:at])
+            if at < len(sides):
+                ahead.append((sides[at:], table[at:]))
+                break
+
+        def pieces(ahead=ahead, rows=rows) -> Iterator[list[np.ndarray]]:
+            held, size = [], 0
+            for sides, table in itertools.chain(ahead, (r[1:] for r in rows)):
+                held.append((sides, table))
+                size += len(sides)
+                if size >= PIECE:
+                    yield by_level(held)
+                    held, size = [], 0
+            if held:
+                yield by_level(held)
+
+        yield np.concatenate(pivots), pieces()
 
 
 # Reading the sums.
@@ -411,6 +587,12 @@ def pair_rows(sums: DataFrame, bins: Bins, symmetric: bool = False, what: str =
     return out.select("bin", "r", n.alias("n"), (F.coalesce("_s", F.lit(0.0)) / F.greatest(n, F.lit(1.0))).alias("xi"))
 
 
+def counters(sums: DataFrame) -> DataFrame:
+    """level (0: points), candidates (compared with a pivot), taken (into a bin), points (that these stand for): what the search did."""
+    long = lambda c: F.col(c).cast("long")
+    return sums.where("what = 'counters'").select(F.col("m").alias("level"), long("cc").alias("candidates"), long("ss").alias("taken"), long("sc").alias("points"))
+
+
 def multipole_rows(sums: DataFrame, what: str = "pivot", points: float | None = None, drop_degenerate: bool = False) -> DataFrame:
     """m, b1, b2, cc, ss, sc, cs for pairs of bins that some pivot fills. what: "pivot" (moments divided by counts; sums by `points`, the pivots' number), "plain" or "counts"."""
     out = sums.where(F.col("what") == what)

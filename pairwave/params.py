@@ -16,7 +16,7 @@ OPTIONS = frozenset(
     make-info patch-with-all pre-processing read-mask statistics-histograms asymmetric behavior-ball no-one-ball kappa-constant-one all patch
     kappa-constant center-of-mass default-rsmooth fix-rsmooth no-check-two-bodies-eq-pos arfken check-eq-pos in-degrees only-pos
     pos-and-convergence pos-and-shear cute-box-fmt kappa smooth-pivot edge-corrections no-normalize-HistZeta header-info""".split()
-)
+) | {"one-ball", "two-balls"}
 #: Search methods and the join that each asks for: on a sphere or in open space, or in a periodic box for counts.
 METHODS = {"octree-sincos-omp": "open", "octree-ggg-omp": "open", "kdtree-omp": "open", "kdtree-box-omp": "box", "neighbor-boxes-omp": "box", "brute": "brute"}
 #: Short names of parameters.
@@ -127,7 +127,11 @@ class Params:
         need(self.lengthBox > 0, "lengthBox must be positive")
         need(not {"bh86", "sw94"} <= self.flags, "choose one of bh86 and sw94")
         need(not self.flags & {"bh86", "sw94"} or "behavior-ball" in self.flags, "bh86 and sw94 are rules of behavior-ball")
-        need(not {"behavior-ball", "no-one-ball"} <= self.flags, "choose one of behavior-ball and no-one-ball")
+        balls = self.flags & {"one-ball", "two-balls", "behavior-ball", "no-one-ball"}
+        need(len(balls) <= 1, "choose one of one-ball, two-balls, behavior-ball and no-one-ball")
+        need("two-balls" not in self.flags or "KKCorrelation" in self.flags or "NNCorrelation" in self.flags, "two-balls is for NNCorrelation and KKCorrelation")
+        need("two-balls" not in self.flags or not self.usePeriodic and METHODS[self.searchMethod] == "open", "two-balls is for open space")
+        need(METHODS[self.searchMethod] != "brute" or not self.flags & {"one-ball", "two-balls", "behavior-ball"}, "brute compares all points: it takes no cells")
         need(not {"check-eq-pos", "no-check-two-bodies-eq-pos"} <= self.flags, "choose one of check-eq-pos and no-check-two-bodies-eq-pos")
         need(not {"fix-rsmooth", "default-rsmooth"} <= self.flags, "choose one of fix-rsmooth and default-rsmooth")
         need(len(self.flags & STATISTICS) <= 1, f"choose one of {', '.join(sorted(STATISTICS))}")

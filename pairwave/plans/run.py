@@ -9,14 +9,15 @@ from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__, catalog as c
 from ..functions.bins import Bins
-from ..operators import cells, compare, counts, synthesis, threepoint, twopoint
-from ..operators.pairs import brute_pairs
-from ..operators.sweep import multipole_rows, pair_rows, sweep
+from ..operators import cells, compare, counts, synthesis, threepoint, trees
+from ..operators.brute import brute
+from ..operators.sweep import counters, multipole_rows, pair_rows, sweep
 from ..params import METHODS, Params, from_dict, numbers
 from ..session import ship
 from ..sources import histograms, models, registry
@@ -32,7 +33,8 @@ class Correlator:
     Results are small tables by bin, pair of bins or angle. A run with unchanged parameters, catalogs and levels is not repeated. All sums of a
     run come from one pass over its pairs.
 
-    Pairs are exact unless the option behavior-ball lets cells stand for their points (theta, bh86 or sw94 say how near). With
+    Pairs are exact unless cells stand for their points: with behavior-ball where they are far (theta, bh86 or sw94 say how far), with one-ball where all their points lie in
+    one bin of a pivot, so counts and two-point sums are exact and only angles are the cells'. two-balls walks down two trees for pairs alone, exactly. With
     smooth-pivot a pivot stands for the nb points of its cell: numbers of pairs and all sums are weighted by nb and divided by the sums of nb,
     so a constant field 1 has xi = 1, and zeta_0 = 1 where every pivot has points in both bins, for any radius.
     """
@@ -58,6 +60,7 @@ class Correlator:
     def clean(self) -> None:
         """Forgets results."""
         self.tables: dict[str, DataFrame] = {}
+        self.kept: list[DataFrame] = []
         self.done = None
         self.cpu_time = 0.0
         self.points = 0
@@ -169,8 +172,15 @@ class Correlator:
             return self
         if p.has("statistics-histograms") or p.has("edge-corrections-from-files"):
             self._from_files()
+        elif p.has("header-info") and p.infile and not self.given:
+            self._keep("headers", registry.headers(self.spark, p.infile, p.infileformat))
+            for r in self.tables["headers"].collect():
+                log.info("%s (%s): %s rows of %s, nside %s, box %s, %s", *r)
+            self.points = sum(r["rows"] or 0 for r in self.tables["headers"].collect())
         else:
-            catalogs = self.load()
+            # Parsed once: counts, extents and both sides of the search read what is kept, and lost parts are read again.
+            catalogs = [x.persist(StorageLevel.MEMORY_AND_DISK) for x in self.load()]
+            self.kept = catalogs
             self.points = catalogs[0].count()
             log.info("%d points in the first of %d catalogs", self.points, len(catalogs))
             if p.outfile and not p.has("save-ra-dec"):
@@ -181,6 +191,9 @@ class Correlator:
                 self._compute(catalogs)
         for hook in (*self.after, *after):
             hook(self)
+        for x in self.kept:
+            x.unpersist()
+        self.kept = []
         self.done = key
         self.cpu_time = time.process_time() - began
         log.info("done after %.2f s of the driver's time", self.cpu_time)
@@ -249,7 +262,7 @@ class Correlator:
         total = pivots.count()
         symmetric = self.same and not p.has("asymmetric") and not p.has("patch-with-all")
         if p.has("make-tree"):
-            self._keep("cells", cells.diagnostics(pivots, cells.smallest_cell(pivots, p.nsmooth), 8))
+            self._tree(pivots)
         if p.has("smooth-pivot"):
             pivots = cells.smooth_pivots(pivots, self.smoothing(pivots))
         only_pairs = box_search or bool(p.flags & {"NNCorrelation", "NNEstimator", "KKCorrelation"})
@@ -259,13 +272,21 @@ class Correlator:
         theta = p.theta if p.has("behavior-ball") else 0.0
         rule = next((r for r in ("bh86", "sw94") if p.has(r)), "default")
         reach = p.rangeN / p.theta if p.has("Rcut/theta") else None
-        brute = METHODS[p.searchMethod] == "brute"
-        if brute:
-            self._brute(pivots, around, total, symmetric, box, reach)
-            return self._write()
-        found = sweep(pivots, around, bins, most, counts=many, box=box, same=self.same, theta=theta, rule=rule, third=third[0] if third else None, reach=reach, by_mass=p.has("center-of-mass"))
+        if p.has("two-balls"):
+            return self._two_balls(pivots, around, symmetric)
+        brute_force = METHODS[p.searchMethod] == "brute"
+        if brute_force:
+            if third:
+                raise ValueError("brute compares two catalogs at most")
+            found, pairs_ = brute(pivots, around, bins, most, counts=many, box=box, same=self.same, reach=reach)
+        else:
+            safe = p.has("one-ball")
+            cell = cells.smallest_cell(pivots, p.nsmooth) or None if safe else None
+            found = sweep(pivots, around, bins, most, counts=many, box=box, same=self.same, theta=theta, rule=rule, cell=cell, third=third[0] if third else None, reach=reach, by_mass=p.has("center-of-mass"), safe=safe, counters=True)
         self._keep("sums", found)
         sums = self.tables.pop("sums")
+        if not brute_force:
+            self._keep("counters", counters(sums))
         counted = box_search or p.has("compute-HistN") or p.has("and-CF") or p.has("NNEstimator")
         pairs = pair_rows(sums, bins, symmetric)
         nn = pair_rows(sums, bins, symmetric and not counted).select("bin", "r", "n")
@@ -283,6 +304,31 @@ class Correlator:
         zeta = threepoint.full(multipole_rows(sums, "plain" if plain else "pivot", None if plain else total), bins, p.mChebyshev)
         counts_ = multipole_rows(sums, "counts") if edge else None
         self._multipoles(zeta, counts_)
+        if brute_force and p.has("out-HistZetaG"):
+            self._keep("histZetaG", threepoint.by_angle(threepoint.triangles(pairs_, bins), bins, p.sizeHistPhi))
+        self._write()
+
+    def _tree(self, points: DataFrame) -> None:
+        """How points fill cells of growing size, and how wide these are."""
+        size = cells.smallest_cell(points, self.params.nsmooth)
+        if not size:
+            return
+        tree = trees.rollup(points, size, 8).persist(StorageLevel.MEMORY_AND_DISK)
+        self._keep("cells", tree.groupBy("level").agg(F.count("*").alias("cells"), F.max("nb").alias("most"), F.avg("nb").alias("mean_nb"), F.avg("radius").alias("mean_radius"), F.max("radius").alias("most_radius")))
+        self._keep("cell_radii", trees.radius_histogram(tree))
+        tree.unpersist()
+
+    def _two_balls(self, pivots: DataFrame, around: DataFrame, symmetric: bool) -> None:
+        p, bins = self.params, self.bins
+        if pivots is not around:
+            raise ValueError("two-balls is for one catalog, without smoothed pivots")
+        found, levels = trees.two_balls(pivots, bins, cells.smallest_cell(pivots, p.nsmooth) or bins.rmax, 1)
+        half = 2.0 if symmetric else 1.0
+        self._keep("histNN", found.select("bin", "r", (F.col("n") / (1.0 if p.has("compute-HistN") else half)).alias("n")))
+        if p.has("KKCorrelation"):
+            n = F.col("n") / half
+            self._keep("histXi2pcf", found.select("bin", "r", n.alias("n"), (F.col("xi") * F.greatest(F.col("n"), F.lit(1.0)) / half / F.greatest(n, F.lit(1.0))).alias("xi")))
+        self._keep("counters", levels)
         self._write()
 
     def _correlation(self, nn: DataFrame, total: int) -> DataFrame:
@@ -292,22 +338,6 @@ class Correlator:
             out = out.withColumn("r", (F.col("bin") - 0.5) * (p.rangeN / p.sizeHistN))
         return out
 
-    def _brute(self, pivots: DataFrame, around: DataFrame, total: int, symmetric: bool, box: float | None, reach: float | None) -> None:
-        """Everything by comparing all with all and listing triangles: a yardstick for small catalogs."""
-        p, bins = self.params, self.bins
-        pairs = brute_pairs(pivots, around, min(p.rangeN, reach or p.rangeN), box=box, same=self.same)
-        self._keep("histNN", counts.pair_counts(pairs, bins, symmetric))
-        if p.has("NNCorrelation") or p.has("NNEstimator"):
-            return
-        self._keep("histXi2pcf", twopoint.field_correlation(pairs, bins, symmetric=symmetric))
-        if p.has("KKCorrelation"):
-            return
-        norm = "none" if p.has("no-normalize-HistZeta") else "pivot"
-        found = threepoint.multipoles(threepoint.moments(pairs, bins, p.mChebyshev), p.mChebyshev, total, norm=norm)
-        self._multipoles(threepoint.full(found, bins, p.mChebyshev), None)
-        if p.has("out-HistZetaG"):
-            self._keep("histZetaG", threepoint.by_angle(threepoint.triangles(pairs, bins), bins, p.sizeHistPhi))
-
     def _multipoles(self, zeta: DataFrame, many: DataFrame | None) -> None:
         p, bins, most = self.params, self.bins, self.params.mChebyshev
         self._keep("histZetaM", zeta)

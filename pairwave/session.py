@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 #: Bytes of rows that are sent to a Python worker at once: with very long texts, numbers of rows are no bound.
@@ -29,3 +29,14 @@ def ship(spark: SparkSession) -> None:
             z.write(path, Path(root.name) / path.relative_to(root))
     sc.addPyFile(str(target))
     _SHIPPED.add(sc.applicationId)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df stored in the folder of spark.checkpoint.dir, which all executors share; a temporary one only in local mode where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="pairwave-"))
+    return df.checkpoint()

@@ -50,7 +50,7 @@ def opened(uri: str):
     return system.open_input_file(where)
 
 
-def _sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+def sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """URIs and sizes of the files that a path, folder or pattern names."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -68,7 +68,7 @@ Layout = tuple[list[int], list[int], int, dict]
 
 def _rows(spark: SparkSession, path: str, parse: Callable[[str, bytes], pd.DataFrame], layout: Callable[[object], Layout], part: Callable[[list[bytes], int, dict], pd.DataFrame], schema: str) -> DataFrame:
     """Rows of files: small files whole (parse), large ones in ranges. layout: of an open file; part: rows from the segments' bytes and the number of the first row."""
-    files = _sizes(spark, path)
+    files = sizes(spark, path)
     large = [uri for uri, size in files if size > RANGE]
     if not large:
         return _files(spark, path, parse, schema)
@@ -230,13 +230,33 @@ def _array_layout(f) -> Layout:
     shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
     if kind.hasobject or fortran and len(shape) > 1:
         raise ValueError("an array of another kind than numbers in order")
-    return [head.tell()], [kind.itemsize], math.prod(shape), {"kind": kind.str, "rows": math.prod(shape)}
+    return [head.tell()], [kind.itemsize], math.prod(shape), {"kind": np.lib.format.dtype_to_descr(kind), "rows": math.prod(shape)}
+
+
+def _kind(described: str | list) -> np.dtype:
+    return np.dtype(described if isinstance(described, str) else [tuple(x) for x in described])
+
+
+def records(columns: dict[str, object]) -> np.ndarray:
+    """Records of pixel numbers (long), values (double) and nside (int)."""
+    out = np.empty(len(next(iter(columns.values()))), [("pix", "<i8"), ("value", "<f8"), ("nside", "<i4")])
+    for name, values in columns.items():
+        out[name] = values
+    return out
+
+
+def array_bytes(values: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, values, allow_pickle=False)
+    return out.getvalue()
 
 
 def numpy_map(spark: SparkSession, path: str, nest: bool = False) -> DataFrame:
-    """pix, value, nside, nest from an .npy file with one number for each pixel."""
+    """pix, value, nside, nest from .npy files with one number for each pixel, or with records of pixel, value and nside."""
 
     def rows(value: np.ndarray, first: int, n: int) -> pd.DataFrame:
+        if value.dtype.names:
+            return pd.DataFrame({"pix": value["pix"], "value": value["value"], "nside": value["nside"], "nest": nest})
         return pd.DataFrame({"pix": np.arange(len(value)) + first, "value": value.astype(np.float64), "nside": healpix.npix2nside(n), "nest": nest})
 
     def parse(_: str, raw: bytes) -> pd.DataFrame:
@@ -244,7 +264,7 @@ def numpy_map(spark: SparkSession, path: str, nest: bool = False) -> DataFrame:
         return rows(value, 0, len(value))
 
     def part(raw: list[bytes], first: int, info: dict) -> pd.DataFrame:
-        return rows(np.frombuffer(raw[0], np.dtype(info["kind"])), first, info["rows"])
+        return rows(np.frombuffer(raw[0], _kind(info["kind"])), first, info["rows"])
 
     return _rows(spark, path, parse, _array_layout, part, "pix long, value double, nside int, nest boolean")
 
@@ -319,6 +339,10 @@ def gadget_blocks(raw: bytes) -> list[bytes]:
     return out
 
 
+#: Names of a snapshot's first blocks, in their order.
+BLOCKS = ("HEAD", "POS", "VEL", "ID")
+
+
 def gadget_header(block: bytes) -> dict:
     """Numbers of particles, masses, time, redshift, size of the box."""
     counts = np.frombuffer(block, "<i4", 6)
@@ -328,18 +352,72 @@ def gadget_header(block: bytes) -> dict:
     return {"counts": counts.tolist(), "mass": np.frombuffer(block, "<f8", 6, 24).tolist(), "time": time, "redshift": redshift, "total": total.tolist(), "files": files, "box": box}
 
 
-def gadget(spark: SparkSession, path: str, box: float | None = None, **_) -> DataFrame:
-    """Positions of a snapshot in format 1 (one file, or a pattern for all parts), wrapped into the box, with a synthetic field."""
+def gadget_index(f) -> list[tuple[str, int, int]]:
+    """Name, place and size of an open snapshot's blocks, in format 1 (blocks by their order) or 2 (each behind a block of 8 bytes with its name)."""
+    size, at, out, tag = f.size(), 0, [], None
+    while at < size:
+        (n,) = struct.unpack("<i", f.read_at(4, at))
+        if n < 0 or at + 8 + n > size or struct.unpack("<i", f.read_at(4, at + 4 + n))[0] != n:
+            raise ValueError("broken snapshot: length marks differ")
+        if n == 8 and tag is None and (name := f.read_at(4, at + 4)).strip().isalnum():
+            tag = name.decode("ascii").strip()
+        else:
+            out.append((tag or (*BLOCKS, f"block{len(out)}")[min(len(out), len(BLOCKS))], at + 4, n))
+            tag = None
+        at += 8 + n
+    if not out or out[0][2] != 256:
+        raise ValueError("broken snapshot: no header of 256 bytes")
+    return out
+
+
+def _snapshot_layout(f) -> Layout:
+    """Places of positions, velocities and ids, as far as they are there, so that ranges of particles take the same rows of each."""
+    blocks = gadget_index(f)
+    head = gadget_header(f.read_at(256, blocks[0][1]))
+    n, found = sum(head["counts"]), {name: (at, size) for name, at, size in blocks}
+    if found.get("POS", (0, -1))[1] != 12 * n:
+        raise ValueError("broken snapshot: positions and header differ")
+    taken = [("POS", 12)]
+    for name, width in (("VEL", 12), ("ID", found.get("ID", (0, 0))[1] // max(1, n))):
+        if width and name in found and found[name][1] == width * n:
+            taken.append((name, width))
+    return [found[name][0] for name, _ in taken], [width for _, width in taken], n, {"box": head["box"], "names": [name for name, _ in taken]}
+
+
+def snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """x, y, z, vx, vy, vz, particle (its id), box of snapshots in format 1 or 2 (a file, or a pattern for all parts); large files in ranges of particles. Null: not there."""
+
+    def part(raw: list[bytes], _: int, info: dict) -> pd.DataFrame:
+        got = dict(zip(info["names"], raw, strict=True))
+        pos = np.frombuffer(got["POS"], "<f4").reshape(-1, 3).astype(np.float64)
+        vel = np.frombuffer(got["VEL"], "<f4").reshape(-1, 3).astype(np.float64) if "VEL" in got else np.full(pos.shape, np.nan)
+        ids = np.frombuffer(got["ID"], f"<u{len(got['ID']) // max(1, len(pos))}").astype(np.int64) if "ID" in got and len(pos) else np.zeros(len(pos), np.int64)
+        return pd.DataFrame({**{c: pos[:, k] for k, c in enumerate("xyz")}, **{f"v{c}": vel[:, k] for k, c in enumerate("xyz")}, "particle": pd.array(ids, "Int64") if "ID" in got else pd.array([None] * len(pos), "Int64"), "box": info["box"]})
 
     def parse(_: str, raw: bytes) -> pd.DataFrame:
-        blocks = gadget_blocks(raw)
-        head = gadget_header(blocks[0])
-        pos = np.frombuffer(blocks[1], "<f4").reshape(-1, 3).astype(np.float64)
-        if len(pos) != sum(head["counts"]):
-            raise ValueError("broken snapshot: positions and header differ")
-        return pd.DataFrame({"x": pos[:, 0], "y": pos[:, 1], "z": pos[:, 2], "box": head["box"]})
-
-    df = _files(spark, path, parse, "x double, y double, z double, box double")
+        f = _Bytes(raw)
+        begins, widths, n, info = _snapshot_layout(f)
+        return part([f.read_at(n * w, b) for b, w in zip(begins, widths, strict=True)], 0, info)
+
+    return _rows(spark, path, parse, _snapshot_layout, part, "x double, y double, z double, vx double, vy double, vz double, particle long, box double")
+
+
+class _Bytes:
+    """Bytes read like an open file."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+
+    def size(self) -> int:
+        return len(self.raw)
+
+    def read_at(self, n: int, at: int) -> bytes:
+        return self.raw[at : at + n]
+
+
+def gadget(spark: SparkSession, path: str, box: float | None = None, **_) -> DataFrame:
+    """Positions of a snapshot in format 1 or 2 (one file, or a pattern for all parts), wrapped into the box, with a synthetic field."""
+    df = snapshot(spark, path).select("x", "y", "z", "box")
     side = F.lit(box) if box else F.col("box")
     wrapped = df.withColumns({c: F.pmod(F.col(c), side) if box is None else wrap(F.col(c), box) for c in "xyz"})
     return catalog(number(wrapped.withColumn("kappa", wave(side))))
@@ -350,8 +428,8 @@ def wave(side) -> "F.Column":
     return 1.0 + F.cos(F.col("x") * (40 * math.pi) / side) * F.sin(F.col("y") * (40 * math.pi) / side)
 
 
-def gadget_bytes(positions: np.ndarray, box: float, redshift: float = 0.0) -> bytes:
-    """A snapshot of one kind of particles: header and positions."""
+def gadget_bytes(positions: np.ndarray, box: float, redshift: float = 0.0, velocities: np.ndarray | None = None, ids: np.ndarray | None = None, tagged: bool = False) -> bytes:
+    """A snapshot of one kind of particles: header and positions, velocities and ids; tagged: format 2."""
     n = len(positions)
     head = np.zeros(256, np.uint8)
     head[:24] = np.array([0, n, 0, 0, 0, 0], "<i4").view(np.uint8)
@@ -359,8 +437,42 @@ def gadget_bytes(positions: np.ndarray, box: float, redshift: float = 0.0) -> by
     head[96:120] = np.array([0, n, 0, 0, 0, 0], "<i4").view(np.uint8)
     head[124:128] = np.array([1], "<i4").view(np.uint8)
     head[128:136] = np.array([box], "<f8").view(np.uint8)
-    blocks = [head.tobytes(), np.asarray(positions, "<f4").tobytes()]
-    return b"".join(struct.pack("<i", len(b)) + b + struct.pack("<i", len(b)) for b in blocks)
+    blocks = [("HEAD", head.tobytes()), ("POS ", np.asarray(positions, "<f4").tobytes())]
+    if velocities is not None:
+        blocks.append(("VEL ", np.asarray(velocities, "<f4").tobytes()))
+    if ids is not None:
+        blocks.append(("ID  ", np.asarray(ids).tobytes()))
+    framed = lambda b: struct.pack("<i", len(b)) + b + struct.pack("<i", len(b))
+    return b"".join((framed(name.encode() + struct.pack("<i", len(b) + 8)) if tagged else b"") + framed(b) for name, b in blocks)
+
+
+def head_of(uri: str, kind: str) -> tuple:
+    """rows, columns, nside, box, other of a binary file, from its first bytes."""
+    with opened(uri) as f:
+        if kind.startswith("fits"):
+            cards, types, n, _ = fits_layout(f)
+            many = math.prod(types[0].shape) if len(types) == 1 else 1
+            explicit = cards.get("INDXSCHM", "").upper() == "EXPLICIT"
+            nside = int(cards["NSIDE"]) if "NSIDE" in cards else None
+            if nside is None and kind == "fits-healpix" and not explicit:
+                nside = healpix.npix2nside(n * many)
+            return n * many, ",".join(types.names), nside, None, cards.get("ORDERING")
+        if kind == "numpy-healpix":
+            _, _, n, info = _array_layout(f)
+            names = _kind(info["kind"]).names
+            side = healpix.npix2nside(n)
+            return n, ",".join(names) if names else "value", side if side > 0 and not names else None, None, None
+        if kind == "gadget":
+            blocks = gadget_index(f)
+            head = gadget_header(f.read_at(256, blocks[0][1]))
+            return sum(head["counts"]), ",".join(name for name, _, _ in blocks), None, [head["box"]] * 3, json.dumps({k: head[k] for k in ("redshift", "files", "total")})
+        if kind.startswith("takaha"):
+            fields, _, n, info = _record_layout(f)
+            return n, ",".join(("kappa", "gamma1", "gamma2")[: len(fields)]), info["nside"], None, None
+        mark, width, n = struct.unpack(PACKED, f.read_at(struct.calcsize(PACKED), 0))
+        if mark != b"PWCAT01\0":
+            raise ValueError("not a packed catalog")
+        return n, ",".join(PACKED_NAMES[:width]), None, None, None
 
 
 # Fortran records and packed doubles.
@@ -418,6 +530,7 @@ def takahashi(spark: SparkSession, path: str, **_) -> DataFrame:
 
 #: Header of the packed format: mark, fields to a row, rows.
 PACKED = "<8sqq"
+PACKED_NAMES = ("x", "y", "z", "kappa", "weight", "mass", "m")
 
 
 def packed_bytes(columns: dict[str, np.ndarray]) -> bytes:
@@ -428,7 +541,7 @@ def packed_bytes(columns: dict[str, np.ndarray]) -> bytes:
 
 def packed(spark: SparkSession, path: str, **_) -> DataFrame:
     """Catalogs in packed doubles with 4 fields or all 7."""
-    names = ("x", "y", "z", "kappa", "weight", "mass", "m")
+    names = PACKED_NAMES
 
     def head(raw: bytes) -> tuple[int, int]:
         mark, width, n = struct.unpack_from(PACKED, raw)

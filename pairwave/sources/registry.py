@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import SCHEMA, catalog, union
+from ..catalog import SCHEMA, catalog, combined
 from ..functions import healpix
 from . import binary, text
 
@@ -17,6 +18,11 @@ def parquet(spark: SparkSession, path: str, **_) -> DataFrame:
     return catalog(spark.read.parquet(path))
 
 
+#: Pixels of a full map that one task writes as one array.
+WHOLE = 1 << 24
+#: Rows after which a task begins another file.
+FILE_ROWS = 1 << 24
+
 READERS: dict[str, Callable[..., DataFrame]] = {
     "columns-ascii": text.columns_ascii,
     "columns-ascii-all": text.columns_ascii_all,
@@ -55,7 +61,8 @@ def read_many(spark: SparkSession, paths: str, formats: str = "columns-ascii", c
 
 
 def read_all_in_one(spark: SparkSession, paths: str, formats: str = "columns-ascii", **options) -> DataFrame:
-    return union(*read_many(spark, paths, formats, **options))
+    """All files as one catalog; ids are distinct over all of them."""
+    return combined(*read_many(spark, paths, formats, **options))
 
 
 def write(df: DataFrame, path: str, format: str = "columns-ascii", box: float | None = None, nside: int | None = None, nest: bool = False) -> None:
@@ -63,8 +70,32 @@ def write(df: DataFrame, path: str, format: str = "columns-ascii", box: float |
 
     columns-ascii: x y z kappa, with a header; columns-ascii-all: all fields; columns-ascii-pos: positions only (box: shifted by half its
     side, from a centered box to one from 0); fits, binary, binary-all: one table in each part file; fits-healpix: ids as pixels of a map with
-    kappa, each part file a map of a part of the sky (nside: by the number of points if not given); parquet.
+    kappa, each part file a map of a part of the sky (nside: by the number of points if not given); numpy-healpix: the same as .npy files, one plain array for
+    a full map of at most WHOLE pixels; parquet.
+
+    What is there stays until all is written beside it; then the new folder takes its place. So a catalog may be written over its own source, and
+    a run that fails leaves the old one.
     """
+    spark = df.sparkSession
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = lambda what: f"{path.rstrip('/')}.{what}-{uuid.uuid4().hex}"
+    new, old = beside("new"), beside("old")
+    there = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    try:
+        _write(df, new, format, box, nside, nest)
+        if system.exists(root) and not system.rename(root, there(old)):
+            raise OSError(f"can't move {path}")
+        if not system.rename(there(new), root):
+            if system.exists(there(old)):
+                system.rename(there(old), root)
+            raise OSError(f"can't write {path}")
+        system.delete(there(old), True)
+    finally:
+        system.delete(there(new), True)
+
+
+def _write(df: DataFrame, path: str, format: str, box: float | None, nside: int | None, nest: bool) -> None:
     if format == "parquet":
         df.select(*[f.name for f in SCHEMA.fields]).write.mode("overwrite").parquet(path)
     elif format == "columns-ascii":
@@ -78,16 +109,45 @@ def write(df: DataFrame, path: str, format: str = "columns-ascii", box: float |
         names = ["x", "y", "z", "kappa", "weight", "mass", "mask"] if format == "binary-all" else ["x", "y", "z", "kappa"]
         make = binary.packed_bytes if format.startswith("binary") else (lambda c: binary.fits_bytes({k.upper(): v for k, v in c.items()}))
         _write_files(df.select(*[F.col(n).cast("double") for n in names]), path, make, "fits" if format == "fits" else "bin")
-    elif format == "fits-healpix":
+    elif format in ("fits-healpix", "numpy-healpix"):
         n = healpix.npix2nside(df.count()) if nside is None else nside
         if n < 1:
             raise ValueError("a map of a part of the sky needs nside")
+        if format == "numpy-healpix":
+            return _write_arrays(df.select("id", F.col("kappa").cast("double").alias("kappa")), path, n)
         cards = {"PIXTYPE": "HEALPIX", "ORDERING": "NESTED" if nest else "RING", "NSIDE": n, "COORDSYS": "G", "INDXSCHM": "EXPLICIT", "OBJECT": "PARTIAL"}
         _write_files(df.select(F.col("id").alias("pixel"), F.col("kappa").cast("double").alias("signal")), path, lambda c: binary.fits_bytes({k.upper(): v for k, v in c.items()}, cards), "fits")
     else:
         raise ValueError(f"no such format: {format}")
 
 
+def _write_arrays(df: DataFrame, path: str, nside: int) -> None:
+    """A full map of bounded size as one array of its values, any other as records of pixel, value and nside, a file for each partition."""
+    npix = healpix.nside2npix(nside)
+    if npix <= WHOLE and df.agg(F.count_distinct("id")).first()[0] == npix:
+        return _write_files(df.coalesce(1).sortWithinPartitions("id"), path, lambda c: binary.array_bytes(c["kappa"]), "npy")
+    make = lambda c: binary.array_bytes(binary.records({"pix": c["id"], "value": c["kappa"], "nside": [nside] * len(c["id"])}))
+    _write_files(df, path, make, "npy")
+
+
+def headers(spark: SparkSession, paths: str, formats: str = "columns-ascii") -> DataFrame:
+    """file, format, rows, columns (names), nside, box (sides), other: what the first bytes of files say; no rows are read. Null: not said there."""
+    files, kinds = [p.strip() for p in paths.split(",")], [f.strip() for f in formats.split(",")]
+    kinds = kinds * len(files) if len(kinds) == 1 else kinds
+    if len(files) != len(kinds):
+        raise ValueError("lists of files and formats differ in length")
+    rows = []
+    for path, kind in zip(files, kinds, strict=True):
+        if kind not in READERS:
+            raise ValueError(f"no such format: {kind}")
+        if kind == "parquet":
+            rows.append((path, kind, None, ",".join(spark.read.parquet(path).columns), None, None, None))
+            continue
+        for uri, _ in binary.sizes(spark, path):
+            rows.append((uri, kind, *(text.head_of(spark, uri) if kind.endswith("ascii") or kind.startswith("columns-ascii") or kind == "ra-dec-ascii" else binary.head_of(uri, kind))))
+    return spark.createDataFrame(rows, "file string, format string, rows long, columns string, nside int, box array<double>, other string")
+
+
 def write_sky(df: DataFrame, path: str) -> None:
     """Longitude and latitude in radians and the field, as the reader of "ra-dec-ascii" takes them."""
     r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
@@ -95,8 +155,24 @@ def write_sky(df: DataFrame, path: str) -> None:
     text.write_columns(sky, path, ["ra", "dec", "kappa"])
 
 
+def _bounded(parts):
+    """Frames of at most FILE_ROWS rows or so from a task's frames."""
+    import pandas as pd
+
+    held, size = [], 0
+    for part in parts:
+        if len(part):
+            held.append(part)
+            size += len(part)
+        if size >= FILE_ROWS:
+            yield pd.concat(held)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held)
+
+
 def _write_files(df: DataFrame, path: str, make: Callable[[dict], bytes], ending: str) -> None:
-    """A file for each partition, written by its task under another name and then moved, where pyarrow knows the file system; else handed to the driver one by one."""
+    """A file for each partition, more for one of very many rows, written by its task under another name and then moved, where pyarrow knows the file system; else handed to the driver one by one."""
     import pandas as pd
 
     spark, names = df.sparkSession, df.columns
@@ -113,11 +189,9 @@ def _write_files(df: DataFrame, path: str, make: Callable[[dict], bytes], ending
         from pyarrow import fs
         from pyspark import TaskContext
 
-        got = [p for p in parts if len(p)]
-        if got:
-            whole = pd.concat(got)
+        for number, whole in enumerate(_bounded(parts)):
             content = make({c: whole[c].to_numpy() for c in names})
-            name = f"part-{TaskContext.get().partitionId():05d}.{ending}"
+            name = f"part-{TaskContext.get().partitionId():05d}-{number:05d}.{ending}"
             if known:
                 there, folder = fs.FileSystem.from_uri(uri)
                 hidden = f"{folder}/.{uuid.uuid4().hex}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,19 @@ def header(spark: SparkSession, path: str) -> dict:
     raise ValueError(f"{path}: no header with nbody, dimensions and sides")
 
 
+def head_of(spark: SparkSession, path: str) -> tuple:
+    """rows, columns (their number as names), nside, box, other of a text file, from its first lines."""
+    lines = [r[0].strip() for r in spark.read.text(path).head(64)]
+    said, first = {}, next((x for x in lines if x and x[0] not in "#%"), None)
+    for line in lines:
+        parts = line.lstrip("#% ").split()
+        if line.startswith("#") and len(parts) >= 2 and parts[0].isdigit() and parts[1].isdigit():
+            said = {"nbody": int(parts[0]), "box": [float(x) for x in parts[2:]]}
+            break
+    columns = ",".join(f"c{k + 1}" for k in range(len(re.split(r"[\s,]+", first)))) if first else ""
+    return said.get("nbody"), columns, None, said.get("box") or None, None
+
+
 def choose(columns: str | list[int] | None, default: list[int]) -> list[int]:
     """1-based columns from a list or a comma list, the default if none are given; anything else than positive numbers is an error."""
     if columns is None or columns == "":
