@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import Bins
 from ..functions.geometry import REFERENCE_ANGLE, euler
-from . import cells
+from . import blocktree, cells
 from .pairs import _cells, _partitions
 from .threepoint import PARTS
 
@@ -436,14 +436,15 @@ def cell_levels(bins: Bins, theta: float, rule: str, start: float) -> list[tuple
     return out if out[0][0] == 0.0 else [(0.0, 0, 0), *out]
 
 
-def sweep(pivots: DataFrame, around: DataFrame, bins: Bins, most: int = -1, *, counts: int = -1, box: float | None = None, same: bool = True, plane: bool = False, squares: bool = False, theta: float = 0.0, rule: str = "default", cell: float | None = None, third: DataFrame | None = None, reach: float | None = None, by_mass: bool = False, safe: bool = False, counters: bool = False) -> DataFrame:
+def sweep(pivots: DataFrame, around: DataFrame, bins: Bins, most: int = -1, *, counts: int = -1, box: float | None = None, same: bool = True, plane: bool = False, squares: bool = False, theta: float = 0.0, rule: str = "default", cell: float | None = None, third: DataFrame | None = None, reach: float | None = None, by_mass: bool = False, safe: bool = False, counters: bool = False, blocks: str = "grid") -> DataFrame:
     """what, m, b1, b2, cc, ss, sc, cs: all sums, a row for each bin or pair of bins and multipole; read it by the functions below.
 
     pivots: id, x, y, z, kappa, and nb where a pivot stands for several points. most, counts: multipoles of the field and of the counts. same: a
     point is no pair with itself. squares: also sums of squared fields. theta, rule, cell: see above; cell is the side of the smallest cells, by_mass: their
     centers weigh points by mass. third: points of another field, which has the second bin of the multipoles (what = "pairs13": its pairs). reach:
     the greatest distance of a pair, where it's less than the bins'. safe: nested cells stand for points within one bin; cell is the side of the finest, 4 points' or so by
-    default. Not with theta or squares. counters: also what `counters` reads.
+    default. Not with theta or squares. counters: also what `counters` reads. blocks: "grid", of equal
+    cubes, or "tree", leaves of a tree by medians, which hold about as many pivots wherever points cluster (not in a periodic box).
     """
     if safe and (theta > 0 or squares):
         raise ValueError("cells within one bin go without an opening angle and without squares")
@@ -458,19 +459,23 @@ def sweep(pivots: DataFrame, around: DataFrame, bins: Bins, most: int = -1, *, c
     sides = _nested(bins, cell or 2 * spacing) if safe else ()
     plan = Plan(tuple(bins.edges), most, counts, plane, same, box, tuple((a, b) for _, a, b in levels), squares, third is not None, min(bins.rmax, reach or bins.rmax), half, sides, counters)
     homes = []
+    if blocks not in ("grid", "tree") or blocks == "tree" and box:
+        raise ValueError(f"no blocks by {blocks}" + " in a periodic box" * bool(box))
+    leaves = blocktree.leaves_of(p, BLOCK_POINTS) if blocks == "tree" else None
+    place = (lambda a, b, r: leaves.placed(a, b, r)) if leaves else (lambda a, b, r: _cells(a, b, r, box, side, half))
     for k, ((size, first, last), points) in enumerate((level, field) for field in (around, third) if field is not None for level in levels):
         if first == last:
             continue
         q = points if not size else cells.samples(points, size, by_mass)
-        placed, reached = _cells(p, _points(q, "q"), bins.edges[last], box, side, half)
+        placed, reached = place(p, _points(q, "q"), bins.edges[last])
         parts.append(reached.select(*_GRID, F.lit(k + 1).alias("side"), *[F.col(f"q{c}").alias(c) for c in _COLUMNS]))
         if not size and points is not pivots:
-            homes.append(_cells(_points(points, "p"), _points(points, "q"), bins.rmax, box, side)[0].select(*_GRID))
+            homes.append(place(_points(points, "p"), _points(points, "q"), bins.rmax)[0].select(*_GRID))
     mine = placed.select(*_GRID, F.lit(0).alias("side"), *[F.col(f"p{c}").alias(c) for c in _COLUMNS])
     points = parts[0]
     for part in parts[1:]:
         points = points.union(part)
-    mine, points = _split(mine, points, homes)
+    mine, points = _split(mine, points, homes, leaves is None)
     both = mine.union(points).repartition(_partitions(pivots), *_GRID, "salt").sortWithinPartitions(*_GRID, "salt", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,11 +521,11 @@ def _nested(bins: Bins, finest: float) -> tuple[float, ...]:
     return tuple(sides)
 
 
-def _split(mine: DataFrame, points: DataFrame, homes: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _split(mine: DataFrame, points: DataFrame, homes: list[DataFrame], grid: bool = True) -> tuple[DataFrame, DataFrame]:
     """Both with a salt: blocks of very many candidate pairs or pivots get several, pivots by their id, points for each. homes: blocks of other catalogs' points."""
-    most = [x.groupBy(*_GRID).count().agg(F.max("count")).first()[0] or 0 for x in (mine, *homes)]
-    # A block gets points from 27 blocks at most, of each of these catalogs and of as many cells.
-    if 27 * most[0] * max(most) <= HOT_PAIRS and most[0] <= PIECE_PIVOTS:
+    most = [x.groupBy(*_GRID).count().agg(F.max("count")).first()[0] or 0 for x in (mine, *homes)] if grid else []
+    # A cube gets points from 27 cubes at most, of each of these catalogs and of as many cells. A leaf may get any.
+    if grid and 27 * most[0] * max(most) <= HOT_PAIRS and most[0] <= PIECE_PIVOTS:
         return mine.withColumn("salt", F.lit(0)), points.withColumn("salt", F.lit(0))
     counts = [x.groupBy(*_GRID).agg(F.count("*").alias(n)) for x, n in ((mine, "_np"), (points, "_nq"))]
     pivots, wanted = F.when(F.col("_nq") > PIECE, PIECE_PIVOTS).otherwise(MOST_PIVOTS), F.ceil(F.col("_np") * F.col("_nq") / HOT_PAIRS)

@@ -116,3 +116,30 @@ def test_map_within_bins(spark):
     assert all(abs(zeta[1][k] - v) < (1e-9 if k[0] == 0 else 0.01) for k, v in zeta[0].items())
     with pytest.raises(ValueError):
         sweep(sky, sky, bins, theta=1.0, safe=True)
+
+
+def test_leaves_hold_as_many_pivots_wherever_they_cluster():
+    from pairwave.operators.blocktree import Leaves
+
+    rng = np.random.default_rng(6)
+    xyz = np.concatenate([rng.random((1000, 3)), 0.5 + 1e-4 * rng.random((7000, 3)), np.full((100, 3), 0.25)])
+    tree = Leaves(xyz, 6)
+    assert np.bincount(tree.of(xyz)).max() < 2 * len(xyz) / 64
+    near = lambda k: {(int(a), int(n)) for a, n in zip(*tree.reached(xyz[k : k + 1], 0.01), strict=True)}
+    leaf = tree.of(xyz)
+    for k in (0, 1500, 8050):
+        inside = np.flatnonzero(((xyz - xyz[k]) ** 2).sum(1) < 0.01**2)
+        assert {int(n) for n in leaf[inside]} <= {n for _, n in near(k)}
+    assert (Leaves(xyz[:0], 3).of(xyz) > 0).all()
+
+
+def test_blocks_by_a_tree_give_the_same_sums(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(sw, "BLOCK_POINTS", 40)
+    xyz = np.concatenate([rng.random((150, 3)), 0.4 + 0.01 * rng.random((250, 3))])
+    p, q, bins = points(spark, xyz, rng.normal(size=400)), points(spark, xyz[::3] + 0.003), Bins(0.002, 0.2, 4)
+    for a, b, same in ((p, p, True), (p, q, False)):
+        want, got = ({tuple(r)[:4]: tuple(r)[4:] for r in sweep(a, b, bins, 2, same=same, blocks=k).collect()} for k in ("grid", "tree"))
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-9) for k in want)
+    with pytest.raises(ValueError):
+        sweep(p, p, bins, box=1.0, blocks="tree")
