@@ -82,8 +82,8 @@ def fourier_real(df: DataFrame, by: list[str], order: str, value: str) -> DataFr
     return df.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", k int, re double, im double")
 
 
-def elementwise(function: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
-    """A function of an array as a function of Columns, in Arrow batches; null stays null. Functions of single numbers are mapped one by one."""
+def elementwise(function: Callable[[np.ndarray], np.ndarray], single: bool = False) -> Callable[[Column], Column]:
+    """A function of an array as a function of Columns, in Arrow batches; null stays null. single: a function of one number, which is mapped."""
 
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -92,10 +92,7 @@ def elementwise(function: Callable[[np.ndarray], np.ndarray]) -> Callable[[Colum
             known = part.notna()
             values = part[known].to_numpy()
             if len(values):
-                try:
-                    out[known] = function(values)
-                except TypeError:
-                    out[known] = [function(v) for v in values.tolist()]
+                out[known] = [function(v) for v in values.tolist()] if single else function(values)
             yield out.where(known, None)
 
     return lambda c: run(c.cast("double"))

@@ -93,36 +93,6 @@ def pyramid(df: DataFrame, size: float, levels: int) -> DataFrame:
     return means.join(far, by).select(*by, "nb", "mass", "weight", "kappa", *[F.col(f"m{c}").alias(c) for c in "xyz"], "radius")
 
 
-def opened_pairs(pyramid_: DataFrame, levels: int, rmin: float, rmax: float, theta: float, rule: str = "default") -> DataFrame:
-    """level_a, cell_a, level_b, cell_b, nb_a, nb_b, r: the pairs of cells that a walk down the pyramid ends with.
-
-    From all pairs of the coarsest cells on: a pair whose radii together, opened, don't exceed its distance is accepted; pairs wholly
-    beyond rmax, or nearer than rmin, are left out; of any other the wider cell is opened into its children. Pairs of finest cells are
-    accepted as they are. One join a level; each pair of points lies in one accepted pair at most.
-    """
-    columns = ("level", "cell", "nb", "x", "y", "z", "radius")
-    side = lambda s: pyramid_.select(*[F.col(c).alias(f"{c}_{s}") for c in columns])
-    top = levels - 1
-    pairs = side("a").where(F.col("level_a") == top).crossJoin(side("b").where(F.col("level_b") == top))  # cells of the coarsest level, some dozens
-    done = None
-    for _ in range(2 * levels - 1):
-        r = F.sqrt(sum(((F.col(f"{c}_a") - F.col(f"{c}_b")) ** 2 for c in "xyz"), F.lit(0.0)))
-        reach = F.col("radius_a") + F.col("radius_b")
-        pairs = pairs.withColumn("r", r).where((F.col("r") - reach < rmax) & (F.col("r") + reach > rmin))
-        ended = (opening(reach, theta, rule) <= F.col("r")) | ((F.col("level_a") == 0) & (F.col("level_b") == 0))
-        kept = pairs.where(ended)
-        done = kept if done is None else done.unionByName(kept)
-        first = (F.col("level_a") > 0) & ((F.col("level_b") == 0) | (F.col("radius_a") >= F.col("radius_b")))
-        # The cell that is opened, and the one that stays; one join with the children.
-        wide, stays = ({c: F.when(F.col("_first") == flag, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")) for c in columns} for flag in (True, False))
-        rest = pairs.where(~ended).withColumn("_first", first).select("_first", wide["cell"].alias("_cell"), (wide["level"] - 1).alias("_level"), *[stays[c].alias(f"{c}_s") for c in columns])
-        child = pyramid_.select(*[F.col(c).alias(f"{c}_w") for c in columns], F.shiftright("cell", 3).alias("_up"))
-        opened = rest.join(child, (F.col("_cell") == F.col("_up")) & (F.col("_level") == F.col("level_w")))
-        pick = lambda s: [F.when(F.col("_first") == (s == "a"), F.col(f"{c}_w")).otherwise(F.col(f"{c}_s")).alias(f"{c}_{s}") for c in columns]
-        pairs = opened.select(*pick("a"), *pick("b"))
-    return done.select("level_a", "cell_a", "level_b", "cell_b", "nb_a", "nb_b", "r")
-
-
 def smoothing_radius(bins: Bins, rsmooth_arcmin: float | None = None, fixed: bool = False, smallest_cell: float | None = None) -> float:
     """In radians: as given, 1 % of the range, or the smallest cell, but no more than 5 % of the range; times THETA."""
     if rsmooth_arcmin is not None:

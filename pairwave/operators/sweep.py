@@ -45,6 +45,8 @@ HOT_PAIRS, MOST_PIVOTS, PIECE_PIVOTS, PIECE = 2_000_000_000, 1 << 18, 1 << 13, 1
 AT_ONCE, CELL_POINTS = 1 << 16, 32
 #: A cell's side is so much wider than the radius that rounding can't put two near points more than a cell apart.
 SLACK = 1 + 1e-9
+#: Bits of a double that the table of bins leaves out: 8 digits after the point stay.
+TABLE_SHIFT = 44
 _GRID = ["gx", "gy", "gz"]
 _SCHEMA = "what string, m int, b1 int, b2 int, cc double, ss double, sc double, cs double"
 
@@ -124,7 +126,8 @@ class Block:
             return
         moved = self._moved(self.pivots[:, 1:4])
         mine = self._numbers(moved, self.side)
-        order = np.lexsort(mine.T)
+        # Within a cell by finer cells, so that pivots handled together are near each other.
+        order = np.lexsort([*self._numbers(moved, self.side / 3).T, *mine.T])
         cuts = np.flatnonzero((np.diff(mine[order], axis=0) != 0).any(1)) + 1
         firsts = order[np.append(0, cuts)]
         steps = [(i, j) for i in ((0, 1) if self.plan.half else (-1, 0, 1)) for j in (-1, 0, 1)]
@@ -202,6 +205,14 @@ class Sums:
         self.counts = np.zeros((plan.most_counts + 1, 4, self.n, self.n))
         self.filled, self.squared = np.zeros((self.n, self.n)), np.zeros((2, self.n))
         self.turn = np.array(euler(REFERENCE_ANGLE, REFERENCE_ANGLE, REFERENCE_ANGLE))
+        # Bins by the first binary digits of a squared distance, where no two edges share these; a bin's upper edge decides.
+        self.upper, self.table = np.append(self.squares[1:-1], np.inf), None
+        low, high = (int(v) >> TABLE_SHIFT for v in self.squares[[0, -1]].view(np.int64))
+        inner = self.squares[1:-1].view(np.int64) >> TABLE_SHIFT
+        low = max(low, int(inner[0]) - 1) if len(inner) else low
+        if high - low < 1 << 16 and len(np.unique(inner)) == len(inner):
+            self.first, starts = low, (np.arange(low, high + 1) << TABLE_SHIFT).view(np.float64)
+            self.table = np.searchsorted(self.squares[1:-1], starts, "right").astype(np.int64)
         self.samples = 0  # cells and points that pivots took
         # By level, 0 for points: candidates, those taken, the points that these stand for.
         self.tally = np.zeros((1 + max(len(plan.levels), len(plan.sides)), 3))
@@ -246,7 +257,18 @@ class Sums:
             for at in range(0, len(mine), step):
                 part = mine[at : at + step]
                 p = np.ascontiguousarray(pivots[part].T)
-                yield part, [self.moments(p, here[:levels], plan.most_counts), *([self.moments(p, here[levels:], -1)] if plan.third else [])]
+                close = [self.close(p, q, k % levels) for k, q in enumerate(here)]
+                yield part, [self.moments(p, close[:levels], plan.most_counts), *([self.moments(p, close[levels:], -1)] if plan.third else [])]
+
+    def close(self, p: np.ndarray, q: np.ndarray, level: int) -> np.ndarray:
+        """The points that may be within the radius of any of these pivots."""
+        if not q.shape[1] or self.plan.box:
+            return q
+        middle = p[1:4].mean(1)
+        round_ = math.sqrt(((p[1:4] - middle[:, None]) ** 2).sum(0).max())
+        off = q[1:4] - middle[:, None]
+        keep = (off * off).sum(0) <= (self.plan.radius(level) + round_) ** 2 * (1 + 1e-9)
+        return q if keep.all() else q[:, keep]
 
     def products_of(self, p: np.ndarray, first: Moments, second: Moments | None = None) -> None:
         """Adds what these pivots' moments give to the sums over pivots."""
@@ -294,10 +316,37 @@ class Sums:
             j = flat - i * width
             if plan.same and level == 0 and not (other := p[0][i] != q[0][j]).all():
                 flat, i, j = flat[other], i[other], j[other]
-            self._taken(level, q[5][j])
-            self._collect(out, p, i, [v.ravel()[flat] for v in d], r2.ravel()[flat], q[5][j], q[4][j], most_counts)
+            weight = q[5][j]
+            self._taken(level, weight)
+            arms = None
+            if max(plan.most, most_counts) >= 0:
+                if plan.plane or plan.box:
+                    arms = self._arms(p, i, [v.ravel()[flat] for v in d])
+                else:  # (p - q) . a for all pairs at once
+                    axis, across = self._axes(p)
+                    arms = [((p[1:4] * a).sum(0)[:, None] - a.T @ q[1:4]).ravel()[flat] for a in (axis, across)]
+            self._collect(out, p, i, arms, r2.ravel()[flat], weight, q[4][j], most_counts)
         return out
 
+    def _axes(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each pivot the direction from which angles count, of length 1, and one across it."""
+        axis = p[1:4] - np.stack([t[0] * p[1] + t[1] * p[2] + t[2] * p[3] for t in self.turn])
+        axis = axis / np.sqrt(axis[0] * axis[0] + axis[1] * axis[1] + axis[2] * axis[2])
+        return axis, np.stack([axis[a] * p[1 + b] - axis[b] * p[1 + a] for a, b in ((1, 2), (2, 0), (0, 1))])
+
+    def _arms(self, p: np.ndarray, i: np.ndarray, d: list[np.ndarray]) -> list[np.ndarray]:
+        """p - q along two directions: the plane's, or along a pivot's axis and across it."""
+        if self.plan.plane:
+            return [-d[0], -d[1]]
+        return [d[0] * a[0][i] + d[1] * a[1][i] + d[2] * a[2][i] for a in self._axes(p)]
+
+    def _bins(self, r2: np.ndarray) -> np.ndarray:
+        """Bins (from 0) of squared distances inside: a table by exponent and first digits, in which at most one edge is next to decide."""
+        if self.table is None:
+            return np.searchsorted(self.squares[1:-1], r2, "right")
+        b = self.table[np.minimum(np.maximum((r2.view(np.int64) >> TABLE_SHIFT) - self.first, 0), len(self.table) - 1)]
+        return b + (r2 >= self.upper[b])
+
     def _taken(self, level: int, weight: np.ndarray) -> None:
         self.samples += len(weight)
         self.tally[level, 1:] += len(weight), weight.sum()
@@ -325,7 +374,7 @@ class Sums:
                 d = [v - plan.box * np.floor(v / plan.box + 0.5) for v in d]
             r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
             r, wide = np.sqrt(r2), far[j]
-            b = np.searchsorted(squares[1:-1], r2, "right")
+            b = self._bins(r2)
             inside = (r - wide > edges[b]) & (r + wide < np.minimum(edges[b + 1], reach))
             take = np.flatnonzero(inside)
             self._taken(level, many[j[take]])
@@ -347,40 +396,40 @@ class Sums:
         self._taken(0, q[good, 5])
         taken.append((i[good], [v[good] for v in d], r2[good], q[good, 5], q[good, 4]))
         i, r2, weight, value = (np.concatenate([t[k] for t in taken]) for k in (0, 2, 3, 4))
-        self._collect(out, p, i, [np.concatenate([t[1][k] for t in taken]) for k in range(3)], r2, weight, value, most_counts)
+        arms = self._arms(p, i, [np.concatenate([t[1][k] for t in taken]) for k in range(3)]) if max(plan.most, most_counts) >= 0 else None
+        self._collect(out, p, i, arms, r2, weight, value, most_counts)
         return out
 
-    def _collect(self, out: Moments, p: np.ndarray, i: np.ndarray, d: list[np.ndarray], r2: np.ndarray, weight: np.ndarray, value: np.ndarray, most_counts: int) -> None:
-        """Adds samples of pivots i, p - q = d apart, with weights and mean values."""
+    def _collect(self, out: Moments, p: np.ndarray, i: np.ndarray, arms: list[np.ndarray] | None, r2: np.ndarray, weight: np.ndarray, value: np.ndarray, most_counts: int) -> None:
+        """Adds samples of pivots i with weights and mean values. arms: p - q along two directions, which have the angle."""
         plan, n = self.plan, self.n
         if not len(r2):
             return
         most, size = max(plan.most, most_counts), p.shape[1] * n
-        key = i * n + np.searchsorted(self.squares[1:-1], r2, "right")
+        key = i * n + self._bins(r2)
         # Pairs in the order of pivots and bins, so that each sum is over a run of them; 16 bits are sorted by counting.
         order = np.argsort(key.astype(np.uint16) if size <= 1 << 16 else key, kind="stable")
-        key, i, r2, weight, value = key[order], i[order], r2[order], weight[order], value[order]
-        starts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
+        key, value = key[order], value[order]
+        starts = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
         at = key[starts]
+        single = bool((weight == 1.0).all())
+        weight = weight if single else weight[order]
         squares = value * value * weight if plan.drop else None
-        value = value * weight
-        out.count.reshape(-1)[at] += np.add.reduceat(weight, starts)
+        value = value if single else value * weight
+        out.count.reshape(-1)[at] += np.diff(starts, append=len(key)) if single else np.add.reduceat(weight, starts)
         out.sums.reshape(-1)[at] += np.add.reduceat(value, starts)
         if most < 0:
             return
         if plan.drop:
             out.squared.reshape(-1)[at] += np.add.reduceat(squares, starts)
-        d, r = [v[order] for v in d], np.sqrt(r2)
+        r = np.sqrt(r2)
+        turn = np.empty(len(r), complex)
         if plan.plane:
-            turn = (-d[0] / r) + 1j * (-d[1] / r)
+            turn.real, turn.imag = arms[0] / r, arms[1] / r
         else:
-            axis = p[1:4] - np.stack([t[0] * p[1] + t[1] * p[2] + t[2] * p[3] for t in self.turn])
-            length = np.sqrt(axis[0] * axis[0] + axis[1] * axis[1] + axis[2] * axis[2])
-            across = np.stack([axis[a] * p[1 + b] - axis[b] * p[1 + a] for a, b in ((1, 2), (2, 0), (0, 1))])
-            cosine = np.clip((d[0] * axis[0][i] + d[1] * axis[1][i] + d[2] * axis[2][i]) / (r * length[i]), -1.0, 1.0)
-            sine = np.sqrt(1.0 - cosine * cosine)
-            np.negative(sine, out=sine, where=d[0] * across[0][i] + d[1] * across[1][i] + d[2] * across[2][i] < 0)
-            turn = cosine + 1j * sine
+            cosine = np.minimum(np.maximum(arms[0] / r, -1.0), 1.0)
+            turn.real, turn.imag = cosine, np.sqrt(1.0 - cosine * cosine) * np.where(arms[1] < 0, -1.0, 1.0)
+        turn = turn[order]
         # Powers of e^(i phi): cosines and sines of its multiples.
         for sums, top, first in ((out.field, plan.most, value), (out.ones, most_counts, weight)):
             power = first.astype(complex)

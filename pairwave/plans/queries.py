@@ -859,4 +859,4 @@ def special_functions(spark, sf):
     """No SQL: J0, I1, K0, E1, P(2, x) and erfc of part sizes, tested against tables."""
     sizes = d.table(spark, sf, "part").select(F.col("p_size").cast("double").alias("x")).distinct()
     f = {"j0": lambda v: numeric.bessel_j(0, v), "k0": lambda v: numeric.bessel_k(0, v), "e1": numeric.expint1, "p2": lambda v: numeric.gamma_p(2.0, v), "erfc": math.erfc, "lgamma": math.lgamma}
-    return rounded(sizes.select("x", *[numeric.elementwise(g_)(F.col("x")).alias(n) for n, g_ in f.items()]), *f)
+    return rounded(sizes.select("x", *[numeric.elementwise(g_, n in ("erfc", "lgamma"))(F.col("x")).alias(n) for n, g_ in f.items()]), *f)

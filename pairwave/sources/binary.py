@@ -87,7 +87,8 @@ def _rows(spark: SparkSession, path: str, parse: Callable[[str, bytes], pd.DataF
                         n = min(BATCH, many - at)
                         yield part([f.read_at(n * w, b + (first + at) * w) for b, w in zip(begins_, widths_, strict=True)], first + at, json.loads(info_))
 
-    plan = spark.createDataFrame(tasks, "uri string, begins array<long>, widths array<long>, first long, many long, info string").repartition(len(tasks), "uri", "first")
+    # A slice for each range, so each has a task of its own.
+    plan = spark.createDataFrame(spark.sparkContext.parallelize(tasks, len(tasks)), "uri string, begins array<long>, widths array<long>, first long, many long, info string")
     out = plan.mapInPandas(run, schema)
     small = [uri for uri, size in files if size <= RANGE]
     return out.union(_files(spark, small, parse, schema)) if small else out

@@ -59,7 +59,7 @@ class PairStream:
     def batch(self, df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         new = f"{self.folder}/points/batch={number}"
-        self._block(df.select("id", "x", "y", "z", "kappa")).write.mode("overwrite").partitionBy("block").parquet(new)
+        self._block(df.select("id", "x", "y", "z", "kappa")).repartition("block").write.mode("overwrite").partitionBy("block").parquet(new)
         schema = "id long, x double, y double, z double, kappa double"
         points = spark.read.schema(schema).parquet(new)
         parts = self._sums(grid_pairs(points, points, self.bins.rmax, box=self.box), 1)
