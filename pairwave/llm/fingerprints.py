@@ -111,7 +111,8 @@ def printed(df: DataFrame, text: str, name: str, any_long: bool) -> DataFrame:
         return df.withColumn(name, fingerprint(F.col(text)))
     long = F.length(text) > LONG_CHARS
     keyed = df.where(long).withColumn("_text_key", F.sha2(F.col(text).cast("binary"), 256))
-    prints = long_prints(keyed.groupBy("_text_key").agg(F.max(text).alias("_long")), "_text_key", "_long").withColumnRenamed("print", name).withColumnRenamed("_text_key", "_print_key")
+    # Rows of one text give the same hashes, whose least are the same.
+    prints = long_prints(keyed, "_text_key", text).withColumnRenamed("print", name).withColumnRenamed("_text_key", "_print_key")
     found = keyed.join(prints, F.col("_text_key") == F.col("_print_key"), "left").drop("_text_key", "_print_key")
     return df.where(~long).withColumn(name, fingerprint(F.col(text))).unionByName(found.withColumn(name, F.coalesce(name, F.lit(""))))
 
