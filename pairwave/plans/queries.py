@@ -469,7 +469,7 @@ def cell_rollup(spark, sf):
 
 def _eta_sql(a: str, b: str) -> str:
     ii, jj, ij = f"sum({a}*{a})", f"sum({b}*{b})", f"sum({a}*{b})"
-    return f"sqrt((({ii}-{jj})/({ii}+{jj}))**2+(2e0*{ij}/({ii}+{jj}))**2)"
+    return f"CASE WHEN {ii}+{jj} > 0 THEN sqrt((({ii}-{jj})/({ii}+{jj}))**2+(2e0*{ij}/({ii}+{jj}))**2) ELSE 0e0 END"
 
 
 _S = {a + b: f"sum({a}*{b})" for a in "xyz" for b in "xyz"}
