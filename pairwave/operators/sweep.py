@@ -43,6 +43,8 @@ WIDE, BLOCK_POINTS = 8, 20_000
 HOT_PAIRS, MOST_PIVOTS, PIECE_PIVOTS, PIECE = 2_000_000_000, 1 << 18, 1 << 13, 1 << 20
 #: Candidate pairs that are compared at once, and pivots that a fine cell should hold, for each level of cells.
 AT_ONCE, CELL_POINTS = 1 << 16, 32
+#: Spacings of points that the widest bin must have for nested cells to be used by default.
+WORTH = 6
 #: A cell's side is so much wider than the radius that rounding can't put two near points more than a cell apart.
 SLACK = 1 + 1e-9
 #: Bits of a double that the table of bins leaves out: 8 digits after the point stay.
@@ -491,8 +493,8 @@ def sweep(pivots: DataFrame, around: DataFrame, bins: Bins, most: int = -1, *, c
     pivots: id, x, y, z, kappa, and nb where a pivot stands for several points. most, counts: multipoles of the field and of the counts. same: a
     point is no pair with itself. squares: also sums of squared fields. theta, rule, cell: see above; cell is the side of the smallest cells, by_mass: their
     centers weigh points by mass. third: points of another field, which has the second bin of the multipoles (what = "pairs13": its pairs). reach:
-    the greatest distance of a pair, where it's less than the bins'. safe: nested cells stand for points within one bin; cell is the side of the finest, 4 points' or so by
-    default. Not with theta or squares. counters: also what `counters` reads. blocks: "grid", of equal
+    the greatest distance of a pair, where it's less than the bins'. safe: nested cells stand for points within one bin; cell is the side of the finest, by
+    default that of 4 points or so, and none where the widest bin is less than WORTH spacings of points. Not with theta or squares. counters: also what `counters` reads. blocks: "grid", of equal
     cubes, or "tree", leaves of a tree by medians, which hold about as many pivots wherever points cluster (not in a periodic box).
     """
     if safe and (theta > 0 or squares):
@@ -505,7 +507,9 @@ def sweep(pivots: DataFrame, around: DataFrame, bins: Bins, most: int = -1, *, c
     p = _points(pivots, "p")
     parts = []
     side, spacing = _block_side(p, [x for x in (around, third) if x is not None and x is not pivots], bins.rmax)
-    sides = _nested(bins, cell or 2 * spacing) if safe else ()
+    widest = max(hi - lo for _, lo, hi, _ in bins.rows())
+    # Where bins are few spacings wide hardly a cell lies within one: then points themselves are quicker, with the same counts and sums.
+    sides = _nested(bins, cell or 2 * spacing) if safe and (cell or widest > WORTH * spacing) else ()
     plan = Plan(tuple(bins.edges), most, counts, plane, same, box, tuple((a, b) for _, a, b in levels), squares, third is not None, min(bins.rmax, reach or bins.rmax), half, sides, counters)
     homes = []
     if blocks not in ("grid", "tree") or blocks == "tree" and box:

@@ -281,7 +281,8 @@ class Correlator:
             found, pairs_ = brute(pivots, around, bins, most, counts=many, box=box, same=self.same, reach=reach)
         else:
             safe = p.has("one-ball")
-            cell = cells.smallest_cell(pivots, p.nsmooth) or None if safe else None
+            # nsmooth, where set, says how many points the finest cell has; else cells are used where they are worth it.
+            cell = cells.smallest_cell(pivots, p.nsmooth) or None if safe and p.nsmooth != Params.nsmooth else None
             found = sweep(pivots, around, bins, most, counts=many, box=box, same=self.same, theta=theta, rule=rule, cell=cell, third=third[0] if third else None, reach=reach, by_mass=p.has("center-of-mass"), safe=safe, counters=True, blocks="tree" if p.searchMethod == "kdtree-omp" and not box else "grid")
         self._keep("sums", found)
         sums = self.tables.pop("sums")
