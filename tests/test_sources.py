@@ -299,7 +299,7 @@ def test_options_act_or_are_refused(spark, tmp_path):
     cut = Correlator(spark, options="Rcut/theta", theta=2.0, **base).use(s).run().getHistNN()
     assert cut[0] == exact.getHistNN()[0] and cut[2] == 0 and 0 < cut[1] <= exact.getHistNN()[1]
     cf = Correlator(spark, options="NNEstimator", **base).use(s).run()
-    assert set(cf.tables) == {"histNN", "histCF"}
+    assert set(cf.tables) == {"histNN", "histCF", "counters"}
     assert "cells" in Correlator(spark, options="make-tree,NNCorrelation", **base).use(s).run().tables
     wide = Correlator(spark, options="patch,patch-with-all,NNCorrelation", nbody=2000, **base).run()
     inside = Correlator(spark, options="patch,NNCorrelation", nbody=2000, **base).run()
