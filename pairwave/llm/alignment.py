@@ -488,10 +488,15 @@ def digest(docs: DataFrame, first: str, second: str, frequent: int = FREQUENT, r
         def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pair, _, _ = sent.value
             for batch in batches:
+                rows_, pairs_, numbers_ = [], [], []
                 for row, pairs, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     p, often = _pairs_of(pairs, numbers)
-                    new = ~np.isin(p, pair, assume_unique=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * int(new.sum()), pa.string()), pa.array(p[new].astype(np.int64)), pa.array(often[new])], ["row", "pair", "number"])
+                    new = pair[np.minimum(np.searchsorted(pair, p), len(pair) - 1)] != p if len(pair) else np.ones(len(p), bool)
+                    rows_.append((row, int(new.sum())))
+                    pairs_.append(p[new].astype(np.int64))
+                    numbers_.append(often[new])
+                names_ = np.repeat(np.array([r for r, _ in rows_], object), [n for _, n in rows_])
+                yield pa.RecordBatch.from_arrays([pa.array(names_, pa.string()), pa.array(np.concatenate([np.zeros(0, np.int64), *pairs_])), pa.array(np.concatenate([np.zeros(0, np.int64), *numbers_]))], ["row", "pair", "number"])
 
         few = counts.where(digits < least).join(F.broadcast(best), F.floor(F.col("pair") / width) == F.col("a")).select("pair", "n", (F.col("n") == F.col("best")).alias("is_best"))
         met = table.select("row", "pairs", "numbers").mapInArrow(rare, "row string, pair long, number long").join(few, "pair")
