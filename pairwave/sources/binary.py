@@ -131,7 +131,7 @@ def _row_type(cards: dict[str, str]) -> np.dtype:
     return np.dtype(fields)
 
 
-def _table_layout(f) -> Layout:
+def table_layout(f) -> Layout:
     cards, kind, n, at = fits_layout(f)
     return [at], [kind.itemsize], n, {"cards": cards}
 
@@ -182,7 +182,7 @@ def fits_columns(spark: SparkSession, path: str, columns: list[int]) -> DataFram
         data = np.frombuffer(raw[0], _row_type(info["cards"]))
         return pd.DataFrame({f"c{c}": _column(data, info["cards"], c - 1) for c in columns})
 
-    return _rows(spark, path, parse, _table_layout, part, ", ".join(f"c{c} double" for c in columns))
+    return _rows(spark, path, parse, table_layout, part, ", ".join(f"c{c} double" for c in columns))
 
 
 def _renamed(df: DataFrame, columns: list[int], names: tuple[str, ...]) -> DataFrame:
@@ -205,27 +205,43 @@ def fits_radecr_field(spark: SparkSession, path: str, columns: list[int] | None
     return catalog(number(from_sky(_renamed(fits_columns(spark, path, c), c, ("ra", "dec", "r", "kappa")), "ra", "dec", degrees, radius="r")))
 
 
+def _map_rows(cards: dict[str, str], data: np.ndarray, first: int, field: int) -> pd.DataFrame:
+    explicit = cards.get("INDXSCHM", "").upper() == "EXPLICIT"
+    value = _column(data, cards, field + explicit)
+    many = len(value) // max(1, len(data))  # maps may have several pixels to a row
+    pix = data[data.dtype.names[0]].astype(np.int64) if explicit else np.arange(len(value)) + first * many
+    nside = int(cards.get("NSIDE") or healpix.npix2nside(int(cards["NAXIS2"]) * many))
+    return pd.DataFrame({"pix": pix, "value": value, "nside": np.int32(nside), "nest": cards.get("ORDERING", "RING").upper().startswith("NEST")})
+
+
+def map_rows(raw: list[bytes], first: int, info: dict, field: int = 0) -> pd.DataFrame:
+    """Pixels from bytes of a table's rows."""
+    return _map_rows(info["cards"], np.frombuffer(raw[0], _row_type(info["cards"])), first, field)
+
+
+def pixels_per_row(kind: str, info: dict) -> int | None:
+    """Pixels that each row of a full map has, in order; None where rows aren't numbered by pixels."""
+    if kind == "numpy-healpix":
+        return None if _kind(info["kind"]).names else 1
+    if kind != "fits-healpix" or info["cards"].get("INDXSCHM", "").upper() == "EXPLICIT":
+        return None
+    types = _row_type(info["cards"])
+    return math.prod(types[0].shape)
+
+
 def fits_map(spark: SparkSession, path: str, field: int = 0) -> DataFrame:
     """pix, value, nside, nest: a map's field; pixels are numbered by row, or by the first column in maps of a part of the sky (INDXSCHM EXPLICIT)."""
 
-    def rows(cards: dict[str, str], data: np.ndarray, first: int) -> pd.DataFrame:
-        explicit = cards.get("INDXSCHM", "").upper() == "EXPLICIT"
-        value = _column(data, cards, field + explicit)
-        many = len(value) // max(1, len(data))  # maps may have several pixels to a row
-        pix = data[data.dtype.names[0]].astype(np.int64) if explicit else np.arange(len(value)) + first * many
-        nside = int(cards.get("NSIDE") or healpix.npix2nside(int(cards["NAXIS2"]) * many))
-        return pd.DataFrame({"pix": pix, "value": value, "nside": nside, "nest": cards.get("ORDERING", "RING").upper().startswith("NEST")})
-
     def parse(_: str, raw: bytes) -> pd.DataFrame:
-        return rows(*fits_tables(raw)[0], 0)
+        return _map_rows(*fits_tables(raw)[0], 0, field)
 
     def part(raw: list[bytes], first: int, info: dict) -> pd.DataFrame:
-        return rows(info["cards"], np.frombuffer(raw[0], _row_type(info["cards"])), first)
+        return map_rows(raw, first, info, field)
 
-    return _rows(spark, path, parse, _table_layout, part, "pix long, value double, nside int, nest boolean")
+    return _rows(spark, path, parse, table_layout, part, "pix long, value double, nside int, nest boolean")
 
 
-def _array_layout(f) -> Layout:
+def array_layout(f) -> Layout:
     head = io.BytesIO(f.read_at(min(f.size(), 1 << 16), 0))
     version = np.lib.format.read_magic(head)
     shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
@@ -252,22 +268,28 @@ def array_bytes(values: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def _array_rows(value: np.ndarray, first: int, n: int, nest: bool) -> pd.DataFrame:
+    if value.dtype.names:
+        return pd.DataFrame({"pix": value["pix"], "value": value["value"], "nside": value["nside"], "nest": nest})
+    return pd.DataFrame({"pix": np.arange(len(value)) + first, "value": value.astype(np.float64), "nside": np.int32(healpix.npix2nside(n)), "nest": nest})
+
+
+def array_rows(raw: list[bytes], first: int, info: dict, nest: bool = False) -> pd.DataFrame:
+    """Pixels from bytes of an array's elements."""
+    return _array_rows(np.frombuffer(raw[0], _kind(info["kind"])), first, info["rows"], nest)
+
+
 def numpy_map(spark: SparkSession, path: str, nest: bool = False) -> DataFrame:
     """pix, value, nside, nest from .npy files with one number for each pixel, or with records of pixel, value and nside."""
 
-    def rows(value: np.ndarray, first: int, n: int) -> pd.DataFrame:
-        if value.dtype.names:
-            return pd.DataFrame({"pix": value["pix"], "value": value["value"], "nside": value["nside"], "nest": nest})
-        return pd.DataFrame({"pix": np.arange(len(value)) + first, "value": value.astype(np.float64), "nside": healpix.npix2nside(n), "nest": nest})
-
     def parse(_: str, raw: bytes) -> pd.DataFrame:
         value = np.load(io.BytesIO(raw), allow_pickle=False).ravel()
-        return rows(value, 0, len(value))
+        return _array_rows(value, 0, len(value), nest)
 
     def part(raw: list[bytes], first: int, info: dict) -> pd.DataFrame:
-        return rows(np.frombuffer(raw[0], _kind(info["kind"])), first, info["rows"])
+        return array_rows(raw, first, info, nest)
 
-    return _rows(spark, path, parse, _array_layout, part, "pix long, value double, nside int, nest boolean")
+    return _rows(spark, path, parse, array_layout, part, "pix long, value double, nside int, nest boolean")
 
 
 def map_catalog(map_: DataFrame, mask: DataFrame | None = None, inside_only: bool = True) -> DataFrame:
@@ -371,7 +393,7 @@ def gadget_index(f) -> list[tuple[str, int, int]]:
     return out
 
 
-def _snapshot_layout(f) -> Layout:
+def snapshot_layout(f) -> Layout:
     """Places of positions, velocities and ids, as far as they are there, so that ranges of particles take the same rows of each."""
     blocks = gadget_index(f)
     head = gadget_header(f.read_at(256, blocks[0][1]))
@@ -385,22 +407,27 @@ def _snapshot_layout(f) -> Layout:
     return [found[name][0] for name, _ in taken], [width for _, width in taken], n, {"box": head["box"], "names": [name for name, _ in taken]}
 
 
+PARTICLES = "x double, y double, z double, vx double, vy double, vz double, particle long, box double"
+
+
+def particles(raw: list[bytes], _: int, info: dict) -> pd.DataFrame:
+    """Particles from bytes of a snapshot's blocks."""
+    got = dict(zip(info["names"], raw, strict=True))
+    pos = np.frombuffer(got["POS"], "<f4").reshape(-1, 3).astype(np.float64)
+    vel = np.frombuffer(got["VEL"], "<f4").reshape(-1, 3).astype(np.float64) if "VEL" in got else np.full(pos.shape, np.nan)
+    ids = np.frombuffer(got["ID"], f"<u{len(got['ID']) // max(1, len(pos))}").astype(np.int64) if "ID" in got and len(pos) else np.zeros(len(pos), np.int64)
+    return pd.DataFrame({**{c: pos[:, k] for k, c in enumerate("xyz")}, **{f"v{c}": vel[:, k] for k, c in enumerate("xyz")}, "particle": pd.array(ids, "Int64") if "ID" in got else pd.array([None] * len(pos), "Int64"), "box": info["box"]})
+
+
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
     """x, y, z, vx, vy, vz, particle (its id), box of snapshots in format 1 or 2 (a file, or a pattern for all parts); large files in ranges of particles. Null: not there."""
 
-    def part(raw: list[bytes], _: int, info: dict) -> pd.DataFrame:
-        got = dict(zip(info["names"], raw, strict=True))
-        pos = np.frombuffer(got["POS"], "<f4").reshape(-1, 3).astype(np.float64)
-        vel = np.frombuffer(got["VEL"], "<f4").reshape(-1, 3).astype(np.float64) if "VEL" in got else np.full(pos.shape, np.nan)
-        ids = np.frombuffer(got["ID"], f"<u{len(got['ID']) // max(1, len(pos))}").astype(np.int64) if "ID" in got and len(pos) else np.zeros(len(pos), np.int64)
-        return pd.DataFrame({**{c: pos[:, k] for k, c in enumerate("xyz")}, **{f"v{c}": vel[:, k] for k, c in enumerate("xyz")}, "particle": pd.array(ids, "Int64") if "ID" in got else pd.array([None] * len(pos), "Int64"), "box": info["box"]})
-
     def parse(_: str, raw: bytes) -> pd.DataFrame:
         f = _Bytes(raw)
-        begins, widths, n, info = _snapshot_layout(f)
-        return part([f.read_at(n * w, b) for b, w in zip(begins, widths, strict=True)], 0, info)
+        begins, widths, n, info = snapshot_layout(f)
+        return particles([f.read_at(n * w, b) for b, w in zip(begins, widths, strict=True)], 0, info)
 
-    return _rows(spark, path, parse, _snapshot_layout, part, "x double, y double, z double, vx double, vy double, vz double, particle long, box double")
+    return _rows(spark, path, parse, snapshot_layout, particles, PARTICLES)
 
 
 class _Bytes:
@@ -459,7 +486,7 @@ def head_of(uri: str, kind: str) -> tuple:
                 nside = healpix.npix2nside(n * many)
             return n * many, ",".join(types.names), nside, None, cards.get("ORDERING")
         if kind == "numpy-healpix":
-            _, _, n, info = _array_layout(f)
+            _, _, n, info = array_layout(f)
             names = _kind(info["kind"]).names
             side = healpix.npix2nside(n)
             return n, ",".join(names) if names else "value", side if side > 0 and not names else None, None, None
@@ -540,28 +567,30 @@ def packed_bytes(columns: dict[str, np.ndarray]) -> bytes:
     return struct.pack(PACKED, b"PWCAT01\0", rows.shape[1], rows.shape[0]) + rows.tobytes()
 
 
+def _packed_head(raw: bytes) -> tuple[int, int]:
+    mark, width, n = struct.unpack_from(PACKED, raw)
+    if mark != b"PWCAT01\0":
+        raise ValueError("not a packed catalog")
+    return width, n
+
+
+def packed_layout(f) -> Layout:
+    width, n = _packed_head(f.read_at(struct.calcsize(PACKED), 0))
+    return [struct.calcsize(PACKED)], [8 * width], n, {"width": width}
+
+
 def packed(spark: SparkSession, path: str, **_) -> DataFrame:
     """Catalogs in packed doubles with 4 fields or all 7."""
     names = PACKED_NAMES
 
-    def head(raw: bytes) -> tuple[int, int]:
-        mark, width, n = struct.unpack_from(PACKED, raw)
-        if mark != b"PWCAT01\0":
-            raise ValueError("not a packed catalog")
-        return width, n
-
     def rows(raw: bytes, width: int) -> pd.DataFrame:
         data = np.frombuffer(raw, "<f8").reshape(-1, width)
         return pd.DataFrame({c: data[:, k] if k < width else np.ones(len(data)) for k, c in enumerate(names)})
 
     def parse(_: str, raw: bytes) -> pd.DataFrame:
-        width, n = head(raw)
+        width, n = _packed_head(raw)
         begin = struct.calcsize(PACKED)
         return rows(raw[begin : begin + 8 * width * n], width)
 
-    def layout(f) -> Layout:
-        width, n = head(f.read_at(struct.calcsize(PACKED), 0))
-        return [struct.calcsize(PACKED)], [8 * width], n, {"width": width}
-
-    df = _rows(spark, path, parse, layout, lambda raw, _, info: rows(raw[0], info["width"]), ", ".join(f"{c} double" for c in names))
+    df = _rows(spark, path, parse, packed_layout, lambda raw, _, info: rows(raw[0], info["width"]), ", ".join(f"{c} double" for c in names))
     return catalog(number(df.withColumn("mask", F.col("m") > 0)))

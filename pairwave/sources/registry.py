@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import SCHEMA, catalog, combined
 from ..functions import healpix
-from . import binary, text
+from . import binary, files, text
 
 
 def parquet(spark: SparkSession, path: str, **_) -> DataFrame:
@@ -20,8 +22,6 @@ def parquet(spark: SparkSession, path: str, **_) -> DataFrame:
 
 #: Pixels of a full map that one task writes as one array.
 WHOLE = 1 << 24
-#: Rows after which a task begins another file.
-FILE_ROWS = 1 << 24
 
 READERS: dict[str, Callable[..., DataFrame]] = {
     "columns-ascii": text.columns_ascii,
@@ -52,12 +52,12 @@ def read(spark: SparkSession, path: str, format: str = "columns-ascii", **option
 
 def read_many(spark: SparkSession, paths: str, formats: str = "columns-ascii", catalogs: str | None = None, **options) -> list[DataFrame]:
     """A catalog for each item of comma lists of paths and formats (one format may stand for all), numbered from 0 or as listed (from 1)."""
-    files, kinds = [p.strip() for p in paths.split(",")], [f.strip() for f in formats.split(",")]
-    kinds = kinds * len(files) if len(kinds) == 1 else kinds
-    numbers = [int(c) - 1 for c in catalogs.split(",")] if catalogs else list(range(len(files)))
-    if not len(files) == len(kinds) == len(numbers):
+    names, kinds = [p.strip() for p in paths.split(",")], [f.strip() for f in formats.split(",")]
+    kinds = kinds * len(names) if len(kinds) == 1 else kinds
+    numbers = [int(c) - 1 for c in catalogs.split(",")] if catalogs else list(range(len(names)))
+    if not len(names) == len(kinds) == len(numbers):
         raise ValueError("lists of files, formats and catalogs differ in length")
-    return [read(spark, f, k, **options).withColumn("cat_id", F.lit(n)) for f, k, n in zip(files, kinds, numbers, strict=True)]
+    return [read(spark, f, k, **options).withColumn("cat_id", F.lit(n)) for f, k, n in zip(names, kinds, numbers, strict=True)]
 
 
 def read_all_in_one(spark: SparkSession, paths: str, formats: str = "columns-ascii", **options) -> DataFrame:
@@ -107,8 +107,7 @@ def _write(df: DataFrame, path: str, format: str, box: float | None, nside: int
         text.write_columns(df.withColumns({c: F.col(c) + (box / 2 if box else 0.0) for c in "xyz"}), path, ["x", "y", "z"])
     elif format in ("fits", "binary", "binary-all"):
         names = ["x", "y", "z", "kappa", "weight", "mass", "mask"] if format == "binary-all" else ["x", "y", "z", "kappa"]
-        make = binary.packed_bytes if format.startswith("binary") else (lambda c: binary.fits_bytes({k.upper(): v for k, v in c.items()}))
-        _write_files(df.select(*[F.col(n).cast("double") for n in names]), path, make, "fits" if format == "fits" else "bin")
+        _write_files(df.select(*[F.col(n).cast("double") for n in names]), path, "fits" if format == "fits" else "binary")
     elif format in ("fits-healpix", "numpy-healpix"):
         n = healpix.npix2nside(df.count()) if nside is None else nside
         if n < 1:
@@ -116,7 +115,7 @@ def _write(df: DataFrame, path: str, format: str, box: float | None, nside: int
         if format == "numpy-healpix":
             return _write_arrays(df.select("id", F.col("kappa").cast("double").alias("kappa")), path, n)
         cards = {"PIXTYPE": "HEALPIX", "ORDERING": "NESTED" if nest else "RING", "NSIDE": n, "COORDSYS": "G", "INDXSCHM": "EXPLICIT", "OBJECT": "PARTIAL"}
-        _write_files(df.select(F.col("id").alias("pixel"), F.col("kappa").cast("double").alias("signal")), path, lambda c: binary.fits_bytes({k.upper(): v for k, v in c.items()}, cards), "fits")
+        _write_files(df.select(F.col("id").alias("pixel"), F.col("kappa").cast("double").alias("signal")), path, "fits", cards)
     else:
         raise ValueError(f"no such format: {format}")
 
@@ -125,19 +124,18 @@ def _write_arrays(df: DataFrame, path: str, nside: int) -> None:
     """A full map of bounded size as one array of its values, any other as records of pixel, value and nside, a file for each partition."""
     npix = healpix.nside2npix(nside)
     if npix <= WHOLE and df.agg(F.count_distinct("id")).first()[0] == npix:
-        return _write_files(df.coalesce(1).sortWithinPartitions("id"), path, lambda c: binary.array_bytes(c["kappa"]), "npy")
-    make = lambda c: binary.array_bytes(binary.records({"pix": c["id"], "value": c["kappa"], "nside": [nside] * len(c["id"])}))
-    _write_files(df, path, make, "npy")
+        return _write_files(df.coalesce(1).sortWithinPartitions("id").select("kappa"), path, "numpy")
+    _write_files(df.select(F.col("id").alias("pix"), F.col("kappa").alias("value"), F.lit(nside).alias("nside")), path, "numpy-healpix")
 
 
 def headers(spark: SparkSession, paths: str, formats: str = "columns-ascii") -> DataFrame:
     """file, format, rows, columns (names), nside, box (sides), other: what the first bytes of files say; no rows are read. Null: not said there."""
-    files, kinds = [p.strip() for p in paths.split(",")], [f.strip() for f in formats.split(",")]
-    kinds = kinds * len(files) if len(kinds) == 1 else kinds
-    if len(files) != len(kinds):
+    names, kinds = [p.strip() for p in paths.split(",")], [f.strip() for f in formats.split(",")]
+    kinds = kinds * len(names) if len(kinds) == 1 else kinds
+    if len(names) != len(kinds):
         raise ValueError("lists of files and formats differ in length")
     rows = []
-    for path, kind in zip(files, kinds, strict=True):
+    for path, kind in zip(names, kinds, strict=True):
         if kind not in READERS:
             raise ValueError(f"no such format: {kind}")
         if kind == "parquet":
@@ -155,53 +153,28 @@ def write_sky(df: DataFrame, path: str) -> None:
     text.write_columns(sky, path, ["ra", "dec", "kappa"])
 
 
-def _bounded(parts):
-    """Frames of at most FILE_ROWS rows or so from a task's frames."""
-    import pandas as pd
-
-    held, size = [], 0
-    for part in parts:
-        if len(part):
-            held.append(part)
-            size += len(part)
-        if size >= FILE_ROWS:
-            yield pd.concat(held)
-            held, size = [], 0
-    if held:
-        yield pd.concat(held)
-
-
-def _write_files(df: DataFrame, path: str, make: Callable[[dict], bytes], ending: str) -> None:
-    """A file for each partition, more for one of very many rows, written by its task under another name and then moved, where pyarrow knows the file system; else handed to the driver one by one."""
-    import pandas as pd
-
+def _write_files(df: DataFrame, path: str, kind: str, cards: dict | None = None) -> None:
+    """A file for each partition, more for one of very many rows, by the data source where pyarrow knows the file system; else handed to the driver one by one."""
     spark, names = df.sparkSession, df.columns
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
     system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = system.makeQualified(root).toString()
+    if files.known(uri):
+        files.register(spark)
+        df.write.format(files.NAME).options(kind=kind, cards=json.dumps(cards or {})).mode("overwrite").save(uri)
+        return
     system.delete(root, True)
     system.mkdirs(root)
-    uri = system.makeQualified(root).toString()
-    known = uri.split(":")[0] in ("file", "hdfs", "viewfs", "s3", "gs", "abfs", "abfss")
 
-    def run(parts):
-        import uuid
-
-        from pyarrow import fs
+    def run(batches):
         from pyspark import TaskContext
 
-        for number, whole in enumerate(_bounded(parts)):
-            content = make({c: whole[c].to_numpy() for c in names})
-            name = f"part-{TaskContext.get().partitionId():05d}-{number:05d}.{ending}"
-            if known:
-                there, folder = fs.FileSystem.from_uri(uri)
-                hidden = f"{folder}/.{uuid.uuid4().hex}"
-                with there.open_output_stream(hidden) as out:
-                    out.write(content)
-                there.move(hidden, f"{folder}/{name}")
-            yield pd.DataFrame({"name": [name], "content": [b"" if known else content]})
-
-    for row in df.mapInPandas(run, "name string, content binary").toLocalIterator():
-        if not known:
-            out = system.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, row["name"]))
-            out.write(row["content"])
-            out.close()
+        for number, held in enumerate(files.bounded(batches)):
+            content, ending = files.encoded(kind, {c: held.column(c).to_numpy() for c in names}, cards or {})
+            yield pa.RecordBatch.from_arrays([pa.array([f"part-{TaskContext.get().partitionId():05d}-{number:05d}.{ending}"]), pa.array([content], pa.binary())], ["name", "content"])
+
+    for row in df.mapInArrow(run, "name string, content binary").toLocalIterator():
+        out = system.create(jvm.org.apache.hadoop.fs.Path(root, row["name"]))
+        out.write(row["content"])
+        out.close()
