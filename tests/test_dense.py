@@ -105,3 +105,11 @@ def test_triangles_of_many_points_in_a_moment(monkeypatch):
     far = 2 - 2 * far
     each = ((far > 0.04) & (far < 0.81)).sum(1)
     assert n == (each.astype(float) ** 2).sum() and n > 1e9
+
+
+def test_all_with_all_is_dealt_to_many_tasks(spark):
+    """As many tasks as the session has partitions, though the catalog is one file."""
+    from pairwave.operators.pairs import _partitions, brute_pairs
+
+    p = spark.range(50).selectExpr("id", "id * 0.01 AS x", "0.0 AS y", "0.0 AS z").coalesce(1)
+    assert brute_pairs(p, p, 0.1).rdd.getNumPartitions() >= _partitions(p)
