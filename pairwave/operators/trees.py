@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import Bins
-from ..session import checkpointed
 from .cells import morton
-from .counts import on_bins
+from .sweep import counters, pair_rows, sweep
 
 _AXES = ("x", "y", "z")
 _SECOND = [(a, b) for k, a in enumerate(_AXES) for b in _AXES[k:]]
@@ -85,50 +84,15 @@ def radius_histogram(summaries: DataFrame, per_octave: int = 1) -> DataFrame:
     return summaries.groupBy("level", b.alias("bin")).agg(F.count("*").alias("cells"))
 
 
-_SIDE = ("cell", "nb", "kappa", "x", "y", "z", "radius")
-
-
 def two_balls(df: DataFrame, bins: Bins, size: float, levels: int) -> tuple[DataFrame, DataFrame]:
     """bin, r, n, xi of all directed pairs of a catalog by a walk down two trees, and counters by level: pairs of cells looked at, accepted, opened.
 
     Two cells are accepted if the distances of all their points lie in one bin: so numbers of pairs and sums of products are exact. They are left out if all
-    lie beyond the bins, else both are opened; pairs of finest cells end at their points. The coarsest cells are no smaller than the
-    radius, so they are joined with the 27 around them. Each level's frontier is a checkpoint: it's read for its results and for the next level.
+    lie beyond the bins, else both are opened; pairs of finest cells (of size, or wider where these would hold few points) end at their points. The
+    coarsest cells are no smaller than the radius. Both trees of a block of space are made and walked within one task, one branch at a time, so no pair of cells is stored.
     """
-    top = levels - 1
-    while size * 2**top < bins.rmax:
-        top += 1
-    tree = checkpointed(rollup(df, size, top + 1).select("level", *_SIDE))
-    keyed = df.select("id", "x", "y", "z", (F.col("kappa") if "kappa" in df.columns else F.lit(1.0)).alias("kappa"), morton(size).alias("cell"))
-    at = lambda level, s: tree.where(F.col("level") == level).select(*[F.col(c).alias(f"{c}_{s}") for c in _SIDE])
-    place = lambda s: [F.floor(F.col(f"{c}_{s}") / (size * 2**top)).cast("long") for c in _AXES]  # noqa: E731  a mean lies in its own cell
-    a, b = at(top, "a"), at(top, "b")
-    for c, v in zip(_AXES, place("a"), strict=True):
-        a = a.withColumn(f"g{c}", F.explode(F.sequence(v - 1, v + 1)))
-    b = b.withColumns({f"h{c}": v for c, v in zip(_AXES, place("b"), strict=True)})
-    pairs = a.join(b, reduce(Column.__and__, [F.col(f"g{c}") == F.col(f"h{c}") for c in _AXES])).drop(*[f"{g}{c}" for g in "gh" for c in _AXES])
-    edges, squares = F.array(*map(F.lit, bins.edges)), [e * e for e in bins.edges]
-    found, counters = [], []
-    for level in range(top, -1, -1):
-        r2 = reduce(Column.__add__, [(F.col(f"{c}_a") - F.col(f"{c}_b")) * (F.col(f"{c}_a") - F.col(f"{c}_b")) for c in _AXES])
-        # A little more than the radii, so that rounding puts no pair into another bin.
-        reach = (F.col("radius_a") + F.col("radius_b")) * (1 + 1e-12) + 1e-15
-        pairs = pairs.withColumn("r", F.sqrt(r2)).withColumn("reach", reach).where((F.col("r") - F.col("reach") < bins.rmax) & (F.col("r") + F.col("reach") > bins.edges[0]))
-        inside = (F.col("r") > bins.edges[0]) & (F.col("r") < bins.rmax)
-        pairs = pairs.withColumn("bin", F.when(inside, bins.of(F.greatest(F.col("r") * F.col("r"), F.lit(squares[0])))))
-        one = F.coalesce((F.col("r") - F.col("reach") > F.get(edges, F.col("bin") - 1)) & (F.col("r") + F.col("reach") < F.get(edges, F.col("bin"))), F.lit(False))
-        pairs = checkpointed(pairs.withColumn("one", one))
-        n = F.col("nb_a") * F.col("nb_b")
-        found.append(pairs.where("one").groupBy("bin").agg(F.sum(n.cast("double")).alias("n"), F.sum(n * F.col("kappa_a") * F.col("kappa_b")).alias("s")))
-        counters.append(pairs.agg(F.lit(level).alias("level"), F.count("*").alias("looked_at"), F.count_if("one").alias("accepted"), F.count_if(~F.col("one")).alias("opened")))
-        rest = pairs.where("NOT one").select("cell_a", "cell_b")
-        if level:
-            child = lambda s, level=level: at(level - 1, s).withColumn(f"up_{s}", F.shiftright(f"cell_{s}", 3))
-            rest = rest.withColumnsRenamed({"cell_a": "_a", "cell_b": "_b"})
-            pairs = rest.join(child("a"), F.col("_a") == F.col("up_a")).join(child("b"), F.col("_b") == F.col("up_b")).drop("_a", "_b", "up_a", "up_b")
-    point = lambda s: keyed.select(*[F.col(c).alias(f"{c}{s}") for c in ("id", "x", "y", "z", "kappa", "cell")])
-    near = rest.join(point("_p"), F.col("cell_a") == F.col("cell_p")).join(point("_q"), F.col("cell_b") == F.col("cell_q")).where("id_p <> id_q")
-    near = near.withColumn("r2", reduce(Column.__add__, [(F.col(f"{c}_p") - F.col(f"{c}_q")) * (F.col(f"{c}_p") - F.col(f"{c}_q")) for c in _AXES]))
-    found.append(bins.near(near).groupBy("bin").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("kappa_p") * F.col("kappa_q")).alias("s")))
-    total = reduce(DataFrame.unionByName, found).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    return on_bins(total.withColumn("xi", F.col("s") / F.greatest("n", F.lit(1.0))), bins, "n", "xi"), reduce(DataFrame.unionByName, counters)
+    sums = sweep(df, df, bins, two=(size, levels), counters=True)
+    sums = sums.sparkSession.createDataFrame(sums.toArrow(), sums.schema)  # a row for each bin and level, read twice
+    long = lambda c: c.cast("long")
+    found = counters(sums).where("level > 0").select((F.col("level") - 1).alias("level"), long(F.col("candidates")).alias("looked_at"), long(F.col("taken")).alias("accepted"), long(F.col("candidates") - F.col("taken")).alias("opened"))
+    return pair_rows(sums, bins), found

@@ -113,3 +113,43 @@ def test_all_with_all_is_dealt_to_many_tasks(spark):
 
     p = spark.range(50).selectExpr("id", "id * 0.01 AS x", "0.0 AS y", "0.0 AS z").coalesce(1)
     assert brute_pairs(p, p, 0.1).rdd.getNumPartitions() >= _partitions(p)
+
+
+@pytest.mark.parametrize("kind", ["sphere", "lattice", "clusters"])
+def test_two_trees_give_the_sums_over_pairs(monkeypatch, kind):
+    """Counts and sums of a walk down two trees, in pieces and with few pairs of cells at once, with ids that occur twice and values that aren't numbers."""
+    around = table(catalog(kind, 3000), 2, weights=True)
+    around[:20, 0] = around[20:40, 0]
+    around[50, 4], around[60, 4], around[70, 1] = np.nan, np.inf, np.nan
+    pivots = around[:700]
+    for bins, sides, pieces, at_once in ((Bins(0.2, 0.9, 4), (0.02, 0.04, 0.08, 0.16), 1, 1 << 18), (Bins(0.05, 0.4, 10), (0.1, 0.2, 0.4), 3, 500), (Bins(0.0, 0.5, 5, "linear"), (0.5,), 1, 1 << 18)):
+        monkeypatch.setattr(sw, "PAIRS_AT_ONCE", at_once)
+        monkeypatch.setattr(sw, "PAIRS_KEPT", at_once)
+        plan = sw.Plan(tuple(bins.edges), -1, -1, False, True, None, ((0, bins.n),), False, False, bins.rmax, sides=sides, tally=True, two=True)
+        out = sw.Sums(plan)
+        out.block(pivots, iter([[part] for part in np.array_split(around, pieces)]))
+        off = pivots[:, None, 1:4] - around[None, :, 1:4]
+        r2 = off[..., 0] * off[..., 0] + off[..., 1] * off[..., 1] + off[..., 2] * off[..., 2]
+        i, j = np.nonzero((r2 > bins.edges[0] ** 2) & (r2 < bins.edges[-1] ** 2) & (pivots[:, None, 0] != around[None, :, 0]))
+        b = np.searchsorted(np.array(bins.edges[1:-1]) ** 2, r2[i, j], "right")
+        weight = pivots[i, 5] * around[j, 5]
+        assert (out.pairs[0] == np.bincount(b, weight, bins.n)).all()
+        assert np.allclose(out.products[0], np.bincount(b, weight * pivots[i, 4] * around[j, 4], bins.n), rtol=1e-9, equal_nan=True)
+
+
+def test_two_trees_store_no_pairs(spark, tmp_path, monkeypatch):
+    """No frontier of pairs of cells is stored or shuffled: what is written to the folder of checkpoints stays nothing."""
+    from pathlib import Path
+
+    from pairwave.operators import trees
+
+    monkeypatch.setattr(sw, "FEWEST", 1)
+    xyz = catalog("sphere", 2000)
+    df = spark.createDataFrame([(k, *map(float, v), 1.0) for k, v in enumerate(xyz)], "id long, x double, y double, z double, kappa double")
+    files = lambda: sum(1 for f in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("part-*"))
+    before = files()
+    found, levels = trees.two_balls(df, Bins(0.2, 0.9, 4), 0.05, 2)
+    r2 = 2 - 2 * xyz @ xyz.T
+    assert sum(r["n"] for r in found.collect()) == ((r2 > 0.04) & (r2 < 0.81)).sum()
+    told = levels.toPandas()
+    assert files() == before and told["accepted"].sum() > 0 and (told["looked_at"] == told["accepted"] + told["opened"]).all()
