@@ -153,3 +153,32 @@ def test_two_trees_store_no_pairs(spark, tmp_path, monkeypatch):
     assert sum(r["n"] for r in found.collect()) == ((r2 > 0.04) & (r2 < 0.81)).sum()
     told = levels.toPandas()
     assert files() == before and told["accepted"].sum() > 0 and (told["looked_at"] == told["accepted"] + told["opened"]).all()
+
+
+@pytest.mark.parametrize("kind", ["sphere", "plane"])
+@pytest.mark.parametrize(("most", "counts"), [(3, -1), (3, 6), (1, -1), (9, 10)])
+def test_angles_of_bins_narrower_than_leaves_go_by_matrices(monkeypatch, kind, most, counts):
+    """A leaf of pivots that is wider than the bins: points that several edges may part, and points at a pivot."""
+    around = table(catalog(kind, 6000), 2, weights=True)
+    pivots = around[np.argsort(((around[:, 1:4] - around[-1, 1:4]) ** 2).sum(1))[:300]]
+    for bins, more in ((Bins(0.1, 0.3, 5), {}), (Bins(0.0, 0.4, 7, "linear"), {}), (Bins(0.1, 0.3, 5), {"reach": 0.25, "drop": True})):
+        plan = sw.Plan(tuple(bins.edges), most, counts, kind == "plane", True, None, ((0, bins.n),), more.get("drop", False), False, more.get("reach", bins.rmax))
+        assert sw.Sums(plan).densely(pivots, [around]) is not None
+        want, got = (summed(pivots, around, bins, most, counts, monkeypatch, least, plane=kind == "plane", **more) for least in (1 << 40, 1))
+        assert got.keys() == want.keys()
+        for k, v in want.items():
+            if k[0] == "counters":
+                continue
+            if k[0].startswith("pairs"):
+                assert got[k][0] == v[0], k
+            scale = max(np.abs(w).max() for j, w in want.items() if j[0] == k[0])
+            assert np.allclose(got[k], v, rtol=1e-9, atol=1e-11 * scale), (k, got[k], v)
+
+
+def test_blocks_of_a_large_catalog_are_dealt_to_more_tasks(spark, monkeypatch):
+    """A session with few partitions doesn't put many blocks into one task."""
+    monkeypatch.setattr(sw, "TASK_POINTS", 20, raising=False)
+    xyz = catalog("sphere", 2000)
+    df = spark.createDataFrame([(k, *map(float, v), 1.0) for k, v in enumerate(xyz)], "id long, x double, y double, z double, kappa double")
+    found = sw.sweep(df, df, Bins(0.1, 0.3, 5), 3)
+    assert ", 100" in next(line for line in found._jdf.queryExecution().logical().toString().splitlines() if "RepartitionByExpression" in line)
