@@ -3,7 +3,7 @@
 Documents become pieces of at most `capacity` tokens. Full pieces are sequences of their own. The others are packed by
 their lengths alone: fewer than `capacity` lengths exist, however many pieces, so the counts by length are gathered,
 and bins with equal contents are handled as one class with a multiplicity. Best fit decreasing makes the first
-packing. The local search then empties the emptiest bins: it moves a piece, or exchanges one or two pieces for one or two
+packing. Of very many pieces half are packed first and that packing is taken twice (`plan`). The local search then empties the emptiest bins: it moves a piece, or exchanges one or two pieces for one or two
 of any other underfull bin, whatever fills that bin most. Each such step raises the sum of squared fills. Where none is left, an
 equal exchange with a full bin swaps one or two pieces for more and smaller ones, which leaves the fills as they are and gives the next
 step more to choose from. Squares rise, or stay while the underfull bins' pieces become more, so the search ends by
@@ -41,6 +41,10 @@ BUCKET = 256
 BROADCAST_ROWS = 300_000
 #: Pieces of a bin up to which choices of three of them are listed for equal exchanges.
 TRIPLES = 12
+#: Pieces beyond which a packing of half of them is taken twice.
+WHOLE = 20_000
+#: Choices of pieces at least from which those of classes without bins are taken out.
+OFFERS = 4096
 
 Bin = tuple[int, ...]
 
@@ -139,7 +143,8 @@ class Search:
         self.many = np.zeros(1 << 10, np.int64)
         self.fill = np.zeros(1 << 10, np.int64)
         self.offers = np.zeros((3, 1 << 14), np.int64)  # class, sum of the pieces, the first of them
-        self.offered = 0
+        # Rows of offers, those from which on rows of classes without bins are taken out, and the classes that have rows.
+        self.offered, self.crowded, self.listed = 0, OFFERS, set()
         # Of each sum, the full classes with more than one piece of that sum, and these pieces.
         self.equal: dict[int, dict[int, Bin]] = {}
         self.bins = sum(bins.values())
@@ -161,7 +166,8 @@ class Search:
             self.fill[k] = sum(content)
         k = self.number[content]
         underfull = self.fill[k] < self.capacity
-        if new and underfull:
+        if underfull and n > 0 and k not in self.listed:
+            self.listed.add(k)
             gifts = [(k, 0, 0), *((k, sum(c), c[0]) for c in choices(content))]
             while self.offered + len(gifts) > self.offers.shape[1]:
                 self.offers = np.append(self.offers, np.zeros_like(self.offers), 1)
@@ -174,6 +180,16 @@ class Search:
         if underfull and n > 0:
             heapq.heappush(self.heap, (int(self.fill[k]), content))
         self.many[k] += n
+        if self.offered > self.crowded:
+            self._compact()
+
+    def _compact(self) -> None:
+        """Takes out what classes without bins could give: else each step would look at all classes that there ever were."""
+        rows = self.offers[:, : self.offered]
+        rows = rows[:, self.many[rows[0]] > 0]
+        self.offered, self.crowded = rows.shape[1], max(OFFERS, 2 * rows.shape[1])
+        self.offers[:, : self.offered] = rows
+        self.listed = set(rows[0].tolist())
 
     def improve(self, small: Bin) -> tuple[Bin, Bin, Bin] | None:
         """The exchange with another underfull bin that fills it most: its content, what it gets, what it gives."""
@@ -240,7 +256,21 @@ def local_search(bins: Counter, capacity: int) -> Counter:
 
 
 def plan(counts: dict[int, int], capacity: int) -> Counter:
-    return local_search(best_fit_decreasing(counts, capacity), capacity)
+    """Bins of all pieces: beyond WHOLE of them, twice those of half of each length; bins that aren't full and odd pieces are packed anew.
+
+    So a search begins with few bins that aren't full, and its steps grow with the logarithm of the numbers of pieces.
+    """
+    bins = best_fit_decreasing(counts, capacity)
+    if sum(counts.values()) > WHOLE:
+        full, rest = Counter(), Counter({length: n % 2 for length, n in counts.items() if n % 2})
+        for content, n in plan({length: n // 2 for length, n in counts.items() if n > 1}, capacity).items():
+            if sum(content) == capacity:
+                full[content] = 2 * n
+                continue
+            for length in content:
+                rest[length] += 2 * n
+        bins = min(bins, full + best_fit_decreasing(rest, capacity), key=lambda b: sum(b.values()))
+    return local_search(bins, capacity)
 
 
 def places(bins: Counter) -> dict[str, np.ndarray]:

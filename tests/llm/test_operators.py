@@ -995,6 +995,26 @@ def plain_spans(text):
     return sorted(((k, m.start(), m.end()) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, text, r.flags) if r.keep(m)), key=lambda s: (s[1], s[0]))
 
 
+def test_packing_of_many_pieces_needs_few_steps(monkeypatch):
+    """A hundred times the pieces ask for a few times the steps of the search; each step looks at bins that there are, not at all that there were."""
+    rng = np.random.default_rng(5)
+    lengths = Counter(np.minimum(1023, np.maximum(1, rng.lognormal(5.2, 0.9, 8000))).astype(int).tolist())
+    steps, improve = [], packing.Search.improve
+
+    def counted(self, small):
+        underfull = [c for k, c in enumerate(self.contents) if self.many[k] > 0 and self.fill[k] < self.capacity] if len(steps) % 64 == 0 else None
+        steps.append(0 if underfull is None else self.offered - 2 * packing.OFFERS - 3 * sum(1 + len(packing.choices(c)) for c in underfull))
+        assert len(steps) < 20_000
+        return improve(self, small)
+
+    monkeypatch.setattr(packing.Search, "improve", counted)
+    counts = {length: 100 * n + length % 2 for length, n in lengths.items()}
+    bins = packing.plan(counts, 1024)
+    assert max(steps) <= 0
+    assert Counter({x: sum(n * c.count(x) for c, n in bins.items() if x in c) for x in counts}) == counts
+    assert sum(bins.values()) <= -(-sum(a * n for a, n in counts.items()) // 1024) + 30 and all(sum(c) <= 1024 for c in bins)
+
+
 @settings(max_examples=150, **SLOW)
 @given(st.lists(st.lists(st.sampled_from(["password", "PassWD", "api_key", "apikey", "token", "secret", "=", ":", " ", '"', "AKIA", "0123456789ABCDEF", "deadbeefdeadbeef", "é", "日", "x", "a", "://", "u:", "pw1@h.", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "eyJ", "."]), max_size=12).map("".join), max_size=4))
 def test_scanner_finds_what_full_scans_find(texts):
