@@ -362,3 +362,26 @@ def test_plan_has_one_shuffle_of_points_and_prunes_columns(spark, data):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert plan.count("Exchange hashpartitioning") == 3  # both sides by cell, sums by (b1, b2)
     assert "c_name" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_points_go_to_blocks_with_pivots_only(spark, monkeypatch):
+    """On a sphere many blocks that a point's ball reaches hold no pivot: nothing is sent there, and the sums stay."""
+    from pairwave.operators import sweep as sw
+
+    v = np.random.default_rng(4).normal(size=(1500, 3))
+    s, bins, beside, split = points(spark, v / np.linalg.norm(v, axis=1)[:, None]), Bins(0.05, 0.3, 4), [], sw._split
+
+    def noted(*args):
+        mine, around = split(*args)
+        beside.append(around.join(mine.select(*sw._GRID).distinct(), sw._GRID, "left_anti").count())
+        return mine, around
+
+    monkeypatch.setattr(sw, "_split", noted)
+    monkeypatch.setattr(sw, "BLOCK_POINTS", 100)
+    found = []
+    for sent in (0, 100_000):
+        monkeypatch.setattr(sw, "CELLS_SENT", sent)
+        found.append(sw.sweep(s, s, bins, 2, counts=1).orderBy("what", "m", "b1", "b2").toPandas())
+    assert beside[0] > 0 and beside[1] == 0
+    assert (found[0].iloc[:, :4] == found[1].iloc[:, :4]).all().all()
+    assert np.allclose(found[0].iloc[:, 4:], found[1].iloc[:, 4:], rtol=1e-9, atol=1e-9)
